@@ -4,8 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, quality, sharding
+from . import chat, mixing, neardup, neighbours, packing, quality, sharding, tokenfile, warc
 from .common import read
+from .tokens import vocabulary
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def op2_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op3_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digests(warc.archive(read(spark, sf_dir, "pages")))
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +29,10 @@ def op6_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(read(spark, sf_dir, "documents")).drop("rejected_by")
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.encode_documents(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op8_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = read(spark, sf_dir, "conversations")
     odd = "<|im_end|><|im_start|>assistant ok"
@@ -28,7 +45,11 @@ def op9_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_mix_sources, op6_quality_cascade, op8_chat_trees, op9_rendezvous_shards)}
+def op10_cross_polytope_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(read(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_minhash_near_duplicates, op3_warc_archive, op4_mix_sources, op6_quality_cascade, op7_token_files, op8_chat_trees, op9_rendezvous_shards, op10_cross_polytope_neighbours)}
 
 ORACLES: dict[str, str] = {
     "op6_quality_cascade": r"""
