@@ -18,56 +18,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage
+from .words import mix, slices, word_hashes
 
 BANDS, ROWS = 24, 5
 SHINGLE = 5
 
 
-def _mix(x):
-    """A bijective scrambling of unsigned 64-bit integers (numpy array)."""
-    import numpy as np
-
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class WordHashes(dict):
-    """Word (bytes) -> 64-bit hash, the frequent ones kept."""
-
-    def __missing__(self, word):
-        import xxhash
-
-        h = xxhash.xxh64_intdigest(word, seed=3)
-        if len(self) < 400_000:
-            self[word] = h
-        return h
-
-
-_WORDS = WordHashes()
-
-
 def shingle_hashes(texts: list[str], size: int = SHINGLE):
     """(hash, row) arrays of all shingles of all texts, in order; a shorter text's only shingle is the whole of it; a text without words has none."""
     import numpy as np
 
-    hashes, rows = [], []
-    for r, text in enumerate(texts):
-        words = text.encode("utf-8", "replace").split()
-        if not words:
-            continue
-        h = np.fromiter(map(_WORDS.__getitem__, words), dtype=np.uint64, count=len(words))
-        n = max(1, len(h) - size + 1)
-        acc = np.zeros(n, dtype=np.uint64)
-        for k in range(min(size, len(h))):
-            acc = acc * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n]
-        hashes.append(_mix(acc)), rows.append(np.full(n, r, dtype=np.int64))
-    if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(hashes), np.concatenate(rows)
-
-
-def weighted_sets(hashes, rows, counts: bool = True):
+    h, rows = word_hashes(texts)
+    factor = np.uint64(0x9E3779B97F4A7C15)
+    n = max(0, len(h) - size + 1)
+    acc = np.zeros(n, dtype=np.uint64)
+    for k in range(size):
+        acc = acc * factor + h[k : k + n]
+    inside = rows[:n] == rows[size - 1 :] if n else np.zeros(0, dtype=bool)
+    hashes, where = [acc[inside]], [rows[:n][inside]]
+    counts = np.bincount(rows, minlength=len(texts))
+    first = np.cumsum(counts) - counts
+    for r in np.flatnonzero((counts > 0) & (counts < size)):
+        whole = np.uint64(0)
+        with np.errstate(over="ignore"):
+            for x in h[first[r] : first[r] + counts[r]]:
+                whole = whole * factor + x
+        hashes.append(np.array([whole], dtype=np.uint64)), where.append(np.array([r], dtype=np.int64))
+    return mix(np.concatenate(hashes)), np.concatenate(where)
+
+
+def weighted_sets(hashes, rows):
     """Distinct (hash, row) with the weight 1 + ln(count)."""
     import numpy as np
 
@@ -90,9 +70,9 @@ def prob_minhash(hashes, rows, weights, n_rows: int, size: int):
     h, r, w, t, k = hashes, rows, weights, np.zeros(len(hashes)), 0
     while len(h):
         k += 1
-        draw = _mix(h + np.uint64((k * 0x632BE59BD9B4E019) % (1 << 64)))
+        draw = mix(h + np.uint64((k * 0x632BE59BD9B4E019) % (1 << 64)))
         t = t - np.log(((draw >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / w
-        cell = r * size + (_mix(draw ^ np.uint64(0xD6E8FEB86659FD93)) % np.uint64(size)).astype(np.int64)
+        cell = r * size + (mix(draw ^ np.uint64(0xD6E8FEB86659FD93)) % np.uint64(size)).astype(np.int64)
         np.minimum.at(flat_t, cell, t)
         won = flat_t[cell] == t
         flat_w[cell[won]] = h[won]
@@ -114,8 +94,8 @@ def band_keys(signature, bands: int = BANDS):
     s = signature.reshape(n, bands, size // bands)
     key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), (n, bands)).copy()
     for k in range(s.shape[2]):
-        key = _mix(key ^ s[:, :, k]) + np.uint64(k)
-    return _mix(key).view(np.int64)
+        key = mix(key ^ s[:, :, k]) + np.uint64(k)
+    return mix(key).view(np.int64)
 
 
 def jaccard(a: str, b: str) -> float:
@@ -127,17 +107,6 @@ def jaccard(a: str, b: str) -> float:
     return both / max(1, len(x) + len(y) - both)
 
 
-def _slices(texts, limit: int = 3_000_000, rows: int = 2000):
-    at = 0
-    while at < len(texts):
-        k = held = 0
-        while at + k < len(texts) and k < rows and held < limit:
-            held += len(texts[at + k].as_py() or "")
-            k += 1
-        yield at, k
-        at += k
-
-
 def banded(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``tkey, keys`` of each row's text: keys is empty for a text without words."""
 
@@ -145,7 +114,7 @@ def banded(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for at, n in _slices(batch.column(1)):
+            for at, n in slices(batch.column(1)):
                 part = batch.slice(at, n)
                 texts = part.column(1).to_pylist()
                 keys = band_keys(signatures(texts, bands * rows), bands)

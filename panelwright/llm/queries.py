@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, neardup, neighbours, packing, quality, sharding, tokenfile, warc
+from . import chat, kneser_ney, mixing, neardup, neighbours, packing, quality, sharding, tokenfile, warc
 from .common import read
 from .tokens import vocabulary
 
@@ -25,6 +25,10 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).drop("mix_key")
 
 
+def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.score_documents(read(spark, sf_dir, "documents"))
+
+
 def op6_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(read(spark, sf_dir, "documents")).drop("rejected_by")
 
@@ -49,7 +53,7 @@ def op10_cross_polytope_neighbours(spark: SparkSession, sf_dir: str) -> DataFram
     return neighbours.nearest(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_minhash_near_duplicates, op3_warc_archive, op4_mix_sources, op6_quality_cascade, op7_token_files, op8_chat_trees, op9_rendezvous_shards, op10_cross_polytope_neighbours)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_minhash_near_duplicates, op3_warc_archive, op4_mix_sources, op5_kneser_ney, op6_quality_cascade, op7_token_files, op8_chat_trees, op9_rendezvous_shards, op10_cross_polytope_neighbours)}
 
 ORACLES: dict[str, str] = {
     "op6_quality_cascade": r"""
