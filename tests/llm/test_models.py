@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from panelwright.llm import kneser_ney, words
@@ -84,6 +85,7 @@ def test_word_hashes():
 
 
 def test_pipeline_stages(spark, docs):
+    docs = docs.withColumn("doc_id", F.when(F.col("words") == "clash", F.col("doc_id") + 1_000_000).otherwise(F.col("doc_id")))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_dedup", "mix_sources", "pack_sequences"]
     first = corpus_pipeline.quality_rules(spark, docs, SF)
     assert first.columns == docs.columns
