@@ -1,4 +1,6 @@
 """Registered queries of the panel engine, with their SQL twins."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import panel
+
+QUERIES: dict = {**panel.QUERIES}
+ORACLES: dict = {**panel.ORACLES}
