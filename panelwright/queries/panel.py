@@ -274,13 +274,14 @@ def _(spark, d):
     return rounded(week_earned(spark, d).select("symbol", "bar_ts", "pos", "gross", "turnover", "net"))
 
 
+INF = "CAST('inf' AS DOUBLE)"
 METRICS = """mc AS (SELECT *, product(1 + net) OVER (PARTITION BY symbol ORDER BY bar_ts ROWS UNBOUNDED PRECEDING) AS eq FROM ern),
 md AS (SELECT *, eq / greatest(1.0, max(eq) OVER (PARTITION BY symbol ORDER BY bar_ts ROWS UNBOUNDED PRECEDING)) - 1 AS dd FROM mc),
 mm AS (SELECT symbol, count(net) AS n_bars, count(*) FILTER (net > 0) AS wins, count(*) FILTER (net <> 0) AS active, coalesce(sum(net) FILTER (net > 0), 0) AS up, coalesce(-sum(net) FILTER (net < 0), 0) AS down, avg(net) AS mean, stddev_samp(net) AS sd, stddev_samp(net) FILTER (net < 0) AS sdd, product(1 + net) AS growth, min(dd) AS max_drawdown FROM md GROUP BY 1),
 mx AS (SELECT *, CASE WHEN growth > 0 THEN growth ** (52.0 / n_bars) - 1 ELSE -1.0 END AS cagr FROM mm)"""
 
 
-@register("ag6_metrics", f"WITH {WEEK}, {LABELS}, {SIGNALS}, {EARNED}, {METRICS} SELECT symbol, n_bars, {r('wins / nullif(active, 0) AS win_rate', 'CASE WHEN down > 0 THEN up / down WHEN up > 0 THEN CAST('inf' AS DOUBLE) ELSE 0 END AS profit_factor')}, round(CASE WHEN sd > 0 THEN mean / sd * sqrt(52) ELSE 0 END, 6) AS sharpe, {r('sd * sqrt(52) AS volatility', 'cagr', 'max_drawdown', 'active / n_bars AS exposure')}, round(CASE WHEN sdd > 0 THEN cagr / (sdd * sqrt(52)) END, 6) AS sortino, round(CASE WHEN max_drawdown < 0 THEN cagr / -max_drawdown END, 6) AS calmar FROM mx")
+@register("ag6_metrics", f"WITH {WEEK}, {LABELS}, {SIGNALS}, {EARNED}, {METRICS} SELECT symbol, n_bars, {r('wins / nullif(active, 0) AS win_rate', 'CASE WHEN down > 0 THEN up / down WHEN up > 0 THEN ' + INF + ' ELSE 0 END AS profit_factor')}, round(CASE WHEN sd > 0 THEN mean / sd * sqrt(52) ELSE 0 END, 6) AS sharpe, {r('sd * sqrt(52) AS volatility', 'cagr', 'max_drawdown', 'active / n_bars AS exposure')}, round(CASE WHEN sdd > 0 THEN cagr / (sdd * sqrt(52)) END, 6) AS sortino, round(CASE WHEN max_drawdown < 0 THEN cagr / -max_drawdown END, 6) AS calmar FROM mx")
 def _(spark, d):
     return rounded(P.metrics(week_earned(spark, d), ["symbol"], "net", YEAR))
 
