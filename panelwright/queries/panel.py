@@ -40,7 +40,7 @@ sig2 AS (SELECT *, CASE state WHEN 0 THEN net0 WHEN 1 THEN net1 ELSE net2 END AS
 sig AS (SELECT symbol, bar_ts, idx, close, wret, state, CASE WHEN k >= {MIN_TRAIN} THEN CASE WHEN total > 0 THEN net / total ELSE 0 END END AS signal FROM sig2)"""
 )
 EARNED = """
-pos AS (SELECT sig.symbol, sig.bar_ts, CASE WHEN signal > 0.05 THEN 1.0 WHEN signal < -0.05 THEN -1.0 ELSE 0.0 END AS pos, ret FROM sig JOIN rets USING (symbol, bar_ts)),
+pos AS (SELECT sig.symbol, sig.bar_ts, CASE WHEN signal > 0.05 THEN CAST(0.1 AS DOUBLE) WHEN signal < -0.05 THEN CAST(-0.1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS pos, ret FROM sig JOIN rets USING (symbol, bar_ts)),
 held AS (SELECT *, coalesce(lag(pos) OVER (PARTITION BY symbol ORDER BY bar_ts), 0) AS was FROM pos),
 ern AS (SELECT symbol, bar_ts, pos, was * coalesce(ret, 0) AS gross, abs(pos - was) AS turnover, was * coalesce(ret, 0) - abs(pos - was) * 10 / 1e4 AS net FROM held)"""
 
@@ -76,7 +76,7 @@ def week_matrix(spark, d):
 
 def week_earned(spark, d):
     signals = R.walk_forward(week_labels(spark, d), WIN, MIN_TRAIN)
-    pos = signals.join(week_returns(spark, d).select("symbol", "bar_ts", "ret"), ["symbol", "bar_ts"]).withColumn("pos", R.filter_position(F.col("signal"), 0.05))
+    pos = signals.join(week_returns(spark, d).select("symbol", "bar_ts", "ret"), ["symbol", "bar_ts"]).withColumn("pos", R.filter_position(F.col("signal"), 0.05, F.lit(0.1)))
     return P.earned(pos.select("symbol", "bar_ts", "pos", "ret"), ["symbol"])
 
 

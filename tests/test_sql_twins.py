@@ -22,7 +22,7 @@ def con():
 
 def plain(x):
     if isinstance(x, float):
-        return "nan" if math.isnan(x) else round(x, 5) + 0.0
+        return "nan" if math.isnan(x) else x + 0.0
     return x
 
 
