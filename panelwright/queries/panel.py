@@ -16,7 +16,7 @@ QUERIES, ORACLES = {}, {}
 WIN, MIN_TRAIN, YEAR = 4, 52, 52
 
 WEEK = """
-wk AS (SELECT n_name AS symbol, r_name AS sector, CAST(date_trunc('week', l_shipdate) AS DATE) AS bar_ts, round(sum(l_extendedprice) / sum(l_quantity), 6) AS close, sum(l_quantity) AS volume
+wk AS (SELECT n_name AS symbol, r_name AS sector, CAST(date_trunc('week', l_shipdate) AS DATE) AS bar_ts, floor(round(sum(l_extendedprice) * 100) / sum(l_quantity)) / 100 AS close, sum(l_quantity) AS volume
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2, 3),
 panel AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bar_ts) - 1 AS idx FROM wk),
 rets AS (SELECT *, close / lag(close) OVER (PARTITION BY symbol ORDER BY bar_ts) - 1 AS ret FROM panel)"""

@@ -17,14 +17,14 @@ def indexed(panel: DataFrame) -> DataFrame:
 
 
 def weekly_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations as symbols, regions as sectors, weeks as bars; close is the volume-weighted price."""
+    """Nations as symbols, regions as sectors, weeks as bars; close is the volume-weighted price in whole cents, rounded down."""
     items = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity")
     # Summed per supplier and week before the dimensions join.
     weekly = items.groupBy("l_suppkey", F.to_date(F.date_trunc("week", "l_shipdate")).alias("bar_ts")).agg(F.sum("l_extendedprice").alias("v"), F.sum("l_quantity").alias("q"))
     joined = weekly.join(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
     joined = joined.join(table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"), F.col("s_nationkey") == F.col("n_nationkey"))
     joined = joined.join(table(spark, sf_dir, "region").select("r_regionkey", "r_name"), F.col("n_regionkey") == F.col("r_regionkey"))
-    bars = joined.groupBy(F.col("n_name").alias("symbol"), F.col("r_name").alias("sector"), "bar_ts").agg(F.round(F.sum("v") / F.sum("q"), 6).alias("close"), F.sum("q").alias("volume"))
+    bars = joined.groupBy(F.col("n_name").alias("symbol"), F.col("r_name").alias("sector"), "bar_ts").agg((F.floor(F.round(F.sum("v") * 100) / F.sum("q")) / 100).alias("close"), F.sum("q").alias("volume"))
     return indexed(bars)
 
 
