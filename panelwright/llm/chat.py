@@ -60,11 +60,10 @@ def chosen_paths(nodes: DataFrame) -> DataFrame:
         if not open_rows or 1 << len(levels) > 2 * size:
             break
         above = step.select("t", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("total").alias("total2"))
-        joined = step.join(above.hint("merge"), ["t", "up"], "left")
-        step = stage(
-            joined.select("t", "tree", "node", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total")),
-            "tree-step",
-        )
+        # Nodes that have reached their root are done; only the others are joined, fewer each round.
+        joined = step.filter("up is not null").join(above.hint("merge"), ["t", "up"], "left")
+        moved = joined.select("t", "tree", "node", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"))
+        step = stage(step.filter("up is null").unionByName(moved), "tree-step")
         levels.append(step.select("t", "node", "up"))
     reached = step.filter("up is null")
     inner = base.filter("parent is not null").select("t", F.col("parent").alias("node")).distinct()
@@ -72,8 +71,8 @@ def chosen_paths(nodes: DataFrame) -> DataFrame:
     best = leaves.groupBy("t").agg(F.max_by(F.struct("tree", "node", "depth"), F.struct("total", "depth", -F.col("node"))).alias("b")).select("t", "b.tree", "b.node", "b.depth")
     path = best.select("t", "node")
     for level in reversed(levels):
-        found = path.join(level.hint("merge"), ["t", "node"], "left")
-        path = found.select("t", F.explode(F.array_compact(F.array("node", "up"))).alias("node"))
+        found = path.join(level.filter("up is not null").hint("merge"), ["t", "node"]).select("t", F.col("up").alias("node"))
+        path = stage(path.unionByName(found), "paths")
     path = path.distinct()
     return path.join(reached.hint("merge"), ["t", "node"]).select("tree", "node", "depth")
 
