@@ -44,7 +44,7 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     row_order = F.struct(F.col("page_id").isNull().alias("n"), F.col("page_id").alias("i"), F.xxhash64("url").alias("u"), F.monotonically_increasing_id().alias("k"))
     records = base.select("page_id", "url", "content_id", "size", payload_digest(F.col("payload")).alias("sha1"), row_order.alias("o"))
     narrow = f"{path}/work"
-    records.write.parquet(narrow)
+    records.write.option("compression", "zstd").parquet(narrow)
     records = pages.sparkSession.read.parquet(narrow)
     first = records.groupBy("content_id").agg(F.min("o").alias("first"))
     joined = records.join(first.hint("merge"), "content_id")
@@ -58,8 +58,8 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
         F.when(revisit, F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", record_id(F.col("first.i"))))).otherwise(F.lit("")),
         line("Content-Type", F.lit("text/html; charset=utf-8")), line("Content-Length", F.when(revisit, F.lit(0)).otherwise(F.col("size"))), F.lit(CRLF),
     )
-    joined.select("page_id", header.cast("binary").alias("header"), "content_id").write.parquet(f"{path}/records")
-    base.select("content_id", "payload").dropDuplicates(["content_id"]).write.parquet(f"{path}/payloads")
+    joined.select("page_id", header.cast("binary").alias("header"), "content_id").write.option("compression", "zstd").parquet(f"{path}/records")
+    base.select("content_id", "payload").dropDuplicates(["content_id"]).write.option("compression", "zstd").parquet(f"{path}/payloads")
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
