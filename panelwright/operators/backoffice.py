@@ -67,3 +67,31 @@ def latest_state(old: DataFrame, new: DataFrame, keys: list[str], at: str) -> Da
     """Upsert: of both tables the newest row per key."""
     both = old.unionByName(new)
     return both.groupBy(*keys).agg(F.max_by(F.struct(*both.columns), F.col(at)).alias("r")).select("r.*")
+
+
+def trade_costs(trades: DataFrame, bps: float = 5.0, per_share: float = 0.005, slip_bps: float = 2.0) -> DataFrame:
+    """Adds ``fee, share_cost, slippage, total_cost`` and the price after slippage, against the trader."""
+    sign = F.when(F.col("side") == "BUY", 1).otherwise(-1)
+    value = F.col("quantity") * F.col("price")
+    out = trades.withColumn("fee", value * bps / 1e4).withColumn("share_cost", F.col("quantity") * per_share).withColumn("slippage", value * slip_bps / 1e4)
+    return out.withColumn("total_cost", F.col("fee") + F.col("share_cost") + F.col("slippage")).withColumn("fill_price", F.col("price") * (1 + sign * slip_bps / 1e4))
+
+
+def risk_decisions(weights: DataFrame, key: str, max_gross: float = 1.5, max_single: float = 0.25, max_net: float = 1.0, min_cash: float = 0.05) -> DataFrame:
+    """One row per account, all accounts at once: ``approved``, the sorted names of the limits it breaks, and the factor that brings gross back to its limit.
+
+    Needs ``symbol, weight, nav, cash``; a net asset value that is missing, not finite or not positive breaks ``NAV`` alone."""
+    w = F.col("weight")
+    g = weights.groupBy(key).agg(F.sum(F.abs(w)).alias("gross"), F.sum(w).alias("net"), F.max(F.abs(w)).alias("largest"), F.max("nav").alias("nav"), F.max("cash").alias("cash"))
+    sound = F.coalesce((F.col("nav") > 0) & (F.col("nav") < float("inf")), F.lit(False))
+    breaks = F.array_compact(F.array(
+        F.when(F.col("cash") < min_cash * F.col("nav"), "CASH"), F.when(F.col("gross") > max_gross + 1e-6, "GROSS"), F.when(F.abs("net") > max_net + 1e-6, "NET"), F.when(F.col("largest") > max_single + 1e-6, "SINGLE"),
+    ))
+    out = g.withColumn("violations", F.when(sound, F.array_join(breaks, ";")).otherwise("NAV"))
+    scale = F.when(F.col("gross") > max_gross, max_gross / F.col("gross")).otherwise(F.lit(1.0))
+    return out.withColumn("approved", F.col("violations") == "").withColumn("scale", F.when(sound, scale).otherwise(F.lit(0.0)))
+
+
+def missing_fills(broker: DataFrame, internal: DataFrame, keys: list[str]) -> DataFrame:
+    """Broker fills that the books lack."""
+    return broker.join(internal.select(*keys), keys, "left_anti")

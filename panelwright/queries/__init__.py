@@ -1,6 +1,6 @@
 """Registered queries of the panel engine, with their SQL twins."""
 
-from . import panel
+from . import factors, inference, ledger, pairs, panel
 
-QUERIES: dict = {**panel.QUERIES}
-ORACLES: dict = {**panel.ORACLES}
+QUERIES: dict = panel.QUERIES
+ORACLES: dict = panel.ORACLES

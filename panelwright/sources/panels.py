@@ -36,3 +36,11 @@ def hourly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.min_by("value", at).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", at).alias("close"), F.count(F.lit(1)).alias("volume")
     )
     return indexed(bars)
+
+
+def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ledger: line items as fills, summed by account (supplier), symbol (part number mod 20), day and side (returns sell)."""
+    items = table(spark, sf_dir, "lineitem")
+    keys = [F.col("l_suppkey").alias("account"), F.concat(F.lit("S"), (F.col("l_partkey") % 20).cast("string")).alias("symbol"), F.col("l_shipdate").cast("date").alias("filled_at"), F.when(F.col("l_returnflag") == "R", "SELL").otherwise("BUY").alias("side")]
+    out = items.groupBy(*keys).agg(F.sum("l_quantity").alias("quantity"), F.sum("l_extendedprice").alias("value"), F.sum("l_tax").alias("commission"))
+    return out.withColumn("price", F.col("value") / F.col("quantity"))
