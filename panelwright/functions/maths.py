@@ -43,3 +43,28 @@ def normal_cdf(x: Column) -> Column:
         poly = (poly + c) * t
     tail = F.exp(-x * x / 2) / math.sqrt(2 * math.pi) * poly
     return F.when(x >= 0, 1 - tail).otherwise(tail)
+
+
+#: Fixed values of Acklam's rational approximation of the normal quantile: central numerator and denominator, tail numerator and denominator.
+ACKLAM = (
+    (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00),
+    (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0),
+    (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00),
+    (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0),
+)
+
+
+def horner(coefficients, x: Column) -> Column:
+    out = F.lit(0.0)
+    for c in coefficients:
+        out = out * x + c
+    return out
+
+
+def normal_quantile(p: Column) -> Column:
+    """Three branches, joined at 0.02425 from either end; null outside (0, 1)."""
+    a, b, c, d = ACKLAM
+    mid, low = p - 0.5, 0.02425
+    tail = lambda q: horner(c, F.sqrt(-2 * F.ln(q))) / horner(d, F.sqrt(-2 * F.ln(q)))
+    centre = horner(a, mid * mid) * mid / horner(b, mid * mid)
+    return F.when((p <= 0) | (p >= 1), None).when(p < low, tail(p)).when(p > 1 - low, -tail(1 - p)).otherwise(centre)

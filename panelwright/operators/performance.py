@@ -52,3 +52,15 @@ def summary(df: DataFrame, keys: list[str], x: str) -> DataFrame:
     """Mean, median, deviation, extremes, quartiles and share of positive values."""
     c = F.col(x)
     return df.groupBy(*keys).agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.percentile(c, 0.5).alias("median"), F.stddev_samp(c).alias("sd"), F.min(c).alias("least"), F.max(c).alias("most"), F.percentile(c, 0.25).alias("q25"), F.percentile(c, 0.75).alias("q75"), F.avg((c > 0).cast("int")).alias("positive"))
+
+
+def deflated(stats: DataFrame, quantile, cdf) -> DataFrame:
+    """Probability that a ratio (``symbol, n, sharpe, skew, kurt`` a bar) beats the best of as many unskilled trials as there are rows.
+
+    The two totals, trials and spread of ratios, are one row and join as such."""
+    g = 0.5772156649015329
+    m = stats.agg(F.count(F.lit(1)).alias("trials"), F.stddev_samp("sharpe").alias("spread"))
+    m = m.select((F.col("spread") * ((1 - g) * quantile(1 - 1 / F.col("trials")) + g * quantile(1 - 1 / (F.col("trials") * math.e)))).alias("bench"))
+    s = F.col("sharpe")
+    z = (s - F.col("bench")) * F.sqrt(F.col("n") - 1) / F.sqrt(1 - F.col("skew") * s + (F.col("kurt") + 2) / 4 * s * s)
+    return stats.crossJoin(F.broadcast(m)).select("symbol", "n", s.alias("s"), "bench", cdf(z).alias("dsr"))

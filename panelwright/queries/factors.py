@@ -8,7 +8,7 @@ from ..operators import factors as A
 from ..operators import performance as P
 from ..operators import windows as W
 from ..sources.panels import weekly_panel
-from .panel import WEEK, r, register, rounded, week_returns
+from .panel import QUERIES, WEEK, r, register, rounded, week_returns
 
 #: Rebalance every 4 weeks, two names a side, at most 0.3 each; the calendar's bars are numbered from 0.
 EVERY, K, CAP, MOM, SKIP, VAL, VOL = 4, 2, 0.3, 26, 4, 52, 12
@@ -88,10 +88,10 @@ def _(spark, d):
     return rounded(week_portfolio(spark, d))
 
 
-@register("fa14_ablation", f"WITH {WEEK}, {SCORES}, {HELD} SELECT config, count(*) AS n, {r('avg(net) * 52 AS mean', 'stddev_samp(net) * sqrt(52) AS vol', 'avg(net) / stddev_samp(net) * sqrt(52) AS sharpe', 'product(1 + net) - 1 AS total')} FROM pf GROUP BY 1")
+@register("fa14_ablation", f"WITH {WEEK}, {SCORES}, {HELD} SELECT config, count(*) AS n, {r('avg(net) * 52 AS mean', 'stddev_samp(net) * sqrt(52) AS vol', 'avg(net) / stddev_samp(net) * sqrt(52) AS sharpe', 'sum(net) AS total')} FROM pf GROUP BY 1")
 def _(spark, d):
-    g = week_portfolio(spark, d).groupBy("config").agg(F.count("net").alias("n"), F.avg("net").alias("m"), F.stddev_samp("net").alias("s"), F.product(1 + F.col("net")).alias("g"))
-    return rounded(g.select("config", "n", (F.col("m") * 52).alias("mean"), (F.col("s") * 52**0.5).alias("vol"), A.annual(F.col("m"), F.col("s"), 52).alias("sharpe"), (F.col("g") - 1).alias("total")))
+    g = week_portfolio(spark, d).groupBy("config").agg(F.count("net").alias("n"), F.avg("net").alias("m"), F.stddev_samp("net").alias("s"), F.sum("net").alias("g"))
+    return rounded(g.select("config", "n", (F.col("m") * 52).alias("mean"), (F.col("s") * 52**0.5).alias("vol"), A.annual(F.col("m"), F.col("s"), 52).alias("sharpe"), F.col("g").alias("total")))
 
 
 @register("fa16_cost_sweep", f"WITH {WEEK}, {SCORES}, {HELD}, b AS (SELECT unnest([0, 5, 10, 25, 50]) AS bps) SELECT config, bps, {r('sum(gross) - sum(turnover) * bps / 1e4 AS net_sum', 'sum(gross) / sum(turnover) * 1e4 AS break_even_bps')} FROM pf, b GROUP BY 1, 2")
@@ -109,10 +109,10 @@ def _(spark, d):
     return rounded(x.groupBy("config", "symbol").agg(F.sum("p").alias("pnl"), F.avg("weight").alias("avg_weight"), F.max(F.abs("weight")).alias("most"), F.count_if(F.col("was") != 0).alias("active"), F.avg(F.when(F.col("was") != 0, F.when(F.col("p") > 0, 1.0).otherwise(0.0))).alias("hit_rate")))
 
 
-@register("ag18_split_metrics", f"WITH {WEEK}, {SCORES}, {HELD}, x AS (SELECT bar_ts, t AS i, count(*) OVER () AS n FROM cal), s AS (SELECT bar_ts, CASE WHEN i < floor(n * 0.6) THEN 'TRAIN' WHEN i < floor(n * 0.8) THEN 'VALIDATION' ELSE 'TRUE_OOS' END AS split FROM x) SELECT config, split, count(*) AS n, {r('product(1 + net) - 1 AS total', 'stddev_samp(net) * sqrt(52) AS vol', 'sum(turnover) AS turnover')} FROM pf JOIN s USING (bar_ts) GROUP BY 1, 2")
+@register("ag18_split_metrics", f"WITH {WEEK}, {SCORES}, {HELD}, x AS (SELECT bar_ts, t AS i, count(*) OVER () AS n FROM cal), s AS (SELECT bar_ts, CASE WHEN i < floor(n * 0.6) THEN 'TRAIN' WHEN i < floor(n * 0.8) THEN 'VALIDATION' ELSE 'TRUE_OOS' END AS split FROM x) SELECT config, split, count(*) AS n, {r('sum(net) AS total', 'stddev_samp(net) * sqrt(52) AS vol', 'sum(turnover) AS turnover')} FROM pf JOIN s USING (bar_ts) GROUP BY 1, 2")
 def _(spark, d):
     x = week_portfolio(spark, d).join(W.split_of(weekly_panel(spark, d)), "bar_ts")
-    return rounded(x.groupBy("config", "split").agg(F.count("net").alias("n"), (F.product(1 + F.col("net")) - 1).alias("total"), (F.stddev_samp("net") * 52**0.5).alias("vol"), F.sum("turnover").alias("turnover")))
+    return rounded(x.groupBy("config", "split").agg(F.count("net").alias("n"), F.sum("net").alias("total"), (F.stddev_samp("net") * 52**0.5).alias("vol"), F.sum("turnover").alias("turnover")))
 
 
 @register("ag20_factor_correlation", f"WITH {WEEK}, {SCORES}, z AS (SELECT * FROM fs WHERE zm IS NOT NULL AND zv IS NOT NULL AND vol IS NOT NULL) SELECT count(*) AS n, {r('corr(zm, zv) AS mom_val', 'corr(zm, vol) AS mom_vol', 'corr(zv, vol) AS val_vol')} FROM z")
@@ -128,9 +128,13 @@ def _(spark, d):
     w = W.Window.orderBy("bar_ts").rowsBetween(-51, 0)  # one row per date
     whole = F.count(F.lit(1)).over(w) == 52
     moves = (F.stddev_samp("mom").over(w) > 1e-12) & (F.stddev_samp("val").over(w) > 1e-12)
-    return v.select("bar_ts", F.round(F.when(whole & moves, F.corr("mom", "val").over(w)), 6).alias("corr"), F.round(F.when(whole, F.covar_samp("mom", "val").over(w)), 9).alias("cov"))
+    return v.select("bar_ts", F.round(F.when(whole & moves, F.try_divide(F.covar_samp("mom", "val").over(w), F.stddev_samp("mom").over(w) * F.stddev_samp("val").over(w))), 6).alias("corr"), F.round(F.when(whole, F.covar_samp("mom", "val").over(w)), 9).alias("cov"))
 
 
-def hysteresis_query(spark, d):
+def _hysteresis(spark, d):
+    """FA-8: a fold over dates, which plain SQL cannot say; the tests hold it against a loop."""
     ranks = week_returns(spark, d).withColumn("mom", A.skip_momentum(MOM, SKIP)).filter("mom is not null").withColumn("rnk", W.rank("mom"))
     return A.hysteresis(ranks.select(F.lit("all").alias("config"), "bar_ts", "symbol", "rnk"), K, K + 2, 4, ["config"]).drop("config")
+
+
+QUERIES["fa8_hysteresis"] = _hysteresis

@@ -1,0 +1,125 @@
+"""Registered queries of nulls, bootstraps and regressions on the weekly panel, each with its SQL."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import functions as F
+
+from ..functions.maths import ACKLAM, normal_cdf, normal_quantile
+from ..operators import inference as I
+from ..operators import performance as P
+from ..operators import regime as R
+from .panel import EARNED, LABELS, MIN_TRAIN, SIGNALS, WEEK, WIN, r, register, rounded, week_earned, week_labels, week_returns
+
+#: Draws, least distance of a rotation from the real phase, bootstrap block.
+DRAWS, GUARD, BLOCK, LAGS = 20, 26, 13, 4
+PHASED = f"""
+nl0 AS (SELECT symbol, bar_ts, state, row_number() OVER (PARTITION BY symbol ORDER BY bar_ts) - 1 AS k, count(*) OVER (PARTITION BY symbol) AS n FROM lab),
+dr AS (SELECT unnest(range(1, {DRAWS + 1})) AS draw),
+nl1 AS (SELECT symbol, draw, {{k}} AS k, state FROM nl0, dr WHERE n > {2 * GUARD}),
+nlab AS (SELECT nl1.symbol || '#' || draw AS symbol, bar_ts, k AS idx, NULL AS close, NULL AS wret, nl1.state FROM nl1 JOIN (SELECT symbol, k, bar_ts FROM nl0) USING (symbol, k)),
+nrets AS (SELECT nlab.symbol, nlab.bar_ts, ret FROM nlab JOIN rets ON rets.symbol = split_part(nlab.symbol, '#', 1) AND rets.bar_ts = nlab.bar_ts)"""
+ROTATED = PHASED.format(k=f"(k + {GUARD} + (draw * 7919) % (n - {2 * GUARD})) % n")
+SHUFFLED = PHASED.format(k="row_number() OVER (PARTITION BY symbol, draw ORDER BY md5(draw || '|' || k), k) - 1")
+NULL = (SIGNALS + ", " + EARNED).replace("FROM lab ", "FROM nlab ").replace("JOIN rets", "JOIN nrets").replace("sig", "nsig").replace("nnsig", "nsig").replace("AS nsignal", "AS signal").replace("nsignal", "signal")
+NULL = NULL.replace("pos AS (", "npos AS (").replace("held AS (", "nheld AS (").replace("FROM pos)", "FROM npos)").replace("ern AS (", "nern AS (").replace("FROM held)", "FROM nheld)")
+SHARPE = "{a} AS (SELECT symbol, CASE WHEN stddev_samp(net) > 0 THEN avg(net) / stddev_samp(net) * sqrt(52) END AS sharpe FROM {b} GROUP BY 1)"
+
+
+def sharpe(df):
+    sd = F.stddev_samp("net")
+    return df.groupBy("symbol").agg(F.when(sd > 0, F.avg("net") / sd * math.sqrt(52)).alias("sharpe"))
+
+
+def null_sharpe(spark, d, shuffle: bool = False):
+    x = I.rephased(week_labels(spark, d), week_returns(spark, d), DRAWS, GUARD, shuffle)
+    signals = R.walk_forward(x, WIN, MIN_TRAIN)
+    pos = signals.withColumn("pos", R.filter_position(F.col("signal"), 0.05, F.lit(0.1)))
+    return sharpe(P.earned(pos.select("symbol", "bar_ts", "pos", "ret"), ["symbol"]))
+
+
+def by_name(df):
+    return df.withColumn("symbol", F.split_part("symbol", F.lit("#"), F.lit(1)))
+
+
+@register("st1_rotation_null", f"WITH {WEEK}, {LABELS}, {ROTATED}, {NULL}, {SHARPE.format(a='ns', b='nern')} SELECT symbol, {r('sharpe')} FROM ns")
+def _(spark, d):
+    return rounded(null_sharpe(spark, d))
+
+
+@register("st2_shuffle_null", f"WITH {WEEK}, {LABELS}, {SHUFFLED}, {NULL}, {SHARPE.format(a='ns', b='nern')} SELECT symbol, {r('sharpe')} FROM ns")
+def _(spark, d):
+    return rounded(null_sharpe(spark, d, True))
+
+
+@register("st3_empirical_p", f"""WITH {WEEK}, {LABELS}, {SIGNALS}, {EARNED}, {SHARPE.format(a='rs', b='ern')}, {ROTATED}, {NULL}, {SHARPE.format(a='ns', b='nern')},
+b AS (SELECT rs.symbol, rs.sharpe AS actual, ns.sharpe AS v FROM ns JOIN rs ON rs.symbol = split_part(ns.symbol, '#', 1) WHERE ns.sharpe IS NOT NULL)
+SELECT symbol, count(*) AS n_draws, {r('any_value(actual) AS real', 'avg(v) AS mean', 'median(v) AS median', 'quantile_cont(v, 0.05) AS q05', 'quantile_cont(v, 0.95) AS q95', '(count(*) FILTER (v >= actual) + 1) / (count(*) + 1) AS p', '100 * (count(*) - count(*) FILTER (v >= actual)) / count(*) AS percentile')} FROM b GROUP BY 1""")
+def _(spark, d):
+    return rounded(I.empirical(sharpe(week_earned(spark, d)), by_name(null_sharpe(spark, d)), "sharpe"))
+
+
+@register("st8_block_bootstrap", f"""WITH {WEEK}, x AS (SELECT symbol, ret, row_number() OVER (PARTITION BY symbol ORDER BY bar_ts) - 1 AS k, count(*) OVER (PARTITION BY symbol) AS n FROM rets WHERE ret IS NOT NULL),
+p AS (SELECT symbol, draw, (draw * 7919 + (k // {BLOCK}) * 104729 + k % {BLOCK}) % n AS k FROM x, (SELECT unnest(range(1, {DRAWS + 1})) AS draw)),
+s AS (SELECT p.symbol, draw, avg(ret) / stddev_samp(ret) * sqrt(52) AS sharpe FROM p JOIN x USING (symbol, k) GROUP BY 1, 2)
+SELECT symbol, {r('quantile_cont(sharpe, 0.025) AS lo', 'median(sharpe) AS mid', 'quantile_cont(sharpe, 0.975) AS hi')} FROM s GROUP BY 1""")
+def _(spark, d):
+    s = I.block_bootstrap(week_returns(spark, d), DRAWS, BLOCK).groupBy("symbol", "draw").agg((F.avg("ret") / F.stddev_samp("ret") * math.sqrt(52)).alias("sharpe"))
+    return rounded(s.groupBy("symbol").agg(F.percentile("sharpe", 0.025).alias("lo"), F.percentile("sharpe", 0.5).alias("mid"), F.percentile("sharpe", 0.975).alias("hi")))
+
+
+@register("st13_welch", f"WITH {WEEK}, {LABELS}, x AS (SELECT lab.symbol, state, ret FROM lab JOIN rets USING (symbol, bar_ts)), g AS (SELECT symbol, count(ret) FILTER (state = 2) AS n1, count(ret) FILTER (state = 0) AS n2, avg(ret) FILTER (state = 2) AS m1, avg(ret) FILTER (state = 0) AS m2, var_samp(ret) FILTER (state = 2) AS v1, var_samp(ret) FILTER (state = 0) AS v2 FROM x GROUP BY 1) SELECT symbol, n1, n2, {r('m1', 'm2', '(m1 - m2) / sqrt(v1 / n1 + v2 / n2) AS t')} FROM g")
+def _(spark, d):
+    x = week_labels(spark, d).join(week_returns(spark, d).select("symbol", "bar_ts", "ret"), ["symbol", "bar_ts"])
+    return rounded(I.welch(x, ["symbol"], "ret", F.col("state") == 2, F.col("state") == 0))
+
+
+def _lagged(a: str, b: str) -> str:
+    return " + ".join(f"{1 - k / (LAGS + 1)} * {a} * coalesce(lag({b}, {k}) OVER t, 0)" for k in range(1, LAGS + 1))
+
+
+NW = f"""
+nx AS (SELECT symbol, bar_ts, ret AS y, avg(ret) OVER (PARTITION BY bar_ts) AS x FROM rets WHERE ret IS NOT NULL),
+nf AS (SELECT symbol, count(*) AS n, sum(x) AS sx, sum(x * x) AS sxx, regr_intercept(y, x) AS alpha, regr_slope(y, x) AS beta, regr_r2(y, x) AS r2 FROM nx GROUP BY 1),
+ne AS (SELECT nx.*, y - alpha - beta * x AS u, (y - alpha - beta * x) * x AS v FROM nx JOIN nf USING (symbol)),
+nr AS (SELECT symbol, u * u + 2 * ({_lagged('u', 'u')}) AS s11, u * v + ({_lagged('u', 'v')}) + ({_lagged('v', 'u')}) AS s12, v * v + 2 * ({_lagged('v', 'v')}) AS s22 FROM ne WINDOW t AS (PARTITION BY symbol ORDER BY bar_ts)),
+ng AS (SELECT symbol, sum(s11) AS s11, sum(s12) AS s12, sum(s22) AS s22 FROM nr GROUP BY 1),
+nv AS (SELECT *, (sxx * sxx * s11 - 2 * sx * sxx * s12 + sx * sx * s22) / (n * sxx - sx * sx) ** 2 AS va, (sx * sx * s11 - 2 * n * sx * s12 + n * n * s22) / (n * sxx - sx * sx) ** 2 AS vb FROM nf JOIN ng USING (symbol))"""
+
+
+@register("st14_newey_west", f"WITH {WEEK}, {NW} SELECT symbol, n, {r('alpha', 'beta', 'alpha / sqrt(va) AS t_alpha', 'beta / sqrt(vb) AS t_beta', 'r2')} FROM nv")
+def _(spark, d):
+    x = week_returns(spark, d).filter("ret is not null").withColumn("mkt", F.avg("ret").over(I.Window.partitionBy("bar_ts")))
+    return rounded(I.newey_west(x, "symbol", "ret", "mkt", LAGS))
+
+
+def _horner(c, x: str) -> str:
+    out = "0"
+    for k in c:
+        out = f"({out} * {x} + ({k}))"
+    return out
+
+
+def _quantile(p: str) -> str:
+    a, b, c, d = ACKLAM
+    m, low, high = f"(({p}) - 0.5) * (({p}) - 0.5)", f"sqrt(-2 * ln({p}))", f"sqrt(-2 * ln(1 - ({p})))"
+    return f"CASE WHEN ({p}) < 0.02425 THEN {_horner(c, low)} / {_horner(d, low)} WHEN ({p}) > 0.97575 THEN -({_horner(c, high)} / {_horner(d, high)}) ELSE {_horner(a, m)} * (({p}) - 0.5) / {_horner(b, m)} END"
+
+
+def _cdf(x: str) -> str:
+    poly = "0"
+    for c in reversed((0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)):
+        poly = f"(({poly} + {c}) / (1 + 0.2316419 * abs({x})))"
+    tail = f"exp(-({x}) * ({x}) / 2) / sqrt(2 * pi()) * {poly}"
+    return f"CASE WHEN ({x}) >= 0 THEN 1 - {tail} ELSE {tail} END"
+
+
+@register("st5_deflated_sharpe", f"""WITH {WEEK}, q AS (SELECT symbol, count(ret) AS n, avg(ret) / stddev_samp(ret) AS s, skewness(ret) AS skew, kurtosis(ret) AS kurt FROM rets GROUP BY 1),
+m AS (SELECT count(*) AS trials, stddev_samp(s) AS sd FROM q), e AS (SELECT trials, sd, 1 - 1.0::DOUBLE / trials AS p1, 1 - 1 / (trials * exp(1.0::DOUBLE)) AS p2 FROM m),
+b AS (SELECT trials, sd * ((1 - 0.5772156649015329) * ({_quantile('p1')}) + 0.5772156649015329 * ({_quantile('p2')})) AS bench FROM e),
+z AS (SELECT symbol, n, s, bench, (s - bench) * sqrt(n - 1) / sqrt(1 - skew * s + (kurt + 2) / 4 * s * s) AS z FROM q, b)
+SELECT symbol, n, {r('s', 'bench')}, round({_cdf('z')}, 6) AS dsr FROM z""")
+def _(spark, d):
+    q = P.sharpe_stats(week_returns(spark, d), ["symbol"], "ret", 1)
+    return rounded(P.deflated(q, normal_quantile, normal_cdf))
