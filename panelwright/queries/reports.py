@@ -9,6 +9,7 @@ from ..operators import quality as Q
 from ..operators import regime as R
 from ..operators import windows as W
 from ..sources.panels import hourly_bars, table, weekly_panel
+from .factors import HELD, SCORES, week_portfolio, week_weights
 from .ledger import MARKED, TRADES, marked
 from .panel import COUNTS, EARNED, HOUR, LABELS, SIGNALS, WEEK, WIN, MIN_TRAIN, r, register, rounded, week_earned, week_labels, week_matrix, week_returns
 
@@ -162,3 +163,58 @@ def _(spark, d):
 @register("rk2_concentration", f"WITH {TRADES}, {MARKED} SELECT account, symbol, {r('weight')} FROM mk WHERE abs(weight) > 0.25 + 1e-6")
 def _(spark, d):
     return rounded(marked(spark, d).filter(F.abs("weight") > 0.25 + 1e-6).select("account", "symbol", "weight"))
+
+
+MOVED = f"{WEEK}, {SCORES}, {HELD}"
+
+
+@register("fa15_ensemble", f"WITH {MOVED}, v AS (SELECT config, bar_ts, net, CASE WHEN count(net) OVER w = 26 THEN stddev_samp(net) OVER w END AS sd FROM pf WINDOW w AS (PARTITION BY config ORDER BY bar_ts ROWS BETWEEN 26 PRECEDING AND 1 PRECEDING)) SELECT bar_ts, round(sum(net / (sd + 1e-8)) / sum(1 / (sd + 1e-8)), 6) AS net FROM v WHERE sd > 1e-9 GROUP BY 1")
+def _(spark, d):
+    w = Window.partitionBy("config").orderBy("bar_ts").rowsBetween(-26, -1)
+    v = week_portfolio(spark, d).withColumn("sd", F.when(F.count("net").over(w) == 26, F.stddev_samp("net").over(w))).filter("sd > 1e-9")
+    inv = 1 / (F.col("sd") + 1e-8)
+    return rounded(v.groupBy("bar_ts").agg((F.sum(F.col("net") * inv) / F.sum(inv)).alias("net")))
+
+
+@register("ag32_divergence", f"WITH {MOVED}, x AS (SELECT a.bar_ts, a.net - b.net AS diff FROM pf a JOIN pf b ON a.bar_ts = b.bar_ts AND a.config = 'mom' AND b.config = 'both') SELECT count(*) AS n, {r('avg(diff) AS mean', 'stddev_samp(diff) AS sd', 'max(abs(diff)) AS most', 'sum(diff) AS total')} FROM x")
+def _(spark, d):
+    x = week_portfolio(spark, d).groupBy("bar_ts").pivot("config", ["mom", "both"]).agg(F.first("net")).withColumn("diff", F.col("mom") - F.col("both"))
+    return rounded(x.agg(F.count("diff").alias("n"), F.avg("diff").alias("mean"), F.stddev_samp("diff").alias("sd"), F.max(F.abs("diff")).alias("most"), F.sum("diff").alias("total")))
+
+
+@register("rg20_regime_gate", f"WITH {WEEK}, {LABELS}, {SIGNALS}, {SCORES} SELECT config, symbol, bar_ts, side, {r('weight')} FROM wt JOIN sig USING (symbol, bar_ts) WHERE NOT coalesce((side = 1 AND signal < -0.05) OR (side = -1 AND signal > 0.05), false)")
+def _(spark, d):
+    s = R.walk_forward(week_labels(spark, d), WIN, MIN_TRAIN).select("symbol", "bar_ts", "signal")
+    drop = F.coalesce(((F.col("side") == 1) & (F.col("signal") < -0.05)) | ((F.col("side") == -1) & (F.col("signal") > 0.05)), F.lit(False))
+    return rounded(week_weights(spark, d).join(s, ["symbol", "bar_ts"]).filter(~drop).select("config", "symbol", "bar_ts", "side", "weight"))
+
+
+@register("rg19_calibration", f"WITH {WEEK}, {LABELS}, x AS (SELECT symbol, bar_ts, state, lag(state, {WIN}) OVER w AS was, lead(state, {WIN}) OVER w AS truth FROM lab WINDOW w AS ({BY})), c AS (SELECT *, " + ", ".join(f"sum(CASE WHEN was = {i} AND state = {j} THEN 1 ELSE 0 END) OVER ({BY} ROWS UNBOUNDED PRECEDING) AS n{i}{j}" for i in range(3) for j in range(3)) + " FROM x), p AS (SELECT symbol, state, truth, " + ", ".join(f"(CASE state WHEN 0 THEN n0{j} WHEN 1 THEN n1{j} ELSE n2{j} END + 1) AS k{j}" for j in range(3)) + f" FROM c WHERE truth IS NOT NULL) SELECT symbol, count(*) AS n, {r('avg(-ln((CASE truth WHEN 0 THEN k0 WHEN 1 THEN k1 ELSE k2 END) / (k0 + k1 + k2))) AS log_loss')} FROM p GROUP BY 1")
+def _(spark, d):
+    w = W.by_time()
+    x = week_labels(spark, d).withColumn("was", F.lag("state", WIN).over(w)).withColumn("truth", F.lead("state", WIN).over(w))
+    # Running counts with one added to each cell, of the row that the current state picks.
+    for j in range(3):
+        row = [F.sum(F.when((F.col("was") == i) & (F.col("state") == j), 1).otherwise(0)).over(W.so_far()) for i in range(3)]
+        x = x.withColumn(f"k{j}", F.when(F.col("state") == 0, row[0]).when(F.col("state") == 1, row[1]).otherwise(row[2]) + 1)
+    x = x.filter("truth is not null")
+    hit = F.when(F.col("truth") == 0, F.col("k0")).when(F.col("truth") == 1, F.col("k1")).otherwise(F.col("k2"))
+    return rounded(x.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.avg(-F.ln(hit / (F.col("k0") + F.col("k1") + F.col("k2")))).alias("log_loss")))
+
+
+@register("wn27_ewma_vol", f"WITH {WEEK}, l AS (SELECT symbol, bar_ts, list(ret * ret) OVER ({BY} ROWS 59 PRECEDING) AS h FROM rets WHERE ret IS NOT NULL) SELECT symbol, bar_ts, round(sqrt(list_reduce(h, lambda a, x: a * (31.0 / 33) + x * (2.0 / 33)) * 52), 6) AS vol FROM l")
+def _(spark, d):
+    # Span 32 over at most 60 bars, seeded by the first of them; older bars would weigh under 3 %.
+    x = week_returns(spark, d).filter("ret is not null").withColumn("h", F.collect_list(F.col("ret") * F.col("ret")).over(W.last(60)))
+    ewma = F.aggregate(F.slice("h", 2, 60), F.element_at("h", 1), lambda a, v: a * (31.0 / 33) + v * (2.0 / 33))
+    return rounded(x.select("symbol", "bar_ts", F.sqrt(ewma * 52).alias("vol")))
+
+
+@register("st12_bootstrap_mean", f"WITH {WEEK}, m AS (SELECT symbol, avg(ret) AS m FROM rets GROUP BY 1), k AS (SELECT m, row_number() OVER (ORDER BY symbol) - 1 AS k, count(*) OVER () AS n FROM m), p AS (SELECT draw, (draw * 7919 + k * 104729 + draw * k * 31) % n AS k FROM k, (SELECT unnest(range(1, 201)) AS draw)), a AS (SELECT draw, avg(m) AS a FROM p JOIN k USING (k) GROUP BY 1) SELECT {r('quantile_cont(a, 0.025) AS lo', 'median(a) AS mid', 'quantile_cont(a, 0.975) AS hi')} FROM a")
+def _(spark, d):
+    m = week_returns(spark, d).groupBy("symbol").agg(F.avg("ret").alias("m"))
+    k = m.withColumn("k", F.row_number().over(Window.orderBy("symbol")) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))))  # one row per symbol
+    long = lambda c: F.col(c).cast("long")
+    p = k.select("k", "n", F.explode(F.sequence(F.lit(1), F.lit(200))).alias("draw")).select("draw", ((long("draw") * 7919 + long("k") * 104729 + long("draw") * long("k") * 31) % F.col("n")).cast("int").alias("k"))
+    a = p.hint("merge").join(k.select("k", "m").hint("merge"), "k").groupBy("draw").agg(F.avg("m").alias("a"))
+    return rounded(a.agg(F.percentile("a", 0.025).alias("lo"), F.percentile("a", 0.5).alias("mid"), F.percentile("a", 0.975).alias("hi")))

@@ -44,3 +44,24 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = [F.col("l_suppkey").alias("account"), F.concat(F.lit("S"), (F.col("l_partkey") % 20).cast("string")).alias("symbol"), F.col("l_shipdate").cast("date").alias("filled_at"), F.when(F.col("l_returnflag") == "R", "SELL").otherwise("BUY").alias("side")]
     out = items.groupBy(*keys).agg(F.sum("l_quantity").alias("quantity"), F.sum("l_extendedprice").alias("value"), F.sum("l_tax").alias("commission"))
     return out.withColumn("price", F.col("value") / F.col("quantity"))
+
+
+def read_bars_csv(spark: SparkSession, folder: str) -> DataFrame:
+    """One CSV per symbol (date, Open, High, Low, Close, Volume; the file's name is the symbol); rows without a close are left out."""
+    schema = "bar_ts date, open double, high double, low double, close double, volume double"
+    raw = spark.read.schema(schema).csv(folder, header=True, enforceSchema=True).withColumn("symbol", F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv$", 1))
+    return indexed(raw.filter("close is not null"))
+
+
+def read_wide_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A matrix of dates by tickers as ``symbol, bar_ts, close``; empty cells are left out."""
+    raw = spark.read.csv(path, header=True, inferSchema=True)
+    date, *names = raw.columns
+    return raw.select(F.col(date).cast("date").alias("bar_ts"), *[F.col(f"`{n}`").cast("double").alias(n) for n in names]).unpivot("bar_ts", [F.col(f"`{n}`") for n in names], "symbol", "close").filter("close is not null")
+
+
+def vendor_bars(raw: DataFrame) -> DataFrame:
+    """Bars stamped in UTC milliseconds (symbol, timestamp_ms, seq, open ...) by date; of several on one date the last by ``seq`` stays."""
+    day = F.to_date(F.timestamp_millis("timestamp_ms"))
+    last = raw.withColumn("bar_ts", day).groupBy("symbol", "bar_ts").agg(F.max_by(F.struct(*[c for c in raw.columns if c != "symbol"]), F.struct("seq", "timestamp_ms")).alias("r"))
+    return last.select("symbol", "bar_ts", "r.*").drop("timestamp_ms", "seq")
