@@ -234,3 +234,20 @@ def test_neighbours(spark):
     assert [i for _, i, _ in got[150]] == [100, 101, 102, 103, 104] and [i for _, i, _ in got[100]] == [101, 102, 103, 104, 105]
     assert neighbours.nearest(df.filter("vec_id < 3")).count() == 2
     assert neighbours.nearest(df.limit(0)).count() == 0
+
+
+def test_neighbours_with_more_axes(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(4000, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    y = x.astype(float) / np.sqrt((x.astype(float) ** 2).sum(1, keepdims=True))
+    s = y[::50] @ y.T
+    s[np.arange(len(s)), np.arange(0, 4000, 50)] = -9
+    best = {50 * q: set(r[:5]) for q, r in enumerate(np.argsort(-s, axis=1).tolist())}
+    for options in ({}, {"block": 10}, {"axes": 2}):
+        found = defaultdict(set)
+        for r in neighbours.nearest(df, **options).collect():
+            found[r.query_id].add(r.vec_id)
+        assert sum(len(best[q] & found[q]) for q in best) >= 0.9 * 5 * len(best), options
+    with pytest.raises(ValueError):
+        neighbours.nearest(df, axes=3)
