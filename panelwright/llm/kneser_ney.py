@@ -1,11 +1,13 @@
-"""An interpolated modified Kneser-Ney bigram model, counted in Spark and memory-mapped by the workers.
+"""An interpolated modified Kneser-Ney model of order 2 or 3, counted in Spark and memory-mapped by the workers.
 
-Training is three jobs over the texts' token hashes. Each task counts what it reads in runs of a few million tokens and sends sorted blocks of
-(key, count), cut by the key's leading bits; a segment's blocks meet in one group, which merges them and writes a sorted array to the shared
+Training is a job for each order, and one for the words, over the texts' token hashes. Each task counts what it reads in runs of a few million tokens and sends sorted blocks of
+(key, count), packed, cut by the key's leading bits; a segment's blocks meet in one group, which merges them and writes a sorted array to the shared
 folder. Keys are scrambled, so segments are even however frequent a word is. The arrays:
 
 - ``words``: sorted 64-bit hashes of the vocabulary, and counts; a word's id is its place over all segments;
-- ``pairs``: sorted scrambled (context id, word id), and counts;
+- ``pairs``: sorted scrambled (context id, word id), and counts; with order 3 not of tokens but of the different words seen before the pair;
+- ``triples``: sorted (segment and place of the context pair, word id), and counts, so that a context's triples lie together in its pair's segment;
+- ``wide``: the sums of contexts with more than ``NARROW`` triples; those of others are taken from their triples;
 - ``dense``: per id what smoothing needs: the context's total and left-over mass, the word's lower-order probability.
 
 Workers map the files, so a model larger than their memory costs page reads, not heap. The folder must be one that every worker can open as a path
@@ -25,7 +27,8 @@ from .words import mix, slices, unmix, word_hashes
 
 END_HASH = 0x5851F42D4C957F2D  # of the end token; words' hashes are scrambled, so none is equal but by chance
 RUN = 3_000_000  # tokens counted at a time
-START = 0xFFFFFFFF  # the context id of a text's first token
+START = 0xFFFFFFFF  # the context id of a text's first token; with order 3 two of them precede a text
+NARROW = 8
 
 
 def local_path(uri: str) -> str:
@@ -47,15 +50,15 @@ def token_rows(texts: list[str]):
     return np.insert(h, at, np.uint64(END_HASH)), np.insert(r, at, np.arange(len(texts)))
 
 
-def previous(ids, rows):
-    """The context of each token: the id before it in the same text, START at the first."""
+def previous(ids, rows, start: int = START):
+    """The context of each token: the id before it in the same text, ``start`` at the first."""
     import numpy as np
 
     before = np.empty_like(ids)
     before[1:] = ids[:-1]
     first = np.ones(len(rows), dtype=bool)
     first[1:] = rows[1:] != rows[:-1]
-    before[first] = START
+    before[first] = start
     return before
 
 
@@ -77,6 +80,39 @@ def _map(path: str, dtype: str):
     return np.memmap(path, dtype=dtype, mode="r") if os.path.getsize(path) else np.zeros(0, dtype)
 
 
+def _narrow(counts):
+    """In the smallest unsigned type that holds them all."""
+    import numpy as np
+
+    return counts.astype(np.min_scalar_type(int(counts.max()) if len(counts) else 0))
+
+
+def _counts(path: str, n: int):
+    """What was saved of ``n`` counts by ``_narrow``; the file's size tells the type."""
+    return _map(path, f"<u{os.path.getsize(path) // n}" if n else "<u1")
+
+
+def _pack(x, rising: bool = False) -> bytes:
+    """64-bit integers, as differences if they rise, byte planes apart so that zeros and small numbers shrink."""
+    import zlib
+
+    import numpy as np
+
+    x = x.astype("<u8")
+    if rising:
+        x = np.diff(x, prepend=np.uint64(0))
+    return zlib.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def _unpack(packed: bytes, rising: bool = False):
+    import zlib
+
+    import numpy as np
+
+    x = np.ascontiguousarray(np.frombuffer(zlib.decompress(packed), np.uint8).reshape(8, -1).T).view("<u8").reshape(-1)
+    return np.cumsum(x, dtype=np.uint64) if rising else x.astype(np.int64)
+
+
 def _sum_by(keys, values):
     import numpy as np
 
@@ -99,6 +135,10 @@ class Model:
     discounts: tuple[float, float, float]
     unknown: float  # lower-order probability of a word never seen
     start: tuple[float, float]  # total and left-over mass of the context START
+    order: int = 2
+    id_bits: int = 0  # of a word's id in the keys of triples
+    start_place: int = 0  # of the context of two STARTs, which is no pair: the place after the last of segment 0
+    top: tuple[float, float, float] = (0.0, 0.0, 0.0)  # discounts of triples
 
     def open(self) -> Tables:
         if self not in _OPEN:
@@ -114,9 +154,16 @@ class Tables:
         d = model.folder
         self.model = model
         self.words = [_map(f"{d}/words-{s}.key", "<u8") for s in range(1 << model.word_bits)]
-        self.pairs = [(_map(f"{d}/pairs-{s}.key", "<u8"), _map(f"{d}/pairs-{s}.n", "<i4")) for s in range(1 << model.pair_bits)] if model.pair_bits >= 0 else []
+        self.pairs = [self._counted("pairs", s) for s in range(1 << model.pair_bits)] if model.pair_bits >= 0 else []
+        whole = model.order > 2 and model.unknown >= 0
+        self.triples = [self._counted("triples", s) for s in range(1 << model.pair_bits)] if whole else []
+        self.wide = [_map(f"{d}/wide-{s}", "<i8").reshape(-1, 5) for s in range(1 << model.pair_bits)] if whole else []
         self.dense = [_map(f"{d}/dense-{s}", DENSE) for s in range(1 << model.word_bits)] if model.unknown >= 0 else []
 
+    def _counted(self, name: str, s: int):
+        keys = _map(f"{self.model.folder}/{name}-{s}.key", "<u8")
+        return keys, _counts(f"{self.model.folder}/{name}-{s}.n", len(keys))
+
     def _search(self, hashes, bits: int, found) -> None:
         """Calls ``found(segment, where, places, hit)`` for the sorted unique ``hashes`` of each segment."""
         import numpy as np
@@ -149,19 +196,70 @@ class Tables:
         return out[back], rows[back]
 
     def pair_counts(self, keys):
+        """(count, place of each pair, -1 where it is none or the order 2). A place is the segment, then the place in it, as in the keys of triples."""
         import numpy as np
 
         unique, back = np.unique(keys, return_inverse=True)
-        out = np.zeros(len(unique), dtype=np.int64)
+        out, places = np.zeros(len(unique), dtype=np.int64), np.full(len(unique), -1, dtype=np.int64)
 
         def found(s, where, part):
             table, n = self.pairs[s]
             if len(table):
                 at = np.minimum(np.searchsorted(table, part), len(table) - 1)
-                out[where] = np.where(table[at] == part, n[at], 0)
+                hit = table[at] == part
+                out[where] = np.where(hit, n[at], 0)
+                if self.model.order > 2:
+                    places[where] = np.where(hit, at + (s << (64 - self.model.pair_bits - self.model.id_bits)), -1)
 
         self._search(unique, self.model.pair_bits, found)
-        return out[back]
+        return out[back], places[back]
+
+    def triple_counts(self, context, word):
+        """Counts of triples (place of the context, word id or -1)."""
+        import numpy as np
+
+        out = np.zeros(len(word), dtype=np.int64)
+        known = (context >= 0) & (word >= 0)
+        unique, back = np.unique(triple_keys(context[known], word[known], self.model.id_bits), return_inverse=True)
+        n = np.zeros(len(unique), dtype=np.int64)
+
+        def found(s, where, part):
+            table, counts = self.triples[s]
+            if len(table):
+                at = np.minimum(np.searchsorted(table, part), len(table) - 1)
+                n[where] = np.where(table[at] == part, counts[at], 0)
+
+        self._search(unique, self.model.pair_bits, found)
+        out[known] = n[back]
+        return out
+
+    def contexts(self, places):
+        """(total, left-over mass) of context pairs; 0 and 1 of those that no triple has."""
+        import numpy as np
+
+        unique, back = np.unique(places, return_inverse=True)
+        sums = np.zeros((len(unique), 4), dtype=np.int64)  # of counts, of counts 1, 2, 3 and more
+        first = np.searchsorted(unique, 0)
+        bits = np.uint64(self.model.id_bits)
+
+        def found(s, where, part):
+            table, counts = self.triples[s]
+            low, high = np.searchsorted(table, part), np.searchsorted(table, part + (np.uint64(1) << bits))
+            mine, size = np.zeros((len(part), 4), dtype=np.int64), high - low
+            for k in range(min(NARROW, int(size.max()))):
+                pick = (size > k) & (size <= NARROW)
+                n = counts[low[pick] + k].astype(np.int64)
+                mine[pick] += np.stack([n, n == 1, n == 2, n >= 3], axis=1)
+            many = np.flatnonzero(size > NARROW)
+            if len(many):
+                local = (part[many] >> bits) & np.uint64((1 << (64 - self.model.pair_bits - self.model.id_bits)) - 1)
+                mine[many] = self.wide[s][np.searchsorted(self.wide[s][:, 0], local.astype(np.int64)), 1:]
+            sums[first:][where] = mine
+
+        self._search(unique[first:].astype(np.uint64) << bits, self.model.pair_bits, found)
+        total = sums[:, 0]
+        mass = np.where(total > 0, sums[:, 1:] @ np.array(self.model.top) / np.maximum(1, total), 1.0)
+        return total[back], mass[back]
 
 
 DENSE = [("c", "<i8"), ("total", "<i8"), ("mass", "<f8"), ("p", "<f8")]
@@ -174,13 +272,19 @@ def pair_keys(context, word):
     return mix((context.astype(np.uint64) << np.uint64(32)) | word.astype(np.uint64))
 
 
+def triple_keys(place, word, id_bits: int):
+    import numpy as np
+
+    return (place.astype(np.uint64) << np.uint64(id_bits)) | word.astype(np.uint64)
+
+
 def _blocks(keys, counts, bits: int):
     """Rows (seg, keys, counts) of sorted unique keys, cut by their leading bits."""
     import numpy as np
 
     edges = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)) if bits else np.array([0, len(keys)])
     full = [s for s in range(1 << bits) if edges[s] < edges[s + 1]]
-    return full, [keys[edges[s] : edges[s + 1]].tobytes() for s in full], [counts[edges[s] : edges[s + 1]].astype("<i4").tobytes() for s in full]
+    return full, [_pack(keys[edges[s] : edges[s + 1]], True) for s in full], [_pack(counts[edges[s] : edges[s + 1]]) for s in full]
 
 
 def _counted(texts: DataFrame, bits: int, keys_of) -> DataFrame:
@@ -217,11 +321,10 @@ def _merged(blocks: DataFrame, folder: str, name: str, bits: int) -> dict[int, t
         import pyarrow as pa
 
         seg = table.column("seg")[0].as_py()
-        keys = np.concatenate([np.frombuffer(x.as_py(), "<u8") for x in table.column("keys")])
-        counts = np.concatenate([np.frombuffer(x.as_py(), "<i4") for x in table.column("counts")])
-        keys, counts = _sum_by(keys, counts.astype(np.int64))
+        keys = np.concatenate([_unpack(x.as_py(), True) for x in table.column("keys")])
+        keys, counts = _sum_by(keys, np.concatenate([_unpack(x.as_py()) for x in table.column("counts")]))
         _save(f"{folder}/{name}-{seg}.key", keys)
-        _save(f"{folder}/{name}-{seg}.n", counts.astype("<i4"))
+        _save(f"{folder}/{name}-{seg}.n", _narrow(counts))
         return pa.table({"seg": pa.array([seg], pa.int32()), "n": pa.array([len(keys)]), "c": pa.array([int(counts.sum())])})
 
     os.makedirs(folder, exist_ok=True)
@@ -243,8 +346,68 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.05), k - 0.05) for k, d in enumerate(raw, 1))
 
 
-def train(texts: DataFrame, chars: int) -> Model:
-    """The model of the column ``text`` (no nulls). ``chars``: about how many characters there are; it sets the number of segments."""
+def _triples(texts: DataFrame, model: Model) -> tuple[float, float, float]:
+    """Writes triples and wide, and puts into the counts of pairs how many different words come before each. Their discounts."""
+    spark, folder, bits, id_bits = texts.sparkSession, model.folder, model.pair_bits, model.id_bits
+    local_bits = 64 - bits - id_bits
+
+    def keys_of(batch: list[str]):
+        h, rows = token_rows(batch)
+        tables = model.open()
+        ids, _ = tables.ids(h)
+        _, places = tables.pair_counts(pair_keys(previous(ids, rows), ids))
+        return triple_keys(previous(places, rows, model.start_place), ids, id_bits)
+
+    _merged(_counted(texts, bits, keys_of), folder, "triples", bits)
+
+    def summed(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for s in batch.column(0).to_pylist():
+                key = np.array(_map(f"{folder}/triples-{s}.key", "<u8"))
+                n = np.array(_counts(f"{folder}/triples-{s}.n", len(key))).astype(np.int64)
+                pairs = _map(f"{folder}/pairs-{s}.key", "<u8")
+                place = ((key >> np.uint64(id_bits)) & np.uint64((1 << local_bits) - 1)).astype(np.int64)
+                kinds = np.stack([n, n == 1, n == 2, n >= 3, n == 3, n == 4], axis=1).astype(np.int64)
+                at, sums = _sum_by(place, kinds[:, :4])
+                many = sums[:, 1:].sum(1) > NARROW
+                _save(f"{folder}/wide-{s}", np.column_stack([at[many], sums[many]]).astype("<i8"))
+                middle = np.full(len(key), START, dtype=np.uint64)  # the one context that is no pair
+                real = place < len(pairs)
+                middle[real] = unmix(pairs[place[real]]) & np.uint64(0xFFFFFFFF)
+                suffix = np.unique(pair_keys(middle, key & np.uint64((1 << id_bits) - 1)), return_counts=True)
+                full, keys, counts = _blocks(*suffix, bits)
+                whole = [-1], [b""], [_pack(kinds.sum(0))]
+                yield pa.RecordBatch.from_arrays([pa.array(x + y, t) for x, y, t in zip(whole, (full, keys, counts), (pa.int32(), pa.binary(), pa.binary()))], names=["seg", "keys", "counts"])
+
+    def gathered(table):
+        import numpy as np
+        import pyarrow as pa
+
+        seg = table.column("seg")[0].as_py()
+        if seg < 0:
+            total = sum(_unpack(x.as_py()) for x in table.column("counts")).tolist()
+        else:
+            pairs, total = _map(f"{folder}/pairs-{seg}.key", "<u8"), []
+            before = np.zeros(len(pairs), dtype=np.int64)
+            for keys, counts in zip(table.column("keys"), table.column("counts")):
+                before[np.searchsorted(pairs, _unpack(keys.as_py(), True))] += _unpack(counts.as_py())
+            _save(f"{folder}/pairs-{seg}.n", _narrow(before))
+        return pa.table({"seg": pa.array([seg], pa.int32()), "total": pa.array([total], pa.list_(pa.int64()))})
+
+    segments = spark.range(0, 1 << bits, 1, min(1 << bits, 256)).select(F.col("id").cast("int").alias("s"))
+    blocks = segments.mapInArrow(summed, "seg int, keys binary, counts binary")
+    found = {r.seg: list(r.total) for r in blocks.groupBy("seg").applyInArrow(gathered, "seg int, total array<long>").collect()}
+    kinds = found[-1]
+    return discounts(kinds[1], kinds[2], kinds[4], kinds[5])
+
+
+def train(texts: DataFrame, chars: int, order: int = 2) -> Model:
+    """The model of the column ``text`` (no nulls). ``chars``: about how many characters there are; it sets the number of segments. ``order``: 2 or 3 words."""
+    if order not in (2, 3):
+        raise ValueError(f"the order must be 2 or 3, not {order}")
     spark = texts.sparkSession
     folder = local_path(shared_dir(spark, "kneser-ney"))
     word_bits = min(12, max(2, (chars // 150_000_000 + 1).bit_length()))
@@ -264,7 +427,14 @@ def train(texts: DataFrame, chars: int) -> Model:
         ids, _ = model.open().ids(h)
         return pair_keys(previous(ids, rows), ids)
 
-    _merged(_counted(texts, pair_bits, keys_of), folder, "pairs", pair_bits)
+    pairs = _merged(_counted(texts, pair_bits, keys_of), folder, "pairs", pair_bits)
+    longer: dict = {}
+    if order == 3:
+        id_bits = max(1, n_words.bit_length())
+        if max(n for n, _ in pairs.values()) + 1 >= 1 << max(0, 64 - pair_bits - id_bits):
+            raise ValueError("a segment of pairs is too large for 64-bit keys of triples")
+        longer = {"order": 3, "id_bits": id_bits, "start_place": pairs[0][0]}
+        longer["top"] = _triples(texts, Model(folder, word_bits, pair_bits, tuple(bases), n_tokens, n_words, (0.0, 0.0, 0.0), -1.0, (0.0, 1.0), **longer))
 
     # Counts of counts of pairs, and per segment of word ids: contexts' totals and numbers of continuations, words' numbers of contexts.
     def summed(batches):
@@ -273,19 +443,20 @@ def train(texts: DataFrame, chars: int) -> Model:
 
         for batch in batches:
             for (s,) in zip(batch.column(0).to_pylist()):
-                key, n = unmix(np.array(_map(f"{folder}/pairs-{s}.key", "<u8"))), np.array(_map(f"{folder}/pairs-{s}.n", "<i4")).astype(np.int64)
+                key = unmix(np.array(_map(f"{folder}/pairs-{s}.key", "<u8")))
+                n = np.array(_counts(f"{folder}/pairs-{s}.n", len(key))).astype(np.int64)
                 context, word = (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
                 kinds = np.stack([n, n == 1, n == 2, n >= 3, n == 3, n == 4], axis=1).astype(np.int64)
                 whole = kinds.sum(0)
                 v, stats = _sum_by(context, kinds[:, :4])
                 w, left = _sum_by(word, np.ones(len(word), np.int64))
-                out = {"seg": [-1], "ids": [b""], "stats": [whole.tobytes()], "what": [0]}
+                out = {"seg": [-1], "ids": [b""], "stats": [_pack(whole)], "what": [0]}
                 for what, ids, values in ((1, v, stats), (2, w, left)):
                     where = np.where(ids == START, -2, np.searchsorted(np.array(bases), ids, side="right") - 1)
                     # Segments without words share their base with the next; the search gives the last of them, which has the words.
                     for t in np.unique(where):
                         pick = where == t
-                        for name, x in (("seg", int(t)), ("ids", ids[pick].astype("<i8").tobytes()), ("stats", np.ascontiguousarray(values[pick]).tobytes()), ("what", what)):
+                        for name, x in (("seg", int(t)), ("ids", _pack(ids[pick], True)), ("stats", _pack(values[pick].reshape(-1))), ("what", what)):
                             out[name].append(x)
                 yield pa.RecordBatch.from_pydict({"seg": pa.array(out["seg"], pa.int32()), "ids": pa.array(out["ids"], pa.binary()), "stats": pa.array(out["stats"], pa.binary()), "what": pa.array(out["what"], pa.int32())})
 
@@ -300,16 +471,16 @@ def train(texts: DataFrame, chars: int) -> Model:
         seg = table.column("seg")[0].as_py()
         parts = list(zip(table.column("what").to_pylist(), table.column("ids"), table.column("stats")))
         if seg < 0:
-            total = sum(np.frombuffer(x.as_py(), "<i8") for _, _, x in parts)
+            total = sum(_unpack(x.as_py()) for _, _, x in parts)
         else:
             n = words[seg][0]
             sums = np.zeros((n, 5), dtype=np.int64)
             for what, ids, stats in parts:
-                at = np.frombuffer(ids.as_py(), "<i8") - bases[seg]
+                at = _unpack(ids.as_py(), True).astype(np.int64) - bases[seg]
                 if what == 1:
-                    sums[at, :4] += np.frombuffer(stats.as_py(), "<i8").reshape(-1, 4)
+                    sums[at, :4] += _unpack(stats.as_py()).reshape(-1, 4)
                 else:
-                    sums[at, 4] += np.frombuffer(stats.as_py(), "<i8")
+                    sums[at, 4] += _unpack(stats.as_py())
             _save(f"{folder}/sums-{seg}", sums)
             left = sums[:, 4]
             total = np.array([left.sum(), *((left == k).sum() for k in (1, 2)), (left >= 3).sum(), (left == 3).sum(), (left == 4).sum()])
@@ -332,7 +503,7 @@ def train(texts: DataFrame, chars: int) -> Model:
                 out = np.zeros(n, dtype=DENSE)
                 if n:
                     sums = np.array(_map(f"{folder}/sums-{s}", "<i8")).reshape(-1, 5)
-                    out["c"], out["total"] = _map(f"{folder}/words-{s}.n", "<i4"), sums[:, 0]
+                    out["c"], out["total"] = _counts(f"{folder}/words-{s}.n", n), sums[:, 0]
                     out["mass"] = np.where(sums[:, 0] > 0, sums[:, 1:4] @ np.array(d2) / np.maximum(1, sums[:, 0]), 1.0)
                     left = sums[:, 4]
                     out["p"] = (left - np.array([0.0, *d1])[np.minimum(left, 3)]) / seen + spread / (n_words + 1)
@@ -341,11 +512,11 @@ def train(texts: DataFrame, chars: int) -> Model:
 
     spark.range(0, 1 << word_bits).select(F.col("id").cast("int").alias("s")).mapInArrow(finish, "s int").count()
     mass = (start[1] * d2[0] + start[2] * d2[1] + start[3] * d2[2]) / start[0] if start[0] else 1.0
-    return Model(folder, word_bits, pair_bits, tuple(bases), n_tokens, n_words, d2, spread / (n_words + 1), (float(start[0]), mass))
+    return Model(folder, word_bits, pair_bits, tuple(bases), n_tokens, n_words, d2, spread / (n_words + 1), (float(start[0]), mass), **longer)
 
 
 def probabilities(model: Model, hashes, rows):
-    """(probability, training count) of every token, given the one before."""
+    """(probability, training count) of every token, given the one or two before."""
     import numpy as np
 
     tables = model.open()
@@ -353,13 +524,20 @@ def probabilities(model: Model, hashes, rows):
     context = previous(ids, rows)
     known = (ids >= 0) & (context >= 0)
     n = np.zeros(len(ids), dtype=np.int64)
-    n[known] = tables.pair_counts(pair_keys(context[known], ids[known]))
+    places = np.full(len(ids), -1, dtype=np.int64)
+    n[known], places[known] = tables.pair_counts(pair_keys(context[known], ids[known]))
     total, mass = np.zeros(len(ids)), np.ones(len(ids))
     total[1:], mass[1:] = dense["total"][:-1], np.where(ids[:-1] >= 0, dense["mass"][:-1], 1.0)
     first = context == START
     total[first], mass[first] = model.start
     higher = np.where(n > 0, (n - np.array([0.0, *model.discounts])[np.minimum(n, 3)]) / np.maximum(1.0, total), 0.0)
-    return higher + mass * dense["p"], dense["c"]
+    p = higher + mass * dense["p"]
+    if model.order == 3:
+        context = previous(places, rows, model.start_place)
+        n = tables.triple_counts(context, ids)
+        total, mass = tables.contexts(context)
+        p = np.where(n > 0, (n - np.array([0.0, *model.top])[np.minimum(n, 3)]) / np.maximum(1, total), 0.0) + mass * p
+    return p, dense["c"]
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -392,7 +570,7 @@ def held_out(doc_id: Column, fold: int = 2, folds: int = 7) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
-def score_documents(docs: DataFrame) -> DataFrame:
+def score_documents(docs: DataFrame, order: int = 2) -> DataFrame:
     """One row per document: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
     Null and empty texts are an end token alone. Repeated rows count and are scored each time. Other columns are not read. With no training
@@ -401,6 +579,6 @@ def score_documents(docs: DataFrame) -> DataFrame:
     own = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("held_out", held_out(F.col("doc_id")))
     training = own.filter(~F.col("held_out")).select("text")
     chars = training.agg(F.sum(F.length("text"))).first()[0] or 0
-    model = train(training, chars)
+    model = train(training, chars, order)
     scored = score(own, model).withColumn("train_tokens", F.lit(model.n_tokens).cast("long"))
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -26,7 +26,7 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kneser_ney.score_documents(read(spark, sf_dir, "documents"))
+    return kneser_ney.score_documents(read(spark, sf_dir, "documents"), order=3)
 
 
 def op6_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:

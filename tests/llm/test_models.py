@@ -107,3 +107,53 @@ def test_pipeline_stages(spark, docs):
     mixed = third.collect()
     assert Counter((r.doc_id, len(i)) for r, i in zip(mixed, encoded("byte_bpe_50k.json", mixed, 0)) if len(i) <= 2048) - Counter((r.doc_id, r.length) for r in last.filter("start = 0").collect()) == Counter()
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def plain_trigrams(texts):
+    triples, c = Counter(), Counter()
+    for t in texts:
+        k = tokens_of(t)
+        c.update(k)
+        triples.update(zip(["<s>", "<s>", *k], ["<s>", *k], k))
+    pairs = Counter((v, w) for _, v, w in triples)
+    levels = [(triples, lambda x: x[:2]), (pairs, lambda x: x[:1]), (Counter(w for _, w in pairs), None)]
+    d = [kneser_ney.discounts(*(sum(x == k for x in n.values()) for k in (1, 2, 3, 4))) for n, _ in levels]
+    cut = lambda n, ds: ds[min(n, 3) - 1] if n else 0.0
+    total, mass = [Counter(), Counter()], [Counter(), Counter()]
+    for i in (0, 1):
+        for x, n in levels[i][0].items():
+            total[i][levels[i][1](x)] += n
+            mass[i][levels[i][1](x)] += cut(n, d[i])
+    left = levels[2][0]
+    seen = sum(left.values())
+    spread = sum(cut(n, d[2]) for n in left.values()) / seen
+
+    def p(u, v, w):
+        out = (left[w] - cut(left[w], d[2])) / seen + spread / (len(c) + 1)
+        for i, x in ((1, (v, w)), (0, (u, v, w))):
+            k, n = levels[i][1](x), levels[i][0][x]
+            if total[i][k]:
+                out = (n - cut(n, d[i])) / total[i][k] + mass[i][k] / total[i][k] * out
+        return out
+
+    return c, p
+
+
+def test_trigram_scores(spark, docs):
+    rows = docs.collect()
+    out = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    c, p = plain_trigrams([r.text for r in rows if not out(r.doc_id)])
+    for u, v in (("<s>", "<s>"), ("<s>", "the"), ("of", "the"), ("never", "seen")):
+        assert abs(sum(p(u, v, w) for w in [*c, "\x00never"]) - 1) < 1e-9
+    want, got = defaultdict(list), defaultdict(list)
+    for r in rows:
+        k = tokens_of(r.text)
+        want[r.doc_id, len(k)].append(sum(math.log10(p(*x)) for x in zip(["<s>", "<s>", *k], ["<s>", *k], k)))
+    for r in kneser_ney.score_documents(docs, order=3).collect():
+        got[r.doc_id, r.n_tokens].append(r.score)
+    assert set(got) == set(want)
+    for k in want:
+        assert np.allclose(sorted(got[k]), sorted(want[k]), rtol=1e-9, atol=1e-9)
+    assert kneser_ney.score_documents(docs.filter("doc_id = 4"), order=3).count() == 2
+    with pytest.raises(ValueError):
+        kneser_ney.score_documents(docs, order=4)
