@@ -13,7 +13,7 @@ from ..operators import regime as R
 from .panel import EARNED, LABELS, MIN_TRAIN, SIGNALS, WEEK, WIN, r, register, rounded, week_earned, week_labels, week_returns
 
 #: Draws, least distance of a rotation from the real phase, bootstrap block.
-DRAWS, GUARD, BLOCK, LAGS = 20, 26, 13, 4
+DRAWS, GUARD, BLOCK, LAGS = 100, 26, 13, 4
 PHASED = f"""
 nl0 AS (SELECT symbol, bar_ts, state, row_number() OVER (PARTITION BY symbol ORDER BY bar_ts) - 1 AS k, count(*) OVER (PARTITION BY symbol) AS n FROM lab),
 dr AS (SELECT unnest(range(1, {DRAWS + 1})) AS draw),
