@@ -8,7 +8,8 @@ Texts that agree in a band share a bucket. Instead of all pairs of a bucket, its
 that most copies are linked through what they were copied from. Jaccard distance is a metric: two members whose distances from the pivot differ by more
 than the largest distance of a link cannot be linked. Pairs of one pivot that this leaves open, at least one of them not linked to the pivot, are first
 compared by sketch (four bits of each component): pairs whose estimated similarity lies more than four standard errors below the threshold go no further, which loses
-one in 30,000 of the links at the very threshold and fewer above it. The others are verified inside the join, whose rows are links alone. No bucket is capped.
+one in 30,000 of the links at the very threshold and fewer above it. The others are verified inside the join, whose rows are links alone. No bucket is capped. That is enough for the classes; how many links a text has is counted
+apart, over all pairs that share a bucket (``link_counts``).
 """
 
 from __future__ import annotations
@@ -186,7 +187,13 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def links(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``a, b, sim``: the pairs of different texts (``tkey, text`` of ``docs``; repeated keys are one text) with Jaccard similarity of ``threshold`` or more."""
+    """``a, b, sim``: pairs of different texts (``tkey, text`` of ``docs``; repeated keys are one text) with Jaccard similarity of ``threshold`` or more, enough of
+    them to connect the classes: two texts that are both linked to their pivot are not compared. ``link_counts`` counts all links."""
+    return _links(docs, threshold, bands, rows)[0]
+
+
+def _links(docs: DataFrame, threshold: float, bands: int, rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The links, the members of buckets (``key, tkey, pivot``), and the texts of these."""
     keyed = stage(banded(docs, bands, rows).dropDuplicates(["tkey"]), "bands")
     flat = keyed.select("tkey", F.explode("keys").alias("key"))
     shared = flat.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -221,7 +228,60 @@ def links(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, rows: int
     linked = both * (1 + threshold) >= threshold * sizes - 1e-9
     second = alone.join(other.hint("merge"), (F.col("p") == F.col("p2")) & (F.col("part") == F.col("part2")) & near & alike & linked).select("a", "b", (both / (sizes - both)).alias("sim"))
     found = first.filter(F.col("sim") >= threshold - 1e-12).unionByName(second)
-    return stage(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim").dropDuplicates(["a", "b"]), "links")
+    return stage(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim").dropDuplicates(["a", "b"]), "links"), members, texts
+
+
+def shared_counts(values, rows, n: int, chunk: int = 4096):
+    """(n, n) numbers of common values of ``n`` sets, given as (value, row) pairs without repeats: products of incidence matrices, some columns at a time."""
+    import numpy as np
+
+    out = np.zeros((n, n), dtype=np.float32)
+    _, column, count = np.unique(values, return_inverse=True, return_counts=True)
+    number = np.cumsum(count > 1) - 1  # a value of one row alone is shared by none
+    keep = count[column] > 1
+    column, rows = number[column[keep]], rows[keep]
+    order = np.argsort(column, kind="stable")
+    column, rows = column[order], rows[order]
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, chunk):
+        low, high = np.searchsorted(column, [at, at + chunk])
+        x = np.zeros((n, min(chunk, int(column[-1]) + 1 - at)), dtype=np.float32)
+        x[rows[low:high], column[low:high] - at] = 1
+        out += x @ x.T
+    return out
+
+
+def link_counts(members: DataFrame, texts: DataFrame, threshold: float, block: int = 512) -> DataFrame:
+    """``tkey, n_links``: with how many of the texts that share a bucket with it a text is linked. All pairs of a pivot's group are compared, in blocks that give one
+    row for each text; a pair that meets in several groups counts in that of the smallest pivot. The work grows with the square of a group, the rows do not."""
+    grouped = stage(members.select(F.xxhash64("pivot").alias("p"), "tkey").distinct(), "groups")
+    of_text = grouped.groupBy("tkey").agg(F.collect_list("p").alias("pivots"))
+    parts = grouped.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
+    placed = grouped.join(parts.hint("merge"), "p").join(of_text.hint("merge"), "tkey").join(stage(shingle_sets(texts), "all-sets").hint("merge"), "tkey")
+    placed = placed.withColumn("i", F.pmod(F.xxhash64("tkey"), F.col("parts")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    placed = placed.select("p", F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high"), "i", "tkey", "pivots", "set")
+
+    def count(table):
+        import numpy as np
+        import pyarrow as pa
+
+        n, p, i = len(table), table.column("p")[0].as_py(), table.column("i").to_numpy()
+
+        def flat(name):
+            lists = table.column(name).combine_chunks()
+            return lists.flatten().to_numpy(), np.repeat(np.arange(n), lists.value_lengths().to_numpy())
+
+        values, rows = flat("set")
+        size = np.bincount(rows, minlength=n)
+        both = shared_counts(values, rows, n).astype(np.float64)
+        linked = both * (1 + threshold) >= threshold * (size[:, None] + size[None, :]) - 1e-9
+        pivots, rows = flat("pivots")
+        linked &= shared_counts(pivots[pivots < p], rows[pivots < p], n) == 0
+        np.fill_diagonal(linked, False)
+        if table.column("low")[0] != table.column("high")[0]:
+            linked &= i[:, None] != i[None, :]
+        return pa.table({"tkey": table.column("tkey"), "n": pa.array(linked.sum(1).astype(np.int64))})
+
+    return placed.groupBy("p", "low", "high").applyInArrow(count, "tkey binary, n long").groupBy("tkey").agg(F.sum("n").alias("n_links"))
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
@@ -250,9 +310,9 @@ def classes(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, rows: i
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.select("doc_id", text_key(text).alias("tkey"), text.alias("text"))
-    found = links(keyed.select("tkey", "text"), threshold, bands, rows)
+    found, members, texts = _links(keyed.select("tkey", "text"), threshold, bands, rows)
     roots = components(found)
-    degree = found.select(F.explode(F.array("a", "b")).alias("tkey")).groupBy("tkey").agg(F.count(F.lit(1)).alias("n_links"))
+    degree = link_counts(members, texts, threshold)
     per_text = keyed.groupBy("tkey").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_copies"))
     per_text = per_text.join(roots.withColumnRenamed("node", "tkey").hint("merge"), "tkey", "left").join(degree.hint("merge"), "tkey", "left")
     per_text = stage(per_text.select("tkey", "least", "n_copies", F.coalesce("root", "tkey").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "texts")

@@ -251,3 +251,16 @@ def test_neighbours_with_more_axes(spark):
         assert sum(len(best[q] & found[q]) for q in best) >= 0.9 * 5 * len(best), options
     with pytest.raises(ValueError):
         neighbours.nearest(df, axes=3)
+
+
+def test_links_among_copies_of_one_text(spark):
+    rng = np.random.default_rng(6)
+    base = [f"v{i}" for i in rng.integers(0, 5000, 300)]
+    rows = []
+    for i in range(600):  # more than one block, all linked to one another
+        w = list(base)
+        w[int(rng.integers(0, 300))] = f"y{i}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = neardup.near_duplicates(df).collect()
+    assert Counter((r.doc_id, r.class_id, r.n_links) for r in got) == Counter((i, 0, 599) for i in range(600))
