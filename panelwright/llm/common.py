@@ -24,9 +24,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share. Only where that is unset (local runs) a temporary one is made."""
+    """A new folder below spark.checkpoint.dir, which driver and executors share. Only a local master may leave that unset; a temporary one is made then."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = getattr(spark, "_llm_shared_dir", None)
         if base is None:
             base = spark._llm_shared_dir = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"

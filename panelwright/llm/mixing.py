@@ -66,27 +66,31 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3
     goal = goal.withColumn("__rest", F.col("__budget") - F.col("__epochs") * F.col("source_size"))
     placed = running_before(sized, "__src", "__key", [F.col("doc_id"), F.col("size")], F.col("size"), "__before")
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("__rest") - F.col("__before")))
-    return placed.join(goal.hint("merge"), "__src").select("doc_id", "size", "source_size", "target", (F.col("__epochs") * F.col("size") + part).cast("long").alias("taken"), F.col("__key").alias("mix_key"))
+    return placed.join(goal.hint("merge"), "__src").select("doc_id", "size", "source_size", "target", (F.col("__epochs") * F.col("size") + part).cast("long").alias("taken"), F.col("__key").alias("mix_key"), F.col("__src").alias("mix_source"))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3, seed: int = 7) -> DataFrame:
     """The mix itself, with the columns of ``docs``: each document once per epoch that takes it whole; where the budget ends inside one, it comes
-    cut after the words taken (``n_chars``, where there is such a column, follows the text). Documents that the mix does not take go.
+    cut after the words taken, its line breaks kept (``n_chars``, where there is such a column, follows the text). Documents that the mix does not take go.
+
+    Null and empty texts have no words and are never taken. Null sources are one source; null or repeated doc_ids are fine, and of rows equal in doc_id, text and
+    source as many come back as the mix takes of them together. Very long texts are cut by an array of their words. An empty table gives an empty one.
     """
-    taken = mix(docs, weights, max_epochs, seed).select(F.col("mix_key").alias("__key"), F.col("doc_id").alias("__id"), "size", "taken")
-    # Rows of one key are copies of one document; the n-th of them meets the n-th result.
-    nth = Window.partitionBy("__key", "__id")
+    taken = mix(docs, weights, max_epochs, seed).select(F.col("mix_key").alias("__key"), F.col("mix_source").alias("__src"), F.col("doc_id").alias("__id"), "size", "taken")
+    # Rows of one key are copies of one document in one source; the n-th of them meets the n-th result.
+    nth = Window.partitionBy("__key", "__src", "__id")
     taken = taken.withColumn("__n", F.row_number().over(nth.orderBy(F.desc("taken"))))
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    own = own.withColumn("__key", F.xxhash64(F.lit(seed), F.col("row.doc_id"), F.col("row.text").cast("string"))).withColumn("__id", F.col("row.doc_id"))
-    own = own.withColumn("__n", F.row_number().over(nth.orderBy(F.col("row.source").asc_nulls_last())))
-    joined = own.join(taken.filter("taken > 0").hint("merge"), (own["__key"] == taken["__key"]) & own["__id"].eqNullSafe(taken["__id"]) & (own["__n"] == taken["__n"]))
+    own = own.withColumn("__key", F.xxhash64(F.lit(seed), F.col("row.doc_id"), F.col("row.text").cast("string"))).withColumn("__id", F.col("row.doc_id")).withColumn("__src", source_key(F.col("row.source")))
+    own = own.withColumn("__n", F.row_number().over(nth.orderBy(F.xxhash64("row"))))
+    same = (own["__key"] == taken["__key"]) & (own["__src"] == taken["__src"]) & own["__id"].eqNullSafe(taken["__id"]) & (own["__n"] == taken["__n"])
+    joined = own.join(taken.filter("taken > 0").hint("merge"), same)
     whole, rest = F.floor(F.col("taken") / F.col("size")).cast("int"), (F.col("taken") % F.col("size")).cast("int")
     copies = F.concat(F.array_repeat(F.lit(0), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
     out = joined.select("row", F.explode(copies).alias("__cut"))
-    # Regular expressions count to 1000 only; the text is cut by its array of words instead.
-    words = F.array_remove(F.split(F.col("row.text"), r"[\x20\x09-\x0D]+"), "")
-    text = F.when(F.col("__cut") > 0, F.array_join(F.slice(words, 1, F.col("__cut")), " ")).otherwise(F.col("row.text"))
+    # Each word with the white space before it: the first of them are the text's own beginning.
+    words = F.regexp_extract_all(F.col("row.text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    text = F.when(F.col("__cut") > 0, F.array_join(F.slice(words, 1, F.col("__cut")), "")).otherwise(F.col("row.text"))
     fields = []
     for c in docs.columns:
         value = F.col("row").getField(c)

@@ -5,11 +5,11 @@ signature's components, which keeps the earliest. Two signatures agree in a comp
 of the weighted sets, which for equal weights is the Jaccard similarity. A text stops drawing once no arrival to come can be the earliest anywhere.
 
 Texts that agree in a band share a bucket. Instead of all pairs of a bucket, its members are compared with one pivot, the member that shares most buckets, so
-that most copies are linked through what they were copied from. Jaccard distance is a metric: two members whose distances from the pivot differ by more
-than the largest distance of a link cannot be linked. Pairs of one pivot that this leaves open, at least one of them not linked to the pivot, are first
-compared by sketch (four bits of each component): pairs whose estimated similarity lies more than four standard errors below the threshold go no further, which loses
-one in 30,000 of the links at the very threshold and fewer above it. The others are verified inside the join, whose rows are links alone. No bucket is capped. That is enough for the classes; how many links a text has is counted
-apart, over all pairs that share a bucket (``link_counts``).
+that most copies are linked through what they were copied from. The similarity that links is the one that the signatures estimate, the probability Jaccard similarity of the same weights; as
+the collision rate of a hash its distance is a metric: two members whose distances from the pivot differ by more than the largest distance of a link cannot be
+linked. Pairs of one pivot that this leaves open, at least one of them not linked to the pivot, are first compared by sketch (four bits of each component): pairs whose
+estimated similarity lies more than four standard errors below the threshold go no further, which loses one in 30,000 of the links at the very threshold and
+fewer above it. The others are verified inside the join where no shingle of either text repeats, and after it where one does. No bucket is capped.
 """
 
 from __future__ import annotations
@@ -24,6 +24,11 @@ from .words import mix, slices, word_hashes
 
 BANDS, ROWS = 24, 5
 SHINGLE = 5
+#: Members of a pivot, or rows of a text or class, that one task takes at a time: larger groups are split.
+PART = 1000
+SALTS = 64
+#: Shingles whose arrivals are drawn at a time.
+DRAWN = 100_000
 
 
 def shingle_hashes(texts: list[str], size: int = SHINGLE):
@@ -63,23 +68,25 @@ def weighted_sets(hashes, rows):
 
 
 def prob_minhash(hashes, rows, weights, n_rows: int, size: int):
-    """(n_rows, size) signatures of the weighted sets; 0 throughout for an empty set."""
+    """(n_rows, size) signatures of the weighted sets; 0 throughout for an empty set. Elements are drawn some at a time, so a long text's later ones mostly end with their first arrival."""
     import numpy as np
 
     earliest = np.full((n_rows, size), np.inf)
     winner = np.zeros((n_rows, size), dtype=np.uint64)
     flat_t, flat_w = earliest.reshape(-1), winner.reshape(-1)
-    h, r, w, t, k = hashes, rows, weights, np.zeros(len(hashes)), 0
-    while len(h):
-        k += 1
-        draw = mix(h + np.uint64((k * 0x632BE59BD9B4E019) % (1 << 64)))
-        t = t - np.log(((draw >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / w
-        cell = r * size + (mix(draw ^ np.uint64(0xD6E8FEB86659FD93)) % np.uint64(size)).astype(np.int64)
-        np.minimum.at(flat_t, cell, t)
-        won = flat_t[cell] == t
-        flat_w[cell[won]] = h[won]
-        alive = t < earliest.max(axis=1)[r]  # else every later arrival is too late for any component
-        h, r, w, t = h[alive], r[alive], w[alive], t[alive]
+    for at in range(0, len(hashes), DRAWN):
+        h, r, w = hashes[at : at + DRAWN], rows[at : at + DRAWN], weights[at : at + DRAWN]
+        t, k = np.zeros(len(h)), 0
+        while len(h):
+            k += 1
+            draw = mix(h + np.uint64((k * 0x632BE59BD9B4E019) % (1 << 64)))
+            t = t - np.log(((draw >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / w
+            cell = r * size + (mix(draw ^ np.uint64(0xD6E8FEB86659FD93)) % np.uint64(size)).astype(np.int64)
+            np.minimum.at(flat_t, cell, t)
+            won = flat_t[cell] == t
+            flat_w[cell[won]] = h[won]
+            alive = t < earliest.max(axis=1)[r]  # else every later arrival is too late for any component
+            h, r, w, t = h[alive], r[alive], w[alive], t[alive]
     return winner
 
 
@@ -100,13 +107,34 @@ def band_keys(signature, bands: int = BANDS):
     return mix(key).view(np.int64)
 
 
-def jaccard(a: str, b: str) -> float:
-    """Of the sets of five-word shingles."""
+def weighted_set(text: str):
+    h, _, w = weighted_sets(*shingle_hashes([text]))
+    return h, w
+
+
+def similarity(a, b) -> float:
+    """Probability Jaccard of two weighted sets (sorted hashes, weights): over the common elements i, the sum of 1 / sum over all j of max(x_j / x_i, y_j / y_i).
+
+    Sorted by x / y, each inner sum is a tail of x and a head of y. Where all weights are equal it is the Jaccard similarity.
+    """
     import numpy as np
 
-    x, y = (np.unique(shingle_hashes([t])[0]) for t in (a, b))
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / max(1, len(x) + len(y) - both)
+    (x, wx), (y, wy) = a, b
+    both, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    if not len(both):
+        return 0.0
+    if wx.max() == wx.min() and wy.max() == wy.min():
+        return len(both) / (len(x) + len(y) - len(both))
+    order = np.argsort(wx[i] / wy[j], kind="stable")
+    p, q = wx[i][order], wy[j][order]
+    tail = np.cumsum(p[::-1])[::-1] + (wx.sum() - p.sum())
+    head = np.cumsum(q) - q + (wy.sum() - q.sum())
+    return float((1.0 / (tail / p + head / q)).sum())
+
+
+def jaccard(a: str, b: str) -> float:
+    """Probability Jaccard similarity of two texts' weighted five-word shingles."""
+    return similarity(weighted_set(a), weighted_set(b))
 
 
 def sketches(signature):
@@ -155,17 +183,26 @@ def banded(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``a, b, sim`` of the distinct pairs ``a, b`` of text keys, from whole texts (``tkey, text``, one row per key)."""
+    """``a, b, sim`` of the distinct pairs ``a, b`` of text keys, from whole texts (``tkey, text``, one row per key). An ``a`` with many partners is split; its text is repeated for each part."""
 
     def run(batches):
         import pyarrow as pa
 
+        last, seen = None, None
         for batch in batches:
-            sims = [jaccard(x.as_py(), y.as_py()) for x, y in zip(batch.column(2), batch.column(3))]
+            sims = []
+            for a, x, y in zip(batch.column(0), batch.column(2), batch.column(3)):
+                if a != last:  # sorted by a: a pivot's partners follow each other
+                    last, seen = a, weighted_set(x.as_py())
+                sims.append(similarity(seen, weighted_set(y.as_py())))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims, pa.float64())], names=["a", "b", "sim"])
 
-    left, right = texts.select(F.col("tkey").alias("a"), F.col("text").alias("ta")), texts.select(F.col("tkey").alias("b"), F.col("text").alias("tb"))
-    joined = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "ta", "tb")
+    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
+    left = texts.select(F.col("tkey").alias("a"), F.col("text").alias("ta")).join(parts.hint("merge"), "a").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    split = pairs.join(parts.hint("merge"), "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
+    right = texts.select(F.col("tkey").alias("b"), F.col("text").alias("tb"))
+    with_b = split.select("a", "b", "part").join(right.hint("merge"), "b")
+    joined = with_b.join(left.select("a", "part", "ta").hint("merge"), ["a", "part"]).select("a", "b", "ta", "tb")
     return joined.mapInArrow(run, "a binary, b binary, sim double")
 
 
@@ -178,7 +215,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         seen = edges.join(labels.select(F.col("node").alias("y"), "root").hint("merge"), "y").select(F.col("x").alias("node"), "root")
         best = labels.unionByName(seen).groupBy("node").agg(F.min("root").alias("root"))
-        jump = labels.select(F.col("node").alias("root"), F.col("root").alias("further"))
+        jump = labels.filter("node != root").select(F.col("node").alias("root"), F.col("root").alias("further"))
         after = best.join(jump.hint("merge"), "root", "left").select("node", F.least("root", F.coalesce("further", "root")).alias("root"))
         new = stage(after.join(labels.withColumnRenamed("root", "was").hint("merge"), "node").select("node", "root", (F.col("root") != F.col("was")).alias("moved")), "labels")
         labels = new.select("node", "root")
@@ -187,13 +224,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def links(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``a, b, sim``: pairs of different texts (``tkey, text`` of ``docs``; repeated keys are one text) with Jaccard similarity of ``threshold`` or more, enough of
-    them to connect the classes: two texts that are both linked to their pivot are not compared. ``link_counts`` counts all links."""
-    return _links(docs, threshold, bands, rows)[0]
-
-
-def _links(docs: DataFrame, threshold: float, bands: int, rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The links, the members of buckets (``key, tkey, pivot``), and the texts of these."""
+    """``a, b, sim``: pairs of different texts (``tkey, text`` of ``docs``; repeated keys are one text) with a similarity of ``threshold`` or more, enough of
+    them to connect the classes: two texts that are both linked to their pivot are not compared."""
     keyed = stage(banded(docs, bands, rows).dropDuplicates(["tkey"]), "bands")
     flat = keyed.select("tkey", F.explode("keys").alias("key"))
     shared = flat.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -215,8 +247,9 @@ def _links(docs: DataFrame, threshold: float, bands: int, rows: int) -> tuple[Da
     asked = placed.select(F.col("tkey").alias("k")).distinct()
     sets = stage(shingle_sets(texts.join(asked.hint("merge"), texts["tkey"] == asked["k"], "left_semi")), "sets")
     placed = placed.join(keyed.select("tkey", "sketch").hint("merge"), "tkey").join(sets.hint("merge"), "tkey")
-    alone = placed.filter(F.col("d") > most).select("p", F.col("tkey").alias("a"), F.col("d").alias("da"), F.col("sketch").alias("sa"), F.col("set").alias("xa"))
-    other = placed.select(F.col("p").alias("p2"), F.col("tkey").alias("b"), F.col("d").alias("db"), F.col("sketch").alias("sb"), F.col("set").alias("xb"))
+    side = lambda x: [F.col("tkey").alias(x), F.col("d").alias(f"d{x}"), F.col("sketch").alias(f"s{x}"), F.col("set").alias(f"x{x}"), F.col("plain").alias(f"p{x}")]
+    alone = placed.filter(F.col("d") > most).select("p", *side("a"))
+    other = placed.select(F.col("p").alias("p2"), *side("b"))
     # A pivot with many open members is split; its members are repeated for each part.
     parts = alone.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / 128).cast("int").alias("parts"))
     alone = alone.join(parts.hint("merge"), "p").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")).drop("parts")
@@ -225,122 +258,82 @@ def _links(docs: DataFrame, threshold: float, bands: int, rows: int) -> tuple[Da
     alike = mismatches(F.col("sa"), F.col("sb"), -(-bands * rows // 16)) <= most_mismatches(threshold, bands * rows)
     both = F.size(F.array_intersect("xa", "xb"))
     sizes = F.size("xa") + F.size("xb")
-    linked = both * (1 + threshold) >= threshold * sizes - 1e-9
-    second = alone.join(other.hint("merge"), (F.col("p") == F.col("p2")) & (F.col("part") == F.col("part2")) & near & alike & linked).select("a", "b", (both / (sizes - both)).alias("sim"))
-    found = first.filter(F.col("sim") >= threshold - 1e-12).unionByName(second)
-    return stage(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim").dropDuplicates(["a", "b"]), "links"), members, texts
-
-
-def shared_counts(values, rows, n: int, chunk: int = 4096):
-    """(n, n) numbers of common values of ``n`` sets, given as (value, row) pairs without repeats: products of incidence matrices, some columns at a time."""
-    import numpy as np
-
-    out = np.zeros((n, n), dtype=np.float32)
-    _, column, count = np.unique(values, return_inverse=True, return_counts=True)
-    number = np.cumsum(count > 1) - 1  # a value of one row alone is shared by none
-    keep = count[column] > 1
-    column, rows = number[column[keep]], rows[keep]
-    order = np.argsort(column, kind="stable")
-    column, rows = column[order], rows[order]
-    for at in range(0, int(column[-1]) + 1 if len(column) else 0, chunk):
-        low, high = np.searchsorted(column, [at, at + chunk])
-        x = np.zeros((n, min(chunk, int(column[-1]) + 1 - at)), dtype=np.float32)
-        x[rows[low:high], column[low:high] - at] = 1
-        out += x @ x.T
-    return out
-
-
-def link_counts(members: DataFrame, texts: DataFrame, threshold: float, block: int = 512) -> DataFrame:
-    """``tkey, n_links``: with how many of the texts that share a bucket with it a text is linked. All pairs of a pivot's group are compared, in blocks that give one
-    row for each text; a pair that meets in several groups counts in that of the smallest pivot. The work grows with the square of a group, the rows do not."""
-    grouped = stage(members.select(F.xxhash64("pivot").alias("p"), "tkey").distinct(), "groups")
-    of_text = grouped.groupBy("tkey").agg(F.collect_list("p").alias("pivots"))
-    parts = grouped.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
-    placed = grouped.join(parts.hint("merge"), "p").join(of_text.hint("merge"), "tkey").join(stage(shingle_sets(texts), "all-sets").hint("merge"), "tkey")
-    placed = placed.withColumn("i", F.pmod(F.xxhash64("tkey"), F.col("parts")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    placed = placed.select("p", F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high"), "i", "tkey", "pivots", "set")
-
-    def count(table):
-        import numpy as np
-        import pyarrow as pa
-
-        n, p, i = len(table), table.column("p")[0].as_py(), table.column("i").to_numpy()
-
-        def flat(name):
-            lists = table.column(name).combine_chunks()
-            return lists.flatten().to_numpy(), np.repeat(np.arange(n), lists.value_lengths().to_numpy())
-
-        values, rows = flat("set")
-        size = np.bincount(rows, minlength=n)
-        both = shared_counts(values, rows, n).astype(np.float64)
-        linked = both * (1 + threshold) >= threshold * (size[:, None] + size[None, :]) - 1e-9
-        pivots, rows = flat("pivots")
-        linked &= shared_counts(pivots[pivots < p], rows[pivots < p], n) == 0
-        np.fill_diagonal(linked, False)
-        if table.column("low")[0] != table.column("high")[0]:
-            linked &= i[:, None] != i[None, :]
-        return pa.table({"tkey": table.column("tkey"), "n": pa.array(linked.sum(1).astype(np.int64))})
-
-    return placed.groupBy("p", "low", "high").applyInArrow(count, "tkey binary, n long").groupBy("tkey").agg(F.sum("n").alias("n_links"))
+    plain = F.col("pa") & F.col("pb")  # no weights but 1: the similarity is that of the sets
+    linked = ~plain | (both * (1 + threshold) >= threshold * sizes - 1e-9)
+    second = alone.join(other.hint("merge"), (F.col("p") == F.col("p2")) & (F.col("part") == F.col("part2")) & near & alike & linked)
+    second = stage(second.select("a", "b", plain.alias("plain"), F.when(plain, both / (sizes - both)).alias("sim")), "open-pairs")
+    weighed = verify(second.filter("not plain").select("a", "b").distinct(), texts)
+    found = first.unionByName(second.filter("plain").select("a", "b", "sim")).unionByName(weighed).filter(F.col("sim") >= threshold - 1e-12)
+    return stage(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim").dropDuplicates(["a", "b"]), "links")
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
-    """``tkey, set``: the distinct shingles' hashes of each text."""
+    """``tkey, set, plain``: the distinct shingles' hashes of each text, and whether none of them repeats."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            sets = [np.unique(shingle_hashes([t.as_py()])[0]).view(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["tkey", "set"])
+            sets, plain = [], []
+            for t in batch.column(1):
+                h = shingle_hashes([t.as_py()])[0]
+                sets.append(np.unique(h).view(np.int64))
+                plain.append(len(sets[-1]) == len(h))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64())), pa.array(plain, pa.bool_())], names=["tkey", "set", "plain"])
 
-    return texts.select("tkey", "text").mapInArrow(run, "tkey binary, set array<long>")
+    return texts.select("tkey", "text").mapInArrow(run, "tkey binary, set array<long>, plain boolean")
 
 
 def text_key(text) -> F.Column:
-    return F.unhex(F.md5(text))
+    """Texts of one SHA-256 are one text."""
+    return F.unhex(F.sha2(text, 256))
+
+
+def looked_up(rows: DataFrame, key: str, table: DataFrame) -> DataFrame:
+    """``rows`` (with a column ``salt``) joined with the one row of ``table`` for their ``key``, however many share it: the table's rows
+    first go to the distinct (key, salt), then to the rows."""
+    spread = rows.select(key, "salt").distinct().join(table.hint("merge"), key)
+    return rows.join(spread.hint("merge"), [key, "salt"])
 
 
 def classes(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, class_id`` (the smallest doc_id of the class), ``n_links`` (different texts that this one is linked to), ``n_copies`` (rows with this very text), ``row_no``.
+    """One row per row of ``docs``: ``doc_id, class_id`` (the smallest doc_id of the class), ``n_copies`` (rows with this very text), ``tkey``, ``root``.
 
     Equal texts share a class, also empty or null ones (null counts as empty); texts without words are linked to no other text. Null doc_ids are
-    classed by their texts; a class of null doc_ids alone has a null class_id. ``row_no`` numbers a class's rows from 1 in the order of doc_id (nulls last). Other columns are not read. An empty table gives an empty one.
+    classed by their texts; a class of null doc_ids alone has a null class_id. Repeated rows come back each. A very long text takes memory of about 30 bytes a word
+    (its distinct shingles) in one task. Other columns are not read. An empty table gives an empty one.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.select("doc_id", text_key(text).alias("tkey"), text.alias("text"))
-    found, members, texts = _links(keyed.select("tkey", "text"), threshold, bands, rows)
-    roots = components(found)
-    degree = link_counts(members, texts, threshold)
-    per_text = keyed.groupBy("tkey").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_copies"))
-    per_text = per_text.join(roots.withColumnRenamed("node", "tkey").hint("merge"), "tkey", "left").join(degree.hint("merge"), "tkey", "left")
-    per_text = stage(per_text.select("tkey", "least", "n_copies", F.coalesce("root", "tkey").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "texts")
-    per_class = per_text.groupBy("root").agg(F.min("least").alias("class_id"))
-    per_text = per_text.join(per_class.hint("merge"), "root")
-    return keyed.select("doc_id", "tkey").join(per_text.hint("merge"), "tkey").select("doc_id", "class_id", "n_links", "n_copies", "tkey", "root")
+    roots = components(links(keyed.select("tkey", "text"), threshold, bands, rows))
+    narrow = stage(keyed.select("doc_id", "tkey", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("salt")), "keys")
+    per_text = narrow.groupBy("tkey").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_copies"))
+    per_text = per_text.join(roots.withColumnRenamed("node", "tkey").hint("merge"), "tkey", "left").withColumn("root", F.coalesce("root", "tkey"))
+    per_text = stage(per_text.withColumn("salt", F.pmod(F.xxhash64("tkey"), F.lit(SALTS)).cast("int")), "texts")
+    per_text = looked_up(per_text, "root", per_text.groupBy("root").agg(F.min("least").alias("class_id"))).drop("salt", "least")
+    return looked_up(narrow, "tkey", per_text).select("doc_id", "class_id", "n_copies", "tkey", "root")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    return classes(docs, threshold).select("doc_id", "class_id", "n_links", "n_copies")
+    return classes(docs, threshold).select("doc_id", "class_id", "n_copies")
 
 
 def deduplicate(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """One document of each class stays, that with the smallest doc_id (of rows that agree in it, the first by text and row), with its own columns."""
+    """One document of each class stays, that with the smallest doc_id (nulls last; of rows that agree in it, the first by hash), with its own columns, whatever their names.
+
+    Null and empty texts are one text; texts without words are linked to no other. Rows equal in every column are one document. Very long texts are read whole. An empty table gives an empty one.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.select("doc_id", text_key(text).alias("tkey"), text.alias("text"))
-    found = links(keyed.select("tkey", "text"), threshold)
-    roots = components(found).withColumnRenamed("node", "__t")
-    columns = docs.columns
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col("doc_id").alias("__id"), text_key(text).alias("__t"))
+    roots = components(links(docs.select(text_key(text).alias("tkey"), text.alias("text")), threshold)).withColumnRenamed("node", "__t")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("__id"), text_key(text).alias("__t"))
     # First one row per text (combined before the shuffle), then one text per class, on narrow rows.
-    order = F.struct(F.col("__id").isNull().alias("n"), F.col("__id").alias("i"), F.xxhash64("row").alias("h"))
+    order = F.struct(F.col("__id").isNull().alias("n"), F.coalesce(F.col("__id"), F.lit(0).cast(docs.schema["doc_id"].dataType)).alias("i"), F.xxhash64("row").alias("h"))
     narrow = stage(rows.groupBy("__t").agg(F.min(order).alias("o")), "text-firsts")
     rooted = narrow.join(roots.hint("merge"), "__t", "left").withColumn("root", F.coalesce("root", "__t"))
     kept = rooted.groupBy("root").agg(F.min(F.struct("o", "__t")).alias("k")).select(F.col("k.__t").alias("__t"), F.col("k.o").alias("o"))
-    joined = rows.withColumn("__o", order).join(kept.hint("merge"), "__t").filter(F.col("__o") == F.col("o"))
-    # Rows equal in everything are one document.
-    return joined.dropDuplicates(["__t"]).select("row.*")
+    # Joined by text and row, so copies of one text lie apart.
+    return rows.withColumn("o", order).join(kept.hint("merge"), ["__t", "o"]).dropDuplicates(["__t"]).select("row.*")
 
 
 def estimate(a, b) -> float:

@@ -22,7 +22,7 @@ def op3_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read(spark, sf_dir, "documents")).drop("mix_key")
+    return mixing.mix(read(spark, sf_dir, "documents")).drop("mix_key", "mix_source")
 
 
 def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Exact token ids by the tokenizers library, fast enough for whole corpora.
 
-A text is cut only where the tokenizer itself always cuts (see the two splitters), and the ids of each piece are kept in a bounded table per
-worker, so a frequent piece is encoded once. Pieces of plain Latin letters go straight to the vocabulary model; all else through the full encoder.
+A text is cut only where the tokenizer itself always cuts (its special tokens' strings, then the two splitters), and the ids of each piece are kept in tables of
+bounded size per worker, so a frequent piece is encoded once. Pieces of plain Latin letters go straight to the vocabulary model; all else through the full encoder.
 """
 
 from __future__ import annotations
@@ -12,8 +12,8 @@ from collections.abc import Callable, Iterator
 
 #: Letters for which normalisation is the identity, lower-casing is one to one, and every pattern of both tokenizers sees one run of letters.
 LETTERS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|#*$%&<>]*)")
-#: Pieces kept per worker: about 200 bytes each.
-CACHE_PIECES = 500_000
+#: Bytes that a table of pieces may hold, by estimate; a full one starts again.
+TABLE_BYTES = 20_000_000
 #: Each of these makes a text irregular: white space other than single spaces and single newlines between words.
 _ODD_SPACE = ("  ", " \n", "\n ", "\n\n", *map(chr, (9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?= \S)")
@@ -37,27 +37,31 @@ class Pieces(dict):
 
     def __init__(self, encode: Callable[[str], bytes]):
         super().__init__()
-        self.encode = encode
+        self.encode, self.held = encode, 0
 
     def __missing__(self, piece):
         out = self.encode(piece)
-        if len(self) < CACHE_PIECES:  # what is frequent comes early
-            self[piece] = out
+        self.held += 200 + len(piece) + len(out)
+        if self.held > TABLE_BYTES:
+            self.clear()
+            self.held = 200 + len(piece) + len(out)
+        self[piece] = out
         return out
 
 
 class Encoder:
-    """``encode(text)``: the ids of ``tokenizer.encode(text, add_special_tokens=False)`` as bytes of 32-bit integers."""
+    """``encode(text)``: the ids of ``tokenizer.encode(text, add_special_tokens=False)`` as bytes of 32-bit integers. The string of a special token gives that token, as in the library."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.lower = self.tokenizer.normalizer is not None
         alphabet = _byte_letters()
         self.letters = {c: "".join(alphabet[b] for b in chr(c).encode()) for c in [*range(0x80), *range(0xC0, 0x100)]}
+        self.special = {t.content: array("I", [i]).tobytes() for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.cut = re.compile("(" + "|".join(re.escape(x) for x in self.special) + ")") if self.special else None
         self.runs = Pieces(self._run)
         self.words = Pieces(self._word)  # of the lower-casing kind: bytes between white space
         self.first, self.after, self.any = Pieces(lambda p: self._piece(p, "")), Pieces(lambda p: self._piece(p, " ")), Pieces(self._full)
@@ -74,12 +78,18 @@ class Encoder:
         if not m:
             return self._full(space + piece)
         word = m[1].lower() if self.lower else m[1]
-        return self.runs[(space + word).translate(self.letters)] + (self.runs[m[2]] if m[2] else b"")
+        own = self._run((space + word).translate(self.letters))  # the caller's table keeps it
+        return own + self.runs[m[2]] if m[2] else own
 
     def _word(self, word: bytes) -> bytes:
         return self._piece(word.decode(), "")
 
     def encode(self, text: str) -> bytes:
+        if self.cut is None or not any(x in text for x in self.special):
+            return self._plain(text)
+        return b"".join(self.special.get(part) or self._plain(part) for part in self.cut.split(text))
+
+    def _plain(self, text: str) -> bytes:
         if self.lower:
             # White space is dropped and no pattern looks past it, so ASCII white space always separates.
             return b"".join(map(self.words.__getitem__, text.encode("utf-8", "replace").split()))
@@ -102,13 +112,14 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """One per worker process and vocabulary."""
+    """One per worker process, of the vocabulary last asked for."""
     if path not in _ENCODERS:
+        _ENCODERS.clear()
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
 
 
-def encoded(batches, path: str, end_id: int, text: str = "text", limit: int = 8_000_000) -> Iterator:
+def encoded(batches, path: str, end_id: int, text: str = "text", limit: int = 2_000_000) -> Iterator:
     """Of each Arrow batch with the column ``text``, slices of at most about ``limit`` characters, each with the ids of its texts (bytes, end id last)."""
     enc, end = encoder(path), array("I", [end_id]).tobytes()
     for batch in batches:

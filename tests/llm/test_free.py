@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import zlib
 from collections import Counter, defaultdict
 
@@ -22,7 +23,6 @@ def encoded(name, rows, end):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.vocabulary(name))
-    t.encode_special_tokens = True
     return [[*e.ids, end] for e in t.encode_batch([r.text or "" for r in rows], add_special_tokens=False)]
 
 
@@ -35,9 +35,11 @@ def test_encoder_is_the_tokenizer(name):
     import random
 
     rng, alphabet = random.Random(5), "ab Z'é\n\t.,!|<>12  ß́İ's\x85　漢"
-    texts = ["", " ", "\n", "a  b", "a \n b", "we'll 's", "<|endoftext|>x<|startoftext|>", "İSTANBUL straße ª"] + ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
-    e = tokens.Encoder(tokens.vocabulary(name))
-    for t, want in zip(texts, e.tokenizer.encode_batch(texts, add_special_tokens=False)):
+    texts = ["", " ", "\n", "a  b", "a \n b", "we'll 's", "<|endoftext|>x<|startoftext|>", "a <|endoftext|> b<|endoftext|><|endoftext|>", "İSTANBUL straße ª"] + ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    from tokenizers import Tokenizer
+
+    e, plain = tokens.Encoder(tokens.vocabulary(name)), Tokenizer.from_file(tokens.vocabulary(name))
+    for t, want in zip(texts, plain.encode_batch(texts, add_special_tokens=False)):
         assert np.frombuffer(e.encode(t), "<u4").tolist() == want.ids, repr(t)
 
 
@@ -101,6 +103,12 @@ def test_plan_is_valid_and_reduction_never_costs_a_sequence():
     assert max(q + n for _, _, n, q, _ in slots) <= 1.01 * sum(s * n for s, n in big.items()) / 2048
 
 
+def brute_similarity(x, y):
+    """Probability Jaccard of two counters of shingles with weights 1 + ln(count), by its definition."""
+    x, y = ({k: 1 + math.log(n) for k, n in c.items()} for c in (x, y))
+    return sum(1 / sum(max(x.get(j, 0) / x[i], y.get(j, 0) / y[i]) for j in x.keys() | y.keys()) for i in x.keys() & y.keys())
+
+
 def brute_classes(rows, threshold=0.8):
     sets, parent = {}, {}
 
@@ -112,25 +120,27 @@ def brute_classes(rows, threshold=0.8):
     for r in rows:
         t = r.text or ""
         w = t.encode().split()
-        sets[t] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+        sets[t] = Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else Counter()
         parent[t] = t
-    keys, links = list(sets), Counter()
     inverted = defaultdict(set)
-    for t in keys:
+    for t in sets:
         for s in sets[t]:
             inverted[s].add(t)
     pairs = {(a, b) for group in inverted.values() for a in group for b in group if a < b}
     for a, b in pairs:
-        if len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]):
-            links[a] += 1
-            links[b] += 1
+        x, y = sets[a], sets[b]
+        if max(x.values()) == max(y.values()) == 1:
+            linked = len(x.keys() & y.keys()) >= threshold * len(x.keys() | y.keys())
+        else:
+            linked = 3 * len(x.keys() & y.keys()) > len(x.keys() | y.keys()) and brute_similarity(x, y) >= threshold
+        if linked:
             parent[max(find(a), find(b))] = min(find(a), find(b))
     least = {}
     for r in rows:
         k = find(r.text or "")
         if r.doc_id is not None:
             least[k] = min(least.get(k, r.doc_id), r.doc_id)
-    return Counter((r.doc_id, least.get(find(r.text or "")), links[r.text or ""]) for r in rows)
+    return Counter((r.doc_id, least.get(find(r.text or ""))) for r in rows)
 
 
 def test_near_duplicates(spark, docs):
@@ -142,11 +152,15 @@ def test_near_duplicates(spark, docs):
         for p in rng.integers(0, 300, 7):
             w[p] = f"x{i}"
         extra.append((100_000 + i, " ".join(w)))
+    for i in range(40):  # half of a text repeated, and the copies of that changed in place
+        half = [f"r{i % 4}_{k}" for k in range(100)]
+        w = half * 20 + [f"s{i % 4}_{k}" for k in range(100)] + [f"t{i}_{k}" for k in range(i // 4)]
+        extra.append((300_000 + i, " ".join(w)))
     extra += [(200_000, "one two three four"), (200_001, "one  two\nthree four"), (200_002, None), (200_003, " \n"), (None, "only nulls here"), (200_004, " ".join(base))]
     more = docs.unionByName(spark.createDataFrame(extra, "doc_id long, text string"), allowMissingColumns=True)
     rows = more.collect()
     got = neardup.near_duplicates(more)
-    assert Counter((r.doc_id, r.class_id, r.n_links) for r in got.collect()) == brute_classes(rows)
+    assert Counter((r.doc_id, r.class_id) for r in got.collect()) == brute_classes(rows)
     kept = neardup.deduplicate(more)
     assert kept.columns == more.columns
     ids = {}
@@ -159,9 +173,28 @@ def test_near_duplicates(spark, docs):
 
 def test_signatures_estimate_probability_jaccard():
     a, b = " ".join(f"w{i}" for i in range(404)), " ".join(f"w{i}" for i in range(100, 504))
-    s = neardup.signatures([a, b, a, ""], 4096)
+    c = " ".join([a] * 5 + [f"x{i}" for i in range(60)])
+    s = neardup.signatures([a, b, a, "", c], 4096)
     assert (s[0] == s[2]).all() and not s[3].any()
     assert abs(neardup.estimate(s[0], s[1]) - neardup.jaccard(a, b)) < 0.03
+    assert abs(neardup.estimate(s[1], s[4]) - neardup.jaccard(b, c)) < 0.03
+    x, y = ({k: 1 + k % 3 for k in range(60)}, {k: 1 + k % 4 for k in range(20, 90)})
+    want = brute_similarity(x, y)
+    got = neardup.similarity(*((np.array(list(c)), 1 + np.log(np.array(list(c.values())))) for c in (x, y)))
+    assert abs(want - got) < 1e-12
+
+
+def test_long_texts_are_hashed_in_blocks():
+    from panelwright.llm import words
+
+    rng = np.random.default_rng(8)
+    long = " ".join(f"w{i}" for i in rng.integers(0, 9999, 150_000)) + " " + "z" * (3 * words.BLOCK) + "\t end"
+    h, rows = words.word_hashes(["a b", long, "", "end a"])
+    parts = long.split()
+    assert rows.tolist() == [0, 0] + [1] * len(parts) + [3, 3]
+    unique = {w: words.word_hashes([w])[0][0] for w in set(parts)}
+    assert h[2:-2].tolist() == [unique[w] for w in parts] and h[0] == h[-1] and h[-2] == unique["end"]
+    assert (neardup.signatures([long])[0] == neardup.signatures(["x", long])[1]).all()
 
 
 def test_components_of_a_chain(spark):
@@ -253,14 +286,14 @@ def test_neighbours_with_more_axes(spark):
         neighbours.nearest(df, axes=3)
 
 
-def test_links_among_copies_of_one_text(spark):
+def test_copies_of_one_text_all_linked(spark):
     rng = np.random.default_rng(6)
     base = [f"v{i}" for i in rng.integers(0, 5000, 300)]
     rows = []
-    for i in range(600):  # more than one block, all linked to one another
+    for i in range(600):
         w = list(base)
         w[int(rng.integers(0, 300))] = f"y{i}"
         rows.append((i, " ".join(w)))
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = neardup.near_duplicates(df).collect()
-    assert Counter((r.doc_id, r.class_id, r.n_links) for r in got) == Counter((i, 0, 599) for i in range(600))
+    rows += [(i, "one and the same text of more than five words") for i in range(600, 900)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.class_id, r.n_copies) for r in got) == Counter([(i, 0, 1) for i in range(600)] + [(i, 600, 300) for i in range(600, 900)])
