@@ -89,3 +89,44 @@ def feed_health(events: DataFrame, as_of: DataFrame, fresh_hours: int = 1, stale
 def redacted(text, keys: tuple[str, ...] = ("token", "secret", "password")):
     """JSON text with the values of sensitive keys replaced."""
     return F.regexp_replace(text, r'("(?:' + "|".join(keys) + r')"\s*:\s*)"[^"]*"', '$1"***"')
+
+
+def matrix_violations(panel: DataFrame, universe: DataFrame, min_bars: int = 10, strict: float | None = 0.15) -> DataFrame:
+    """``check, symbol, n`` of what keeps a panel from use: an empty one, symbols of ``universe`` without bars, too few bars after infinite prices are dropped, and, if ``strict`` is given, moves of that size."""
+    price = F.when(F.isnan("close") | (F.abs("close") == float("inf")), None).otherwise(F.col("close"))
+    stats = panel.withColumn("close", price).groupBy("symbol").agg(F.count("close").alias("n"))
+    row = lambda df, name: df.select(F.lit(name).alias("check"), "symbol", F.col("n").cast("long").alias("n"))
+    found = row(universe.join(stats, "symbol", "left_anti").withColumn("n", F.lit(0)), "MISSING").unionByName(row(stats.filter(F.col("n") < min_bars), "TOO_FEW"))
+    found = found.unionByName(row(stats.agg(F.sum("n").alias("n")).filter("coalesce(n, 0) = 0").withColumn("symbol", F.lit(None).cast("string")), "EMPTY"))
+    if strict is not None:
+        found = found.unionByName(row(anomalies(panel, strict).groupBy("symbol").agg(F.count(F.lit(1)).alias("n")), "ANOMALY"))
+    return found
+
+
+def spliced(panel: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(report, panel): gaps at the first bar on or after each event (``symbol, event_date``) closed by scaling all earlier closes.
+
+    The report has ``symbol, event_date, bar_ts, ok, why, raw_move``; an event without a bar after it or before it changes nothing. Several events multiply."""
+    w = by_time()
+    bars = panel.select("symbol", "bar_ts", "close").withColumn("ratio", F.col("close") / F.lag("close").over(w)).withColumn("before", F.lag("bar_ts").over(w))
+    # A bar takes the events after the bar before it, up to its own date; an equality join on symbol alone stays small, since events are few.
+    at = events.join(bars.select("symbol", "bar_ts", "ratio", "before"), "symbol", "left").filter("bar_ts is null or bar_ts >= event_date")
+    first = at.groupBy("symbol", "event_date").agg(F.min_by(F.struct("bar_ts", "ratio"), "bar_ts").alias("f")).select("symbol", "event_date", "f.bar_ts", "f.ratio")
+    report = events.join(first, ["symbol", "event_date"], "left").select(
+        "symbol", "event_date", "bar_ts", F.col("ratio").isNotNull().alias("ok"),
+        F.when(F.col("bar_ts").isNull(), "no bar on or after the date").when(F.col("ratio").isNull(), "no bar before it").otherwise("spliced").alias("why"), (F.col("ratio") - 1).alias("raw_move"),
+    )
+    factors = report.filter("ok").select("symbol", "bar_ts", (F.col("raw_move") + 1).alias("factor")).dropDuplicates(["symbol", "bar_ts"])
+    later = Window.partitionBy("symbol").orderBy(F.desc("bar_ts")).rowsBetween(Window.unboundedPreceding, -1)
+    own = panel.join(factors, ["symbol", "bar_ts"], "left").withColumn("f", F.coalesce(F.product(F.coalesce("factor", F.lit(1.0))).over(later), F.lit(1.0)))
+    return report, own.select("symbol", "bar_ts", (F.col("close") * F.col("f")).alias("close"))
+
+
+def conservation(accounts: DataFrame, positions: DataFrame, reported: DataFrame, key: str, tolerance: float = 1e-4) -> DataFrame:
+    """``key, symbol, rule, reported, expected`` where a reported net asset value is not cash plus positions (relative to it), or reported shares are not those of the fills."""
+    worth = positions.groupBy(key).agg(F.sum(F.col("shares") * F.col("price")).alias("worth"))
+    nav = accounts.join(worth, key, "left").withColumn("expected", F.col("cash") + F.coalesce("worth", F.lit(0.0)))
+    nav = nav.filter(F.abs(F.col("nav") - F.col("expected")) > tolerance * F.greatest(F.lit(1.0), F.abs("nav"))).select(key, F.lit(None).cast("string").alias("symbol"), F.lit("NAV").alias("rule"), F.col("nav").alias("reported"), "expected")
+    both = reported.select(key, "symbol", F.col("shares").alias("reported")).join(positions.select(key, "symbol", F.col("shares").alias("expected")), [key, "symbol"], "full_outer")
+    off = F.coalesce("reported", F.lit(0.0)) - F.coalesce("expected", F.lit(0.0))
+    return nav.unionByName(both.filter(F.abs(off) > 1e-6).select(key, "symbol", F.lit("SHARES").alias("rule"), "reported", "expected"))

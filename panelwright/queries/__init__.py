@@ -1,6 +1,6 @@
 """Registered queries of the panel engine, with their SQL twins."""
 
-from . import factors, inference, ledger, pairs, panel, reports
+from . import controls, factors, inference, ledger, pairs, panel, reports
 
 QUERIES: dict = panel.QUERIES
 ORACLES: dict = panel.ORACLES

@@ -38,14 +38,26 @@ def marked(spark, d):
     return B.marked(held.join(prices, "symbol").join(cash, "account"), "account")
 
 
+def _day_key():
+    return F.dayofyear("filled_at") + F.col("account")
+
+
+def books(spark, d):
+    """One side of a reconciliation: some trades absent."""
+    return trades(spark, d).filter(_day_key() % 43 != 0)
+
+
 def broker(spark, d):
-    """The other side of a reconciliation: some trades absent, some quantities one off."""
-    k = F.dayofyear("filled_at") + F.col("account")
-    return trades(spark, d).filter(k % 37 != 0).withColumn("quantity", F.col("quantity") + F.when(k % 41 == 0, 1.0).otherwise(0.0))
+    """The other side: other trades absent, some quantities one off, some prices two cents."""
+    k = _day_key()
+    return trades(spark, d).filter(k % 37 != 0).withColumn("quantity", F.col("quantity") + F.when(k % 41 == 0, 1.0).otherwise(0.0)).withColumn("price", F.col("price") + F.when(k % 47 == 0, 0.02).otherwise(0.0))
 
 
-BROKER = "br AS (SELECT account, symbol, filled_at, side, quantity + CASE WHEN (dayofyear(filled_at) + account) % 41 = 0 THEN 1 ELSE 0 END AS quantity FROM tr WHERE (dayofyear(filled_at) + account) % 37 <> 0)"
-ISSUES = "iss AS (SELECT account, symbol, filled_at, side, CASE WHEN tr.quantity IS NULL THEN 'MISSING_INTERNAL' WHEN br.quantity IS NULL THEN 'MISSING_BROKER' ELSE 'MISMATCH' END AS issue, tr.quantity AS internal_value, br.quantity AS broker_value, tr.quantity - br.quantity AS discrepancy FROM tr FULL JOIN br USING (account, symbol, filled_at, side) WHERE tr.quantity IS NULL OR br.quantity IS NULL OR abs(tr.quantity - br.quantity) > 1e-6)"
+BROKER = """
+kk AS (SELECT *, dayofyear(filled_at) + account AS k FROM tr),
+bk AS (SELECT * FROM kk WHERE k % 43 <> 0),
+br AS (SELECT account, symbol, filled_at, side, quantity + CASE WHEN k % 41 = 0 THEN 1 ELSE 0 END AS quantity, price + CASE WHEN k % 47 = 0 THEN 0.02 ELSE 0 END AS price, commission FROM kk WHERE k % 37 <> 0)"""
+ISSUES = "iss AS (SELECT account, symbol, filled_at, side, CASE WHEN bk.quantity IS NULL THEN 'MISSING_INTERNAL' WHEN br.quantity IS NULL THEN 'MISSING_BROKER' ELSE 'MISMATCH' END AS issue, bk.quantity AS internal_value, br.quantity AS broker_value, bk.quantity - br.quantity AS discrepancy FROM bk FULL JOIN br USING (account, symbol, filled_at, side) WHERE bk.quantity IS NULL OR br.quantity IS NULL OR abs(bk.quantity - br.quantity) > 1e-6)"
 
 
 @register("pf1_marked", f"WITH {TRADES}, {MARKED} SELECT account, symbol, {r('shares', 'market_value', 'nav', 'weight')} FROM mk")
@@ -84,7 +96,7 @@ def _(spark, d):
 
 @register("rc1_positions", f"WITH {TRADES}, {BROKER}, {ISSUES} SELECT * FROM iss")
 def _(spark, d):
-    return B.reconcile(trades(spark, d), broker(spark, d), KEYS, "quantity", 1e-6)
+    return B.reconcile(books(spark, d), broker(spark, d), KEYS, "quantity", 1e-6)
 
 
 @register("rc4_overfills", "WITH f AS (SELECT l_orderkey AS order_id, sum(l_quantity) AS filled FROM lineitem GROUP BY 1), o AS (SELECT o_orderkey AS order_id, floor(o_totalprice / 2000) AS quantity FROM orders) SELECT order_id, CAST(quantity AS BIGINT) AS quantity, filled FROM o JOIN f USING (order_id) WHERE filled > quantity + 1e-6")
@@ -96,13 +108,12 @@ def _(spark, d):
 
 @register("rc6_verdict", f"WITH {TRADES}, {BROKER}, {ISSUES}, n AS (SELECT account, count(*) AS k FROM iss GROUP BY 1) SELECT account, coalesce(k, 0) AS n_issues, CASE WHEN k IS NULL THEN 'MATCHED' ELSE 'MISMATCHED' END AS status FROM (SELECT DISTINCT account FROM tr) LEFT JOIN n USING (account)")
 def _(spark, d):
-    t = trades(spark, d)
-    return B.verdict(B.reconcile(t, broker(spark, d), KEYS, "quantity", 1e-6), t.select("account").distinct(), "account")
+    return B.verdict(B.reconcile(books(spark, d), broker(spark, d), KEYS, "quantity", 1e-6), trades(spark, d).select("account").distinct(), "account")
 
 
-@register("rc7_missing_fills", f"WITH {TRADES}, {BROKER} SELECT account, symbol, filled_at, side, quantity FROM tr WHERE (account, symbol, filled_at, side) NOT IN (SELECT (account, symbol, filled_at, side) FROM br)")
+@register("rc7_missing_fills", f"WITH {TRADES}, {BROKER} SELECT account, symbol, filled_at, side, quantity FROM br ANTI JOIN bk USING (account, symbol, filled_at, side)")
 def _(spark, d):
-    return B.missing_fills(trades(spark, d), broker(spark, d), KEYS).select(*KEYS, "quantity")
+    return B.missing_fills(broker(spark, d), books(spark, d), KEYS).select(*KEYS, "quantity")
 
 
 @register("snk4_upsert", f"WITH {HOUR}, b AS (SELECT symbol, arg_max(close, bar_ts) AS close, max(bar_ts) AS bar_ts FROM bars GROUP BY 1) SELECT * FROM b")

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_folder
+
 
 def source(spark: SparkSession, path: str) -> DataFrame:
     """The events at ``path`` as a stream; ``ts`` becomes a timestamp, which watermarks need."""
@@ -52,8 +51,7 @@ def jumps(events: DataFrame, share: float) -> DataFrame:
 def settled(stream: DataFrame, name: str) -> DataFrame:
     """Runs ``stream`` over all that is there (checkpointed, restartable), then reads what it wrote."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="panelwright-")
-    at = f"{base}/live-{name}-{uuid.uuid4().hex}"
+    at = shared_folder(spark, f"live-{name}")
     query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start(f"{at}/rows")
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/rows")
