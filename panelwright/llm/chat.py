@@ -27,64 +27,86 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"\\([\\|])", "$1")
 
 
-def linear_tree(conversations: DataFrame) -> DataFrame:
-    """Nodes of plain conversations: each turn replies to the one before. ``tree, node, parent, role, text, score``.
+def tree_key(tree: Column) -> Column:
+    """Never null, so that it can be joined on."""
+    return F.coalesce(tree.cast("string"), F.lit("\x00null"))
+
+
+def linear_tree(conversations: DataFrame, texts: bool = True) -> DataFrame:
+    """Nodes of plain conversations: each turn replies to the one before, nodes are numbered from 1. ``t, tree, node, parent, role, text, score``.
 
     Rows of a conversation go by turn; ties by role and text, nulls first. Null conv_ids are one conversation. Null text or role: empty.
+    ``texts=False`` leaves out role and text, on which the numbers, parents and scores do not depend: narrow rows for the choice of paths.
     """
-    inside = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    node = F.row_number().over(inside).cast("long")
-    return conversations.select("conv_id", "turn", "role", "text").select(
-        F.col("conv_id").alias("tree"), node.alias("node"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.lit(1.0).alias("score"),
-    ).withColumn("parent", F.when(F.col("node") > 1, F.col("node") - 1))
+    own = conversations.select(tree_key(F.col("conv_id")).alias("t"), F.col("conv_id").alias("tree"), "turn", *(["role", "text"] if texts else []))
+    inside = Window.partitionBy("t").orderBy("turn", *(["role", "text"] if texts else []))
+    out = own.withColumn("node", F.row_number().over(inside).cast("long")).withColumn("score", F.lit(1.0)).withColumn("parent", F.when(F.col("node") > 1, F.col("node") - 1)).drop("turn")
+    return out.withColumn("role", F.coalesce(F.col("role").cast("string"), F.lit(""))).withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit(""))) if texts else out
 
 
-def chosen_paths(nodes: DataFrame) -> DataFrame:
-    """``tree, node, depth`` (from 0 at the root) of the best path of each tree.
+def chosen_paths(nodes: DataFrame, best: int | None = 1) -> DataFrame:
+    """``t, path, tree, node, depth`` (from 0 at the root) of the ``best`` paths of each tree (None: all), ``path`` numbered from 1.
 
-    ``nodes``: ``tree, node, parent, score``; a null or absent parent makes a root. Among a tree's leaves the one with the greatest sum of scores from root
-    to leaf wins, then the deeper, then the smaller node. Each round joins every node to the ancestor that it points at and doubles the stride.
-    Parents that form a cycle have no root; their nodes are left out. Null trees are compared as equal.
+    ``nodes``: ``tree, node, parent, score``; a null or absent parent makes a root. Leaves rank by the sum of scores from root
+    to leaf, then the deeper, then the smaller node. Each round joins every node to the ancestor that it points at and doubles the stride.
+    Parents that form a cycle have no root; their nodes are left out. Null trees are compared as equal. An empty table gives an empty one; other columns are not read.
     """
-    key = F.coalesce(F.col("tree").cast("string"), F.lit("\x00null"))
-    base = nodes.select(key.alias("t"), "tree", "node", "parent", F.coalesce(F.col("score"), F.lit(0.0)).alias("score"))
+    base = nodes.select(tree_key(F.col("tree")).alias("t"), "tree", "node", "parent", F.coalesce(F.col("score"), F.lit(0.0)).alias("score"))
     known = base.select("t", F.col("node").alias("parent"), F.lit(True).alias("has"))
     base = stage(base.join(known.hint("merge"), ["t", "parent"], "left").withColumn("parent", F.when(F.col("has"), F.col("parent"))).drop("has"), "tree-nodes")
-    step = base.select("t", "tree", "node", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), F.lit(0)).otherwise(F.lit(1)).cast("long").alias("depth"), F.col("score").alias("total"))
+    step = base.select("t", "node", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), F.lit(0)).otherwise(F.lit(1)).cast("long").alias("depth"), F.col("score").alias("total"))
     # total: the scores of the nodes from this one up to, not with, the one it points at; at a root nothing is left to add.
-    levels = [step.select("t", "node", "up")]
+    levels, done = [step.select("t", "node", "up")], step.filter("up is null")
     size = max(1, base.count())
     while True:
-        open_rows = step.filter("up is not null").limit(1).count()
-        if not open_rows or 1 << len(levels) > 2 * size:
+        open_rows = step.filter("up is not null")
+        if not open_rows.limit(1).count() or 1 << len(levels) > 2 * size:
             break
-        above = step.select("t", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("total").alias("total2"))
-        # Nodes that have reached their root are done; only the others are joined, fewer each round.
-        joined = step.filter("up is not null").join(above.hint("merge"), ["t", "up"], "left")
-        moved = joined.select("t", "tree", "node", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"))
-        step = stage(step.filter("up is null").unionByName(moved), "tree-step")
+        above = step.unionByName(done) if len(levels) > 1 else step
+        above = above.select("t", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("total").alias("total2"))
+        # Nodes that have reached their root are done; only the others are joined and written, fewer each round.
+        joined = open_rows.join(above.hint("merge"), ["t", "up"], "left")
+        moved = joined.select("t", "node", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"))
+        moved = stage(moved, "tree-step")
+        done = done.unionByName(moved.filter("up is null"))
+        step = moved.filter("up is not null")
         levels.append(step.select("t", "node", "up"))
-    reached = step.filter("up is null")
     inner = base.filter("parent is not null").select("t", F.col("parent").alias("node")).distinct()
-    leaves = reached.join(inner.hint("merge"), ["t", "node"], "left_anti")
-    best = leaves.groupBy("t").agg(F.max_by(F.struct("tree", "node", "depth"), F.struct("total", "depth", -F.col("node"))).alias("b")).select("t", "b.tree", "b.node", "b.depth")
-    path = best.select("t", "node")
+    leaves = done.join(inner.hint("merge"), ["t", "node"], "left_anti")
+    if best == 1:
+        chosen = leaves.groupBy("t").agg(F.max_by("node", F.struct("total", "depth", -F.col("node"))).alias("node")).withColumn("path", F.lit(1))
+    else:
+        rank = F.row_number().over(Window.partitionBy("t").orderBy(F.desc("total"), F.desc("depth"), "node"))
+        chosen = leaves.withColumn("path", rank).filter(F.lit(True) if best is None else F.col("path") <= best)
+    path = chosen.select("t", "path", "node")
     for level in reversed(levels):
-        found = path.join(level.filter("up is not null").hint("merge"), ["t", "node"]).select("t", F.col("up").alias("node"))
+        found = path.join(level.filter("up is not null").hint("merge"), ["t", "node"]).select("t", "path", F.col("up").alias("node"))
         path = stage(path.unionByName(found), "paths")
     path = path.distinct()
-    return path.join(reached.hint("merge"), ["t", "node"]).select("tree", "node", "depth")
+    depth = done.select("t", "node", "depth").join(base.select("t", "tree", "node").hint("merge"), ["t", "node"])
+    return path.join(depth.hint("merge"), ["t", "node"]).select("t", "path", "tree", "node", "depth")
 
 
-def format_paths(nodes: DataFrame) -> DataFrame:
-    """One row per tree: ``conv_id, formatted, loss`` (array of [start, end) in code points of ``formatted``, the assistant's texts), ``n_turns``."""
-    path = chosen_paths(nodes.select("tree", "node", "parent", "score"))
-    turns = path.withColumnRenamed("tree", "__tree").withColumnRenamed("node", "__node")
-    joined = nodes.join(turns.hint("merge"), nodes["tree"].eqNullSafe(turns["__tree"]) & (nodes["node"] == turns["__node"]))
-    head = F.concat(F.lit(START), F.url_encode("role"), F.lit("\n"))
-    piece = F.struct(F.col("depth").alias("d"), head.alias("head"), escape(F.col("text")).alias("body"), (F.col("role") == "assistant").alias("loss"))
-    grouped = joined.groupBy(F.col("tree").alias("conv_id")).agg(F.sort_array(F.collect_list(piece)).alias("p"))
+def format_paths(nodes: DataFrame, best: int | None = 1, skeleton: DataFrame | None = None) -> DataFrame:
+    """One row per chosen path: ``conv_id, path, formatted, loss`` (array of [start, end) in code points of ``formatted``, the assistant's texts), ``n_turns``.
+
+    ``nodes``: ``tree, node, parent, score, role, text``; the texts of nodes off the paths are not gathered. ``skeleton`` is for plain conversations:
+    ``linear_tree(..., texts=False)`` of those whose ``linear_tree`` is ``nodes``. Their nodes are numbered from 1 and nearly all on the path, so each
+    conversation is gathered by the one shuffle that also numbered it. Null role or text: empty. An empty table gives an empty one.
+    """
+    head = F.concat(F.lit(START), F.url_encode(F.coalesce(F.col("role"), F.lit(""))), F.lit("\n"))
+    parts = [head.alias("head"), escape(F.coalesce(F.col("text"), F.lit(""))).alias("body"), F.coalesce(F.col("role") == "assistant", F.lit(False)).alias("loss")]
+    if skeleton is None:
+        path = chosen_paths(nodes.select("tree", "node", "parent", "score"), best)
+        turns = path.select(F.col("t").alias("__t"), F.col("node").alias("__node"), "path", "depth")
+        own = nodes.select(tree_key(F.col("tree")).alias("__t"), F.col("node").alias("__node"), "tree", "role", "text")
+        joined = own.join(turns.hint("merge"), ["__t", "__node"])
+        grouped = joined.groupBy("__t", "path").agg(F.first("tree").alias("conv_id"), F.sort_array(F.collect_list(F.struct(F.col("depth").alias("d"), *parts))).alias("p"))
+    else:
+        path = chosen_paths(skeleton.select("tree", "node", "parent", "score"), best)
+        order = path.groupBy("t", "path").agg(F.sort_array(F.collect_list(F.struct("depth", "node"))).alias("order"))
+        whole = nodes.groupBy("t").agg(F.first("tree").alias("conv_id"), F.sort_array(F.collect_list(F.struct(F.col("node").alias("d"), *parts))).alias("all"))
+        grouped = whole.join(order.hint("merge"), "t").select("conv_id", "path", F.transform("order", lambda x: F.get("all", x["node"].cast("int") - 1)).alias("p"))
     text = F.array_join(F.transform("p", lambda x: F.concat(x["head"], x["body"], F.lit(END))), "")
     # Spans: a running place over the turns; each carries the places of its own text.
     first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
@@ -95,7 +117,7 @@ def format_paths(nodes: DataFrame) -> DataFrame:
         span = F.array(F.struct(start.alias("start"), stop.alias("end")))
         return F.struct((stop + len(END)).alias("at"), F.when(x["loss"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
-    return grouped.select("conv_id", text.alias("formatted"), F.aggregate("p", first, add)["spans"].alias("loss"), F.size("p").cast("long").alias("n_turns"))
+    return grouped.select("conv_id", "path", text.alias("formatted"), F.aggregate("p", first, add)["spans"].alias("loss"), F.size("p").cast("long").alias("n_turns"))
 
 
 def parse(formatted: Column) -> Column:
@@ -121,6 +143,6 @@ def digests(formatted: DataFrame) -> DataFrame:
     )
 
 
-def write_conversations(nodes: DataFrame) -> DataFrame:
+def write_conversations(nodes: DataFrame, best: int | None = 1, skeleton: DataFrame | None = None) -> DataFrame:
     """``format_paths`` written to the shared folder and read back."""
-    return stage(format_paths(nodes), "conversations")
+    return stage(format_paths(nodes, best, skeleton), "conversations")

@@ -38,7 +38,7 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 def stage(df: DataFrame, name: str, **options) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors, and gives the planner true sizes."""
     path = shared_dir(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
+    df.write.options(**({"compression": "zstd"} | options)).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -47,6 +47,16 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+SALTS = 64
+
+
+def looked_up(rows: DataFrame, key: str, table: DataFrame) -> DataFrame:
+    """``rows`` (with a column ``salt`` below ``SALTS``) joined with the one row of ``table`` for their ``key``, however many share it: the table's rows
+    first go to the distinct (key, salt), then to the rows."""
+    spread = rows.select(key, "salt").distinct().join(table.hint("merge"), key)
+    return rows.join(spread.hint("merge"), [key, "salt"])
+
+
 def hash_bucket(hashed: Column, buckets: int) -> Column:
     """The range of the unsigned order of ``hashed`` (long) that it lies in, 0 to ``buckets`` - 1."""
     return F.shiftright(F.shiftrightunsigned(hashed, 33) * F.lit(int(buckets)), 31)

@@ -19,14 +19,13 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import SALTS, looked_up, stage
 from .words import mix, slices, word_hashes
 
 BANDS, ROWS = 24, 5
 SHINGLE = 5
 #: Members of a pivot, or rows of a text or class, that one task takes at a time: larger groups are split.
 PART = 1000
-SALTS = 64
 #: Shingles whose arrivals are drawn at a time.
 DRAWN = 100_000
 
@@ -290,13 +289,6 @@ def text_key(text) -> F.Column:
     return F.unhex(F.sha2(text, 256))
 
 
-def looked_up(rows: DataFrame, key: str, table: DataFrame) -> DataFrame:
-    """``rows`` (with a column ``salt``) joined with the one row of ``table`` for their ``key``, however many share it: the table's rows
-    first go to the distinct (key, salt), then to the rows."""
-    spread = rows.select(key, "salt").distinct().join(table.hint("merge"), key)
-    return rows.join(spread.hint("merge"), [key, "salt"])
-
-
 def classes(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, class_id`` (the smallest doc_id of the class), ``n_copies`` (rows with this very text), ``tkey``, ``root``.
 

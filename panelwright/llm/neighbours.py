@@ -3,8 +3,9 @@
 A vector is rotated pseudo-randomly (three rounds of random signs and a fast Hadamard transform, padded to a power of two) and hashed to the signed axis
 nearest to it. Each of several tables uses ``axes`` such rotations. Rows lie in one bucket per table; a query probes several buckets
 per table, best first by the size of its coordinates. Buckets are searched in blocks: data and probes of a bucket meet in one group, which
-returns each query's best few by exact cosine; large buckets are split and their probes repeated for each part. Tables, probes and axes do not
-depend on the row count, so neither does the share of the table that a query sees.
+returns each query's best few by exact cosine; where a bucket has many rows or many probes both sides are split, and each part of one meets each part of the other.
+Queries whose buckets hold too few rows are compared with all rows, in blocks. Tables, probes and axes do not depend on the row count, so neither does the share
+of the table that a query sees.
 """
 
 from __future__ import annotations
@@ -17,8 +18,12 @@ from pyspark.sql.window import Window
 
 from .common import stage
 
-#: Buckets probed in each of 12 tables, by axes: at least 0.94 of the five nearest of real vectors (64 dimensions).
-PROBES = {1: 6, 2: 256}
+#: Tables, and buckets probed in each: 0.96 of the five nearest of real vectors (64 dimensions) with one axis. Fewer tables ship the vectors fewer times, more probes make up for it.
+TABLES, PROBES = 3, 32
+#: Rows and probes of a bucket that meet in one group.
+BLOCK, ASKED = 16_000, 32_000
+#: Rows of a per-bucket or per-vector table that may be broadcast (of about 50 bytes each); larger ones are joined by merge.
+SMALL = 200_000
 
 
 def hadamard(x):
@@ -70,11 +75,11 @@ def buckets(x, table: int, axes: int, probes: int):
     return out
 
 
-def top_matches(query_ids, q, ids, x, k: int):
-    """(query index, data index, cosine) of each query's ``k`` best, itself (same id and vector) left out, exact in double precision, ties to smaller ids."""
+def top_matches(query_rids, q, rids, ids, x, k: int):
+    """(query index, data index, cosine) of each query's ``k`` best, its own row (same rid) left out, exact in double precision, ties to smaller ids."""
     import numpy as np
 
-    out_q, out_x, out_s = [], [], []
+    out_q, out_x, out_s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
     qn, xn = np.sqrt((q * q).sum(1)), np.sqrt((x * x).sum(1))
     for at in range(0, len(q), 256):
         block = (q[at : at + 256] @ x.T) / qn[at : at + 256, None] / xn[None, :]
@@ -83,9 +88,9 @@ def top_matches(query_ids, q, ids, x, k: int):
         qi, xi = np.nonzero(block >= floor[:, None] - 1e-9)
         # The block's sums depend on its shape in the last digit; these do not.
         s = (q[at + qi] * x[xi]).sum(1) / (qn[at + qi] * xn[xi])
-        keep = ~((ids[xi] == query_ids[at + qi]) & (q[at + qi] == x[xi]).all(1))
+        keep = rids[xi] != query_rids[at + qi]
         qi, xi, s = qi[keep], xi[keep], s[keep]
-        order = np.lexsort((ids[xi], -s, qi))
+        order = np.lexsort((rids[xi], ids[xi], -s, qi))
         qi, xi, s = qi[order], xi[order], s[order]
         place = np.arange(len(qi)) - np.searchsorted(qi, qi)
         keep = place < k
@@ -93,75 +98,102 @@ def top_matches(query_ids, q, ids, x, k: int):
     return np.concatenate(out_q), np.concatenate(out_x), np.concatenate(out_s)
 
 
-def nearest(vectors: DataFrame, every: int = 50, k: int = 5, tables: int = 12, probes: int | None = None, axes: int = 1, block: int | None = None) -> DataFrame:
-    """``query_id, rank, vec_id, score``: each query's ``k`` nearest found. Queries are the rows of ``vectors`` (``vec_id``, ``embedding``) whose id is divisible by ``every``.
+def _flat(lists):
+    """The values of an Arrow list array as (rows, length) doubles; all lists are of one length."""
+    import numpy as np
 
-    Vectors that are null, empty, zero, hold null or non-finite components, or differ in length from most, and rows with a null id take no part. Rows equal in
-    id and vector count once. Of rows with one vector only the k + 1 smallest ids are kept as candidates: no answer can hold more of them.
-    More ``axes`` make smaller buckets, of which more must be probed for the same recall: ``PROBES``, or ``probes`` where given. ``block`` bounds the rows of a
-    bucket searched at once; unless given it grows with the table up to a limit, so that probes are not repeated for many parts.
-    """
-    if probes is None and axes not in PROBES:
-        raise ValueError(f"no measured number of probes for {axes} axes: give probes")
-    probes = probes or PROBES[axes]
-    ok = F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).filter("vec_id is not null").filter(ok)
-    rows = rows.dropDuplicates(["vec_id", "v"])
-    rows = stage(rows, "vectors")
-    sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not sizes:
-        return vectors.sparkSession.createDataFrame([], schema)
-    dim, n = sizes[0]["d"], sizes[0]["count"]
-    rows = rows.filter(F.size("v") == dim)
-    block = block or min(16_000, max(1000, n // 256))
-    same = Window.partitionBy("v").orderBy("vec_id")
-    data = rows.withColumn("__n", F.row_number().over(same)).filter(F.col("__n") <= k + 1).drop("__n")
-    queries = rows.filter(F.col("vec_id") % every == 0)
-
-    def hashed(most: int):
-        def run(batches):
-            import numpy as np
-            import pyarrow as pa
-
-            for batch in batches:
-                ids, lists = batch.column(0), batch.column(1)
-                x = lists.flatten().to_numpy().reshape(len(ids), dim)
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
+
+
+def _hashed(tables: int, axes: int, most: int):
+    """Adds ``bs``, the buckets of each row: ``most`` of each table, one table after the other (table * 2^48 + bucket)."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            lists = batch.column(batch.schema.get_field_index("v"))
+            size = np.diff(lists.offsets.to_numpy())
+            for d in np.unique(size):
+                part = batch.filter(pa.array(size == d))
+                x = _flat(part.column(part.schema.get_field_index("v")))
                 x = x / np.sqrt((x * x).sum(1, keepdims=True))
-                which = np.repeat(np.arange(len(ids)), most)
-                for t in range(tables):
-                    b = buckets(x, t, axes, most)
-                    at = which if b.shape[1] == most else np.repeat(np.arange(len(ids)), b.shape[1])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t, np.int32)), pa.array(b.reshape(-1)), ids.take(pa.array(at)), lists.take(pa.array(at))], names=["t", "b", "vec_id", "v"])
-
-        return run
-
-    kind = "t int, b long, vec_id long, v array<double>"
-    placed = stage(data.select("vec_id", "v").mapInArrow(hashed(1), kind).withColumn("v", F.col("v").cast("array<float>")) if _is_float(vectors) else data.select("vec_id", "v").mapInArrow(hashed(1), kind), "buckets")
-    parts = placed.groupBy("t", "b").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
-    placed = placed.join(parts.hint("merge"), ["t", "b"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
-    asked = queries.select("vec_id", "v").mapInArrow(hashed(probes), kind).join(parts.hint("merge"), ["t", "b"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    left = placed.select("t", "b", "part", "vec_id", F.col("v").cast("array<double>").alias("v"))
-    right = asked.select("t", "b", "part", "vec_id", "v")
+                b = np.concatenate([buckets(x, t, axes, most) + (t << 48) for t in range(tables)], axis=1)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(list(b), pa.list_(pa.int64()))], names=[*part.schema.names, "bs"])
+
+    return run
+
+
+def _searched(k: int):
+    """Two tables of rows (rid, vec_id, v) and queries (rid, vec_id, v) to the best ``k`` of each query."""
 
     def search(x, q):
-        import numpy as np
         import pyarrow as pa
 
-        ids, qids = x.column("vec_id").to_numpy(), q.column("vec_id").to_numpy()
-        names = ["query_id", "query_key", "vec_id", "score"]
-        if not len(ids) or not len(qids):
-            return pa.table({"query_id": pa.array([], pa.int64()), "query_key": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64()), "vec_key": pa.array([], pa.int64())})
-        xv, qv = (np.concatenate([c.flatten().to_numpy() for c in t.column("v").chunks]).reshape(-1, dim) for t in (x, q))
-        qi, xi, s = top_matches(qids, qv, ids, xv, k)
-        key = lambda v: (np.ascontiguousarray(v).view(np.int64) * np.arange(1, 2 * dim, 2)).sum(1)  # noqa: E731  tells rows of one id apart
-        return pa.table(dict(zip([*names, "vec_key"], [pa.array(qids[qi]), pa.array(key(qv[qi])), pa.array(ids[xi]), pa.array(s), pa.array(key(xv[xi]))])))
+        names = ["query_rid", "query_id", "rid", "vec_id", "score"]
+        if not len(x) or not len(q):
+            return pa.table({n: pa.array([], pa.float64() if n == "score" else pa.int64()) for n in names})
+        rids, ids, qrids, qids = (t.column(c).to_numpy() for t in (x, q) for c in ("rid", "vec_id"))
+        qi, xi, s = top_matches(qrids, _flat(q.column("v").combine_chunks()), rids, ids, _flat(x.column("v").combine_chunks()), k)
+        return pa.table(dict(zip(names, (pa.array(c) for c in (qrids[qi], qids[qi], rids[xi], ids[xi], s)))))
+
+    return search
+
+
+FOUND = "query_rid long, query_id long, rid long, vec_id long, score double"
+
 
-    found = left.groupBy("t", "b", "part").cogroup(right.groupBy("t", "b", "part")).applyInArrow(search, "query_id long, query_key long, vec_id long, score double, vec_key long")
-    found = found.dropDuplicates(["query_id", "query_key", "vec_id", "vec_key"])
-    best = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id", "vec_key")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+def _met(data: DataFrame, queries: DataFrame, on: list[str], k: int, block: int) -> DataFrame:
+    """The best ``k`` of each query among the rows of each key, both sides split where they are many."""
+    n = data.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
+    m = queries.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / ASKED).cast("int").alias("slices"))
+    both = stage(n.join(m.hint("merge"), on), "bucket-parts")
+    both = F.broadcast(both) if both.count() <= SMALL else both.hint("merge")
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    own = lambda c: F.pmod(F.xxhash64("rid"), F.col(c)).cast("int")
+    left = data.join(both, on).withColumn("part", own("parts")).withColumn("slice", each("slices")).select(*on, "part", "slice", "rid", "vec_id", "v")
+    right = queries.join(both, on).withColumn("slice", own("slices")).withColumn("part", each("parts")).select(*on, "part", "slice", "rid", "vec_id", "v")
+    key = [*on, "part", "slice"]
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_searched(k), FOUND)
 
 
-def _is_float(vectors: DataFrame) -> bool:
-    return vectors.schema["embedding"].dataType.simpleString() == "array<float>"
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best of each query; a row met in several buckets counts once."""
+    place = Window.partitionBy("query_rid").orderBy(F.desc("score"), "vec_id", "rid")
+    return found.dropDuplicates(["query_rid", "rid"]).withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k)
+
+
+def nearest(vectors: DataFrame, every: int = 50, k: int = 5, tables: int = TABLES, probes: int | None = None, axes: int = 1, block: int = BLOCK) -> DataFrame:
+    """``query_id, rank, vec_id, score``: each query's ``k`` nearest found. Queries are the rows of ``vectors`` (``vec_id``, ``embedding``) whose id is divisible by ``every``; candidates all rows but the query's own.
+
+    Vectors that are null, empty, zero or hold null or non-finite components, and rows with a null id, take no part. Vectors of different lengths are not compared. Rows
+    equal in id and vector are rows each, as queries and as candidates. Of rows with one vector only the k + 1 smallest ids are kept as candidates: no answer can hold more
+    of them. A query whose buckets hold fewer than ``k`` rows is compared with all rows, so only a table with fewer candidates gives fewer. An empty table gives
+    an empty one; other columns are not read. More ``axes`` make smaller buckets, of which more must be probed for the same recall: give ``probes`` then. ``block``
+    bounds the rows of a bucket searched at once.
+    """
+    if probes is None and axes != 1:
+        raise ValueError(f"no measured number of probes for {axes} axes: give probes")
+    kept = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    ok = F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kept).alias("v")).filter("vec_id is not null").filter(ok)
+    rows = rows.mapInArrow(_hashed(tables, axes, 1), f"vec_id long, v {kept}, bs array<long>")
+    rows = stage(rows.withColumn("rid", F.monotonically_increasing_id()).withColumn("h", F.xxhash64("v")).withColumn("d", F.size("v")), "vectors")
+    # Vectors that more than k + 1 rows share, and the last of these rows to keep.
+    often = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > k + 1).select("h")
+    place = F.row_number().over(Window.partitionBy("h").orderBy("vec_id", "rid"))
+    last = rows.select("h", "vec_id", "rid").join(often.hint("merge"), "h").withColumn("n", place).filter(F.col("n") <= k + 1)
+    last = stage(last.groupBy("h").agg(F.max(F.struct("vec_id", "rid")).alias("last")), "repeated")
+    last = F.broadcast(last) if last.count() <= SMALL else last.hint("merge")
+    data = rows.join(last, "h", "left").filter(F.col("last").isNull() | (F.struct("vec_id", "rid") <= F.col("last")))
+    queries = rows.filter(F.col("vec_id") % every == 0).select("rid", "vec_id", "d", "v")
+    placed = data.select("d", F.explode("bs").alias("b"), "rid", "vec_id", "v")
+    probed = queries.mapInArrow(_hashed(tables, axes, probes or PROBES), f"rid long, vec_id long, d int, v {kept}, bs array<long>").select("d", F.explode("bs").alias("b"), "rid", "vec_id", "v")
+    found = stage(_best(_met(placed, probed, ["d", "b"], k, block), k), "found")
+    held = found.groupBy(F.col("query_rid").alias("rid")).agg(F.count(F.lit(1)).alias("held"))
+    short = stage(queries.join(held.hint("merge"), "rid", "left").filter(F.coalesce("held", F.lit(0)) < k).drop("held"), "short")
+    if short.limit(1).count():
+        again = _best(_met(data.select("d", "rid", "vec_id", "v"), short, ["d"], k, block), k)
+        found = found.join(short.select(F.col("rid").alias("query_rid")).hint("merge"), "query_rid", "left_anti").unionByName(again)
+    return found.select("query_id", "rank", "vec_id", "score")

@@ -41,8 +41,8 @@ def op8_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = read(spark, sf_dir, "conversations")
     odd = "<|im_end|><|im_start|>assistant ok"
     added = spark.createDataFrame([(-1, 0, "user", odd), (-1, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
-    nodes = chat.linear_tree(conversations.select("conv_id", "turn", "role", "text").unionByName(added))
-    return chat.digests(chat.write_conversations(nodes))
+    turns = conversations.select("conv_id", "turn", "role", "text").unionByName(added)
+    return chat.digests(chat.write_conversations(chat.linear_tree(turns), skeleton=chat.linear_tree(turns, texts=False)))
 
 
 def op9_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

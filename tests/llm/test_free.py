@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from panelwright.llm import neardup, neighbours, packing, tokenfile, tokens, warc
 from tests.llm.test_native import ODD, SCHEMA, SF
@@ -221,6 +222,9 @@ def test_archive(spark):
     records = warc.archive(both)
     assert Counter(map(tuple, warc.digests(records).collect())) == want
     assert records.filter("not payload_ok or payload is null").count() == 0
+    for damaged in (records.withColumn("payload_ok", F.lit(False)), records.withColumn("payload", F.lit(b"other")), records.withColumn("payload_ok", F.lit(None).cast("boolean"))):
+        with pytest.raises(Exception, match="payload lost or damaged"):
+            warc.digests(damaged).collect()
     for r in warc.warc_bytes(records).collect():
         head, _, rest = bytes(r.record).partition(b"\r\n\r\n")
         fields = dict(x.split(b": ", 1) for x in head.split(b"\r\n")[1:])
@@ -247,7 +251,7 @@ def test_neighbours(spark):
     centres = rng.normal(size=(20, 24))
     x = (centres[rng.integers(0, 20, 3000)] + rng.normal(size=(3000, 24)) * 0.7).astype(np.float32)
     x[100:160] = x[100]
-    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(5000, None, 0), (5050, [0.0] * 24, 0), (5100, [float("nan")] * 24, 0), (5150, [None] + [1.0] * 23, 0), (None, [1.0] * 24, 0), (5200, [], 0), (50, x[50].tolist(), 0)]
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(5000, None, 0), (5050, [0.0] * 24, 0), (5100, [float("nan")] * 24, 0), (5150, [None] + [1.0] * 23, 0), (None, [1.0] * 24, 0), (5200, [], 0), (50, x[50].tolist(), 0), (5250, [float("inf")] + [1.0] * 23, 0), (6000, [1.0, 2.0], 0), (6001, [2.0, 1.0], 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, v int")
     got = defaultdict(list)
     for r in neighbours.nearest(df).orderBy("query_id", "rank").collect():
@@ -255,7 +259,9 @@ def test_neighbours(spark):
     y = x.astype(float)
     n = np.sqrt((y * y).sum(1))
     hits = 0
-    assert sorted(got) == list(range(0, 3000, 50))
+    assert sorted(got) == [*range(0, 3000, 50), 6000] and [f[:2] for f in got.pop(6000)] == [(1, 6001)]
+    twice = got.pop(50)  # two rows of one id and vector, each the other's nearest
+    assert sorted(f[:2] for f in twice)[:2] == [(1, 50), (1, 50)] and len(twice) == 10
     for q, found in got.items():
         s = (y * y[q]).sum(1) / (n * n[q])
         s[q] = -9
@@ -277,13 +283,20 @@ def test_neighbours_with_more_axes(spark):
     s = y[::50] @ y.T
     s[np.arange(len(s)), np.arange(0, 4000, 50)] = -9
     best = {50 * q: set(r[:5]) for q, r in enumerate(np.argsort(-s, axis=1).tolist())}
-    for options in ({}, {"block": 10}, {"axes": 2}):
+    for options in ({}, {"block": 10}, {"axes": 2, "probes": 2500}):
         found = defaultdict(set)
         for r in neighbours.nearest(df, **options).collect():
             found[r.query_id].add(r.vec_id)
         assert sum(len(best[q] & found[q]) for q in best) >= 0.9 * 5 * len(best), options
     with pytest.raises(ValueError):
-        neighbours.nearest(df, axes=3)
+        neighbours.nearest(df, axes=2)
+    # Queries whose buckets hold too few are compared with all rows.
+    few = defaultdict(list)
+    for r in neighbours.nearest(df.filter("vec_id < 400"), tables=1, probes=1, axes=2).orderBy("query_id", "rank").collect():
+        few[r.query_id].append(r.vec_id)
+    assert len(few) == 8 and all(len(f) == 5 for f in few.values())
+    exact = sum(set(few[q]) == {i for i in np.lexsort((np.arange(400), -s[q // 50][:400]))[:5]} for q in few)
+    assert exact >= 7
 
 
 def test_copies_of_one_text_all_linked(spark):

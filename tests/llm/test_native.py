@@ -138,6 +138,8 @@ def test_chat_round_trip(spark):
     both = extra.select("conv_id", "turn", "role", "text").unionByName(spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text"))
     got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.digests(chat.write_conversations(chat.linear_tree(both))).collect()}
     assert got == brute_chat(both.collect())
+    narrow = chat.write_conversations(chat.linear_tree(both), skeleton=chat.linear_tree(both, texts=False))
+    assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.digests(narrow).collect()} == got
     formatted = {r.conv_id: r.formatted for r in chat.format_paths(chat.linear_tree(both)).collect()}
     assert all(f.count("<|im_start|>") == got[k][0] for k, f in formatted.items())
     assert chat.digests(chat.format_paths(chat.linear_tree(extra.limit(0)))).count() == 0
@@ -148,6 +150,13 @@ def test_chat_picks_the_best_path(spark):
     df = spark.createDataFrame(nodes, "tree string, node long, parent long, score double")
     got = sorted((r.tree or "", r.depth, r.node) for r in chat.chosen_paths(df).collect())
     assert got == [("", 0, 7), ("", 1, 8), ("t", 0, 1), ("t", 1, 2), ("t", 2, 4), ("u", 0, 1)]
+    every = {(r.tree or "", r.path): [] for r in chat.chosen_paths(df, None).collect()}
+    for r in chat.chosen_paths(df, None).orderBy("depth").collect():
+        every[r.tree or "", r.path].append(r.node)
+    assert every == {("", 1): [7, 8], ("", 2): [7, 9], ("t", 1): [1, 2, 4], ("t", 2): [1, 3, 5, 6], ("u", 1): [1]}
+    texts = df.withColumn("role", F.lit("user")).withColumn("text", F.col("node").cast("string"))
+    shown = {(r.conv_id, r.path): r.formatted for r in chat.format_paths(texts, 2).collect()}
+    assert shown["t", 2] == "".join(f"<|im_start|>user\n{n}<|im_end|>\n" for n in (1, 3, 5, 6)) and len(shown) == 5
     long = spark.createDataFrame([("c", i, i - 1 if i else None, 1.0) for i in range(300)], "tree string, node long, parent long, score double")
     assert chat.chosen_paths(long).count() == 300
 
@@ -164,3 +173,17 @@ def test_sql_twins(spark, name):
     got = queries.QUERIES[name](spark, SF)
     assert sorted(got.columns) == cols
     assert Counter(tuple(r[c] for c in cols) for r in got.collect()) == rows
+
+
+def test_rows_of_two_sources_with_one_id_and_text(spark):
+    body = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, "a", body), (1, "b", body), (2, "b", body + "\n\nlast line"), (3, None, body), (4, "c", body + "  x\n y")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    taken = Counter()
+    for r in mixing.mix(df).collect():
+        taken[(r.mix_source, r.doc_id)] += r.taken
+    got = Counter()
+    for r in mixing.mixed_documents(df).collect():
+        got[("0" + r.source if r.source else "1", r.doc_id)] += len(r.text.split())
+        assert any(t.startswith(r.text) for i, s, t in rows if (i, s) == (r.doc_id, r.source))
+    assert got == Counter({k: n for k, n in taken.items() if n})
