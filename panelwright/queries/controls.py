@@ -84,9 +84,9 @@ def own_fills(spark, d):
 @register("rc5_fills", f"""WITH {TRADES}, {BROKER}, j AS (SELECT br.account || '|' || br.symbol || '|' || br.filled_at || '|' || br.side AS fill_id, bk.quantity AS oq, bk.price AS op, br.quantity AS q, br.price AS p FROM br LEFT JOIN bk USING (account, symbol, filled_at, side)),
 u AS (SELECT fill_id, 'FILL_MISSING_INTERNAL' AS issue, CAST(NULL AS DOUBLE) AS internal_value, q AS broker_value, CAST(NULL AS DOUBLE) AS discrepancy FROM j WHERE oq IS NULL
 UNION ALL SELECT fill_id, 'FILL_QUANTITY_MISMATCH', oq, q, oq - q FROM j WHERE abs(oq - q) > 1e-6 UNION ALL SELECT fill_id, 'FILL_PRICE_MISMATCH', op, p, op - p FROM j WHERE abs(op - p) > 1e-4)
-SELECT fill_id, issue, round(internal_value, 4) AS internal_value, round(broker_value, 4) AS broker_value, round(discrepancy, 4) AS discrepancy FROM u""")
+SELECT fill_id, issue, round(internal_value, 10) AS internal_value, round(broker_value, 10) AS broker_value, round(discrepancy, 6) AS discrepancy FROM u""")
 def _(spark, d):
-    return rounded(B.reconcile_fills(broker_fills(spark, d), own_fills(spark, d)), 4)
+    return rounded(rounded(B.reconcile_fills(broker_fills(spark, d), own_fills(spark, d)), 10).withColumn("discrepancy", F.round("discrepancy", 6)), 10)
 
 
 #: Target weights by the number in a symbol's name: odd ones short; the locate table lends all but multiples of three.
