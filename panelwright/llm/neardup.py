@@ -233,8 +233,9 @@ def links(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, rows: int
     ranked = members.join(degree.hint("merge"), "tkey")
     pivot = ranked.groupBy("key").agg(F.max(F.struct("degree", "tkey")).alias("p")).select("key", F.col("p.tkey").alias("pivot"))
     members = stage(members.join(pivot.hint("merge"), "key").select("key", "tkey", "pivot"), "pivots")
-    wanted = members.select(F.col("tkey").alias("k")).distinct()
-    texts = docs.join(wanted.hint("merge"), docs["tkey"] == wanted["k"], "left_semi").dropDuplicates(["tkey"]).select("tkey", "text")
+    wanted = members.select("tkey").distinct()
+    # Copies are merged before the shuffle, which the join then shares.
+    texts = docs.select("tkey", "text").dropDuplicates(["tkey"]).join(wanted.hint("merge"), "tkey", "left_semi")
     texts = stage(texts, "candidate-texts")
     first = members.filter("tkey != pivot").select(F.col("pivot").alias("a"), F.col("tkey").alias("b")).distinct()
     first = stage(verify(first, texts), "pivot-sims")
