@@ -48,6 +48,8 @@ def let(value: Column, body) -> Column:
 
 
 SALTS = 64
+#: Rows of a narrow table that may be broadcast; its size is counted first, and a larger one is joined otherwise.
+SMALL = 200_000
 
 
 def looked_up(rows: DataFrame, key: str, table: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, running_before, stage
+from .common import SALTS, SMALL, WORD, looked_up, running_before, stage
 
 #: Weights of the sources in code point order, null last, repeating.
 WEIGHTS = (5, 2, 1)
@@ -66,7 +66,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3
     goal = goal.withColumn("__rest", F.col("__budget") - F.col("__epochs") * F.col("source_size"))
     placed = running_before(sized, "__src", "__key", [F.col("doc_id"), F.col("size")], F.col("size"), "__before")
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("__rest") - F.col("__before")))
-    return placed.join(goal.hint("merge"), "__src").select("doc_id", "size", "source_size", "target", (F.col("__epochs") * F.col("size") + part).cast("long").alias("taken"), F.col("__key").alias("mix_key"), F.col("__src").alias("mix_source"))
+    if goal.count() <= SMALL:  # one row per source, each of some 60 bytes
+        joined = placed.join(F.broadcast(goal), "__src")
+    else:
+        joined = looked_up(placed.withColumn("salt", F.pmod("__key", F.lit(SALTS)).cast("int")), "__src", goal)
+    return joined.select("doc_id", "size", "source_size", "target", (F.col("__epochs") * F.col("size") + part).cast("long").alias("taken"), F.col("__key").alias("mix_key"), F.col("__src").alias("mix_source"))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3, seed: int = 7) -> DataFrame:

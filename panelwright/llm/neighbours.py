@@ -16,14 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stage
+from .common import SMALL, stage
 
 #: Tables, and buckets probed in each: 0.96 of the five nearest of real vectors (64 dimensions) with one axis. Fewer tables ship the vectors fewer times, more probes make up for it.
 TABLES, PROBES = 3, 32
 #: Rows and probes of a bucket that meet in one group.
 BLOCK, ASKED = 16_000, 32_000
-#: Rows of a per-bucket or per-vector table that may be broadcast (of about 50 bytes each); larger ones are joined by merge.
-SMALL = 200_000
 
 
 def hadamard(x):

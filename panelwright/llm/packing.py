@@ -13,7 +13,7 @@ from bisect import bisect_left, insort
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import running_before, stage
+from .common import SMALL, running_before, stage
 
 Groups = list[tuple[tuple[tuple[int, int], ...], int]]  # (((length, times), ...), how many sequences)
 
@@ -167,11 +167,13 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
     """
     pieces = stage(tokenized_pieces(docs, tokenizer, capacity, end_id, with_ids), "pieces")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most ``capacity`` rows
-    slots = pieces.sparkSession.createDataFrame(plan(counts, capacity), "length long, __lo long, __n long, __seq long, offset long")
+    planned = plan(counts, capacity)
+    slots = pieces.sparkSession.createDataFrame(planned, "length long, __lo long, __n long, __seq long, offset long")
     keyed = pieces.withColumn("__key", F.xxhash64("doc_id", "piece", "ids_crc32"))
     ranked = running_before(keyed, "length", "__key", [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")], F.lit(1).cast("long"), "__rank")
-    # The plan's size follows from the capacity, not from the documents.
-    placed = ranked.join(F.broadcast(slots), (ranked["length"] == slots["length"]) & (F.col("__rank") >= F.col("__lo")) & (F.col("__rank") < F.col("__lo") + F.col("__n")))
+    # The plan's size follows from the capacity, not from the documents: some 10,000 slots for 2048. A larger one (of a large capacity) is not broadcast.
+    here = F.broadcast(slots) if len(planned) <= SMALL else slots.hint("shuffle_hash")
+    placed = ranked.join(here, (ranked["length"] == slots["length"]) & (F.col("__rank") >= F.col("__lo")) & (F.col("__rank") < F.col("__lo") + F.col("__n")))
     out = placed.withColumn("sequence_id", F.col("__seq") + F.col("__rank") - F.col("__lo")).drop(slots["length"])
     return out.select(*pieces.columns, "sequence_id", "offset")
 
