@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,10 +36,23 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession):
+    """What runs inside lets go of its shuffle files when it ends, not when the driver's memory is next collected; for jobs whose result is written or returned, so that none is read twice."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def stage(df: DataFrame, name: str, **options) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors, and gives the planner true sizes."""
     path = shared_dir(df.sparkSession, name)
-    df.write.options(**({"compression": "zstd"} | options)).parquet(path)
+    with shuffles_freed(df.sparkSession):
+        df.write.options(**({"compression": "zstd"} | options)).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -22,13 +22,17 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import shared_dir, shuffles_freed
 from .words import mix, slices, unmix, word_hashes
 
 END_HASH = 0x5851F42D4C957F2D  # of the end token; words' hashes are scrambled, so none is equal but by chance
 RUN = 3_000_000  # tokens counted at a time
 START = 0xFFFFFFFF  # the context id of a text's first token; with order 3 two of them precede a text
 NARROW = 8
+#: Characters of training text to a segment of words, and of pairs and triples.
+WORD_CHARS, PAIR_CHARS = 600_000_000, 10_000_000
+#: Segments of one kind that a worker keeps mapped.
+MAPPED = 4096
 
 
 def local_path(uri: str) -> str:
@@ -147,18 +151,31 @@ class Model:
         return _OPEN[self]
 
 
+class Segments(dict):
+    """Segment -> what is mapped of it, opened when asked for; the one opened longest ago makes room."""
+
+    def __init__(self, open_one):
+        super().__init__()
+        self.open_one = open_one
+
+    def __missing__(self, s):
+        if len(self) >= MAPPED:
+            self.pop(next(iter(self)))
+        self[s] = out = self.open_one(s)
+        return out
+
+
 class Tables:
     """The mapped arrays of one model."""
 
     def __init__(self, model: Model):
         d = model.folder
         self.model = model
-        self.words = [_map(f"{d}/words-{s}.key", "<u8") for s in range(1 << model.word_bits)]
-        self.pairs = [self._counted("pairs", s) for s in range(1 << model.pair_bits)] if model.pair_bits >= 0 else []
-        whole = model.order > 2 and model.unknown >= 0
-        self.triples = [self._counted("triples", s) for s in range(1 << model.pair_bits)] if whole else []
-        self.wide = [_map(f"{d}/wide-{s}", "<i8").reshape(-1, 5) for s in range(1 << model.pair_bits)] if whole else []
-        self.dense = [_map(f"{d}/dense-{s}", DENSE) for s in range(1 << model.word_bits)] if model.unknown >= 0 else []
+        self.words = Segments(lambda s: _map(f"{d}/words-{s}.key", "<u8"))
+        self.pairs = Segments(lambda s: self._counted("pairs", s))
+        self.triples = Segments(lambda s: self._counted("triples", s))
+        self.wide = Segments(lambda s: _map(f"{d}/wide-{s}", "<i8").reshape(-1, 5))
+        self.dense = Segments(lambda s: _map(f"{d}/dense-{s}", DENSE)) if model.unknown >= 0 else None
 
     def _counted(self, name: str, s: int):
         keys = _map(f"{self.model.folder}/{name}-{s}.key", "<u8")
@@ -189,7 +206,7 @@ class Tables:
                 at = np.minimum(np.searchsorted(table, part), len(table) - 1)
                 hit = table[at] == part
                 out[where] = np.where(hit, at + self.model.bases[s], -1)
-                if self.dense:
+                if self.dense is not None:
                     rows[where][hit] = self.dense[s][at[hit]]
 
         self._search(unique, self.model.word_bits, found)
@@ -328,7 +345,8 @@ def _merged(blocks: DataFrame, folder: str, name: str, bits: int) -> dict[int, t
         return pa.table({"seg": pa.array([seg], pa.int32()), "n": pa.array([len(keys)]), "c": pa.array([int(counts.sum())])})
 
     os.makedirs(folder, exist_ok=True)
-    done = {r.seg: (r.n, r.c) for r in blocks.groupBy("seg").applyInArrow(merge, "seg int, n long, c long").collect()}
+    with shuffles_freed(blocks.sparkSession):
+        done = {r.seg: (r.n, r.c) for r in blocks.groupBy("seg").applyInArrow(merge, "seg int, n long, c long").collect()}
     for s in range(1 << bits):  # segments without keys are empty files
         if s not in done:
             for end in ("key", "n"):
@@ -399,7 +417,8 @@ def _triples(texts: DataFrame, model: Model) -> tuple[float, float, float]:
 
     segments = spark.range(0, 1 << bits, 1, min(1 << bits, 256)).select(F.col("id").cast("int").alias("s"))
     blocks = segments.mapInArrow(summed, "seg int, keys binary, counts binary")
-    found = {r.seg: list(r.total) for r in blocks.groupBy("seg").applyInArrow(gathered, "seg int, total array<long>").collect()}
+    with shuffles_freed(spark):
+        found = {r.seg: list(r.total) for r in blocks.groupBy("seg").applyInArrow(gathered, "seg int, total array<long>").collect()}
     kinds = found[-1]
     return discounts(kinds[1], kinds[2], kinds[4], kinds[5])
 
@@ -410,8 +429,9 @@ def train(texts: DataFrame, chars: int, order: int = 2) -> Model:
         raise ValueError(f"the order must be 2 or 3, not {order}")
     spark = texts.sparkSession
     folder = local_path(shared_dir(spark, "kneser-ney"))
-    word_bits = min(12, max(2, (chars // 150_000_000 + 1).bit_length()))
-    pair_bits = min(16, max(3, (chars // 10_000_000 + 1).bit_length()))
+    # A segment's blocks meet in one task: their number follows the text's size, for words (few are new after a while) and for pairs and triples.
+    word_bits = max(2, (chars // WORD_CHARS + 1).bit_length())
+    pair_bits = max(3, (chars // PAIR_CHARS + 1).bit_length())
     words = _merged(_counted(texts, word_bits, lambda t: token_rows(t)[0]), folder, "words", word_bits)
     bases, n_words = [], 0
     for s in range(1 << word_bits):
@@ -486,7 +506,8 @@ def train(texts: DataFrame, chars: int, order: int = 2) -> Model:
             total = np.array([left.sum(), *((left == k).sum() for k in (1, 2)), (left >= 3).sum(), (left == 3).sum(), (left == 4).sum()])
         return pa.table({"seg": pa.array([seg], pa.int32()), "total": pa.array([[int(x) for x in total]], pa.list_(pa.int64()))})
 
-    found = {r.seg: list(r.total) for r in blocks.groupBy("seg").applyInArrow(gathered, "seg int, total array<long>").collect()}
+    with shuffles_freed(spark):
+        found = {r.seg: list(r.total) for r in blocks.groupBy("seg").applyInArrow(gathered, "seg int, total array<long>").collect()}
     pair_kinds, start = found.get(-1, [0] * 6), found.get(-2, [0] * 4)
     lower = [sum(t[k] for s, t in found.items() if s >= 0) for k in range(6)]
     d2 = discounts(pair_kinds[1], pair_kinds[2], pair_kinds[4], pair_kinds[5])

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import shared_dir, stage
+from .common import shared_dir, shuffles_freed, stage
 
 LAYOUT = {
     "parquet.writer.version": "v2", "parquet.enable.dictionary": "true", "parquet.dictionary.page.size": str(1 << 20), "parquet.block.size": str(32 << 20),
@@ -88,5 +88,6 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFr
     """Write ``docs`` to a new folder of the shared one and return what ``digests`` reads back. An empty table gives an empty one."""
     spark = docs.sparkSession
     path = shared_dir(spark, "tokens")
-    write_tokens(docs, path, tokenizer, end_id)
+    with shuffles_freed(spark):
+        write_tokens(docs, path, tokenizer, end_id)
     return digests(spark, path)

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SALTS, looked_up, shared_dir
+from .common import SALTS, looked_up, shared_dir, shuffles_freed
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 CRLF = "\r\n"
@@ -108,5 +108,6 @@ def archive(pages: DataFrame) -> DataFrame:
     """``pages`` written to a new archive in the shared folder, and its records read back."""
     spark = pages.sparkSession
     path = shared_dir(spark, "warc")
-    write_archive(pages, path)
+    with shuffles_freed(spark):
+        write_archive(pages, path)
     return read_records(spark, path)

@@ -93,7 +93,7 @@ def test_pipeline_stages(spark, docs):
     assert Counter(map(tuple, first.collect())) == Counter(map(tuple, rows))
     second = corpus_pipeline.near_dedup(spark, first, SF).cache()
     kept = Counter(r.doc_id for r in second.collect())
-    assert second.columns == docs.columns and kept == Counter({k for _, k, _ in brute_classes(rows)})
+    assert second.columns == docs.columns and kept == Counter({k for _, k in brute_classes(rows)})
     third = corpus_pipeline.mix_sources(spark, second, SF).cache()
     assert third.columns == docs.columns
     sizes = Counter()
