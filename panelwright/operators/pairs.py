@@ -29,6 +29,21 @@ def sides(rows: DataFrame, columns: list[str], on: list[str]) -> DataFrame:
     return a.join(b, on).filter("i < j")
 
 
+def all_pairs(symbols: DataFrame, on: list[str] = []) -> DataFrame:  # noqa: B006
+    """``i, j`` of every unordered pair of the rows of ``symbols`` (``symbol`` and the ``on`` keys), a dimension: one row per symbol, not per bar."""
+    a, b = symbols.withColumnRenamed("symbol", "i"), symbols.withColumnRenamed("symbol", "j")
+    both = a.join(b, on) if on else a.withColumn("__all", F.lit(1)).join(b.withColumn("__all", F.lit(1)).hint("merge"), "__all").drop("__all")
+    return both.filter("i < j")
+
+
+def spread_z(spreads: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """Adds ``z``: the spread against mean and deviation of its last ``n`` bars, 0 and 1 before the window is full."""
+    w = Window.partitionBy(*keys).orderBy("bar_ts").rowsBetween(-(n - 1), Window.currentRow)
+    whole = F.count("spread").over(w) == n
+    mean, sd = F.when(whole, F.avg("spread").over(w)).otherwise(0.0), F.when(whole, F.stddev_samp("spread").over(w)).otherwise(1.0)
+    return spreads.withColumn("z", (F.col("spread") - mean) / (sd + 1e-8))
+
+
 def form_pairs(rows: DataFrame, form: int, top: int, share: float = 0.8) -> DataFrame:
     """The ``top`` pairs of each cohort by mean squared distance of normalised prices, with the mean and deviation (floor 1e-4) of their spread.
 
