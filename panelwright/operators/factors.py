@@ -111,3 +111,77 @@ def max_drawdown_hedge(a_dd: Column, b_ret: Column, threshold: float) -> tuple[C
 
 def annual(mean: Column, sd: Column, bars: int) -> Column:
     return F.when(sd > 0, mean / sd * math.sqrt(bars))
+
+
+def guarded_zscore(x: str, least: float = 1e-8) -> Column:
+    """Over the symbols of one date; 0 where they do not differ."""
+    w = Window.partitionBy("bar_ts")
+    sd = F.stddev_samp(x).over(w)
+    return F.when(F.coalesce(sd, F.lit(0.0)) < least, 0.0).otherwise((F.col(x) - F.avg(x).over(w)) / sd)
+
+
+def weighted(scores: dict[str, float], veto: tuple[str, float] | None = None) -> Column:
+    """Sum of weights times scores; -999 where the veto's score lies below its bound."""
+    total = sum((w * F.col(s) for s, w in scores.items()), F.lit(0.0))
+    return total if veto is None else F.when(F.col(veto[0]) < veto[1], -999.0).otherwise(total)
+
+
+def dynamic_carry(panel: DataFrame, legs: DataFrame, n: int, vol_bars: int, bars_per_year: int) -> DataFrame:
+    """``symbol, bar_ts, carry`` from prices alone, lagged one bar.
+
+    ``legs``: symbol, leg (two bond legs ``long`` and ``short``, currencies ``base``, ``x`` and ``y``, else null), base (its own level), slope. The change over ``n`` bars of the bond legs' ratio and of the
+    base currency against each other one are one row per date; a symbol without a leg has its level over its volatility."""
+    named = panel.select("symbol", "bar_ts", "close").join(F.broadcast(legs), "symbol", "left")
+    day = named.groupBy("bar_ts").pivot("leg", ["long", "short", "base", "x", "y"]).agg(F.first("close"))
+    t = Window.orderBy("bar_ts")  # one row per date
+    ffill = lambda c: F.last(c, ignorenulls=True).over(t.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    day = day.select("bar_ts", *[ffill(c).alias(c) for c in ("long", "short", "base", "x", "y")])
+    change = lambda a, b: F.coalesce((F.col(a) / F.col(b)) / F.lag(F.col(a) / F.col(b), n).over(t) - 1, F.lit(0.0))
+    day = day.select("bar_ts", change("long", "short").alias("term"), change("base", "x").alias("fx"), change("base", "y").alias("fy"))
+    w = by_time()
+    ret = F.coalesce(F.col("close") / F.lag("close").over(w) - 1, F.lit(0.0))
+    x = named.withColumn("ret", ret).join(day, "bar_ts")
+    sd = F.when(F.count("ret").over(last(vol_bars)) == vol_bars, F.nullif(F.stddev_samp("ret").over(last(vol_bars)) * math.sqrt(bars_per_year), F.lit(0.0)))
+    x = x.withColumn("sd", sd).withColumn("vol", F.coalesce(F.last("sd", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(0.15)))
+    leg = F.col("leg")
+    move = F.when(leg.isin("long", "short"), F.col("term")).when(leg == "base", F.col("fx") + F.col("fy")).when(leg == "x", F.col("fx")).when(leg == "y", F.col("fy"))
+    raw = F.when(leg.isNull(), F.col("level") / F.col("vol")).otherwise(F.col("level") + F.col("slope") * move)
+    return x.withColumn("raw", raw).select("symbol", "bar_ts", F.coalesce(F.lag("raw").over(w), F.lit(0.0)).alias("carry"))
+
+
+def with_trend(selected: DataFrame, trend: DataFrame) -> DataFrame:
+    """Longs above their moving average and shorts below it; ``trend``: symbol, bar_ts, close, sma. Those without an average go."""
+    x = selected.join(trend, ["symbol", "bar_ts"])
+    return x.filter((F.col("side") > 0) & (F.col("close") > F.col("sma")) | (F.col("side") < 0) & (F.col("close") < F.col("sma"))).drop("close", "sma")
+
+
+def score_weights(selected: DataFrame, score: str, vol: str, floor: float = 0.1, short_scale: float = 1.0, gate: float | None = None, mode: str = "LONG_SHORT", keys: list[str] = []) -> DataFrame:  # noqa: B006
+    """Adds ``weight``: each side of a date sums to 1 (shorts to -``short_scale``), shared by the score's size, ``floor`` at least, over volatility.
+
+    ``gate`` scales all weights of a date by gate / median volatility where that is above it, to 0.2 at least (needs ``med_vol``). ``mode``: LONG_SHORT, LONG_ONLY or SHORT_ONLY."""
+    keep = {"LONG_SHORT": F.lit(True), "LONG_ONLY": F.col("side") > 0, "SHORT_ONLY": F.col("side") < 0}[mode]
+    size = F.greatest(F.lit(floor), F.col("side") * F.col(score)) / (F.col(vol) + 1e-8)
+    w = size / F.sum(size).over(Window.partitionBy(*keys, "bar_ts", "side")) * F.when(F.col("side") < 0, -short_scale).otherwise(1.0)
+    out = selected.filter(keep).withColumn("weight", w)
+    if gate is not None:
+        out = out.withColumn("weight", F.col("weight") * F.when(F.col("med_vol") > gate, F.greatest(F.lit(0.2), gate / F.col("med_vol"))).otherwise(1.0))
+    return out
+
+
+def blended(pair: DataFrame, vol: int, cov: int, limit: float = 0.08) -> DataFrame:
+    """Of two return streams ``x, y`` by ``bar_ts`` (one row per date): equal, 70/30, inverse-volatility, least-variance (weight kept in 0.1 to 0.9) and drawdown-gated blends.
+
+    Windows end one bar earlier; before they are full the blend is null, nothing is filled from the future."""
+    t = Window.orderBy("bar_ts")
+    past = lambda n: t.rowsBetween(-n, -1)
+    full = lambda n, f: F.when(F.count("x").over(past(n)) == n, f.over(past(n)))
+    z = pair.withColumn("sx", full(vol, F.stddev_samp("x"))).withColumn("sy", full(vol, F.stddev_samp("y"))).withColumn("c", full(cov, F.covar_samp("x", "y")))
+    z = z.withColumn("eq", F.product(1 + F.col("x")).over(t.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    z = z.withColumn("dd", F.col("eq") / F.max("eq").over(t.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 1).withColumn("was", F.coalesce(F.lag("dd").over(t), F.lit(0.0)))
+    a, b = F.coalesce(F.nullif("sx", F.lit(0.0)), F.when(F.col("sx") == 0, 0.01)), F.coalesce(F.nullif("sy", F.lit(0.0)), F.when(F.col("sy") == 0, 0.01))
+    wv = (1 / a) / (1 / a + 1 / b)
+    wm = F.greatest(F.lit(0.1), F.least(F.lit(0.9), (b * b - F.col("c")) / (a * a + b * b - 2 * F.col("c") + 1e-8)))
+    wm = F.when(F.col("c").isNotNull(), wm)
+    wd = F.when(F.col("was") < -limit, 0.3).otherwise(0.7)
+    mix = lambda w: w * F.col("x") + (1 - w) * F.col("y")
+    return z.select("bar_ts", mix(F.lit(0.5)).alias("equal"), mix(F.lit(0.7)).alias("tilted"), mix(wv).alias("inverse_vol"), mix(wm).alias("least_variance"), mix(wd).alias("gated"))

@@ -105,3 +105,103 @@ def signal_vector(m: DataFrame) -> DataFrame:
 
 def persistence(m: DataFrame) -> DataFrame:
     return m.groupBy("symbol").agg(F.avg(F.when(F.col("from_state") == F.col("to_state"), F.col("p"))).alias("persistence"))
+
+
+def running_counts(labelled: DataFrame, stride: int) -> DataFrame:
+    """Adds ``k0, k1, k2``: transitions complete by this bar from its own state to each state, and ``b0, b1, b2``, how often each state occurred so far."""
+    x = labelled.withColumn("__was", F.lag("state", stride).over(by_time()))
+    for j in range(3):
+        row = [F.sum(F.when((F.col("__was") == i) & (F.col("state") == j), 1).otherwise(0)).over(so_far()) for i in range(3)]
+        x = x.withColumn(f"k{j}", F.when(F.col("state") == 0, row[0]).when(F.col("state") == 1, row[1]).otherwise(row[2]))
+        x = x.withColumn(f"b{j}", F.sum(F.when(F.col("state") == j, 1).otherwise(0)).over(so_far()))
+    return x.drop("__was")
+
+
+def forecast_scores(labelled: DataFrame, stride: int, min_train: int, eps: float = 1e-15) -> DataFrame:
+    """Per symbol: log loss and Brier score of the expanding transition matrix's forecasts ``stride`` bars ahead, and of the base rates'. A row never left forecasts evenly."""
+    x = running_counts(labelled, stride).withColumn("truth", F.lead("state", stride).over(by_time())).withColumn("k", F.row_number().over(by_time()) - 1)
+    x = x.filter((F.col("k") >= min_train) & F.col("truth").isNotNull())
+    total, seen = F.col("k0") + F.col("k1") + F.col("k2"), F.col("b0") + F.col("b1") + F.col("b2")
+    p = [F.when(total > 0, F.col(f"k{j}") / total).otherwise(F.lit(1 / 3)) for j in range(3)]
+    b = [F.col(f"b{j}") / seen for j in range(3)]
+    pick = lambda q: F.when(F.col("truth") == 0, q[0]).when(F.col("truth") == 1, q[1]).otherwise(q[2])
+    loss = lambda q: F.avg(-F.ln(clip(pick(q), eps, 1 - eps)))
+    brier = lambda q: F.avg(sum(((q[j] - (F.col("truth") == j).cast("int")) * (q[j] - (F.col("truth") == j).cast("int")) for j in range(3)), F.lit(0.0)))
+    return x.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), loss(p).alias("log_loss"), loss(b).alias("base_log_loss"), brier(p).alias("brier"), brier(b).alias("base_brier"))
+
+
+def convergence(m: DataFrame, doublings: int) -> DataFrame:
+    """``symbol, steps, strongest, distance`` for 1, 2, 4 ... steps: the largest absolute signal and the largest total-variation distance of a row from the stationary distribution.
+
+    A symbol's matrix is one array of nine; a fold squares it, so the powers cost one row per symbol and no join."""
+    nine = m.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("from_state", "to_state", "p"))).alias("e")).select("symbol", F.transform("e", lambda x: x["p"]).alias("a"))
+    cell = lambda x, i, j: F.get(x, (i * 3 + j).cast("int"))
+
+    def square(x: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(8)), lambda k: sum((cell(x, F.floor(k / 3), F.lit(s)) * cell(x, F.lit(s), k % 3) for s in range(3)), F.lit(0.0)))
+
+    start = F.struct(F.col("a").alias("x"), F.array("a").alias("out"))
+    powers = F.aggregate(F.sequence(F.lit(1), F.lit(doublings)), start, lambda acc, _: F.struct(square(acc["x"]).alias("x"), F.concat(acc["out"], F.array(square(acc["x"]))).alias("out")))["out"]
+    rows = nine.join(stationary(m), "symbol").select("symbol", "pi0", "pi1", "pi2", F.posexplode(powers).alias("k", "x"))
+    at = lambda i, j: F.get("x", F.lit(3 * i + j))
+    strongest = F.greatest(*[F.abs(at(i, 2) - at(i, 0)) for i in range(3)])
+    distance = F.greatest(*[sum((F.abs(at(i, j) - F.col(f"pi{j}")) for j in range(3)), F.lit(0.0)) / 2 for i in range(3)])
+    return rows.select("symbol", F.pow(F.lit(2), F.col("k")).cast("int").alias("steps"), strongest.alias("strongest"), distance.alias("distance"))
+
+
+def history_check(labelled: DataFrame, windows: DataFrame, least: int = 5) -> DataFrame:
+    """Per symbol and named window (``name, first, last, expected``; a handful of rows): bars, the dominant state (the smaller on a tie), its share, and whether it is the one expected; null with fewer than ``least`` bars."""
+    inside = labelled.join(F.broadcast(windows), F.col("bar_ts").between(F.col("first"), F.col("last")))
+    n = inside.groupBy("symbol", "name", "expected", "state").agg(F.count(F.lit(1)).alias("n"))
+    g = n.groupBy("symbol", "name", "expected").agg(F.sum("n").alias("bars"), F.max(F.struct("n", (-F.col("state")).alias("s"))).alias("m"))
+    dominant = -F.col("m.s")
+    return g.select("symbol", "name", "bars", dominant.alias("dominant"), (F.col("m.n") / F.col("bars")).alias("share"), F.when(F.col("bars") >= least, dominant == F.col("expected")).alias("ok"))
+
+
+def tradeability(symbols: DataFrame, data: DataFrame, signal: DataFrame, null: DataFrame, baseline: DataFrame, least_signal: float = 0.05, percentile: float = 95.0) -> DataFrame:
+    """One row per symbol: ``status`` and the gates that fail, joined by ``;``. ``data``: unhandled; ``signal``: strongest; ``null``: percentile; ``baseline``: beats. A gate without a row has not been run and fails."""
+    x = symbols.join(data, "symbol", "left").join(signal, "symbol", "left").join(null, "symbol", "left").join(baseline, "symbol", "left")
+    failed = F.array_compact(F.array(
+        F.when(F.coalesce("unhandled", F.lit(0)) > 0, "CONTAMINATED"), F.when(F.coalesce(F.col("strongest") < least_signal, F.lit(True)), "NO_SIGNAL"),
+        F.when(F.col("percentile").isNull(), "NULL_NOT_RUN").when(F.col("percentile") < percentile, "FAILS_NULL"), F.when(~F.coalesce("beats", F.lit(True)), "FAILS_BASELINE"),
+    ))
+    return x.select("symbol", F.when(F.size(failed) == 0, "VALIDATED").otherwise("NOT_VALIDATED_AS_TRADEABLE").alias("status"), F.array_join(failed, ";").alias("failed"))
+
+
+def market_multipliers(panel: DataFrame, sma: int, vol: int, rank: int, mom: int, disp: int, start: int, every: int) -> DataFrame:
+    """``bar_ts`` and multipliers (1 or 0.5; the composite 1, 0.75 or 0.5) by trend, breadth, volatility and dispersion of the whole panel, from the bar before each rebalancing, held between; 1 before ``start``.
+
+    The market is the equal-weight curve. All windows after the first grouping run over one row per date."""
+    x = panel.withColumn("ret", trailing_return(1)).withColumn("m", trailing_return(mom))
+    # Symbols without a longer return count as not positive, as in the mean over all of a date.
+    day = x.groupBy("bar_ts").agg(F.coalesce(F.avg("ret"), F.lit(0.0)).alias("mkt"), F.avg(F.when(F.col("m") > 0, 1.0).otherwise(0.0)).alias("breadth"), F.stddev_samp("ret").alias("sd"))
+    t = Window.orderBy("bar_ts")
+    frame = lambda n: t.rowsBetween(-(n - 1), Window.currentRow)
+    whole = lambda c, n, f: F.when(F.count(c).over(frame(n)) == n, f.over(frame(n)))
+    d = day.withColumn("level", F.product(1 + F.col("mkt")).over(t.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("t", F.row_number().over(t) - 1)
+    d = d.withColumn("sma", whole("level", sma, F.avg("level"))).withColumn("vol", whole("mkt", vol, F.stddev_samp("mkt"))).withColumn("disp", whole("sd", disp, F.avg("sd")))
+    d = d.withColumn("h", F.collect_list("vol").over(frame(rank))).withColumn("pct", F.when(F.size("h") == rank, F.size(F.filter("h", lambda v: v <= F.col("vol"))) / rank))
+    d = d.withColumn("med", whole("disp", rank, F.percentile("disp", 0.5)))
+    true = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    flags = [true(F.col("level") > F.col("sma")), true(F.col("breadth") >= 0.5), true(F.col("pct") <= 0.8), true(F.col("disp") >= F.col("med"))]
+    d = d.withColumn("f", F.array(*flags)).withColumn("was", F.lag("f").over(t))
+    set_here = F.when((F.col("t") >= start) & ((F.col("t") - start) % every == 0), F.col("was"))
+    d = d.withColumn("f", F.last(set_here, ignorenulls=True).over(t.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    one = lambda i: F.when(F.get("f", F.lit(i)) == 0, 0.5).otherwise(1.0)
+    score = sum((F.get("f", F.lit(i)) for i in range(4)), F.lit(0))
+    return d.select("bar_ts", one(0).alias("trend"), one(1).alias("broad"), one(2).alias("calm"), one(3).alias("dispersed"), F.when(F.col("f").isNull() | (score >= 3), 1.0).when(score == 2, 0.75).otherwise(0.5).alias("composite"))
+
+
+def cluster_labels(features: DataFrame, columns: list[str], k: int = 3, seed: int = 0) -> DataFrame:
+    """States by k-means on standardised features of all symbols together, numbered by ascending mean of the first column; rows with a null or infinite feature are left out."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+
+    good = features
+    for c in columns:
+        good = good.filter(F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    x = VectorAssembler(inputCols=columns, outputCol="__raw").transform(good)
+    x = StandardScaler(inputCol="__raw", outputCol="__x", withMean=True).fit(x).transform(x)
+    x = KMeans(k=k, seed=seed, featuresCol="__x", predictionCol="__c").fit(x).transform(x).drop("__raw", "__x")
+    order = x.groupBy("__c").agg(F.avg(columns[0]).alias("__m")).withColumn("state", F.row_number().over(Window.orderBy("__m")) - 1).drop("__m")  # k rows
+    return x.join(F.broadcast(order), "__c").drop("__c")
