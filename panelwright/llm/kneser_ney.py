@@ -27,6 +27,7 @@ from .words import mix, slices, unmix, word_hashes
 
 END_HASH = 0x5851F42D4C957F2D  # of the end token; words' hashes are scrambled, so none is equal but by chance
 RUN = 3_000_000  # tokens counted at a time
+SLICE = 3_000_000  # characters looked up at a time: fewer would ask each segment for too few keys
 START = 0xFFFFFFFF  # the context id of a text's first token; with order 3 two of them precede a text
 NARROW = 8
 #: Characters of training text to a segment of words, and of pairs and triples.
@@ -318,7 +319,7 @@ def _counted(texts: DataFrame, bits: int, keys_of) -> DataFrame:
 
         held, n = [], 0
         for batch in batches:
-            for at, k in slices(batch.column(0)):
+            for at, k in slices(batch.column(0), SLICE):
                 held.append(keys_of(batch.column(0).slice(at, k).to_pylist()))
                 n += len(held[-1])
                 if n >= RUN:
@@ -573,7 +574,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         floor = np.log10(model.n_tokens + model.n_words + 1)
         for batch in batches:
             at_text = batch.schema.get_field_index("text")
-            for at, k in slices(batch.column(at_text)):
+            for at, k in slices(batch.column(at_text), SLICE):
                 part = batch.slice(at, k)
                 h, rows = token_rows(part.column(at_text).to_pylist())
                 p, c = probabilities(model, h, rows)
