@@ -78,8 +78,11 @@ def portfolio(held: DataFrame, bps: float, keys: list[str] = []) -> DataFrame:
 def hysteresis(ranks: DataFrame, n: int, keep_long: int, keep_short: int, keys: list[str] = []) -> DataFrame:  # noqa: B006
     """Longs stay while their rank is at most ``keep_long``, shorts while theirs is at least ``keep_short``; free places go to the best and the worst.
 
-    ``ranks``: keys, bar_ts, symbol, rnk (1 is best). One fold over the dates of each configuration, whose only state is two lists of ``n`` names.
+    ``ranks``: keys, bar_ts, symbol, rnk (1 is best), of rebalancing dates only. One fold over the dates of each configuration, whose only state is two lists of ``n`` names; of
+    a date it holds only the ranks that can matter, the best ``max(keep_long, 2 n)`` and those from ``keep_short`` or the worst ``3 n`` on.
     Returns keys, bar_ts, longs, shorts (arrays, best and worst rank first). A name never stands on both sides: longs are chosen first."""
+    most = F.max("rnk").over(Window.partitionBy(*keys, "bar_ts"))
+    ranks = ranks.withColumn("__n", most).filter((F.col("rnk") <= max(keep_long, 2 * n)) | (F.col("rnk") >= F.least(F.lit(keep_short), F.col("__n") - 3 * n + 1)))
     day = ranks.groupBy(*keys, "bar_ts").agg(F.sort_array(F.collect_list(F.struct("rnk", "symbol"))).alias("r"))
     days = day.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("bar_ts", "r"))).alias("days"))
     out_type = "array<struct<bar_ts:date,longs:array<string>,shorts:array<string>>>"

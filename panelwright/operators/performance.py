@@ -64,3 +64,16 @@ def deflated(stats: DataFrame, quantile, cdf) -> DataFrame:
     s = F.col("sharpe")
     z = (s - F.col("bench")) * F.sqrt(F.col("n") - 1) / F.sqrt(1 - F.col("skew") * s + (F.col("kurt") + 2) / 4 * s * s)
     return stats.crossJoin(F.broadcast(m)).select("symbol", "n", s.alias("s"), "bench", cdf(z).alias("dsr"))
+
+
+def verdicts(stats: DataFrame) -> DataFrame:
+    """``symbol, verdict, reasons, saturated`` from ``symbol, lo, hi, t, dsr``: rejected if the interval spans 0, the deflated ratio is under 0.95 or t under 2. A ratio of exactly 0 or 1 is a fault of its computation."""
+    reasons = F.array_compact(F.array(F.when((F.col("lo") < 0) & (F.col("hi") > 0), "CI_SPANS_ZERO"), F.when(F.col("dsr") < 0.95, "DSR"), F.when(F.col("t") < 2, "T")))
+    return stats.select("symbol", F.when(F.size(reasons) > 0, "REJECTED").otherwise("CONFIRMED").alias("verdict"), F.array_join(reasons, ";").alias("reasons"), F.col("dsr").isin(0.0, 1.0).alias("saturated"))
+
+
+def scorecard(criteria: DataFrame, names: list[str], minimum: str) -> DataFrame:
+    """Adds ``passed`` (how many of the named booleans hold) and a verdict: PROMOTE if all do, RETAIN if the ``minimum`` does, else REJECT. A null does not hold."""
+    flags = F.array(*[F.coalesce(F.col(n), F.lit(False)) for n in names])
+    verdict = F.when(F.forall(flags, lambda x: x), "PROMOTE").when(F.coalesce(F.col(minimum), F.lit(False)), "RETAIN").otherwise("REJECT")
+    return criteria.withColumn("passed", F.size(F.filter(flags, lambda x: x)).cast("long")).withColumn("verdict", verdict)

@@ -8,7 +8,7 @@ from ..operators import factors as A
 from ..operators import performance as P
 from ..operators import windows as W
 from ..sources.panels import weekly_panel
-from .panel import QUERIES, WEEK, r, register, rounded, week_returns
+from .panel import WEEK, r, register, rounded, week_returns
 
 #: Rebalance every 4 weeks, two names a side, at most 0.3 each; the calendar's bars are numbered from 0.
 EVERY, K, CAP, MOM, SKIP, VAL, VOL = 4, 2, 0.3, 26, 4, 52, 12
@@ -131,10 +131,21 @@ def _(spark, d):
     return v.select("bar_ts", F.round(F.when(whole & moves, F.try_divide(F.covar_samp("mom", "val").over(w), F.stddev_samp("mom").over(w) * F.stddev_samp("val").over(w))), 6).alias("corr"), F.round(F.when(whole, F.covar_samp("mom", "val").over(w)), 9).alias("cov"))
 
 
-def _hysteresis(spark, d):
-    """FA-8: a fold over dates, which plain SQL cannot say; the tests hold it against a loop."""
-    ranks = week_returns(spark, d).withColumn("mom", A.skip_momentum(MOM, SKIP)).filter("mom is not null").withColumn("rnk", W.rank("mom"))
-    return A.hysteresis(ranks.select(F.lit("all").alias("config"), "bar_ts", "symbol", "rnk"), K, K + 2, 4, ["config"]).drop("config")
+HYSTERESIS = f"""
+hm AS (SELECT symbol, bar_ts, lag(close, {SKIP}) OVER w / lag(close, {MOM}) OVER w - 1 AS mom FROM panel WINDOW w AS (PARTITION BY symbol ORDER BY bar_ts)),
+hl AS (SELECT bar_ts, list(symbol ORDER BY mom DESC, symbol) AS names, row_number() OVER (ORDER BY bar_ts) AS k FROM hm WHERE mom IS NOT NULL GROUP BY 1),
+h0 AS (SELECT 0 AS k, NULL::DATE AS bar_ts, []::VARCHAR[] AS longs, []::VARCHAR[] AS shorts
+  UNION ALL SELECT q.k, q.bar_ts, q.longs, list_concat(q.ks, list_filter(list_reverse(q.names), lambda s: NOT list_contains(q.ks, s) AND NOT list_contains(q.longs, s)))[1:{K}] FROM (
+    SELECT p.*, list_filter(list_reverse(p.names), lambda s: list_contains(p.ps, s) AND list_position(p.names, s) >= 4 AND NOT list_contains(p.longs, s)) AS ks FROM (
+      SELECT o.*, list_concat(o.kl, list_filter(o.names, lambda s: NOT list_contains(o.kl, s)))[1:{K}] AS longs FROM (
+        SELECT hl.k, hl.bar_ts, hl.names, h0.shorts AS ps, list_filter(hl.names, lambda s: list_contains(h0.longs, s) AND list_position(hl.names, s) <= {K + 2}) AS kl FROM h0 JOIN hl ON hl.k = h0.k + 1) o) p) q)"""
 
 
-QUERIES["fa8_hysteresis"] = _hysteresis
+@register("fa8_hysteresis", f"WITH RECURSIVE {WEEK}, {HYSTERESIS} SELECT bar_ts, array_to_string(longs, ',') AS longs, array_to_string(shorts, ',') AS shorts FROM h0 WHERE k > 0")
+def _(spark, d):
+    return week_hysteresis(spark, d).select("bar_ts", F.array_join("longs", ",").alias("longs"), F.array_join("shorts", ",").alias("shorts"))
+
+
+def week_hysteresis(spark, d):
+    ranks = week_returns(spark, d).withColumn("mom", A.skip_momentum(MOM, SKIP)).filter("mom is not null").withColumn("rnk", W.rank("mom"))
+    return A.hysteresis(ranks.select(F.lit("all").alias("config"), "bar_ts", "symbol", "rnk"), K, K + 2, 4, ["config"]).drop("config")

@@ -10,7 +10,7 @@ from ..functions.maths import ACKLAM, normal_cdf, normal_quantile
 from ..operators import inference as I
 from ..operators import performance as P
 from ..operators import regime as R
-from .panel import EARNED, LABELS, MIN_TRAIN, SIGNALS, WEEK, WIN, r, register, rounded, week_earned, week_labels, week_returns
+from .panel import EARNED, LABELS, MIN_TRAIN, ORACLES, QUERIES, SIGNALS, WEEK, WIN, r, register, rounded, week_earned, week_labels, week_returns
 
 #: Draws, least distance of a rotation from the real phase, bootstrap block.
 DRAWS, GUARD, BLOCK, LAGS = 100, 26, 13, 4
@@ -60,13 +60,52 @@ def _(spark, d):
     return rounded(I.empirical(sharpe(week_earned(spark, d)), by_name(null_sharpe(spark, d)), "sharpe"))
 
 
-@register("st8_block_bootstrap", f"""WITH {WEEK}, x AS (SELECT symbol, ret, row_number() OVER (PARTITION BY symbol ORDER BY bar_ts) - 1 AS k, count(*) OVER (PARTITION BY symbol) AS n FROM rets WHERE ret IS NOT NULL),
-p AS (SELECT symbol, draw, (draw * 7919 + (k // {BLOCK}) * 104729 + k % {BLOCK}) % n AS k FROM x, (SELECT unnest(range(1, {DRAWS + 1})) AS draw)),
-s AS (SELECT p.symbol, draw, avg(ret) / stddev_samp(ret) * sqrt(52) AS sharpe FROM p JOIN x USING (symbol, k) GROUP BY 1, 2)
-SELECT symbol, {r('quantile_cont(sharpe, 0.025) AS lo', 'median(sharpe) AS mid', 'quantile_cont(sharpe, 0.975) AS hi')} FROM s GROUP BY 1""")
+def _pick(n: str, *parts: str) -> str:
+    return f"((('0x' || substr(md5({' || chr(124) || '.join(parts)}), 1, 12))::BIGINT) % {n})"
+
+
+NUMBERED = "bx AS (SELECT symbol, ret, row_number() OVER (PARTITION BY symbol ORDER BY bar_ts) - 1 AS k, count(*) OVER (PARTITION BY symbol) AS n FROM rets WHERE ret IS NOT NULL)"
+PATHS = """
+pe AS (SELECT *, product(1 + ret) OVER (PARTITION BY symbol, draw ORDER BY j ROWS UNBOUNDED PRECEDING) AS eq FROM bd),
+pd AS (SELECT *, eq / greatest(1.0, max(eq) OVER (PARTITION BY symbol, draw ORDER BY j ROWS UNBOUNDED PRECEDING)) - 1 AS dd FROM pe),
+pp AS (SELECT symbol, draw, count(*) AS n, CASE WHEN stddev_samp(ret) > 0 THEN avg(ret) / stddev_samp(ret) * sqrt(52) END AS sharpe, product(1 + ret) AS growth, min(dd) AS max_drawdown FROM pd GROUP BY 1, 2),
+pq AS (SELECT *, CASE WHEN growth > 0 THEN growth ** (52.0 / n) - 1 ELSE -1.0 END AS cagr FROM pp)"""
+POINTS = (("lo", 0.025), ("mid", 0.5), ("hi", 0.975))
+
+
+@register("st8_block_bootstrap", f"""WITH {WEEK}, {NUMBERED}, bp AS (SELECT symbol, draw, k AS j, ({_pick('n', 'symbol', 'draw', f'(k // {BLOCK})')} + k % {BLOCK}) % n AS k FROM bx, (SELECT unnest(range(1, {DRAWS + 1})) AS draw)),
+bd AS (SELECT bp.symbol, draw, j, ret FROM bp JOIN bx USING (symbol, k)), {PATHS}
+SELECT symbol, {r(*[f'quantile_cont({m}, {q}) AS {m}_{n}' for m in ('sharpe', 'cagr', 'max_drawdown') for n, q in POINTS])} FROM pq GROUP BY 1""")
+def _(spark, d):
+    m = I.path_metrics(I.block_bootstrap(week_returns(spark, d), DRAWS, BLOCK), 52)
+    return rounded(m.groupBy("symbol").agg(*[F.percentile(c, q).alias(f"{c}_{n}") for c in ("sharpe", "cagr", "max_drawdown") for n, q in POINTS]))
+
+
+@register("st9_block_permutation", f"""WITH {WEEK}, {NUMBERED}, bb AS (SELECT *, k // {BLOCK} AS b FROM bx WHERE k < n // {BLOCK} * {BLOCK}), bo AS (SELECT symbol, b, draw, row_number() OVER (PARTITION BY symbol, draw ORDER BY CASE WHEN draw = 0 THEN lpad(CAST(b AS VARCHAR), 12, '0') ELSE md5(symbol || '|' || draw || '|' || b) END, b) - 1 AS place FROM (SELECT DISTINCT symbol, b FROM bb), (SELECT unnest(range(0, {DRAWS + 1})) AS draw)),
+bd AS (SELECT bo.symbol, draw, place * {BLOCK} + k % {BLOCK} AS j, ret FROM bo JOIN bb USING (symbol, b)), {PATHS}, pr AS (SELECT symbol, max_drawdown AS real FROM pq WHERE draw = 0)
+SELECT symbol, count(*) AS n_draws, {r('any_value(real) AS real', '(count(*) FILTER (max_drawdown >= real) + 1) / (count(*) + 1) AS p', 'avg(max_drawdown) AS mean', 'quantile_cont(max_drawdown, 0.05) AS q05', 'quantile_cont(max_drawdown, 0.95) AS q95')} FROM pq JOIN pr USING (symbol) WHERE draw > 0 GROUP BY 1""")
+def _(spark, d):
+    m = I.path_metrics(I.block_permutation(week_returns(spark, d), DRAWS, BLOCK), 52)
+    return rounded(I.against_draws(m, "max_drawdown", ["symbol"]))
+
+
+NULLED = "(SELECT sharpe AS real FROM {t} WHERE draw = 0) SELECT count(*) AS n_draws, " + "{c} FROM {t}, z WHERE draw > 0"
+SUMMARY = r('any_value(real) AS real', '(count(*) FILTER (sharpe >= real) + 1) / (count(*) + 1) AS p', 'avg(sharpe) AS mean', 'quantile_cont(sharpe, 0.05) AS q05', 'quantile_cont(sharpe, 0.95) AS q95')
+
+
+@register("st10_panel_roll", f"""WITH {WEEK}, cd AS (SELECT bar_ts, row_number() OVER (ORDER BY bar_ts) - 1 AS t, count(*) OVER () AS n FROM (SELECT DISTINCT bar_ts FROM rets)),
+ro AS (SELECT draw, symbol, (t + CASE WHEN draw = 0 THEN 0 ELSE {GUARD} + (draw * 7919) % (n - {2 * GUARD}) END) % n AS t, ret FROM rets JOIN cd USING (bar_ts), (SELECT unnest(range(0, {DRAWS + 1})) AS draw) WHERE ret IS NOT NULL),
+rm AS (SELECT *, CASE WHEN count(ret) OVER w = 12 THEN sum(ret) OVER w END AS mom FROM ro WINDOW w AS (PARTITION BY draw, symbol ORDER BY t ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)),
+rk AS (SELECT draw, t, ret, row_number() OVER (PARTITION BY draw, t ORDER BY mom DESC, symbol) AS up, count(*) OVER (PARTITION BY draw, t) AS m FROM rm WHERE mom IS NOT NULL),
+rd AS (SELECT draw, t, sum(CASE WHEN up <= 2 THEN ret / 2 WHEN up > m - 2 THEN -ret / 2 END) AS r FROM rk WHERE m >= 4 GROUP BY 1, 2), rs AS (SELECT draw, avg(r) / stddev_samp(r) * sqrt(52) AS sharpe FROM rd GROUP BY 1), z AS {NULLED.format(t='rs', c=SUMMARY)}""")
+def _(spark, d):
+    return rounded(I.against_draws(I.panel_rolls(week_returns(spark, d), DRAWS, GUARD, 12, 2, 52), "sharpe"))
+
+
+@register("st12_bootstrap_mean", f"WITH {WEEK}, m AS (SELECT symbol, avg(ret) AS m FROM rets GROUP BY 1), k AS (SELECT m, row_number() OVER (ORDER BY symbol) - 1 AS k, count(*) OVER () AS n FROM m), p AS (SELECT draw, {_pick('n', 'draw', 'k')} AS k FROM k, (SELECT unnest(range(1, 10001)) AS draw)), a AS (SELECT draw, avg(m) AS a FROM p JOIN k USING (k) GROUP BY 1), o AS (SELECT avg(m) AS mean, avg(m) / (stddev_samp(m) / sqrt(count(m))) AS t FROM m) SELECT {r('quantile_cont(a, 0.025) AS lo', 'median(a) AS mid', 'quantile_cont(a, 0.975) AS hi', 'any_value(mean) AS mean', 'any_value(t) AS t')} FROM a, o")
 def _(spark, d):
-    s = I.block_bootstrap(week_returns(spark, d), DRAWS, BLOCK).groupBy("symbol", "draw").agg((F.avg("ret") / F.stddev_samp("ret") * math.sqrt(52)).alias("sharpe"))
-    return rounded(s.groupBy("symbol").agg(F.percentile("sharpe", 0.025).alias("lo"), F.percentile("sharpe", 0.5).alias("mid"), F.percentile("sharpe", 0.975).alias("hi")))
+    m = week_returns(spark, d).groupBy("symbol").agg(F.avg("ret").alias("m"))
+    return rounded(I.resampled_mean(m, "symbol", "m", 10_000))
 
 
 @register("st13_welch", f"WITH {WEEK}, {LABELS}, x AS (SELECT lab.symbol, state, ret FROM lab JOIN rets USING (symbol, bar_ts)), g AS (SELECT symbol, count(ret) FILTER (state = 2) AS n1, count(ret) FILTER (state = 0) AS n2, avg(ret) FILTER (state = 2) AS m1, avg(ret) FILTER (state = 0) AS m2, var_samp(ret) FILTER (state = 2) AS v1, var_samp(ret) FILTER (state = 0) AS v2 FROM x GROUP BY 1) SELECT symbol, n1, n2, {r('m1', 'm2', '(m1 - m2) / sqrt(v1 / n1 + v2 / n2) AS t')} FROM g")
@@ -123,3 +162,41 @@ SELECT symbol, n, {r('s', 'bench')}, round({_cdf('z')}, 6) AS dsr FROM z""")
 def _(spark, d):
     q = P.sharpe_stats(week_returns(spark, d), ["symbol"], "ret", 1)
     return rounded(P.deflated(q, normal_quantile, normal_cdf))
+
+
+def week_market_factors(spark, d):
+    """Weekly proxies by date: market, small minus big, high minus low, momentum, short- and long-term reversal, and two spreads."""
+    x = week_returns(spark, d)
+    own = lambda name: F.avg(F.when(F.col("sector") == name, F.col("ret")))
+    names = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+    day = x.groupBy("bar_ts").agg(F.coalesce(F.avg("ret"), F.lit(0.0)).alias("mkt"), *[F.coalesce(own(n), F.lit(0.0)).alias(f"s{i}") for i, n in enumerate(names)])
+    t = I.Window.orderBy("bar_ts")  # one row per date
+    total = lambda n: F.coalesce(F.when(F.count("mkt").over(t.rowsBetween(-n, -1)) == n, F.sum("mkt").over(t.rowsBetween(-n, -1))), F.lit(0.0))
+    return day.select("bar_ts", "mkt", (F.col("s0") - F.col("mkt")).alias("smb"), (F.col("s1") - F.col("mkt")).alias("hml"), total(26).alias("mom"), (-F.coalesce(F.lag("mkt").over(t), F.lit(0.0))).alias("srv"), (-total(52)).alias("lrv"), (F.col("s2") - F.col("s3")).alias("def"), (F.col("s4") - F.col("s3")).alias("term"))
+
+
+def _six_factors(spark, d):
+    """ST-15: six regressors per symbol; the tests hold it against numpy."""
+    x = week_returns(spark, d).select("symbol", "bar_ts", "ret").join(week_market_factors(spark, d), "bar_ts")
+    return rounded(I.ols_hac(x, "symbol", "ret", ["mkt", "smb", "hml", "mom", "srv", "lrv"], 6))
+
+
+def _macro(spark, d):
+    """ST-16: default and term spreads and the market; the tests hold it against numpy."""
+    x = week_returns(spark, d).select("symbol", "bar_ts", "ret").join(week_market_factors(spark, d), "bar_ts")
+    return rounded(I.ols_hac(x, "symbol", "ret", ["def", "term", "mkt"], 6))
+
+
+QUERIES |= {"st15_six_factors": _six_factors, "st16_macro_risk": _macro}
+
+
+DEFLATED = ORACLES["st5_deflated_sharpe"]
+STATS = ORACLES["st4_sharpe_stats"]
+
+
+@register("st17_verdicts", f"WITH st AS ({STATS}), df AS ({DEFLATED}) SELECT symbol, CASE WHEN (lo < 0 AND hi > 0) OR dsr < 0.95 OR t < 2 THEN 'REJECTED' ELSE 'CONFIRMED' END AS verdict, concat_ws(';', CASE WHEN lo < 0 AND hi > 0 THEN 'CI_SPANS_ZERO' END, CASE WHEN dsr < 0.95 THEN 'DSR' END, CASE WHEN t < 2 THEN 'T' END) AS reasons, dsr = 0 OR dsr = 1 AS saturated FROM st JOIN df USING (symbol)")
+def _(spark, d):
+    x = week_returns(spark, d)
+    stats = rounded(P.sharpe_stats(x, ["symbol"], "ret", 52)).select("symbol", "lo", "hi", "t")
+    dsr = rounded(P.deflated(P.sharpe_stats(x, ["symbol"], "ret", 1), normal_quantile, normal_cdf)).select("symbol", "dsr")
+    return P.verdicts(stats.join(dsr, "symbol"))

@@ -204,17 +204,7 @@ def _(spark, d):
 
 @register("wn27_ewma_vol", f"WITH {WEEK}, l AS (SELECT symbol, bar_ts, list(ret * ret) OVER ({BY} ROWS 59 PRECEDING) AS h FROM rets WHERE ret IS NOT NULL) SELECT symbol, bar_ts, round(sqrt(list_reduce(h, lambda a, x: a * (31.0 / 33) + x * (2.0 / 33)) * 52), 6) AS vol FROM l")
 def _(spark, d):
-    # Span 32 over at most 60 bars, seeded by the first of them; older bars would weigh under 3 %.
+    # Span 32 over at most 60 bars up to this one, seeded by the first of them; ``wn27_ewma_forms`` has the bars before the decision and the unbounded form.
     x = week_returns(spark, d).filter("ret is not null").withColumn("h", F.collect_list(F.col("ret") * F.col("ret")).over(W.last(60)))
     ewma = F.aggregate(F.slice("h", 2, 60), F.element_at("h", 1), lambda a, v: a * (31.0 / 33) + v * (2.0 / 33))
     return rounded(x.select("symbol", "bar_ts", F.sqrt(ewma * 52).alias("vol")))
-
-
-@register("st12_bootstrap_mean", f"WITH {WEEK}, m AS (SELECT symbol, avg(ret) AS m FROM rets GROUP BY 1), k AS (SELECT m, row_number() OVER (ORDER BY symbol) - 1 AS k, count(*) OVER () AS n FROM m), p AS (SELECT draw, (draw * 7919 + k * 104729 + draw * k * 31) % n AS k FROM k, (SELECT unnest(range(1, 10001)) AS draw)), a AS (SELECT draw, avg(m) AS a FROM p JOIN k USING (k) GROUP BY 1) SELECT {r('quantile_cont(a, 0.025) AS lo', 'median(a) AS mid', 'quantile_cont(a, 0.975) AS hi')} FROM a")
-def _(spark, d):
-    m = week_returns(spark, d).groupBy("symbol").agg(F.avg("ret").alias("m"))
-    k = m.withColumn("k", F.row_number().over(Window.orderBy("symbol")) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))))  # one row per symbol
-    long = lambda c: F.col(c).cast("long")
-    p = k.select("k", "n", F.explode(F.sequence(F.lit(1), F.lit(10_000))).alias("draw")).select("draw", ((long("draw") * 7919 + long("k") * 104729 + long("draw") * long("k") * 31) % F.col("n")).cast("int").alias("k"))
-    a = p.hint("merge").join(k.select("k", "m").hint("merge"), "k").groupBy("draw").agg(F.avg("m").alias("a"))
-    return rounded(a.agg(F.percentile("a", 0.025).alias("lo"), F.percentile("a", 0.5).alias("mid"), F.percentile("a", 0.975).alias("hi")))

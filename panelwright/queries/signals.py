@@ -12,10 +12,10 @@ from ..operators import regime as R
 from ..operators import windows as W
 from ..sources.panels import table, weekly_panel
 from .factors import HELD, SCORES, VOL, configs, week_factors, week_held, week_portfolio, week_weights
-from .inference import NULL, ROTATED, SHARPE, by_name, null_sharpe, sharpe
+from .inference import DRAWS, NULL, NULLED, ROTATED, SHARPE, SUMMARY, by_name, null_sharpe, sharpe
 from .ledger import CONTROL, week_control
 from .panel import COUNTS, EARNED, LABELS, MIN_TRAIN, QUERIES, SIGNALS, WEEK, WIN, YEAR, r, register, rounded, week_earned, week_labels, week_matrix, week_returns
-from .studies import BY, MOVED, PAIRED, hour_features, paired
+from .studies import BY, MOVED, PAIRED, SPLIT, hour_features, paired
 
 PI = "pm AS (SELECT symbol, " + ", ".join(f"max(p) FILTER (from_state = {i} AND to_state = {j}) AS p{i}{j}" for i in range(3) for j in range(3)) + """ FROM mat GROUP BY 1),
 pw AS (SELECT symbol, p10*p20 + p10*p21 + p12*p20 AS a, p01*p21 + p01*p20 + p02*p21 AS b, p02*p12 + p02*p10 + p01*p12 AS c FROM pm),
@@ -281,3 +281,30 @@ def _(spark, d):
     hedge = lambda c: A.max_drawdown_hedge(F.col("dd"), c, F.col("threshold"))
     x, y = F.col("x"), F.col("y")
     return rounded(f.groupBy("threshold").agg(hedge(x)[1].alias("bars"), (hedge(x)[0] * YEAR).alias("own"), (hedge(y)[0] * YEAR).alias("hedge"), (hedge(0.5 * x + 0.5 * y)[0] * YEAR).alias("both")))
+
+
+@register("st11_label_null", f"WITH {WEEK}, {MULTIPLIERS}, mk AS (SELECT bar_ts, coalesce(avg(ret), 0) AS ret FROM rets GROUP BY 1), x AS (SELECT composite AS mult, ret, row_number() OVER (ORDER BY bar_ts) - 1 AS k FROM mul JOIN mk USING (bar_ts)), p AS (SELECT draw, mult, row_number() OVER (PARTITION BY draw ORDER BY CASE WHEN draw = 0 THEN lpad(CAST(k AS VARCHAR), 12, '0') ELSE md5(draw || '|' || k) END, k) - 1 AS k FROM x, (SELECT unnest(range(0, {DRAWS + 1})) AS draw)), s AS (SELECT draw, avg(p.mult * ret) / stddev_samp(p.mult * ret) * sqrt(52) AS sharpe FROM p JOIN (SELECT k, ret FROM x) USING (k) GROUP BY 1), z AS {NULLED.format(t='s', c=SUMMARY)}")
+def _(spark, d):
+    mkt = week_returns(spark, d).groupBy("bar_ts").agg(F.coalesce(F.avg("ret"), F.lit(0.0)).alias("ret"))
+    x = week_multipliers(spark, d).select("bar_ts", F.col("composite").alias("mult")).join(mkt, "bar_ts")
+    return rounded(I.against_draws(I.label_shuffles(x, DRAWS, YEAR), "sharpe"))
+
+
+CURVES = "SELECT symbol, bar_ts, net, sum(net) OVER (PARTITION BY symbol ORDER BY bar_ts ROWS UNBOUNDED PRECEDING) AS cum FROM"
+
+
+@register("st18_scorecard", f"""WITH {WEEK}, {LABELS}, {SIGNALS}, {EARNED}, {CONTROL}, {SPLIT}, a0 AS ({CURVES} ern), a1 AS (SELECT *, cum - max(cum) OVER (PARTITION BY symbol ORDER BY bar_ts ROWS UNBOUNDED PRECEDING) AS dd FROM a0), b0 AS ({CURVES} cern), b1 AS (SELECT *, cum - max(cum) OVER (PARTITION BY symbol ORDER BY bar_ts ROWS UNBOUNDED PRECEDING) AS dd FROM b0),
+a AS (SELECT symbol, avg(net) FILTER (split = 'TRUE_OOS') AS oos, avg(net) / nullif(stddev_samp(net), 0) AS s, min(dd) AS dd, sum(net) AS total FROM a1 JOIN spl USING (bar_ts) GROUP BY 1), b AS (SELECT symbol, avg(net) FILTER (split = 'TRUE_OOS') AS oos, avg(net) / nullif(stddev_samp(net), 0) AS s, min(dd) AS dd FROM b1 JOIN spl USING (bar_ts) GROUP BY 1),
+f AS (SELECT symbol, coalesce(a.oos > 0, false) AS oos_positive, coalesce(a.oos >= b.oos, false) AS beats_control, coalesce(a.dd >= b.dd - 0.02, false) AS drawdown_no_worse, coalesce(a.total > 0, false) AS survives_costs, coalesce(a.s > b.s, false) AS not_cash_drag FROM a JOIN b USING (symbol))
+SELECT *, CAST(oos_positive AS BIGINT) + CAST(beats_control AS BIGINT) + CAST(drawdown_no_worse AS BIGINT) + CAST(survives_costs AS BIGINT) + CAST(not_cash_drag AS BIGINT) AS passed, CASE WHEN oos_positive AND beats_control AND drawdown_no_worse AND survives_costs AND not_cash_drag THEN 'PROMOTE' WHEN oos_positive THEN 'RETAIN' ELSE 'REJECT' END AS verdict FROM f""")
+def _(spark, d):
+    split = W.split_of(weekly_panel(spark, d))
+
+    def totals(x, p):
+        x = x.withColumn("cum", F.sum("net").over(W.so_far())).withColumn("dd", F.col("cum") - F.max("cum").over(W.so_far())).join(split, "bar_ts")
+        return x.groupBy("symbol").agg(F.avg(F.when(F.col("split") == "TRUE_OOS", F.col("net"))).alias(f"{p}oos"), (F.avg("net") / F.nullif(F.stddev_samp("net"), F.lit(0.0))).alias(f"{p}s"), F.min("dd").alias(f"{p}dd"), F.sum("net").alias(f"{p}total"))
+
+    c = F.col
+    both = totals(week_earned(spark, d), "a").join(totals(week_control(spark, d), "b"), "symbol")
+    tests = {"oos_positive": c("aoos") > 0, "beats_control": c("aoos") >= c("boos"), "drawdown_no_worse": c("add") >= c("bdd") - 0.02, "survives_costs": c("atotal") > 0, "not_cash_drag": c("as") > c("bs")}
+    return P.scorecard(both.select("symbol", *[F.coalesce(v, F.lit(False)).alias(k) for k, v in tests.items()]), list(tests), "oos_positive")

@@ -24,7 +24,7 @@ def test_hysteresis_against_loop(spark):
         s = (keep + [n for _, n in back if n not in keep and n not in longs])[:2]
         l = longs
         want[day] = (l, s)
-    got = {x.bar_ts: (x.longs, x.shorts) for x in QUERIES["fa8_hysteresis"](spark, SF).collect()}
+    got = {x.bar_ts: (x.longs, x.shorts) for x in factors.week_hysteresis(spark, SF).collect()}
     assert got == want and len(got) > 50
 
 
