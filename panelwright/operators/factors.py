@@ -61,7 +61,8 @@ def capped(weights: DataFrame, cap: float, passes: int, keys: list[str] = []) ->
 
 def held_between(grid: DataFrame, weights: DataFrame, every: int, keys: list[str] = []) -> DataFrame:  # noqa: B006
     """``weight`` on every bar of ``grid`` (keys, bar_ts, symbol, t): set on the bars where ``t % every = 0`` (unselected: 0) and carried to the next."""
-    chosen = grid.join(weights.select(*keys, "bar_ts", "symbol", "weight"), [*keys, "bar_ts", "symbol"], "left")
+    # The grid is exploded and the weights come from a generator: their sizes are not known, so no automatic broadcast.
+    chosen = grid.hint("merge").join(weights.select(*keys, "bar_ts", "symbol", "weight").hint("merge"), [*keys, "bar_ts", "symbol"], "left")
     set_here = F.when(F.col("t") % every == 0, F.coalesce("weight", F.lit(0.0)))
     w = Window.partitionBy(*keys, "symbol").orderBy("bar_ts").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return chosen.withColumn("weight", F.coalesce(F.last(set_here, ignorenulls=True).over(w), F.lit(0.0)))

@@ -26,7 +26,7 @@ def sides(rows: DataFrame, columns: list[str], on: list[str]) -> DataFrame:
     """Rows of ``rows`` with those of every later symbol under the same ``on`` keys: ``i, j`` and each column as ``x_i, x_j``."""
     a = rows.select(*on, F.col("symbol").alias("i"), *[F.col(x).alias(f"{x}_i") for x in columns])
     b = rows.select(*on, F.col("symbol").alias("j"), *[F.col(x).alias(f"{x}_j") for x in columns])
-    return a.join(b, on).filter("i < j")
+    return a.hint("merge").join(b.hint("merge"), on).filter("i < j")
 
 
 def all_pairs(symbols: DataFrame, on: list[str] = []) -> DataFrame:  # noqa: B006
@@ -72,8 +72,9 @@ def trade_pairs(rows: DataFrame, pairs: DataFrame, form: int, enter: float = 2.0
     Flat and the spread beyond ``enter`` deviations of its mean: enter on its side. Held and the spread back across the mean or within ``leave`` deviations: exit.
     The last bar always exits. A decision takes effect on the next bar. One fold per pair over at most the trading window's bars."""
     later = rows.filter(F.col("u") >= form).select("c", "bar_ts", "symbol", "p", "ret")
-    x = pairs.select("c", "i", "j", "mean", "sd").join(later.select("c", "bar_ts", F.col("symbol").alias("i"), F.col("p").alias("p_i"), F.col("ret").alias("r_i")), ["c", "i"])
-    x = x.join(later.select("c", "bar_ts", F.col("symbol").alias("j"), F.col("p").alias("p_j"), F.col("ret").alias("r_j")), ["c", "bar_ts", "j"])
+    # Cohort rows are exploded: no automatic broadcast.
+    x = pairs.select("c", "i", "j", "mean", "sd").hint("merge").join(later.select("c", "bar_ts", F.col("symbol").alias("i"), F.col("p").alias("p_i"), F.col("ret").alias("r_i")).hint("merge"), ["c", "i"])
+    x = x.join(later.select("c", "bar_ts", F.col("symbol").alias("j"), F.col("p").alias("p_j"), F.col("ret").alias("r_j")).hint("merge"), ["c", "bar_ts", "j"])
     z = (F.col("p_i") - F.col("p_j") - F.col("mean")) / F.col("sd")
     bar = F.struct("bar_ts", z.alias("z"), (F.coalesce("r_i", F.lit(0.0)) - F.coalesce("r_j", F.lit(0.0))).alias("d"))
     days = x.groupBy("c", "i", "j").agg(F.sort_array(F.collect_list(bar)).alias("days")).withColumn("final", F.element_at("days", -1)["bar_ts"])

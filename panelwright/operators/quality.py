@@ -31,11 +31,13 @@ def integrity_gate(panel: DataFrame, threshold: float = 0.15, min_bars: int = 10
 
 
 def aligned(panel: DataFrame) -> DataFrame:
-    """Every symbol on every date of the union calendar, closes carried forward; dates before a symbol's first bar stay null."""
+    """Every symbol on every date of the union calendar, closes carried forward; dates before a symbol's first bar stay null.
+
+    ``panel`` is used three times and should be cheap to read again (written to a table first)."""
     days, symbols = panel.select("bar_ts").distinct(), panel.select("symbol").distinct()
-    # The grid is the result itself; the list of symbols is a dimension and is never larger than the calendar's side of it.
+    # The grid is the result itself. Rows of it are generated, so the join with the bars is not left to an automatic broadcast.
     grid = days.crossJoin(symbols)
-    joined = grid.join(panel.select("symbol", "bar_ts", "close"), ["symbol", "bar_ts"], "left")
+    joined = grid.hint("merge").join(panel.select("symbol", "bar_ts", "close").hint("merge"), ["symbol", "bar_ts"], "left")
     w = by_time().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return joined.select("symbol", "bar_ts", F.last("close", ignorenulls=True).over(w).alias("close"), F.col("close").isNull().alias("filled"))
 

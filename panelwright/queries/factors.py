@@ -8,6 +8,7 @@ from ..operators import factors as A
 from ..operators import performance as P
 from ..operators import windows as W
 from ..sources.panels import weekly_panel
+from ..sources.shared import staged
 from .panel import WEEK, r, register, rounded, week_returns
 
 #: Rebalance every 4 weeks, two names a side, at most 0.3 each; the calendar's bars are numbered from 0.
@@ -31,8 +32,8 @@ pl AS (SELECT *, coalesce(lag(weight) OVER (PARTITION BY config, symbol ORDER BY
 pf AS (SELECT config, bar_ts, sum(was * coalesce(ret, 0)) AS gross, sum(abs(weight - was)) AS turnover, sum(was * coalesce(ret, 0)) - sum(abs(weight - was)) * 10 / 1e4 AS net FROM pl GROUP BY 1, 2)"""
 
 
-def week_factors(spark, d):
-    x = week_returns(spark, d).withColumn("mom", A.skip_momentum(MOM, SKIP)).withColumn("val", A.value_score(VAL)).withColumn("vol", W.trailing_vol("ret", VOL, 52))
+def week_factors(spark, d, x=None):
+    x = (week_returns(spark, d) if x is None else x).withColumn("mom", A.skip_momentum(MOM, SKIP)).withColumn("val", A.value_score(VAL)).withColumn("vol", W.trailing_vol("ret", VOL, 52))
     return x.withColumn("zm", W.zscore("mom")).withColumn("zv", W.zscore("val"))
 
 
@@ -41,17 +42,18 @@ def configs():
     return F.inline(F.array(*[F.struct(F.lit(n).alias("config"), s.alias("score")) for n, s in (("mom", F.col("zm")), ("val", F.col("zv")), ("both", A.composite("zm", "zv")))]))
 
 
-def week_weights(spark, d):
-    s = week_factors(spark, d).select("symbol", "bar_ts", "ret", "vol", configs()).filter("vol is not null")
+def week_weights(spark, d, x=None):
+    s = week_factors(spark, d, x).select("symbol", "bar_ts", "ret", "vol", configs()).filter("vol is not null")
     return A.inverse_vol(A.both_ends(s, "score", K, ["config"]), "vol", ["config"])
 
 
 def week_held(spark, d):
-    x = week_returns(spark, d)
+    # Dates, weights and the grid come from one table of returns.
+    x = staged(week_returns(spark, d), "returns")
     days = W.split_of(x).select("bar_ts", (F.row_number().over(W.Window.orderBy("bar_ts")) - 1).alias("t"))  # one row per date
     names = F.explode(F.array(*[F.lit(n) for n in ("mom", "val", "both")])).alias("config")
     grid = x.join(days, "bar_ts").select(names, "symbol", "bar_ts", "ret", "t")
-    return A.held_between(grid, week_weights(spark, d), EVERY, ["config"])
+    return A.held_between(grid, week_weights(spark, d, x), EVERY, ["config"])
 
 
 def week_portfolio(spark, d, bps: float = 10.0):

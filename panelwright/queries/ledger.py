@@ -11,6 +11,7 @@ from ..operators import quality as Q
 from ..operators import regime as R
 from ..operators import windows as W
 from ..sources.panels import hourly_bars, table, trades, weekly_panel
+from ..sources.shared import staged
 from .panel import EARNED, HOUR, LABELS, SIGNALS, WEEK, WIN, YEAR, r, register, rounded, week_earned, week_labels, week_returns
 
 KEYS = ["account", "symbol", "filled_at", "side"]
@@ -131,7 +132,7 @@ def _(spark, d):
 
 @register("dq9_back_fill", f"WITH {WEEK}, g AS (SELECT * FROM (SELECT DISTINCT bar_ts FROM panel), (SELECT DISTINCT symbol FROM panel)), j AS (SELECT symbol, bar_ts, close FROM g LEFT JOIN panel USING (symbol, bar_ts)), f AS (SELECT symbol, bar_ts, last_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY bar_ts ROWS UNBOUNDED PRECEDING) AS close FROM j) SELECT symbol, bar_ts, first_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY bar_ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS close FROM f")
 def _(spark, d):
-    return Q.back_filled(Q.aligned(weekly_panel(spark, d)).drop("filled"), "close")
+    return Q.back_filled(Q.aligned(staged(weekly_panel(spark, d), "panel")).drop("filled"), "close")
 
 
 @register("dq7_constraints", "SELECT 'duplicate_line' AS \"check\", l_orderkey || '-' || l_linenumber AS key FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1 UNION ALL SELECT 'orphan_line', CAST(l_orderkey AS VARCHAR) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders) UNION ALL SELECT 'status', CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderstatus NOT IN ('F', 'O') UNION ALL SELECT 'not_positive', CAST(l_orderkey AS VARCHAR) FROM lineitem WHERE l_quantity <= 0")

@@ -10,6 +10,7 @@ from ..operators import quality as Q
 from ..operators import regime as R
 from ..operators import windows as W
 from ..sources.panels import hourly_bars, table, weekly_panel
+from ..sources.shared import staged
 
 QUERIES, ORACLES = {}, {}
 #: Weekly parameters: trailing window and stride, bars before the first signal, bars a year.
@@ -107,7 +108,7 @@ def _(spark, d):
 
 @register("dq8_forward_fill", f"WITH {WEEK}, g AS (SELECT * FROM (SELECT DISTINCT bar_ts FROM panel), (SELECT DISTINCT symbol FROM panel)) SELECT symbol, bar_ts, last_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY bar_ts ROWS UNBOUNDED PRECEDING) AS close, close IS NULL AS filled FROM g LEFT JOIN panel USING (symbol, bar_ts)")
 def _(spark, d):
-    return Q.aligned(weekly_panel(spark, d))
+    return Q.aligned(staged(weekly_panel(spark, d), "panel"))
 
 
 @register("dq10_coverage", f"WITH {WEEK}, t AS (SELECT count(DISTINCT bar_ts) AS total FROM panel) SELECT symbol, count(close) AS n_bars, count(close) >= 0.8 * any_value(total) AND min(close) > 0 AS kept FROM panel, t GROUP BY symbol")

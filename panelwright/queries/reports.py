@@ -134,12 +134,17 @@ def _(spark, d):
 
 @register("jn4_asof_forward", f"WITH {HOUR} SELECT e.event_id, min(b.bar_ts) AS bar_ts FROM events e LEFT JOIN bars b ON b.symbol = e.event_type AND b.bar_ts >= e.ts GROUP BY 1")
 def _(spark, d):
-    # Bars and events in one ordered pass; no inequality join.
-    bars = hourly_bars(spark, d).select("symbol", F.col("bar_ts").alias("at"), F.col("bar_ts"))
-    ev = table(spark, d, "events").select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp_ntz").alias("at"), "event_id")
-    both = ev.unionByName(bars, allowMissingColumns=True)
-    ahead = Window.partitionBy("symbol").orderBy("at").rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    return both.withColumn("bar_ts", F.min("bar_ts").over(ahead)).filter("event_id is not null").select("event_id", "bar_ts")
+    # Hours are a function of time: an event on the hour takes that hour's bar, any other the first bar of a later hour. Only hours are ordered, one row each;
+    # events meet them by equality on (symbol, hour).
+    bars = hourly_bars(spark, d).select("symbol", "bar_ts")
+    ev = table(spark, d, "events").select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp_ntz").alias("at"), "event_id").withColumn("hour", F.date_trunc("hour", "at").cast("timestamp_ntz"))
+    hours = ev.select("symbol", "hour").distinct().withColumn("bar_ts", F.lit(None).cast("timestamp_ntz")).unionByName(bars.select("symbol", F.col("bar_ts").alias("hour"), "bar_ts"))
+    hours = hours.groupBy("symbol", "hour").agg(F.max("bar_ts").alias("bar_ts"))
+    w = Window.partitionBy("symbol").orderBy("hour")
+    later = F.first("bar_ts", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    known = hours.select("symbol", "hour", "bar_ts", later.alias("later"))
+    out = ev.join(known.hint("merge"), ["symbol", "hour"], "left")
+    return out.select("event_id", F.when((F.col("at") == F.col("hour")) & F.col("bar_ts").isNotNull(), F.col("bar_ts")).otherwise(F.col("later")).alias("bar_ts"))
 
 
 @register("jn12_leave_one_out", f"WITH {WEEK}, s AS (SELECT DISTINCT symbol AS dropped FROM panel) SELECT dropped, bar_ts, {r('avg(ret) AS ret')} FROM rets JOIN s ON symbol <> dropped WHERE ret IS NOT NULL GROUP BY 1, 2")
@@ -186,7 +191,7 @@ def _(spark, d):
 def _(spark, d):
     s = R.walk_forward(week_labels(spark, d), WIN, MIN_TRAIN).select("symbol", "bar_ts", "signal")
     drop = F.coalesce(((F.col("side") == 1) & (F.col("signal") < -0.05)) | ((F.col("side") == -1) & (F.col("signal") > 0.05)), F.lit(False))
-    return rounded(week_weights(spark, d).join(s, ["symbol", "bar_ts"]).filter(~drop).select("config", "symbol", "bar_ts", "side", "weight"))
+    return rounded(week_weights(spark, d).hint("merge").join(s.hint("merge"), ["symbol", "bar_ts"]).filter(~drop).select("config", "symbol", "bar_ts", "side", "weight"))
 
 
 @register("rg19_calibration", f"WITH {WEEK}, {LABELS}, x AS (SELECT symbol, bar_ts, state, lag(state, {WIN}) OVER w AS was, lead(state, {WIN}) OVER w AS truth FROM lab WINDOW w AS ({BY})), c AS (SELECT *, " + ", ".join(f"sum(CASE WHEN was = {i} AND state = {j} THEN 1 ELSE 0 END) OVER ({BY} ROWS UNBOUNDED PRECEDING) AS n{i}{j}" for i in range(3) for j in range(3)) + " FROM x), p AS (SELECT symbol, state, truth, " + ", ".join(f"(CASE state WHEN 0 THEN n0{j} WHEN 1 THEN n1{j} ELSE n2{j} END + 1) AS k{j}" for j in range(3)) + f" FROM c WHERE truth IS NOT NULL) SELECT symbol, count(*) AS n, {r('avg(-ln((CASE truth WHEN 0 THEN k0 WHEN 1 THEN k1 ELSE k2 END) / (k0 + k1 + k2))) AS log_loss')} FROM p GROUP BY 1")

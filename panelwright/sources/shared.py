@@ -20,6 +20,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a new shared folder and read back: computed once however often it is used, and of known size."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def panel_key(universe: list[str], start: str, end: str, provider: str) -> str:
     """The key of a cached panel: universe in order of name, range and provider."""
     return hashlib.sha256("|".join([*sorted(universe), start, end, provider]).encode()).hexdigest()

@@ -48,6 +48,94 @@ def jumps(events: DataFrame, share: float) -> DataFrame:
     return known.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, value double, was double", "last double", "append", "NoTimeout")
 
 
+def _ordered(chunks):
+    """A micro-batch's rows of one key in order of time; across batches they are taken as they arrive."""
+    return pd.concat(list(chunks)).sort_values(["ts", "event_id"])
+
+
+def transition_signals(events: DataFrame, low: float, high: float, stride: int) -> DataFrame:
+    """``symbol, event_id, state, signal`` of every event: its label by value (0 under ``low``, 2 from ``high`` on, else 1), and (to 2 minus to 0) over all transitions ``stride`` events apart that have left this label so far; 0 before any.
+
+    State per event type: the last ``stride`` labels and nine counters, however long the stream."""
+
+    def step(key, chunks, state):
+        rows = _ordered(chunks)
+        ring, counts = (list(state.get[0]), list(state.get[1])) if state.exists else ([], [0] * 9)
+        labels = [0 if v < low else 2 if v >= high else 1 for v in rows["value"]]
+        signals = []
+        for s in labels:
+            if len(ring) == stride:
+                counts[3 * ring.pop(0) + s] += 1
+            ring.append(s)
+            row = counts[3 * s : 3 * s + 3]
+            signals.append((row[2] - row[0]) / sum(row) if sum(row) else 0.0)
+        state.update((ring, counts))
+        yield pd.DataFrame({"symbol": key[0], "event_id": rows["event_id"].to_numpy(), "state": labels, "signal": signals})
+
+    known = events.filter("value is not null").select("event_type", "event_id", "ts", "value")
+    return known.groupBy("event_type").applyInPandasWithState(step, "symbol string, event_id long, state int, signal double", "ring array<int>, counts array<long>", "append", "NoTimeout")
+
+
+def lifecycle_violations(events: DataFrame, allowed: dict[str, tuple[str, ...]]) -> DataFrame:
+    """``user_id, event_id, was, event_type`` of events that may not follow their user's last one. State per user: that last status."""
+
+    def step(key, chunks, state):
+        rows = _ordered(chunks)
+        was = rows["event_type"].shift()
+        if state.exists:
+            was.iloc[0] = state.get[0]
+        state.update((rows["event_type"].iloc[-1],))
+        bad = [w is not None and w == w and e not in allowed.get(w, ()) for w, e in zip(was, rows["event_type"])]
+        yield pd.DataFrame({"user_id": rows["user_id"], "event_id": rows["event_id"], "was": was, "event_type": rows["event_type"]})[bad]
+
+    known = events.filter("user_id is not null and event_type is not null").select("user_id", "event_id", "ts", "event_type")
+    return known.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, was string, event_type string", "last string", "append", "NoTimeout")
+
+
+def drawdown_breaker(events: DataFrame, start: float, cost: float, limit: float) -> DataFrame:
+    """``user_id, event_id, nav, peak, tripped``: net asset value from ``start``, moved by value minus ``cost`` at every event, against its peak. State per user: value and peak."""
+
+    def step(key, chunks, state):
+        rows = _ordered(chunks)
+        nav, peak = state.get if state.exists else (start, start)
+        path = nav + (rows["value"] - cost).cumsum()
+        peaks = path.cummax().clip(lower=peak)
+        state.update((float(path.iloc[-1]), float(peaks.iloc[-1])))
+        yield pd.DataFrame({"user_id": rows["user_id"], "event_id": rows["event_id"], "nav": path, "peak": peaks, "tripped": path / peaks - 1 < -limit})
+
+    known = events.filter("value is not null and user_id is not null").select("user_id", "event_id", "ts", "value")
+    return known.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, nav double, peak double, tripped boolean", "nav double, peak double", "append", "NoTimeout")
+
+
+def pair_signals(events: DataFrame, i: str, j: str, mean: float, sd: float, enter: float, leave: float) -> DataFrame:
+    """``user_id, event_id, z, held, action`` of every event of the types ``i`` and ``j`` once both have been seen: the spread of their last values, and the pair's state before the event.
+
+    Enter beyond ``enter`` deviations on that side, exit across the mean or within ``leave``; the rule of the batch fold, without a horizon. State per user: two values and a side."""
+
+    def step(key, chunks, state):
+        rows = _ordered(chunks)
+        x, y, pos = state.get if state.exists else (None, None, 0)
+        out = []
+        for event, kind, value in zip(rows["event_id"], rows["event_type"], rows["value"]):
+            x, y = (value, y) if kind == i else (x, value)
+            if x is None or y is None:
+                continue
+            z = (x - y - mean) / sd
+            side, was = (z > 0) - (z < 0), pos
+            if pos == 0:
+                pos = side if abs(z) > enter else 0
+                action = "ENTER" if pos else "HOLD"
+            else:
+                pos = 0 if side != pos or abs(z) <= leave else pos
+                action = "HOLD" if pos else "EXIT"
+            out.append((key[0], int(event), z, was, action))
+        state.update((x, y, pos))
+        yield pd.DataFrame(out, columns=["user_id", "event_id", "z", "held", "action"])
+
+    known = events.filter("value is not null and user_id is not null").filter(F.col("event_type").isin(i, j)).select("user_id", "event_id", "ts", "event_type", "value")
+    return known.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, z double, held int, action string", "x double, y double, pos int", "append", "NoTimeout")
+
+
 def settled(stream: DataFrame, name: str) -> DataFrame:
     """Runs ``stream`` over all that is there (checkpointed, restartable), then reads what it wrote."""
     spark = stream.sparkSession
