@@ -23,7 +23,7 @@ def rephased(labelled: DataFrame, returns: DataFrame, count: int, guard: int, sh
     Symbols with at most ``2 guard`` labels are left out."""
     x = numbered(labelled.select("symbol", "bar_ts", "state")).filter(F.col("n") > 2 * guard).select("symbol", "k", "n", "state", draws(count))
     if shuffle:
-        order = F.md5(F.concat_ws("|", F.col("draw").cast("string"), F.col("k").cast("string")))
+        order = F.md5(F.concat_ws("|", "symbol", F.col("draw").cast("string"), F.col("k").cast("string")))
         moved = x.withColumn("k", F.row_number().over(Window.partitionBy("symbol", "draw").orderBy(order, "k")) - 1)
     else:
         moved = x.withColumn("k", (F.col("k") + guard + (F.col("draw") * 7919) % (F.col("n") - 2 * guard)) % F.col("n"))

@@ -1 +1 @@
-
+"""Looking at physical plans."""

@@ -21,7 +21,7 @@ nl1 AS (SELECT symbol, draw, {{k}} AS k, state FROM nl0, dr WHERE n > {2 * GUARD
 nlab AS (SELECT nl1.symbol || '#' || draw AS symbol, bar_ts, k AS idx, NULL AS close, NULL AS wret, nl1.state FROM nl1 JOIN (SELECT symbol, k, bar_ts FROM nl0) USING (symbol, k)),
 nrets AS (SELECT nlab.symbol, nlab.bar_ts, ret FROM nlab JOIN rets ON rets.symbol = split_part(nlab.symbol, '#', 1) AND rets.bar_ts = nlab.bar_ts)"""
 ROTATED = PHASED.format(k=f"(k + {GUARD} + (draw * 7919) % (n - {2 * GUARD})) % n")
-SHUFFLED = PHASED.format(k="row_number() OVER (PARTITION BY symbol, draw ORDER BY md5(draw || '|' || k), k) - 1")
+SHUFFLED = PHASED.format(k="row_number() OVER (PARTITION BY symbol, draw ORDER BY md5(symbol || '|' || draw || '|' || k), k) - 1")
 NULL = (SIGNALS + ", " + EARNED).replace("FROM lab ", "FROM nlab ").replace("JOIN rets", "JOIN nrets").replace("sig", "nsig").replace("nnsig", "nsig").replace("AS nsignal", "AS signal").replace("nsignal", "signal")
 NULL = NULL.replace("pos AS (", "npos AS (").replace("held AS (", "nheld AS (").replace("FROM pos)", "FROM npos)").replace("ern AS (", "nern AS (").replace("FROM held)", "FROM nheld)")
 SHARPE = "{a} AS (SELECT symbol, CASE WHEN stddev_samp(net) > 0 THEN avg(net) / stddev_samp(net) * sqrt(52) END AS sharpe FROM {b} GROUP BY 1)"
@@ -32,8 +32,8 @@ def sharpe(df):
     return df.groupBy("symbol").agg(F.when(sd > 0, F.avg("net") / sd * math.sqrt(52)).alias("sharpe"))
 
 
-def null_sharpe(spark, d, shuffle: bool = False):
-    x = I.rephased(week_labels(spark, d), week_returns(spark, d), DRAWS, GUARD, shuffle)
+def null_sharpe(spark, d, shuffle: bool = False, count: int = DRAWS):
+    x = I.rephased(week_labels(spark, d), week_returns(spark, d), count, GUARD, shuffle)
     signals = R.walk_forward(x, WIN, MIN_TRAIN)
     pos = signals.withColumn("pos", R.filter_position(F.col("signal"), 0.05, F.lit(0.1)))
     return sharpe(P.earned(pos.select("symbol", "bar_ts", "pos", "ret"), ["symbol"]))
