@@ -13,18 +13,28 @@ from panelwright.llm.tokens import vocabulary
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no rule rejects, unchanged. Null and empty texts have no words and go as too short; repeated rows are judged each; texts are read
+    whole, however long; an empty table gives an empty one; other columns are carried along whatever their names."""
     return quality.filter_documents(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates (five-word shingles, similarity of 0.8 or more), that with the smallest doc_id, null ids last. Null and
+    empty texts are one text; rows equal in every column are one document; texts are read whole; an empty table gives an empty one; other columns are
+    carried along."""
     return neardup.deduplicate(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sources at their target weights: each document once per epoch that takes it whole, and one per source cut where its budget ends. Null sources are
+    one source; documents without words (null or empty) are never taken; repeated rows and null ids are fine; an empty table gives an empty one; other
+    columns are carried along."""
     return mixing.mixed_documents(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 2048 tokens with their places in sequences. Null and empty texts are the end id alone; longer texts than a sequence are cut;
+    repeated rows and null ids are packed each; an empty table gives an empty one; other columns are not read."""
     return packing.pack(docs, vocabulary("byte_bpe_50k.json"))
 
 
