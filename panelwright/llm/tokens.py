@@ -12,8 +12,8 @@ from collections.abc import Callable, Iterator
 
 #: Letters for which normalisation is the identity, lower-casing is one to one, and every pattern of both tokenizers sees one run of letters.
 LETTERS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|#*$%&<>]*)")
-#: Bytes that a table of pieces may hold, by estimate; a full one starts again.
-TABLE_BYTES = 20_000_000
+#: Bytes that a generation of a table of pieces may hold, by estimate.
+TABLE_BYTES = 24_000_000
 #: Each of these makes a text irregular: white space other than single spaces and single newlines between words.
 _ODD_SPACE = ("  ", " \n", "\n ", "\n\n", *map(chr, (9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?= \S)")
@@ -33,18 +33,21 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Pieces(dict):
-    """Piece -> its ids as little-endian unsigned 32-bit integers; encodes what it has not seen."""
+    """Piece -> its ids as little-endian unsigned 32-bit integers; encodes what it has not seen. Two generations: a full one becomes the old one, whose pieces come back when they are met again, so frequent pieces stay."""
 
     def __init__(self, encode: Callable[[str], bytes]):
         super().__init__()
-        self.encode, self.held = encode, 0
+        self.encode, self.held, self.old = encode, 0, {}
 
     def __missing__(self, piece):
-        out = self.encode(piece)
+        out = self.old.get(piece)
+        if out is None:
+            out = self.encode(piece)
         self.held += 200 + len(piece) + len(out)
         if self.held > TABLE_BYTES:
+            self.old = dict(self)
             self.clear()
-            self.held = 200 + len(piece) + len(out)
+            self.held = 0
         self[piece] = out
         return out
 
@@ -78,7 +81,7 @@ class Encoder:
         if not m:
             return self._full(space + piece)
         word = m[1].lower() if self.lower else m[1]
-        own = self._run((space + word).translate(self.letters))  # the caller's table keeps it
+        own = self.runs[(space + word).translate(self.letters)]
         return own + self.runs[m[2]] if m[2] else own
 
     def _word(self, word: bytes) -> bytes:
