@@ -10,7 +10,8 @@ from ..operators import backoffice as B
 from ..operators import factors as A
 from ..operators import regime as R
 from ..operators import windows as W
-from ..sources.panels import hourly_bars, table, trades, weekly_panel
+from ..sources.panels import hourly_bars, read_bars_csv, read_wide_csv, table, trades, vendor_bars, weekly_panel
+from ..sources.shared import shared_folder
 from .factors import HELD, SCORES, configs, week_factors, week_portfolio
 from .ledger import BROKER, ISSUES, KEYS, MARKED, OPENING, TRADES, books, broker, marked
 from .panel import COUNTS, EARNED, HOUR, LABELS, MIN_TRAIN, SIGNALS, WEEK, WIN, YEAR, r, register, rounded, week_earned, week_labels, week_returns
@@ -315,3 +316,47 @@ def _(spark, d):
     rows = F.inline(F.array(*[F.struct(F.lit(w).alias("win"), F.lit(t).alias("threshold"), F.col(f"r{w}").alias("wret")) for w, t in GRID]))
     s = wide.select("symbol", rows).filter("wret is not null")
     return rounded(s.groupBy("win", "threshold", "symbol").agg(F.count(F.lit(1)).alias("n"), share(F.col("wret") >= F.col("threshold")).alias("bull"), share((F.col("wret") <= -F.col("threshold")) & (F.col("wret") < F.col("threshold"))).alias("bear")))
+
+
+@register("src1_bars_csv", f"WITH {HOUR}, d AS (SELECT symbol, CAST(bar_ts AS DATE) AS bar_ts, arg_min(open, bars.bar_ts) AS open, max(high) AS high, min(low) AS low, arg_max(close, bars.bar_ts) AS close, CAST(sum(volume) AS DOUBLE) AS volume FROM bars GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bar_ts) - 1 AS idx FROM d")
+def _(spark, d):
+    # Daily bars are written as CSV files by symbol first.
+    day = hourly_bars(spark, d).groupBy("symbol", F.to_date("bar_ts").alias("day")).agg(F.min_by("open", "bar_ts").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "bar_ts").alias("close"), F.sum("volume").cast("double").alias("volume"))
+    path = shared_folder(spark, "bars")
+    day.withColumnRenamed("day", "bar_ts").select("symbol", "bar_ts", "open", "high", "low", "close", "volume").write.partitionBy("symbol").csv(path, header=True)
+    return read_bars_csv(spark, f"{path}/*", r"symbol=([^/]+)/")
+
+
+@register("src2_wide_csv", f"WITH {WEEK} SELECT symbol, bar_ts, close FROM panel")
+def _(spark, d):
+    names = [f"NATION_{i}" for i in range(25)]  # the matrix' columns
+    path = shared_folder(spark, "wide")
+    weekly_panel(spark, d).groupBy("bar_ts").pivot("symbol", names).agg(F.first("close")).write.csv(path, header=True)
+    return read_wide_csv(spark, path)
+
+
+@register("src5_vendor_bars", f"WITH {HOUR} SELECT symbol, CAST(bar_ts AS DATE) AS bar_ts, arg_max(close, (hour(bars.bar_ts) % 7, bars.bar_ts)) AS close, arg_max(volume, (hour(bars.bar_ts) % 7, bars.bar_ts)) AS volume FROM bars GROUP BY 1, 2")
+def _(spark, d):
+    raw = hourly_bars(spark, d).select("symbol", (F.unix_timestamp(F.col("bar_ts").cast("timestamp")) * 1000).alias("timestamp_ms"), (F.hour("bar_ts") % 7).alias("seq"), "close", "volume")
+    return vendor_bars(raw)
+
+
+@register("ux6_baseline", f"WITH {WEEK}, {LABELS}, {SIGNALS} SELECT symbol, bar_ts, CASE WHEN signal > 0.05 THEN b WHEN signal < -0.05 THEN -b ELSE 0::DOUBLE END AS pos FROM (SELECT *, CASE WHEN wret <= -0.05 THEN 0::DOUBLE ELSE 0.5::DOUBLE END AS b FROM sig) WHERE signal IS NOT NULL")
+def _(spark, d):
+    # The size of a position is another series, here half or nothing by the trailing return.
+    s = R.walk_forward(week_labels(spark, d), WIN, MIN_TRAIN).filter("signal is not null")
+    base = 0.5 * R.control_position(F.col("wret"), 0.05)
+    return s.select("symbol", "bar_ts", (R.filter_position(F.col("signal"), 0.05, base) + 0.0).alias("pos"))
+
+
+@register("jn12_leave_class_out", f"WITH {WEEK}, s AS (SELECT DISTINCT sector AS dropped FROM panel) SELECT dropped, bar_ts, {r('avg(ret) AS ret')}, count(ret) AS n FROM rets JOIN s ON sector <> dropped WHERE ret IS NOT NULL GROUP BY 1, 2")
+def _(spark, d):
+    # A date's totals without one class, from one row per date and class.
+    x = week_returns(spark, d).filter("ret is not null").groupBy("bar_ts", "sector").agg(F.sum("ret").alias("s"), F.count("ret").alias("k"))
+    names = F.array_sort(F.collect_set("sector"))
+    classes = weekly_panel(spark, d).agg(names.alias("all"))
+    day = x.groupBy("bar_ts").agg(F.sum("s").alias("total"), F.sum("k").alias("n"), F.map_from_entries(F.collect_list(F.struct("sector", F.struct("s", "k")))).alias("m"))
+    rows = day.crossJoin(F.broadcast(classes)).select("bar_ts", "total", "n", "m", F.explode("all").alias("dropped"))  # one row of class names
+    own = lambda c: F.coalesce(F.try_element_at("m", F.col("dropped"))[c], F.lit(0))
+    left = F.col("n") - own("k")
+    return rounded(rows.filter(left > 0).select("dropped", "bar_ts", ((F.col("total") - own("s")) / left).alias("ret"), left.alias("n")))

@@ -46,10 +46,10 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("price", F.col("value") / F.col("quantity"))
 
 
-def read_bars_csv(spark: SparkSession, folder: str) -> DataFrame:
-    """One CSV per symbol (date, Open, High, Low, Close, Volume; the file's name is the symbol); rows without a close are left out."""
+def read_bars_csv(spark: SparkSession, folder: str, name: str = r"([^/]+)\.csv$") -> DataFrame:
+    """CSV files by symbol (date, Open, High, Low, Close, Volume); ``name`` finds the symbol in a file's path, by default its name. Rows without a close are left out."""
     schema = "bar_ts date, open double, high double, low double, close double, volume double"
-    raw = spark.read.schema(schema).csv(folder, header=True, enforceSchema=True).withColumn("symbol", F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv$", 1))
+    raw = spark.read.schema(schema).csv(folder, header=True, enforceSchema=True).withColumn("symbol", F.regexp_extract(F.input_file_name(), name, 1))
     return indexed(raw.filter("close is not null"))
 
 
