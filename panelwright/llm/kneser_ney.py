@@ -425,7 +425,9 @@ def _triples(texts: DataFrame, model: Model) -> tuple[float, float, float]:
 
 
 def train(texts: DataFrame, chars: int, order: int = 2) -> Model:
-    """The model of the column ``text`` (no nulls). ``chars``: about how many characters there are; it sets the number of segments. ``order``: 2 or 3 words."""
+    """The model of the column ``text`` (no nulls). ``chars``: about how many characters there are; it sets the number of segments. ``order``: 2 or 3 words.
+
+    Empty texts are an end token each; repeated rows count each time; a very long text is counted in one run; without any text the model knows no word. Other columns are not read."""
     if order not in (2, 3):
         raise ValueError(f"the order must be 2 or 3, not {order}")
     spark = texts.sparkSession
@@ -595,7 +597,7 @@ def held_out(doc_id: Column, fold: int = 2, folds: int = 7) -> Column:
 def score_documents(docs: DataFrame, order: int = 2) -> DataFrame:
     """One row per document: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
-    Null and empty texts are an end token alone. Repeated rows count and are scored each time. Other columns are not read. With no training
+    Null and empty texts are an end token alone. Repeated rows count and are scored each time. Other columns are not read. A very long text is scored in one piece, in memory of some 200 bytes a word. With no training
     document the model spreads all mass evenly over the unknown word. An empty table gives an empty one.
     """
     own = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("held_out", held_out(F.col("doc_id")))

@@ -22,7 +22,8 @@ LAYOUT = {
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> None:
     """``doc_id, part, pos, n_tokens, ids`` below ``path``: in each part rows ascend by doc_id (nulls first, ties by text), parts ascend too.
 
-    Null and empty texts are the end id alone. Every row is written, repeated ones too. Equal doc_ids are split over parts by their texts' hashes.
+    Null and empty texts are the end id alone. Every row is written, repeated ones too. Equal doc_ids are split over parts by their texts' hashes. A very long text is one list.
+    An empty table gives files without rows; other columns are not read.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
 

@@ -310,3 +310,41 @@ def test_copies_of_one_text_all_linked(spark):
     rows += [(i, "one and the same text of more than five words") for i in range(600, 900)]
     got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert Counter((r.doc_id, r.class_id, r.n_copies) for r in got) == Counter([(i, 0, 1) for i in range(600)] + [(i, 600, 300) for i in range(600, 900)])
+
+
+def test_token_files_are_laid_out_for_selective_reads(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    path = str(tmp_path / "tokens")
+    df = spark.createDataFrame([(i, f"word{i % 97} " * (i % 50)) for i in range(9000)], "doc_id long, text string").repartition(1)
+    tokenfile.write_tokens(df, path, tokens.vocabulary("word_bpe_49k.json"))
+    files = sorted((tmp_path / "tokens").glob("*.parquet"))
+    kinds, pages = set(), 0
+    for f in files:
+        meta = pq.ParquetFile(f).metadata
+        for g in range(meta.num_row_groups):
+            columns = {meta.row_group(g).column(c).path_in_schema: meta.row_group(g).column(c) for c in range(meta.num_columns)}
+            ids = next(c for n, c in columns.items() if n.startswith("ids"))
+            kinds |= set(ids.encodings)
+            assert all(c.has_offset_index for c in columns.values()) and columns["doc_id"].has_column_index
+            assert columns["doc_id"].statistics.min <= columns["doc_id"].statistics.max
+            pages += 1
+    assert pages and {"RLE_DICTIONARY", "PLAIN_DICTIONARY"} & kinds
+    few = spark.read.parquet(path).filter("doc_id between 100 and 109").select("doc_id", "n_tokens")
+    plan = few._jdf.queryExecution().toString()
+    assert "ReadSchema: struct<doc_id:bigint,n_tokens:bigint>" in plan and "GreaterThanOrEqual(doc_id,100)" in plan
+    assert few.count() == 10
+    index = {r.doc_id: r.start for r in tokenfile.read_index(spark, path).collect()}
+    assert len(index) == 9000 and index[0] == 0 and index[5] < index[6]
+
+
+def test_a_text_of_twenty_megabytes(spark):
+    body = " ".join(f"w{i * 7919 % 1_000_003}" for i in range(2_500_000))
+    assert len(body) > 18_000_000
+    df = spark.createDataFrame([(1, body), (2, body + " tail"), (3, "short text of some words here")], "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(df).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+    from panelwright.llm import kneser_ney
+
+    rows = {r.doc_id: r for r in kneser_ney.score_documents(df, order=3).collect()}
+    assert rows[1].n_tokens == 2_500_001 and rows[2].n_tokens == 2_500_002

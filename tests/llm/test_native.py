@@ -187,3 +187,20 @@ def test_rows_of_two_sources_with_one_id_and_text(spark):
         got[("0" + r.source if r.source else "1", r.doc_id)] += len(r.text.split())
         assert any(t.startswith(r.text) for i, s, t in rows if (i, s) == (r.doc_id, r.source))
     assert got == Counter({k: n for k, n in taken.items() if n})
+
+
+def test_rendezvous_choice_recomputed(spark):
+    """The winning shard by the scores' definition, in Python, from Spark's own hash."""
+    import math
+
+    weights = {0: 1.0, 1: 2.0, 2: 0.5, 3: 1.0}
+    df = spark.range(400).select(F.col("id").alias("k"), *[F.xxhash64(F.lit(11), F.lit(s), F.col("id")).alias(f"h{s}") for s in weights], sharding.shard_of(F.col("id"), weights).alias("got"))
+    counts = Counter()
+    for r in df.collect():
+        scores = {}
+        for s, w in weights.items():
+            u = (((r[f"h{s}"] % (1 << 64)) >> 11) + 0.5) / (1 << 53)
+            scores[s] = -w / math.log(u)
+        assert r.got == max(scores, key=scores.get)
+        counts[r.got] += 1
+    assert counts[1] > counts[0] > counts[2]
