@@ -19,7 +19,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SALTS, looked_up, stage
+from .common import SALTS, SMALL, looked_up, stage
 from .words import mix, slices, word_hashes
 
 BANDS, ROWS = 24, 5
@@ -208,14 +208,21 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node, root``: the smallest node reachable over ``links``, for every node that has one. Labels spread to neighbours and jump to their own
     label's label each round, so rounds grow with the logarithm of a chain's length; only row counts reach the driver.
-    """
-    edges = stage(links.select(F.col(a).alias("x"), F.col(b).alias("y")).unionByName(links.select(F.col(b).alias("x"), F.col(a).alias("y"))).distinct(), "edges")
+
+    A hub's label goes to its neighbours by salt, and the labels that have moved themselves are broadcast up to a counted size, so neither a hub nor a large class meets in one task."""
+    both = links.select(F.col(a).alias("x"), F.col(b).alias("y")).unionByName(links.select(F.col(b).alias("x"), F.col(a).alias("y"))).distinct()
+    edges = stage(both.withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(SALTS)).cast("int")), "edges")
+    hubs = stage(edges.select("y", "salt").distinct(), "hubs")
     labels = stage(edges.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("root")).withColumnRenamed("x", "node"), "labels")
     while True:
-        seen = edges.join(labels.select(F.col("node").alias("y"), "root").hint("merge"), "y").select(F.col("x").alias("node"), "root")
+        far = hubs.join(labels.select(F.col("node").alias("y"), "root").hint("merge"), "y")
+        seen = edges.join(far.hint("merge"), ["y", "salt"]).select(F.col("x").alias("node"), "root")
         best = labels.unionByName(seen).groupBy("node").agg(F.min("root").alias("root"))
         jump = labels.filter("node != root").select(F.col("node").alias("root"), F.col("root").alias("further"))
-        after = best.join(jump.hint("merge"), "root", "left").select("node", F.least("root", F.coalesce("further", "root")).alias("root"))
+        # Only labels that are some node's root can be asked for; most of those are their own.
+        jump = stage(jump.join(labels.select("root").distinct().hint("merge"), "root", "left_semi"), "jumps")
+        jump = F.broadcast(jump) if jump.count() <= SMALL else jump.hint("merge")
+        after = best.join(jump, "root", "left").select("node", F.least("root", F.coalesce("further", "root")).alias("root"))
         new = stage(after.join(labels.withColumnRenamed("root", "was").hint("merge"), "node").select("node", "root", (F.col("root") != F.col("was")).alias("moved")), "labels")
         labels = new.select("node", "root")
         if new.filter("moved").limit(1).count() == 0:
