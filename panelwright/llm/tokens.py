@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 #: Letters for which normalisation is the identity, lower-casing is one to one, and every pattern of both tokenizers sees one run of letters.
 LETTERS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|#*$%&<>]*)")
 #: Bytes that a generation of a table of pieces may hold, by estimate.
-TABLE_BYTES = 24_000_000
+TABLE_BYTES = 40_000_000
 #: Each of these makes a text irregular: white space other than single spaces and single newlines between words.
 _ODD_SPACE = ("  ", " \n", "\n ", "\n\n", *map(chr, (9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?= \S)")
@@ -81,7 +81,8 @@ class Encoder:
         if not m:
             return self._full(space + piece)
         word = m[1].lower() if self.lower else m[1]
-        own = self.runs[(space + word).translate(self.letters)]
+        # Printable ASCII stands for itself in that alphabet. Runs are not kept beside their pieces: few come in two.
+        own = self._run((self.letters[32] if space else "") + word if word.isascii() else (space + word).translate(self.letters))
         return own + self.runs[m[2]] if m[2] else own
 
     def _word(self, word: bytes) -> bytes:
