@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, kneser_ney, mixing, neardup, neighbours, packing, quality, sharding, tokenfile, warc
+from . import chat, kneser_ney, linededup, mixing, neardup, neighbours, packing, quality, sharding, tokenfile, warc
 from .common import read
 from .tokens import vocabulary
 
@@ -53,7 +54,13 @@ def op10_cross_polytope_neighbours(spark: SparkSession, sf_dir: str) -> DataFram
     return neighbours.nearest(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_minhash_near_duplicates, op3_warc_archive, op4_mix_sources, op5_kneser_ney, op6_quality_cascade, op7_token_files, op8_chat_trees, op9_rendezvous_shards, op10_cross_polytope_neighbours)}
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    kept = linededup.deduplicated(docs, linededup.keep_bitmaps(docs, least=10))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_minhash_near_duplicates, op3_warc_archive, op4_mix_sources, op5_kneser_ney, op6_quality_cascade, op7_token_files, op8_chat_trees, op9_rendezvous_shards, op10_cross_polytope_neighbours, op12_line_dedup)}
 
 ORACLES: dict[str, str] = {
     "op6_quality_cascade": r"""
@@ -79,4 +86,12 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(12 + length(role) + 1 + length(text) + (length(text) - length(replace(text, chr(92), ''))) + (length(text) - length(replace(text, '<|', ''))) // 2 + 11) AS BIGINT) AS formatted_chars
 FROM c GROUP BY conv_id""",
+    "op12_line_dedup": r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT rid, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS p FROM d),
+k AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+f AS (SELECT key, min(doc_id) AS first_id FROM k WHERE length(key) >= 10 GROUP BY key),
+m AS (SELECT rid, k.doc_id, line, p, coalesce(k.doc_id > first_id, false) AS gone FROM k LEFT JOIN f USING (key))
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY rid""",
 }

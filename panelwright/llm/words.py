@@ -111,3 +111,10 @@ def slices(texts, limit: int = 500_000, rows: int = 2000):
             k += 1
         yield at, k
         at += k
+
+
+def slices_of(batches, column: str, limit: int = 500_000):
+    """The batches cut into such runs."""
+    for batch in batches:
+        for at, k in slices(batch.column(column), limit):
+            yield batch.slice(at, k)
