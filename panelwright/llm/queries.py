@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, kneser_ney, linededup, mixing, neardup, neighbours, packing, quality, sharding, tokenfile, warc
+from . import chat, kneser_ney, lexical, linededup, mixing, neardup, neighbours, packing, quality, sharding, tokenfile, warc
 from .common import read
 from .tokens import vocabulary
 
@@ -54,13 +54,17 @@ def op10_cross_polytope_neighbours(spark: SparkSession, sf_dir: str) -> DataFram
     return neighbours.nearest(read(spark, sf_dir, "embeddings"))
 
 
+def op11_pipelined_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), top=10)
+
+
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     kept = linededup.deduplicated(docs, linededup.keep_bitmaps(docs, least=10))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_minhash_near_duplicates, op3_warc_archive, op4_mix_sources, op5_kneser_ney, op6_quality_cascade, op7_token_files, op8_chat_trees, op9_rendezvous_shards, op10_cross_polytope_neighbours, op12_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_minhash_near_duplicates, op3_warc_archive, op4_mix_sources, op5_kneser_ney, op6_quality_cascade, op7_token_files, op8_chat_trees, op9_rendezvous_shards, op10_cross_polytope_neighbours, op11_pipelined_search, op12_line_dedup)}
 
 ORACLES: dict[str, str] = {
     "op6_quality_cascade": r"""
@@ -86,6 +90,17 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(12 + length(role) + 1 + length(text) + (length(text) - length(replace(text, chr(92), ''))) + (length(text) - length(replace(text, '<|', ''))) // 2 + 11) AS BIGINT) AS formatted_chars
 FROM c GROUP BY conv_id""",
+    "op11_pipelined_search": r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+b AS (SELECT item_id, term, count(*) AS q FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+t AS (SELECT rid, doc_id, term, count(*) AS tf FROM d GROUP BY ALL),
+s AS (SELECT rid, sum(tf) AS n FROM t GROUP BY rid),
+g AS (SELECT count(*) AS n_docs, sum(n) AS total FROM s),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM t, g GROUP BY term, n_docs),
+m AS (SELECT rid, CAST(100 - 75 + (75 * n * n_docs) // total AS BIGINT) AS m FROM s, g),
+c AS (SELECT item_id, rid, doc_id, CAST(sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM b JOIN t USING (term) JOIN w USING (term) JOIN m USING (rid) GROUP BY ALL),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, rid) AS INTEGER) AS rank, doc_id, score FROM c WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10""",
     "op12_line_dedup": r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l AS (SELECT rid, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS p FROM d),
