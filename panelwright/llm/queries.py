@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, kneser_ney, lexical, linededup, mixing, neardup, neighbours, packing, quality, sharding, tokenfile, warc
+from . import chat, kneser_ney, lexical, linededup, mixing, neardup, neighbours, packing, phrases, quality, sharding, tokenfile, warc
 from .common import read
 from .tokens import vocabulary
 
@@ -64,7 +64,11 @@ def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_minhash_near_duplicates, op3_warc_archive, op4_mix_sources, op5_kneser_ney, op6_quality_cascade, op7_token_files, op8_chat_trees, op9_rendezvous_shards, op10_cross_polytope_neighbours, op11_pipelined_search, op12_line_dedup)}
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents"), least=100, top=2000)
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_minhash_near_duplicates, op3_warc_archive, op4_mix_sources, op5_kneser_ney, op6_quality_cascade, op7_token_files, op8_chat_trees, op9_rendezvous_shards, op10_cross_polytope_neighbours, op11_pipelined_search, op12_line_dedup, op13_collocations)}
 
 ORACLES: dict[str, str] = {
     "op6_quality_cascade": r"""
@@ -109,4 +113,20 @@ f AS (SELECT key, min(doc_id) AS first_id FROM k WHERE length(key) >= 10 GROUP B
 m AS (SELECT rid, k.doc_id, line, p, coalesce(k.doc_id > first_id, false) AS gone FROM k LEFT JOIN f USING (key))
 SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT gone), '')) AS kept_sha256
 FROM m GROUP BY rid""",
+    "op13_collocations": r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM d),
+s AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM w),
+g AS (SELECT lang, k, array_to_string(words[i:i + k - 1], ' ') AS phrase FROM s, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE i + k - 1 <= len(words)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS HUGEINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k AS m, phrase, string_split(phrase, ' ') AS words, f AS a FROM f WHERE k > 1 AND f >= 100),
+x AS (SELECT *, unnest(range(1, m)) AS j FROM c),
+y AS (SELECT x.lang, x.phrase, m, a, words, j, p.f AS l, q.f AS r, n.n, CAST(1000 AS HUGEINT) * a * n.n // (CAST(p.f AS HUGEINT) * q.f) AS score
+      FROM x JOIN f p ON p.lang = x.lang AND p.phrase = array_to_string(words[1:j], ' ') JOIN f q ON q.lang = x.lang AND q.phrase = array_to_string(words[j + 1:m], ' ') JOIN n ON n.lang = x.lang),
+z AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+e AS (SELECT DISTINCT lang, unnest([array_to_string(words[1:m - 1], ' '), array_to_string(words[2:m], ' ')]) AS phrase, a FROM c WHERE m > 2),
+t AS (SELECT * FROM z WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.lang = z.lang AND e.phrase = z.phrase AND e.a = z.a)),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM t)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM r WHERE rank <= 2000""",
 }
