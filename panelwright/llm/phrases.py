@@ -141,9 +141,13 @@ class _Held:
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(part[c][at : at + 100_000]).view(np.int64)) for c in self.names], names=self.names)
 
 
-def _each(batches):
-    """(g as signed, words, rows, pieces, texts) of slices."""
+def _each(batches, open_=None):
+    """(g as signed, words, rows, pieces, texts) of slices; of languages that are still ``open_``, if given."""
+    import pyarrow as pa
+
     for batch in slices_of(batches, "text", SLICE):
+        if open_ is not None:
+            batch = batch.filter(pa.array(open_(batch.column("g").to_numpy().view(np.uint64))))
         g, texts = batch.column("g").to_numpy(), batch.column("text").to_pylist()
         yield g, *words_of(texts, g.view(np.uint64)), texts
 
@@ -175,12 +179,12 @@ def _hash(w, at, k: int):
     return h
 
 
-def _count_extensions(known: Bitmap, frontier: Bitmap, k: int):
+def _count_extensions(known: Bitmap, frontier: Bitmap, open_: Bitmap, k: int):
     """Of the phrases of ``k`` words whose first ``k`` - 1 are of the frontier: ``h, p`` (those ``k`` - 1), ``w`` (the last), ``g, c``."""
 
     def run(batches):
         held = _Held(["h", "p", "w", "g", "c"])
-        for g, w, row, piece, _ in _each(batches):
+        for g, w, row, piece, _ in _each(batches, open_):
             at = _positions(w, piece, known, k)
             p = _hash(w, at, k - 1)
             some = frontier(p)
@@ -192,12 +196,12 @@ def _count_extensions(known: Bitmap, frontier: Bitmap, k: int):
     return run
 
 
-def _count_asked(known: Bitmap, asked: Bitmap):
+def _count_asked(known: Bitmap, asked: Bitmap, open_: Bitmap):
     """Of the phrases asked for (2 to 4 words): counts, and the least and greatest hash of the words before and after, 0 where there is none in the piece."""
 
     def run(batches):
         held = _Held(["h", "c", "l0", "l1", "r0", "r1"], ("l0", "r0"), ("l1", "r1"))
-        for _, w, _, piece, _ in _each(batches):
+        for _, w, _, piece, _ in _each(batches, open_):
             for k in range(2, LONGEST):
                 at = _positions(w, piece, known, k)
                 h = _hash(w, at, k)
@@ -265,12 +269,12 @@ def _tails(batches):
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in ("h", "g", "a", "heads")), pa.array(np.concatenate(cut).astype(np.int32)), pa.array(np.ascontiguousarray(np.concatenate(tail)).view(np.int64))], names=["h", "g", "a", "heads", "k", "tail"])
 
 
-def _grow(texts: DataFrame, known: Bitmap, firsts: DataFrame, least: int) -> DataFrame:
+def _grow(texts: DataFrame, known: Bitmap, open_: Bitmap, firsts: DataFrame, least: int) -> DataFrame:
     """``h, g, m, words, heads, a``: the frequent phrases of 2 to 5 words that begin with one of ``firsts`` (``h, g, c``); ``heads`` are the counts of their own first 1, 2, ... words."""
     level = firsts.select("h", "g", F.lit(1).alias("m"), F.array("h").alias("words"), F.array().cast("array<long>").alias("heads"), F.col("c").alias("a"))
     grown = []
     for k in range(2, LONGEST + 1):
-        counted = texts.mapInArrow(_count_extensions(known, bitmap(level), k), "h long, p long, w long, g long, c long")
+        counted = texts.mapInArrow(_count_extensions(known, bitmap(level), open_, k), "h long, p long, w long, g long, c long")
         counted = counted.groupBy("h", "p", "w", "g").agg(F.sum("c").alias("c")).filter(F.col("c") >= least)
         above = level.select(F.col("h").alias("p"), "words", "heads", F.col("a").alias("above"))
         level = stage(counted.join(above.hint("merge"), "p").select("h", "g", F.lit(k).alias("m"), F.concat("words", F.array("w")).alias("words"), F.concat("heads", F.array("above")).alias("heads"), F.col("c").alias("a")), "phrases")
@@ -283,11 +287,11 @@ def _grow(texts: DataFrame, known: Bitmap, firsts: DataFrame, least: int) -> Dat
     return out
 
 
-def _scored(texts: DataFrame, known: Bitmap, words: DataFrame, totals: DataFrame, phrases: DataFrame) -> DataFrame:
+def _scored(texts: DataFrame, known: Bitmap, open_: Bitmap, words: DataFrame, totals: DataFrame, phrases: DataFrame) -> DataFrame:
     """``h, g, a, l, r, n, score`` of those of ``phrases`` that no longer candidate of the same count holds."""
     cuts = stage(phrases.select("h", "g", "a", "words", "heads").mapInArrow(_tails, "h long, g long, a long, heads array<long>, k int, tail long"), "cuts")
     asked = cuts.filter("k < size(heads)").select(F.col("tail").alias("h")).unionByName(phrases.filter(F.col("m") < LONGEST).select("h")).distinct()
-    met = texts.mapInArrow(_count_asked(known, bitmap(asked)), "h long, c long, l0 long, l1 long, r0 long, r1 long")
+    met = texts.mapInArrow(_count_asked(known, bitmap(asked), open_), "h long, c long, l0 long, l1 long, r0 long, r1 long")
     met = stage(met.groupBy("h").agg(F.sum("c").alias("c"), F.min("l0").alias("l0"), F.max("l1").alias("l1"), F.min("r0").alias("r0"), F.max("r1").alias("r1")), "asked")
     # One word that always stands before or after makes a longer candidate of the same count.
     inner = met.filter("l0 = l1 and l0 != 0 or r0 = r1 and r0 != 0").select("h")
@@ -307,12 +311,12 @@ def _settled(found: DataFrame, top: int) -> DataFrame:
     return found.select("g", "score", place.alias("place")).filter(F.col("place") <= top).filter(F.col("place") == top).select("g", F.col("score").alias("floor"))
 
 
-def collocations(docs: DataFrame, least: int = 100, top: int = 2000, batch: int = 4000, growth: int = 16) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 100, top: int = 2000, batch: float = 0.25, growth: float = 4) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score``: of each language (null: ``und``) the first ``top`` candidates by score, count and phrase.
 
     A-Z are lower-cased; texts (null: empty) are split at ``. , ; : ! ?`` and line ends into pieces, those at blanks and tabs into words. A candidate has 2 to 5 words of one piece and is found
     ``least`` times or more, overlaps included. Its score is that of its lowest cut (ties: the shortest first part), in exact integers. One that lies in a longer candidate of the same count is dropped.
-    ``batch`` first words are expanded first, each further batch is ``growth`` times as large; neither changes a result. Repeated rows count each time, very long texts whole; doc_id and other columns are
+    First words that make up the rarest ``batch`` of a language's word occurrences are expanded first, then those up to ``growth`` times that, and so on; neither changes a result. Repeated rows count each time, very long texts whole; doc_id and other columns are
     not read. An empty table gives an empty one. Words are told apart by 64-bit hashes.
     """
     spark: SparkSession = docs.sparkSession
@@ -322,22 +326,22 @@ def collocations(docs: DataFrame, least: int = 100, top: int = 2000, batch: int
     counted = stage(counted.filter((F.col("c") >= least) | (F.col("h") == F.col("g"))), "words")
     totals, words = counted.filter("h = g").select("g", F.col("c").alias("n")), counted.filter("h != g")
     known = bitmap(words)
-    waiting = words.join(totals.hint("merge"), "g").withColumn("bound", F.expr(f"{1000}L * n div c"))
-    found, done, floors = None, spark.createDataFrame([], "g long, cut long"), spark.createDataFrame([], "g long, floor long")
-    while True:
-        rest = waiting.join(done.hint("merge"), "g", "left").join(floors.hint("merge"), "g", "left")
-        rest = stage(rest.filter("c > coalesce(cut, 0) and bound >= coalesce(floor, 0)").select("h", "g", "c"), "frontier")
-        if rest.isEmpty():
-            break
-        # The rarest first words have the highest bounds; all of one count go together.
-        below = F.sum("m").over(Window.partitionBy("g").orderBy("c").rowsBetween(Window.unboundedPreceding, -1))
-        cuts = rest.groupBy("g", "c").agg(F.count(F.lit(1)).alias("m")).withColumn("below", F.coalesce(below, F.lit(0)))
-        done = stage(cuts.filter(F.col("below") < batch).groupBy("g").agg(F.max("c").alias("cut")).unionByName(done).groupBy("g").agg(F.max("cut").alias("cut")), "cuts-done")
-        firsts = rest.join(done.hint("merge"), "g").filter("c <= cut").select("h", "g", "c")
-        now = stage(_scored(texts, known, words, totals, _grow(texts, known, firsts, least)), "scored")
+    # The rarest first words have the highest bounds. ``below``: the share of all word occurrences that begin with a rarer one, which is what counting them costs.
+    below = F.sum(F.col("m") * F.col("c")).over(Window.partitionBy("g").orderBy("c").rowsBetween(Window.unboundedPreceding, -1))
+    steps = words.groupBy("g", "c").agg(F.count(F.lit(1)).alias("m")).withColumn("before", F.coalesce(below, F.lit(0))).join(totals.hint("merge"), "g")
+    steps = stage(steps.select("g", "c", (F.col("before") / F.col("n")).alias("below"), F.expr(f"{1000}L * n div c").alias("bound")), "steps")
+    waiting = words.join(steps.hint("merge"), ["g", "c"])
+    found, floors, done = None, spark.createDataFrame([], "g long, floor long"), -1.0
+    while done < 1:
+        open_ = F.col("bound") >= F.coalesce("floor", F.lit(0))
+        firsts = stage(waiting.filter((F.col("below") >= done) & (F.col("below") < batch)).join(floors.hint("merge"), "g", "left").filter(open_).select("h", "g", "c"), "frontier")
+        done, batch = batch, batch * growth
+        if firsts.isEmpty():
+            continue
+        open_ = bitmap(firsts.select(F.col("g").alias("h")).distinct())
+        now = stage(_scored(texts, known, open_, words, totals, _grow(texts, known, open_, firsts, least)), "scored")
         found = now if found is None else found.unionByName(now)
         floors = stage(_settled(found, top), "floors")
-        batch *= growth
     if found is None:
         return spark.createDataFrame([], "lang string, rank long, phrase string, a long, l long, r long, n long, score long")
     ahead = F.rank().over(Window.partitionBy("g").orderBy(F.desc("score"), F.desc("a")))

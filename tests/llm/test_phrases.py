@@ -54,7 +54,7 @@ def made(n, seed=5):
 ODD = [("en", None), ("en", ""), (None, " . , ;"), ("fr", "only here"), ("en", "long tail of words " * 40_000), ("de", "no gap" * 100_000 + " end of it"), ("en", "x y\x00z"), ("en", "twice the same row"), ("en", "twice the same row")]
 
 
-@pytest.mark.parametrize("options", [{"top": 2000}, {"top": 5, "batch": 4, "growth": 4}])
+@pytest.mark.parametrize("options", [{"top": 2000}, {"top": 5, "batch": 0.05, "growth": 3}])
 def test_against_brute_force(spark, options):
     rows = made(150) + ODD
     docs = spark.createDataFrame([(*r, "clash", 1, 2) for r in rows], "lang string, text string, phrase string, n long, h long").repartition(4)
@@ -65,8 +65,8 @@ def test_bounds_cut_the_search(spark, monkeypatch):
     """A settled language needs no further first words."""
     rows = [("en", f"p{i} q{i}. common {'words and more'.split()[i % 3]} p{i} q{i}") for i in range(40) for _ in range(2 + i // 10)]
     grown = []
-    monkeypatch.setattr(phrases, "_grow", lambda *x, f=phrases._grow: grown.append(sorted(r.c for r in x[2].collect())) or f(*x))
-    assert run(spark.createDataFrame(rows, "lang string, text string"), least=4, top=10, batch=4, growth=1) == brute(rows, 4, 10)
+    monkeypatch.setattr(phrases, "_grow", lambda *x, f=phrases._grow: grown.append(sorted(r.c for r in x[3].collect())) or f(*x))
+    assert run(spark.createDataFrame(rows, "lang string, text string"), least=4, top=10, batch=0.01, growth=3) == brute(rows, 4, 10)
     # The twenty rarest first words tie; the pairs found among them settle the language.
     assert grown == [[4] * 20]
 
