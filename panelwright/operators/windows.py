@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .scan import exponential
+
+
 def by_time():
     return Window.partitionBy("symbol").orderBy("bar_ts")
 
@@ -135,22 +138,8 @@ def downside_vol(ret: str, bars: int, bars_per_year: int) -> Column:
     return F.sqrt(F.avg(x * x).over(before(bars)) * bars_per_year)
 
 
-def ewma_unbounded(rows: DataFrame, ret: str, span: int, bars_per_year: int, out: str, piece: int = 64) -> DataFrame:
-    """``out``: the exponentially weighted volatility of all bars up to this one, seeded by the symbol's first.
-
-    A weight (1 - a)^age is a product, so the sum splits: each bar folds its own piece of the series, and the state at a piece's start is a
-    window over pieces. ``piece`` bounds every list, however long the series."""
-    a = 2.0 / (span + 1)
-    w = by_time()
-    x = rows.withColumn("__k", F.row_number().over(w) - 1).withColumn("__p", F.floor(F.col("__k") / piece).cast("long")).withColumn("__j", F.col("__k") % piece)
-    inside = Window.partitionBy("symbol", "__p").orderBy("bar_ts").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # The first bar of all weighs fully, every other a; a piece's own sum is as if the state before it were 0.
-    gain = F.when(F.col("__k") == 0, F.col(ret) * F.col(ret)).otherwise(a * F.col(ret) * F.col(ret))
-    x = x.withColumn("__own", F.aggregate(F.collect_list(gain).over(inside), F.lit(0.0), lambda acc, v: acc * (1 - a) + v))
-    ends = x.groupBy("symbol", "__p").agg(F.max_by("__own", "bar_ts").alias("__e"), F.count(F.lit(1)).alias("__n"))
-    # Bars more than 64 pieces back weigh less than a double's last digit.
-    order = Window.partitionBy("symbol").orderBy("__p").rowsBetween(-64, -1)
-    past = F.collect_list(F.struct("__e", "__n")).over(order)
-    starts = ends.withColumn("__s", F.aggregate(F.reverse(past), F.struct(F.lit(0.0).alias("s"), F.lit(1.0).alias("w")), lambda acc, v: F.struct((acc["s"] + acc["w"] * v["__e"]).alias("s"), (acc["w"] * F.pow(F.lit(1 - a), v["__n"])).alias("w")))["s"])
-    both = x.join(starts.select("symbol", "__p", "__s"), ["symbol", "__p"])
-    return both.withColumn(out, F.sqrt((F.col("__own") + F.col("__s") * F.pow(F.lit(1 - a), F.col("__j") + 1)) * bars_per_year)).drop("__k", "__p", "__j", "__own", "__s")
+def ewma_unbounded(rows: DataFrame, ret: str, span: int, bars_per_year: int, out: str, per_block: int = 50_000) -> DataFrame:
+    """``out``: the exponentially weighted volatility of all bars up to this one, seeded by the symbol's first, for any span and any length of series."""
+    squared = rows.withColumn("__sq", F.col(ret) * F.col(ret))
+    averaged = exponential(squared, "__sq", 2.0 / (span + 1), ["symbol"], ["bar_ts"], "__ew", per_block)
+    return averaged.withColumn(out, F.sqrt(F.col("__ew") * bars_per_year)).drop("__sq", "__ew")
