@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -88,9 +91,56 @@ def feed_health(events: DataFrame, as_of: DataFrame, fresh_hours: int = 1, stale
     return last.crossJoin(F.broadcast(as_of)).withColumn("age_s", age).withColumn("state", state).drop("now")
 
 
-def redacted(text, keys: tuple[str, ...] = ("token", "secret", "password")):
-    """JSON text with the values of sensitive keys replaced."""
-    return F.regexp_replace(text, r'("(?:' + "|".join(keys) + r')"\s*:\s*)"[^"]*"', '$1"***"')
+#: Keys and token shapes that must not be shown.
+SECRET_KEYS = ("authorization", "api_?key", "secret", "password", "passwd", "credential", "private_?key", "token")
+SECRET_VALUES = (r"(?i)\bbearer\s+[A-Za-z0-9._~+/=-]+", r"\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*", r"\bsk[-_][A-Za-z0-9_-]{8,}")
+
+
+#: Strings (a cut-off one runs to the end), brackets and separators, scalars, white space: every character is in one of them.
+_TOKEN = re.compile(r'"[^"\\]*(?:\\.[^"\\]*)*(?:"|\\?\Z)|[{}\[\]:,]|[^\s"{}\[\]:,]+|\s+', re.S)
+
+
+def _without_secrets(text: str, key: re.Pattern, mark: str) -> str:
+    """The text with what follows each sensitive key and its colon replaced: one token, or all up to the bracket that closes it or the text's end."""
+    if not key.search(text):
+        return text
+    tokens, out, i = _TOKEN.findall(text), [], 0
+    blank = lambda at: at < len(tokens) and tokens[at].isspace()
+    while i < len(tokens):
+        token = tokens[i]
+        out.append(token)
+        i += 1
+        if token[0] != '"' or not key.search(token):
+            continue
+        colon = i + blank(i)
+        value = colon + 1 + blank(colon + 1)
+        if colon >= len(tokens) or tokens[colon] != ":" or value >= len(tokens) or tokens[value] in ",:}]":
+            continue
+        out += [*tokens[i:value], f'"{mark}"']
+        i, depth = value, 0
+        while i < len(tokens):
+            depth += (tokens[i] in "{[") - (tokens[i] in "}]")
+            i += 1
+            if depth == 0:
+                break
+    return "".join(out)
+
+
+def redacted(text, keys: tuple[str, ...] = SECRET_KEYS, values: tuple[str, ...] = SECRET_VALUES, mark: str = "***"):
+    """JSON text with every value below a sensitive key replaced by ``mark``: strings with escapes, numbers, whole objects and arrays, at any depth.
+
+    A key is sensitive if one of ``keys`` (patterns, any case) is found in it. Then whatever matches one of ``values`` is replaced wherever it stands, keyed or not. Other text stays to the character; invalid JSON is
+    treated alike, a value that is cut off going to the end. Null stays null. Built-in functions can't follow brackets, so a vectorised Python function walks the tokens of those texts that name a key at all."""
+    key = re.compile("|".join(keys), re.I)
+
+    @F.pandas_udf("string")
+    def walk(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: _without_secrets(x, key, mark), na_action="ignore")
+
+    out = walk(text)
+    for value in values:
+        out = F.regexp_replace(out, F.lit(value), F.lit(mark))
+    return out
 
 
 def matrix_violations(panel: DataFrame, universe: DataFrame, min_bars: int = 10, strict: float | None = 0.15) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import backoffice as B
 from ..operators import quality as Q
 from ..sources import shared as S
+from ..sources import versioned as V
 from ..sources.panels import table, trades, weekly_panel
 from .ledger import BROKER, KEYS, MARKED, OPENING, TRADES, books, broker, marked
 from .panel import WEEK, r, register, rounded, week_returns
@@ -264,14 +265,30 @@ def _(spark, d):
     return spark.read.schema(t.schema).parquet(path)
 
 
-@register("snk5_sync_snapshot", f"WITH {TRADES}, p AS (SELECT account, symbol, sum(CASE side WHEN 'BUY' THEN 1 ELSE -1 END * quantity) AS shares, bool_or(filled_at >= DATE '1996-01-01') AS late FROM tr GROUP BY 1, 2), o AS (SELECT account, symbol, sum(CASE side WHEN 'BUY' THEN 1 ELSE -1 END * quantity) AS shares FROM tr WHERE filled_at < DATE '1996-01-01' GROUP BY 1, 2) SELECT account, symbol, shares FROM p WHERE account % 2 = 0 AND abs(shares) > 1e-6 UNION ALL SELECT * FROM o WHERE account % 2 <> 0 AND abs(shares) > 1e-6")
+@register("snk5_sync_snapshot", f"WITH {TRADES}, p AS (SELECT account, symbol, sum(CASE side WHEN 'BUY' THEN 1 ELSE -1 END * quantity) AS shares FROM tr GROUP BY 1, 2), o AS (SELECT account, symbol, sum(CASE side WHEN 'BUY' THEN 1 ELSE -1 END * quantity) AS shares FROM tr WHERE filled_at < DATE '1996-01-01' GROUP BY 1, 2) SELECT account, symbol, shares FROM p WHERE account % 2 = 0 AND account % 10 <> 0 AND abs(shares) > 1e-6 UNION ALL SELECT * FROM o WHERE account % 2 <> 0 AND abs(shares) > 1e-6")
 def _(spark, d):
-    # Yesterday's snapshot of all accounts, then today's of every other one.
-    path, t = S.shared_folder(spark, "holdings"), trades(spark, d)
+    # Yesterday's snapshot of all accounts, then today's of every other one; of these, every fifth has sold all it held.
+    t = trades(spark, d)
     held = lambda x: x.groupBy("account", "symbol").agg(F.sum(signed() * F.col("quantity")).alias("shares"))
-    S.sync_snapshot(held(t.filter("filled_at < '1996-01-01'")), "account", path)
-    S.sync_snapshot(held(t.filter("account % 2 = 0")), "account", path)
-    return spark.read.schema("account long, symbol string, shares double").parquet(path)
+    today = held(t.filter("account % 2 = 0")).withColumn("shares", F.when(F.col("account") % 10 == 0, 0.0).otherwise(F.col("shares")))
+    table_ = V.Versioned(spark, S.shared_folder(spark, "holdings"), today.schema, ["account", "symbol"], ["account"])
+    for rows in (held(t.filter("filled_at < '1996-01-01'")), today):
+        V.sync_snapshot(table_, rows, rows)
+    return table_.read()
+
+
+@register("snk4_stored_upsert", """WITH l AS (SELECT o_custkey, o_orderkey, CAST(o_orderdate AS DATE) AS ordered_on, o_totalprice FROM orders),
+n AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY ordered_on DESC, o_orderkey DESC) AS k FROM l) SELECT o_custkey, o_orderkey, ordered_on, o_totalprice FROM n WHERE k = 1 AND NOT (o_custkey % 7 = 0 AND ordered_on < DATE '2000-01-01')""")
+def _(spark, d):
+    # Each customer's newest order: three deliveries, the last of which also closes customers, each at the day given.
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.col("o_orderdate").cast("date").alias("ordered_on"), "o_totalprice").withColumn("at", F.struct("ordered_on", "o_orderkey"))
+    table_ = V.Versioned(spark, S.shared_folder(spark, "newest"), o.schema, ["o_custkey"])
+    table_.upsert(o.filter("ordered_on >= '1997-01-01' and o_orderkey % 2 = 0"), newest="at")
+    table_.upsert(o.filter("ordered_on < '1997-01-01' or o_orderkey % 2 <> 0"), newest="at")
+    last = F.struct(F.lit("2000-01-01").cast("date").alias("ordered_on"), F.lit(-1).cast("long").alias("o_orderkey"))
+    closing = table(spark, d, "customer").filter("c_custkey % 7 = 0").select(F.col("c_custkey").alias("o_custkey"), F.lit(None).cast("long").alias("o_orderkey"), F.lit(None).cast("date").alias("ordered_on"), F.lit(None).cast("double").alias("o_totalprice"), last.alias("at"), F.lit(True).alias("gone"))
+    table_.upsert(closing, newest="at", deleted="gone")
+    return table_.read().drop("at")
 
 
 @register("snk6_run_with_issues", f"WITH {TRADES}, {BROKER}, i AS (SELECT account, count(*) AS n, min(bk.symbol) AS first_symbol FROM bk ANTI JOIN br USING (account, symbol, filled_at, side) GROUP BY 1) SELECT account, CASE WHEN n IS NULL THEN 'MATCHED' ELSE 'MISMATCHED' END AS status, coalesce(n, 0) AS n_issues, first_symbol FROM (SELECT DISTINCT account FROM tr) LEFT JOIN i USING (account)")

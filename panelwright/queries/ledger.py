@@ -146,11 +146,22 @@ def _(spark, d):
     })
 
 
-@register("dq13_redacted", "SELECT event_id, regexp_replace(replace(props, '\"k\": ', '\"token\": \"'), '(\"(?:token|secret|password)\"\\s*:\\s*)\"[^\"}]*}', '\\1\"***\"}') AS props FROM events")
-def _(spark, d):
-    # The key "k" stands for a secret; its bare number becomes a quoted one first.
-    text = F.regexp_replace("props", r'"k": (\d+)', '"token": "$1"')
-    return table(spark, d, "events").select("event_id", Q.redacted(text).alias("props"))
+@register("dq13_redacted", """SELECT event_id, CASE event_id % 5 WHEN 0 THEN '{"auth_token": "***"}' WHEN 1 THEN '{"a": {"Password": "***", "n": ' || event_id || '}, "k": 1}' WHEN 2 THEN '{"credentials": "***", "user": ' || user_id || '}'
+  WHEN 3 THEN '{"note": "***", "user": "u' || user_id || '"}' ELSE '{"api_key":"***"' END AS props FROM events WHERE user_id IS NOT NULL""")
+def _(spark, d):
+    # Secrets of five kinds made of the events' own numbers: a number under a longer key, a nested string with an escaped quote, an object, a bearer value, JSON that is cut off.
+    number = F.regexp_extract("props", r"\d+", 0)
+    forms = [
+        F.concat(F.lit('{"auth_token": '), number, F.lit("}")),
+        F.concat(F.lit('{"a": {"Password": "x\\"y'), number, F.lit('", "n": '), F.col("event_id").cast("string"), F.lit('}, "k": 1}')),
+        F.concat(F.lit('{"credentials": {"id": ['), number, F.lit(', "s"], "more": {"t": 1}}, "user": '), F.col("user_id").cast("string"), F.lit("}")),
+        F.concat(F.lit('{"note": "Bearer abc.'), number, F.lit('", "user": "u'), F.col("user_id").cast("string"), F.lit('"}')),
+        F.concat(F.lit('{"api_key":"never closed '), number),
+    ]
+    text = forms[4]
+    for i in range(4):
+        text = F.when(F.col("event_id") % 5 == i, forms[i]).otherwise(text)
+    return table(spark, d, "events").filter("user_id is not null").select("event_id", Q.redacted(text).alias("props"))
 
 
 CONTROL = """

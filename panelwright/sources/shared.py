@@ -68,11 +68,6 @@ def write_nested(rows: DataFrame, keys: list[str], path: str, name: str = "rows"
     rows.groupBy(*keys).agg(F.sort_array(F.collect_list(own)).alias(name)).write.mode("overwrite").json(path)
 
 
-def sync_snapshot(rows: DataFrame, key: str, path: str, held: str = "shares", closed: float = 1e-6) -> None:
-    """The partitions of the ``key`` values in ``rows`` become exactly these rows, positions within ``closed`` of none left out; other partitions stay as they are."""
-    rows.filter(F.abs(held) > closed).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
-
-
 def write_run(runs: DataFrame, issues: DataFrame, path: str) -> None:
     append(runs, f"{path}/runs"), append(issues, f"{path}/issues")
 

@@ -1,7 +1,10 @@
-"""Streaming forms of the panel operators: bars with a watermark, ingest once per id, jumps against the last value."""
+"""Streaming forms of the panel operators: bars with a watermark, ingest once per id, and folds over each key's events in order of time."""
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,12 +12,13 @@ from pyspark.sql import functions as F
 from ..sources.shared import shared_folder
 
 
-def source(spark: SparkSession, path: str) -> DataFrame:
-    """The events at ``path`` as a stream; ``ts`` becomes a timestamp, which watermarks need."""
+def source(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
+    """The events at ``path`` as a stream, ``files`` of them in a micro-batch (all, if not given); ``ts`` becomes a timestamp, which watermarks need."""
     schema = spark.read.parquet(path).schema
     folder, _, name = path.rpartition("/")
     # As a pattern, since a stream's plain path must be a folder and a table may be one file.
-    return spark.readStream.schema(schema).parquet(f"{folder}/{{{name}}}").withColumn("ts", F.col("ts").cast("timestamp"))
+    reader = spark.readStream.schema(schema) if files is None else spark.readStream.schema(schema).option("maxFilesPerTrigger", files)
+    return reader.parquet(f"{folder}/{{{name}}}").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def bars(events: DataFrame, width: str, late: str) -> DataFrame:
@@ -30,37 +34,75 @@ def once(events: DataFrame, key: str, late: str) -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-def jumps(events: DataFrame, share: float) -> DataFrame:
-    """Values that differ from their user's last one by at least ``share`` of it. State per user: that last value.
+def in_order(events: DataFrame, key: str, columns: list[str], late: str, fold: Callable, out: str, idle: int | None = None) -> DataFrame:
+    """``fold(key, own, rows) -> (own, result)`` over each key's events in order of (``ts``, ``event_id``), whatever batches they came in; ``out`` is the schema of the results.
 
-    Within a micro-batch a user's rows are put in order of time; across batches they are taken as they arrive."""
+    State of a key: its events at or after the watermark, which runs ``late`` behind the newest event, and ``own``, anything that JSON holds (None at first). An event is folded once the watermark has
+    passed it: by then nothing earlier can come, since events behind the watermark are dropped. A timer at the key's first waiting event releases it without new data. Results are thus a function of the events alone, but for dropped ones.
+    With ``idle`` (milliseconds), a key that is silent for longer starts anew, and its state goes when the watermark shows it. Rows without key or time take no part. A task holds a key's events of one
+    micro-batch and of the last ``late``; the source's files a batch bound that.
+    """
 
-    def step(key, chunks, state):
-        rows = pd.concat(list(chunks)).sort_values(["ts", "event_id"])
-        was = rows["value"].shift()
+    def step(k, chunks, state):
+        watermark, waiting, own, last = state.getCurrentWatermarkMs(), [], None, None
         if state.exists:
-            was.iloc[0] = state.get[0]
-        state.update((float(rows["value"].iloc[-1]),))
+            buffer, text, last = state.get
+            own = json.loads(text)
+            waiting.append(pd.DataFrame(json.loads(buffer), columns=["__at", *columns]))
+        if not state.hasTimedOut:
+            waiting.extend(chunk[["__at", *columns]] for chunk in chunks)
+        rows = pd.concat([w for w in waiting if len(w)]) if any(len(w) for w in waiting) else pd.DataFrame(columns=["__at", *columns])
+        ready = rows["__at"].astype("int64") // 1000 < watermark
+        done, rest = rows[ready].sort_values(["__at", "event_id"], ignore_index=True), rows[~ready]
+        if idle is None:
+            parts = [done] if len(done) else []
+        else:
+            gaps = done["__at"].astype("int64").diff() > idle * 1000
+            parts = [part for _, part in done.groupby(gaps.cumsum())]
+            if parts and last is not None and int(done["__at"].iloc[0]) - last > idle * 1000:
+                own = None
+        for i, part in enumerate(parts):
+            own, result = fold(k[0], own if i == 0 else None, part.drop(columns="__at").reset_index(drop=True))
+            if len(result):
+                yield result
+        last = int(done["__at"].iloc[-1]) if len(done) else last
+        if idle is not None and not len(rest) and (last is None or last // 1000 + idle < watermark):
+            state.remove()
+            return
+        state.update((json.dumps(rest.to_numpy(dtype=object).tolist(), default=_plain), json.dumps(own, default=_plain), last))
+        timers = [int(rest["__at"].min()) // 1000] if len(rest) else [last // 1000 + idle + 1] if idle is not None else []
+        if timers:
+            state.setTimeoutTimestamp(max(timers[0], watermark, 1))
+
+    known = events.filter(f"{key} is not null and ts is not null").withWatermark("ts", late)
+    narrow = known.select(key, "ts", F.unix_micros("ts").alias("__at"), *[c for c in columns if c != key])
+    return narrow.groupBy(key).applyInPandasWithState(step, out, "buffer string, own string, last long", "append", "EventTimeTimeout")
+
+
+def _plain(x):
+    """NumPy's numbers as Python's."""
+    return x.item()
+
+
+def jumps(events: DataFrame, share: float, late: str, idle: int | None = None) -> DataFrame:
+    """Values that differ from their user's last one by at least ``share`` of it. State per user: that last value."""
+
+    def fold(key, own, rows):
+        was = rows["value"].astype(float).shift()
+        was.iloc[0] = float("nan") if own is None else own
         hit = was.notna() & ((rows["value"] - was).abs() >= share * was.abs())
-        yield pd.DataFrame({"user_id": rows["user_id"], "event_id": rows["event_id"], "value": rows["value"], "was": was})[hit]
-
-    known = events.filter("value is not null and user_id is not null").select("user_id", "event_id", "ts", "value")
-    return known.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, value double, was double", "last double", "append", "NoTimeout")
-
+        return float(rows["value"].iloc[-1]), pd.DataFrame({"user_id": key, "event_id": rows["event_id"], "value": rows["value"].astype(float), "was": was})[hit]
 
-def _ordered(chunks):
-    """A micro-batch's rows of one key in order of time; across batches they are taken as they arrive."""
-    return pd.concat(list(chunks)).sort_values(["ts", "event_id"])
+    return in_order(events.filter("value is not null"), "user_id", ["event_id", "value"], late, fold, "user_id long, event_id long, value double, was double", idle)
 
 
-def transition_signals(events: DataFrame, low: float, high: float, stride: int) -> DataFrame:
+def transition_signals(events: DataFrame, low: float, high: float, stride: int, late: str, key: str = "event_type") -> DataFrame:
     """``symbol, event_id, state, signal`` of every event: its label by value (0 under ``low``, 2 from ``high`` on, else 1), and (to 2 minus to 0) over all transitions ``stride`` events apart that have left this label so far; 0 before any.
 
-    State per event type: the last ``stride`` labels and nine counters, however long the stream."""
+    State per ``key``: the last ``stride`` labels and nine counters, however long the stream."""
 
-    def step(key, chunks, state):
-        rows = _ordered(chunks)
-        ring, counts = (list(state.get[0]), list(state.get[1])) if state.exists else ([], [0] * 9)
+    def fold(symbol, own, rows):
+        ring, counts = own or ([], [0] * 9)
         labels = [0 if v < low else 2 if v >= high else 1 for v in rows["value"]]
         signals = []
         for s in labels:
@@ -69,52 +111,43 @@ def transition_signals(events: DataFrame, low: float, high: float, stride: int)
             ring.append(s)
             row = counts[3 * s : 3 * s + 3]
             signals.append((row[2] - row[0]) / sum(row) if sum(row) else 0.0)
-        state.update((ring, counts))
-        yield pd.DataFrame({"symbol": key[0], "event_id": rows["event_id"].to_numpy(), "state": labels, "signal": signals})
+        return (ring, counts), pd.DataFrame({"symbol": symbol, "event_id": rows["event_id"], "state": labels, "signal": signals})
 
-    known = events.filter("value is not null").select("event_type", "event_id", "ts", "value")
-    return known.groupBy("event_type").applyInPandasWithState(step, "symbol string, event_id long, state int, signal double", "ring array<int>, counts array<long>", "append", "NoTimeout")
+    kind = events.schema[key].dataType.simpleString()
+    return in_order(events.filter("value is not null"), key, ["event_id", "value"], late, fold, f"symbol {kind}, event_id long, state int, signal double")
 
 
-def lifecycle_violations(events: DataFrame, allowed: dict[str, tuple[str, ...]]) -> DataFrame:
+def lifecycle_violations(events: DataFrame, allowed: dict[str, tuple[str, ...]], late: str, idle: int | None = None) -> DataFrame:
     """``user_id, event_id, was, event_type`` of events that may not follow their user's last one. State per user: that last status."""
 
-    def step(key, chunks, state):
-        rows = _ordered(chunks)
-        was = rows["event_type"].shift()
-        if state.exists:
-            was.iloc[0] = state.get[0]
-        state.update((rows["event_type"].iloc[-1],))
-        bad = [w is not None and w == w and e not in allowed.get(w, ()) for w, e in zip(was, rows["event_type"])]
-        yield pd.DataFrame({"user_id": rows["user_id"], "event_id": rows["event_id"], "was": was, "event_type": rows["event_type"]})[bad]
+    def fold(key, own, rows):
+        was = [own, *rows["event_type"].iloc[:-1]]
+        bad = [w is not None and e not in allowed.get(w, ()) for w, e in zip(was, rows["event_type"])]
+        return rows["event_type"].iloc[-1], pd.DataFrame({"user_id": key, "event_id": rows["event_id"], "was": was, "event_type": rows["event_type"]})[bad]
 
-    known = events.filter("user_id is not null and event_type is not null").select("user_id", "event_id", "ts", "event_type")
-    return known.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, was string, event_type string", "last string", "append", "NoTimeout")
+    return in_order(events.filter("event_type is not null"), "user_id", ["event_id", "event_type"], late, fold, "user_id long, event_id long, was string, event_type string", idle)
 
 
-def drawdown_breaker(events: DataFrame, start: float, cost: float, limit: float) -> DataFrame:
+def drawdown_breaker(events: DataFrame, start: float, cost: float, limit: float, late: str) -> DataFrame:
     """``user_id, event_id, nav, peak, tripped``: net asset value from ``start``, moved by value minus ``cost`` at every event, against its peak. State per user: value and peak."""
 
-    def step(key, chunks, state):
-        rows = _ordered(chunks)
-        nav, peak = state.get if state.exists else (start, start)
-        path = nav + (rows["value"] - cost).cumsum()
+    def fold(key, own, rows):
+        nav, peak = own or (start, start)
+        # Added one by one from the state, so that batches don't change the last digit.
+        path = pd.Series([nav, *(rows["value"].astype(float) - cost)]).cumsum().iloc[1:].reset_index(drop=True)
         peaks = path.cummax().clip(lower=peak)
-        state.update((float(path.iloc[-1]), float(peaks.iloc[-1])))
-        yield pd.DataFrame({"user_id": rows["user_id"], "event_id": rows["event_id"], "nav": path, "peak": peaks, "tripped": path / peaks - 1 < -limit})
+        return (float(path.iloc[-1]), float(peaks.iloc[-1])), pd.DataFrame({"user_id": key, "event_id": rows["event_id"], "nav": path, "peak": peaks, "tripped": path / peaks - 1 < -limit})
 
-    known = events.filter("value is not null and user_id is not null").select("user_id", "event_id", "ts", "value")
-    return known.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, nav double, peak double, tripped boolean", "nav double, peak double", "append", "NoTimeout")
+    return in_order(events.filter("value is not null"), "user_id", ["event_id", "value"], late, fold, "user_id long, event_id long, nav double, peak double, tripped boolean")
 
 
-def pair_signals(events: DataFrame, i: str, j: str, mean: float, sd: float, enter: float, leave: float) -> DataFrame:
+def pair_signals(events: DataFrame, i: str, j: str, mean: float, sd: float, enter: float, leave: float, late: str) -> DataFrame:
     """``user_id, event_id, z, held, action`` of every event of the types ``i`` and ``j`` once both have been seen: the spread of their last values, and the pair's state before the event.
 
     Enter beyond ``enter`` deviations on that side, exit across the mean or within ``leave``; the rule of the batch fold, without a horizon. State per user: two values and a side."""
 
-    def step(key, chunks, state):
-        rows = _ordered(chunks)
-        x, y, pos = state.get if state.exists else (None, None, 0)
+    def fold(key, own, rows):
+        x, y, pos = own or (None, None, 0)
         out = []
         for event, kind, value in zip(rows["event_id"], rows["event_type"], rows["value"]):
             x, y = (value, y) if kind == i else (x, value)
@@ -128,12 +161,33 @@ def pair_signals(events: DataFrame, i: str, j: str, mean: float, sd: float, ente
             else:
                 pos = 0 if side != pos or abs(z) <= leave else pos
                 action = "HOLD" if pos else "EXIT"
-            out.append((key[0], int(event), z, was, action))
-        state.update((x, y, pos))
-        yield pd.DataFrame(out, columns=["user_id", "event_id", "z", "held", "action"])
+            out.append((key, int(event), float(z), int(was), action))
+        return (x, y, int(pos)), pd.DataFrame(out, columns=["user_id", "event_id", "z", "held", "action"])
+
+    known = events.filter("value is not null").filter(F.col("event_type").isin(i, j))
+    return in_order(known, "user_id", ["event_id", "event_type", "value"], late, fold, "user_id long, event_id long, z double, held int, action string")
+
+
+def ingest_once(stream: DataFrame, key: str, ledger: str, state: str) -> DataFrame:
+    """Appends what ``stream`` has to the ``ledger`` (parquet), each value of ``key`` once for good: a batch meets the keys stored in its own range, so copies that come in any later batch, a batch
+    repeated after a failure, or a replay of everything with a new ``state`` (checkpoint) add nothing. Of copies within a batch the least row counts; rows without a key are not taken. The ledger as it is then.
+
+    Files of the ledger hold ranges of keys in order, so the lookup reads row groups of the batch's range alone."""
+    spark, schema = stream.sparkSession, stream.schema
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(ledger)
+
+    def take(batch: DataFrame, number: int) -> None:
+        one = batch.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*schema.names)).alias("r")).select("r.*").persist()
+        try:
+            lo, hi = one.agg(F.min(key), F.max(key)).first()
+            if lo is not None:
+                known = batch.sparkSession.read.schema(schema).parquet(ledger).filter(F.col(key).between(lo, hi)).select(key)
+                one.join(known.hint("merge"), key, "left_anti").select(*schema.names).repartitionByRange(key).sortWithinPartitions(key).write.mode("append").parquet(ledger)
+        finally:
+            one.unpersist()
 
-    known = events.filter("value is not null and user_id is not null").filter(F.col("event_type").isin(i, j)).select("user_id", "event_id", "ts", "event_type", "value")
-    return known.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, z double, held int, action string", "x double, y double, pos int", "append", "NoTimeout")
+    stream.writeStream.foreachBatch(take).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(schema).parquet(ledger)
 
 
 def settled(stream: DataFrame, name: str) -> DataFrame:
