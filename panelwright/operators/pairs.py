@@ -29,11 +29,16 @@ def sides(rows: DataFrame, columns: list[str], on: list[str]) -> DataFrame:
     return a.hint("merge").join(b.hint("merge"), on).filter("i < j")
 
 
-def all_pairs(symbols: DataFrame, on: list[str] = []) -> DataFrame:  # noqa: B006
-    """``i, j`` of every unordered pair of the rows of ``symbols`` (``symbol`` and the ``on`` keys), a dimension: one row per symbol, not per bar."""
+def all_pairs(symbols: DataFrame, on: list[str] = [], blocks: int = 16) -> DataFrame:  # noqa: B006
+    """``i, j`` of every unordered pair of the rows of ``symbols`` (``symbol`` and the ``on`` keys), a dimension: one row per symbol, not per bar. Without keys, symbols are dealt to ``blocks`` by hash and each pair of blocks is a join key."""
     a, b = symbols.withColumnRenamed("symbol", "i"), symbols.withColumnRenamed("symbol", "j")
-    both = a.join(b, on) if on else a.withColumn("__all", F.lit(1)).join(b.withColumn("__all", F.lit(1)).hint("merge"), "__all").drop("__all")
-    return both.filter("i < j")
+    if on:
+        return a.join(b, on).filter("i < j")
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    a = a.withColumn("bi", block("i")).withColumn("bj", F.explode(F.sequence("bi", F.lit(blocks - 1))))
+    b = b.withColumn("bj", block("j")).withColumn("bi", F.explode(F.sequence(F.lit(0), "bj")))
+    both = a.hint("merge").join(b.hint("merge"), ["bi", "bj"]).filter("bi < bj or i < j")
+    return both.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
 
 
 def spread_z(spreads: DataFrame, keys: list[str], n: int) -> DataFrame:
