@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from panelwright.operators import pairs, tiles
+from panelwright.operators import pairs, quantiles, tiles
 
 
 def made(symbols, bars, holes, seed=1):
@@ -54,6 +54,25 @@ def test_statistics(spark):
         assert r.kappa is None if k > 1e8 else np.isclose(r.kappa, k, rtol=1e-6)
 
 
+def test_overlapping_windows(spark):
+    """Windows of 12 dates every 4, with series that begin late, end early or have gaps."""
+    names, x = made(7, 43, 0.3)
+    x[1, :20] = np.nan
+    x[2, 9:] = np.nan
+    x[3, 8:30] = np.nan
+    got = {(r.c, r.i, r.j): r for r in tiles.window_sums(frame(spark, names, x), 12, 4, side=3).collect()}
+    want = {}
+    for c in range((43 - 12) // 4 + 1):
+        for a in range(7):
+            for b in range(7):
+                p, q = x[a][4 * c : 4 * c + 12], x[b][4 * c : 4 * c + 12]
+                both = ~np.isnan(p) & ~np.isnan(q)
+                if names[a] < names[b] and both.any():
+                    want[c, names[a], names[b]] = (both.sum(), (p[both] * q[both]).sum())
+    assert got.keys() == want.keys() and all(np.allclose([got[k].n, got[k].sxy], want[k]) for k in want)
+    assert tiles.window_sums(frame(spark, names, x), 44, 4).count() == 0
+
+
 def test_closest_pairs_touch_few(spark, monkeypatch):
     """The same pairs as all of them give, with a small share measured; incomplete series take no part."""
     names, x = made(300, 64, 0.0)
@@ -76,6 +95,24 @@ def test_closest_pairs_where_guesses_are_too_few_or_all_alike(spark):
     assert tiles.closest_pairs(same.limit(0), 3).count() == 0
 
 
+def test_sketches_merge_within_their_error(spark):
+    """Two levels of merging, a group with most values, ties, nulls and NaN."""
+    rng = random.Random(2)
+    rows = [("hot" if rng.random() < 0.8 else "b", i % 30, rng.choice([rng.gauss(0, 1), 5.0, None, float("nan")])) for i in range(40_000)]
+    df = spark.createDataFrame(rows, "k string, day int, x double")
+    days = quantiles.sketched(df, ["k", "day"], "x")
+    weeks = quantiles.merged(days.withColumn("day", days.day % 7), ["k", "day"])
+    shares = [0.0, 0.01, 0.3, 0.5, 0.99, 1.0]
+    for sketches in (quantiles.sketched(df, ["k"], "x"), quantiles.merged(weeks, ["k"])):
+        found = quantiles.points(sketches, shares).collect()
+        assert len(found) == 12
+        for r in found:
+            xs = [x for k, _, x in rows if k == r.k and x is not None and x == x]
+            assert r.n == len(xs)
+            assert sum(x < r.value for x in xs) / len(xs) <= r.share + 2 * quantiles.rank_error() and sum(x <= r.value for x in xs) / len(xs) >= r.share - 2 * quantiles.rank_error()
+    assert quantiles.sketched(df.limit(0), ["k"], "x").count() == 0
+
+
 def test_all_pairs_in_blocks(spark):
     from panelwright.plans.explain import every_pair_joins
 
