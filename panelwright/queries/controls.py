@@ -271,7 +271,7 @@ def _(spark, d):
     t = trades(spark, d)
     held = lambda x: x.groupBy("account", "symbol").agg(F.sum(signed() * F.col("quantity")).alias("shares"))
     today = held(t.filter("account % 2 = 0")).withColumn("shares", F.when(F.col("account") % 10 == 0, 0.0).otherwise(F.col("shares")))
-    table_ = V.Versioned(spark, S.shared_folder(spark, "holdings"), today.schema, ["account", "symbol"], ["account"])
+    table_ = V.Versioned(spark, S.shared_folder(spark, "holdings"), today.schema, ["account", "symbol"], ["account"], buckets=16)
     for rows in (held(t.filter("filled_at < '1996-01-01'")), today):
         V.sync_snapshot(table_, rows, rows)
     return table_.read()
@@ -282,7 +282,7 @@ n AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY ordered_on DE
 def _(spark, d):
     # Each customer's newest order: three deliveries, the last of which also closes customers, each at the day given.
     o = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.col("o_orderdate").cast("date").alias("ordered_on"), "o_totalprice").withColumn("at", F.struct("ordered_on", "o_orderkey"))
-    table_ = V.Versioned(spark, S.shared_folder(spark, "newest"), o.schema, ["o_custkey"])
+    table_ = V.Versioned(spark, S.shared_folder(spark, "newest"), o.schema, ["o_custkey"], buckets=16)
     table_.upsert(o.filter("ordered_on >= '1997-01-01' and o_orderkey % 2 = 0"), newest="at")
     table_.upsert(o.filter("ordered_on < '1997-01-01' or o_orderkey % 2 <> 0"), newest="at")
     last = F.struct(F.lit("2000-01-01").cast("date").alias("ordered_on"), F.lit(-1).cast("long").alias("o_orderkey"))
