@@ -135,7 +135,7 @@ def dynamic_carry(panel: DataFrame, legs: DataFrame, n: int, vol_bars: int, bars
 
     ``legs``: symbol, leg (two bond legs ``long`` and ``short``, currencies ``base``, ``x`` and ``y``, else null), base (its own level), slope. The change over ``n`` bars of the bond legs' ratio and of the
     base currency against each other one are one row per date; a symbol without a leg has its level over its volatility."""
-    named = panel.select("symbol", "bar_ts", "close").join(F.broadcast(legs), "symbol", "left")
+    named = panel.select("symbol", "bar_ts", "close").join(legs.hint("merge"), "symbol", "left")
     day = named.groupBy("bar_ts").pivot("leg", ["long", "short", "base", "x", "y"]).agg(F.first("close"))
     t = Window.orderBy("bar_ts")  # one row per date
     ffill = lambda c: F.last(c, ignorenulls=True).over(t.rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -155,7 +155,7 @@ def dynamic_carry(panel: DataFrame, legs: DataFrame, n: int, vol_bars: int, bars
 
 def with_trend(selected: DataFrame, trend: DataFrame) -> DataFrame:
     """Longs above their moving average and shorts below it; ``trend``: symbol, bar_ts, close, sma. Those without an average go."""
-    x = selected.join(trend, ["symbol", "bar_ts"])
+    x = selected.join(trend.hint("merge"), ["symbol", "bar_ts"])
     return x.filter((F.col("side") > 0) & (F.col("close") > F.col("sma")) | (F.col("side") < 0) & (F.col("close") < F.col("sma"))).drop("close", "sma")
 
 

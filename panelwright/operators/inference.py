@@ -35,7 +35,7 @@ def rephased(labelled: DataFrame, returns: DataFrame, count: int, guard: int, sh
 
 def empirical(real: DataFrame, null: DataFrame, value: str) -> DataFrame:
     """Place of the real value among its draws: one-sided p with the +1 correction, percentile, mean, median and 5 % and 95 % points of the draws."""
-    both = null.select("symbol", F.col(value).alias("v")).filter("v is not null and not isnan(v)").join(real.select("symbol", F.col(value).alias("real")), "symbol")
+    both = null.select("symbol", F.col(value).alias("v")).filter("v is not null and not isnan(v)").join(real.select("symbol", F.col(value).alias("real")).hint("merge"), "symbol")
     above = F.count_if(F.col("v") >= F.col("real"))
     g = both.groupBy("symbol").agg(F.first("real").alias("real"), F.count(F.lit(1)).alias("n_draws"), above.alias("above"), F.avg("v").alias("mean"), F.percentile("v", 0.5).alias("median"), F.percentile("v", 0.05).alias("q05"), F.percentile("v", 0.95).alias("q95"))
     return g.withColumn("p", (F.col("above") + 1) / (F.col("n_draws") + 1)).withColumn("percentile", 100 * (F.col("n_draws") - F.col("above")) / F.col("n_draws")).drop("above")
@@ -97,7 +97,8 @@ def panel_rolls(returns: DataFrame, count: int, guard: int, lookback: int, side:
 def label_shuffles(market: DataFrame, count: int, bars_per_year: int) -> DataFrame:
     """``draw, sharpe`` of ``ret`` times ``mult`` (one row per date) with the multipliers in the order of a hash; draw 0 keeps their own."""
     t = Window.orderBy("bar_ts")
-    x = market.withColumn("k", F.row_number().over(t) - 1)
+    # Numbered in one task, one row per date; spread again before every row is repeated for each draw.
+    x = market.withColumn("k", F.row_number().over(t) - 1).repartition(market.sparkSession.sparkContext.defaultParallelism, "k")
     d = x.select("k", "mult", F.explode(F.sequence(F.lit(0), F.lit(count))).alias("draw"))
     order = F.when(F.col("draw") == 0, F.lpad(F.col("k").cast("string"), 12, "0")).otherwise(F.md5(F.concat_ws("|", F.col("draw").cast("string"), F.col("k").cast("string"))))
     moved = d.withColumn("k", F.row_number().over(Window.partitionBy("draw").orderBy(order, "k")) - 1)
@@ -116,6 +117,7 @@ def against_draws(values: DataFrame, value: str, keys: list[str] = []) -> DataFr
 def resampled_mean(values: DataFrame, key: str, x: str, count: int) -> DataFrame:
     """One row: mean, one-sample t and the 2.5, 50 and 97.5 % points of ``count`` resampled means of ``x``, a dimension with one row per ``key``; every pick of a draw is made on its own."""
     k = values.withColumn("k", F.row_number().over(Window.orderBy(key)) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))))  # one row per key
+    k = k.repartition(values.sparkSession.sparkContext.defaultParallelism, "k")
     p = k.select("k", "n", F.explode(F.sequence(F.lit(1), F.lit(count))).alias("draw")).select("draw", picked(F.col("n"), F.col("draw"), F.col("k")).cast("int").alias("k"))
     a = p.hint("merge").join(k.select("k", x).hint("merge"), "k").groupBy("draw").agg(F.avg(x).alias("a"))
     own = values.agg(F.avg(x).alias("mean"), (F.avg(x) / (F.stddev_samp(x) / F.sqrt(F.count(x)))).alias("t"))

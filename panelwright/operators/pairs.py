@@ -114,7 +114,7 @@ def cohort_returns(traded: DataFrame, bps: float = 10.0) -> DataFrame:
     size = x.groupBy("c").agg(F.count_distinct("i", "j").alias("m"))
     gross = x.groupBy("c", "bar_ts").agg((F.sum(F.col("w") * F.col("ret")) / F.greatest(F.lit(1e-8), F.sum("w"))).alias("gross"))
     acts = x.filter("done is not null").groupBy("c", F.col("done").alias("bar_ts")).agg(F.count(F.lit(1)).alias("acts"))
-    out = gross.join(acts, ["c", "bar_ts"], "left").join(size, "c").withColumn("cost", F.coalesce(F.col("acts") * 2 * bps / 1e4 / F.col("m"), F.lit(0.0)))
+    out = gross.join(acts.hint("merge"), ["c", "bar_ts"], "left").join(size.hint("merge"), "c").withColumn("cost", F.coalesce(F.col("acts") * 2 * bps / 1e4 / F.col("m"), F.lit(0.0)))
     return out.select("c", "bar_ts", "gross", "cost", (F.col("gross") - F.col("cost")).alias("net"))
 
 
@@ -226,7 +226,7 @@ def scan_pairs(rows: DataFrame, on: list[str], pairs: DataFrame | None = None, k
     Pairs whose condition number is under ``kappa`` go no further. ``pairs`` (on, i, j) restricts what is tested: a screen by distance acts as a join that prunes the expensive test."""
     a = rows.select(*on, "bar_ts", F.col("symbol").alias("i"), F.col("close").alias("y"))
     b = rows.select(*on, "bar_ts", F.col("symbol").alias("j"), F.col("close").alias("x"))
-    both = a.join(pairs.hint("merge"), [*on, "i"]).join(b.hint("merge"), [*on, "j", "bar_ts"]) if pairs is not None else a.join(b, [*on, "bar_ts"]).filter("i < j")
+    both = a.join(pairs.hint("merge"), [*on, "i"]).join(b.hint("merge"), [*on, "j", "bar_ts"]) if pairs is not None else a.hint("merge").join(b.hint("merge"), [*on, "bar_ts"]).filter("i < j")
     both = both.filter("y is not null and x is not null")
     key = [*on, "i", "j"]
     fit = both.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.regr_r2("y", "x").alias("r2"), gram_condition("y", "x").alias("kappa"))

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .scan import asof
 from .windows import by_time
 
 
-
 def split_artifacts(bars: DataFrame) -> DataFrame:
     """Adds ``artifact``: no volume and one price all day. A missing volume is not zero."""
     flat = F.greatest("open", "high", "low", "close") == F.least("open", "high", "low", "close")
@@ -160,17 +160,15 @@ def spliced(panel: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     The report has ``symbol, event_date, bar_ts, ok, why, raw_move``; an event without a bar after it or before it changes nothing. Several events multiply."""
     w = by_time()
-    bars = panel.select("symbol", "bar_ts", "close").withColumn("ratio", F.col("close") / F.lag("close").over(w)).withColumn("before", F.lag("bar_ts").over(w))
-    # A bar takes the events after the bar before it, up to its own date; an equality join on symbol alone stays small, since events are few.
-    at = events.join(bars.select("symbol", "bar_ts", "ratio", "before"), "symbol", "left").filter("bar_ts is null or bar_ts >= event_date")
-    first = at.groupBy("symbol", "event_date").agg(F.min_by(F.struct("bar_ts", "ratio"), "bar_ts").alias("f")).select("symbol", "event_date", "f.bar_ts", "f.ratio")
-    report = events.join(first, ["symbol", "event_date"], "left").select(
+    bars = panel.select("symbol", "bar_ts", "close").withColumn("ratio", F.col("close") / F.lag("close").over(w))
+    # An event takes the first bar at or after it: an as-of join, no pair of event and bar is formed.
+    report = asof(events, bars, ["symbol"], "event_date", "bar_ts", ["bar_ts", "ratio"], forward=True).select(
         "symbol", "event_date", "bar_ts", F.col("ratio").isNotNull().alias("ok"),
         F.when(F.col("bar_ts").isNull(), "no bar on or after the date").when(F.col("ratio").isNull(), "no bar before it").otherwise("spliced").alias("why"), (F.col("ratio") - 1).alias("raw_move"),
     )
     factors = report.filter("ok").select("symbol", "bar_ts", (F.col("raw_move") + 1).alias("factor")).dropDuplicates(["symbol", "bar_ts"])
     later = Window.partitionBy("symbol").orderBy(F.desc("bar_ts")).rowsBetween(Window.unboundedPreceding, -1)
-    own = panel.join(factors, ["symbol", "bar_ts"], "left").withColumn("f", F.coalesce(F.product(F.coalesce("factor", F.lit(1.0))).over(later), F.lit(1.0)))
+    own = panel.join(factors.hint("merge"), ["symbol", "bar_ts"], "left").withColumn("f", F.coalesce(F.product(F.coalesce("factor", F.lit(1.0))).over(later), F.lit(1.0)))
     return report, own.select("symbol", "bar_ts", (F.col("close") * F.col("f")).alias("close"))
 
 

@@ -160,7 +160,10 @@ def history_check(labelled: DataFrame, windows: DataFrame, least: int = 5) -> Da
 
 def tradeability(symbols: DataFrame, data: DataFrame, signal: DataFrame, null: DataFrame, baseline: DataFrame, least_signal: float = 0.05, percentile: float = 95.0) -> DataFrame:
     """One row per symbol: ``status`` and the gates that fail, joined by ``;``. ``data``: unhandled; ``signal``: strongest; ``null``: percentile; ``baseline``: beats. A gate without a row has not been run and fails."""
-    x = symbols.join(data, "symbol", "left").join(signal, "symbol", "left").join(null, "symbol", "left").join(baseline, "symbol", "left")
+    # The null comes from exploded draws: no automatic broadcast.
+    x = symbols
+    for gate in (data, signal, null, baseline):
+        x = x.join(gate.hint("merge"), "symbol", "left")
     failed = F.array_compact(F.array(
         F.when(F.coalesce("unhandled", F.lit(0)) > 0, "CONTAMINATED"), F.when(F.coalesce(F.col("strongest") < least_signal, F.lit(True)), "NO_SIGNAL"),
         F.when(F.col("percentile").isNull(), "NULL_NOT_RUN").when(F.col("percentile") < percentile, "FAILS_NULL"), F.when(~F.coalesce("beats", F.lit(True)), "FAILS_BASELINE"),

@@ -113,7 +113,7 @@ def _(spark, d):
 
 @register("ag18_split_metrics", f"WITH {WEEK}, {SCORES}, {HELD}, x AS (SELECT bar_ts, t AS i, count(*) OVER () AS n FROM cal), s AS (SELECT bar_ts, CASE WHEN i < floor(n * 0.6) THEN 'TRAIN' WHEN i < floor(n * 0.8) THEN 'VALIDATION' ELSE 'TRUE_OOS' END AS split FROM x) SELECT config, split, count(*) AS n, {r('sum(net) AS total', 'stddev_samp(net) * sqrt(52) AS vol', 'sum(turnover) AS turnover')} FROM pf JOIN s USING (bar_ts) GROUP BY 1, 2")
 def _(spark, d):
-    x = week_portfolio(spark, d).join(W.split_of(weekly_panel(spark, d)), "bar_ts")
+    x = week_portfolio(spark, d).join(W.split_of(weekly_panel(spark, d)).hint("merge"), "bar_ts")
     return rounded(x.groupBy("config", "split").agg(F.count("net").alias("n"), F.sum("net").alias("total"), (F.stddev_samp("net") * 52**0.5).alias("vol"), F.sum("turnover").alias("turnover")))
 
 

@@ -116,7 +116,7 @@ def universe_rows(spark, d):
     keep = {"subset": F.col("symbol") < "NATION_4", "attrition": hashed != 0, "liquid": F.col("liquid").isNotNull()}
     numbers = F.explode(F.array_compact(F.array(*[F.when(keep.get(n, F.lit(True)), F.lit(v[0])) for n, v in UNIVERSES.items()]))).alias("uni")
     rows = C.cohorts(x.drop("volume", "liquid"), FORM, TRADE, STEP)
-    wide = rows.join(liquid, "symbol", "left").select("*", numbers).drop("liquid")
+    wide = rows.join(liquid.hint("merge"), "symbol", "left").select("*", numbers).drop("liquid")
     return wide.withColumn("c", F.col("uni") * 1000 + F.col("c"))
 
 
@@ -154,7 +154,7 @@ def cointegrated_pairs(spark, d, top: int = 5):
     early = rows.filter(F.col("u") < FORM).select("c", "bar_ts", "symbol", F.col("p").alias("close"))
     found = C.scan_pairs(early, ["c"], near.select("c", "i", "j"), max_lags=3).filter("cointegrated")
     place = F.row_number().over(C.Window.partitionBy("c").orderBy("stat", "i", "j"))
-    return near.drop("place").join(found.select("c", "i", "j", "stat", "half_life"), ["c", "i", "j"]).withColumn("place", place).filter(F.col("place") <= top)
+    return near.drop("place").join(found.select("c", "i", "j", "stat", "half_life").hint("merge"), ["c", "i", "j"]).withColumn("place", place).filter(F.col("place") <= top)
 
 
 def _cointegrated(spark, d):
@@ -166,7 +166,7 @@ def _configurations(spark, d):
     """PR-11: named configurations side by side, the cointegrated one among them."""
     rows = week_cohorts(spark, d)
     sectors = weekly_panel(spark, d).select("symbol", "sector").distinct()
-    with_sector = rows.join(F.broadcast(sectors), "symbol")
+    with_sector = rows.join(sectors.hint("merge"), "symbol")
     forms = {"T2": C.form_pairs(rows, FORM, 2), "T5": C.form_pairs(rows, FORM, TOP), "same_sector": C.form_pairs(with_sector, FORM, TOP, same="sector"), "cointegrated": cointegrated_pairs(spark, d).drop("stat", "half_life")}
     out = None
     for name, formed in forms.items():

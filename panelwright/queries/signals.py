@@ -140,7 +140,7 @@ def _(spark, d):
 @register("fa3_static_carry", f"WITH {WEEK} SELECT symbol, bar_ts, round(0.01 + n_nationkey / 1000.0::DOUBLE, 6) AS carry FROM panel JOIN nation ON symbol = n_name")
 def _(spark, d):
     yields = table(spark, d, "nation").select(F.col("n_name").alias("symbol"), (0.01 + F.col("n_nationkey") / 1000.0).alias("carry"))
-    return rounded(weekly_panel(spark, d).join(F.broadcast(yields), "symbol").select("symbol", "bar_ts", "carry"))
+    return rounded(weekly_panel(spark, d).join(yields.hint("merge"), "symbol").select("symbol", "bar_ts", "carry"))
 
 
 LEGS = [("long", 0.035, 1.0), ("short", 0.028, 0.5), ("base", 0.025, 0.5), ("x", -0.010, -1.0), ("y", 0.005, -1.0)]
@@ -194,7 +194,7 @@ ZW = "zw0 AS (SELECT config, symbol, bar_ts, side, vol, greatest(0.1, side * sco
 def momentum_ends(spark, d):
     x = week_factors(spark, d).select("symbol", "bar_ts", "ret", "vol", configs())
     med = week_factors(spark, d).groupBy("bar_ts").agg(F.percentile("vol", 0.5).alias("med_vol"))
-    return A.both_ends(x.filter("vol is not null and config = 'mom'"), "score", 2).join(med, "bar_ts")
+    return A.both_ends(x.filter("vol is not null and config = 'mom'"), "score", 2).join(med.hint("merge"), "bar_ts")
 
 
 @register("fa11_score_weights", f"WITH {WEEK}, {SCORES}, {ZW} SELECT symbol, bar_ts, side, round(w * CASE WHEN med > 1.2 THEN greatest(0.2, 1.2 / med) ELSE 1 END, 6) AS weight FROM zw")
