@@ -138,3 +138,31 @@ def asof(left: DataFrame, right: DataFrame, by: list[str], left_at: str, right_a
     out = both.select("__l.*", *[F.when(near, F.col(f"__m.{c}")).alias(c) for c in take])
     kinds = dict(out.dtypes)
     return out.unionByName(left.filter(~known(left_at)).withColumns({c: F.lit(None).cast(kinds[c]) for c in take}))
+
+
+def order_statistics(rows: DataFrame, by: list[str], order: list[str], value: str, n: int, median: str, share: str, per_block: int = PER_BLOCK) -> DataFrame:
+    """Adds, over the last ``n`` rows of the key in ``order``, the ``median`` of ``value`` and the ``share`` of its values that are at most this row's; null where the window has fewer rows or a null.
+
+    Rows are numbered by a running count and cut into blocks of ``per_block`` places (``n`` at least); a block also gets the ``n`` - 1 rows before it, so each row is shipped twice at most. Inside a block the
+    window is a structure sorted as it moves, so a row costs the logarithm of the window, not its length. ``order`` must tell the rows of a key apart."""
+    size = max(per_block, n)
+    numbered = running(rows, by, order, {"__k": ("sum", F.lit(1).cast("long"))}, per_block)
+    block = F.floor((F.col("__k") - 1) / size).cast("long")
+    # The last n - 1 rows of a block are also the next one's first.
+    tail = (F.col("__k") - 1) % size >= size - (n - 1)
+    blocks = F.when(tail, F.array(block, block + 1)).otherwise(F.array(block))
+    shipped = numbered.withColumn("__own", block).withColumn("__b", F.explode(blocks))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    names = list(rows.columns)
+
+    def rolled(table):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        table = table.sort_by([("__k", "ascending")])
+        window = table.column(value).to_pandas().astype(float).rolling(n, min_periods=n)
+        table = table.append_column("__med", pa.array(window.median(), pa.float64(), from_pandas=True)).append_column("__share", pa.array(window.rank(method="max", pct=True), pa.float64(), from_pandas=True))
+        return table.filter(pc.equal(table.column("__own"), table.column("__b"))).select([*names, "__med", "__share"])
+
+    out = shipped.groupBy(*by, "__b").applyInArrow(rolled, f"{fields}, __med double, __share double")
+    return out.withColumnsRenamed({"__med": median, "__share": share})

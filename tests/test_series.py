@@ -90,3 +90,26 @@ def test_asof_against_loop(spark, forward, strict, tolerance, per_block):
     assert got == want
     assert S.asof(a, b.limit(0), ["k"], "at", "t", ["t", "v"]).filter("t is not null").count() == 0
     assert S.asof(a.limit(0), b, ["k"], "at", "t", ["t", "v"]).count() == 0
+
+
+@pytest.mark.parametrize("n, per_block", [(10_000, 50), (7, 20), (1, 20)])
+def test_order_statistics_of_long_windows(spark, n, per_block):
+    """A window of 10,000 bars over 25,000, and short ones over many blocks; ties, a null, a short series."""
+    import bisect
+
+    rng = random.Random(6)
+    bars = [("A", i, None if i == 12 else float(rng.randrange(500))) for i in range(25_000 if n > 100 else 300)] + [("B", i, 1.0) for i in range(5)]
+    rows = spark.createDataFrame(bars, "symbol string, t long, x double").repartition(6)
+    got = {(r.symbol, r.t): (r.med, r.share) for r in S.order_statistics(rows, ["symbol"], ["t"], "x", n, "med", "share", per_block).collect()}
+    assert len(got) == len(bars)
+    for name in "AB":
+        xs, window = [x for s, _, x in bars if s == name], []
+        for i, x in enumerate(xs):
+            if x is not None:
+                bisect.insort(window, x)
+            if i >= n and xs[i - n] is not None:
+                window.pop(bisect.bisect_left(window, xs[i - n]))
+            want = (None, None)
+            if len(window) == n and x is not None:
+                want = ((window[(n - 1) // 2] + window[n // 2]) / 2, bisect.bisect_right(window, x) / n)
+            assert got[name, i] == pytest.approx(want) if want[0] is not None else got[name, i] == want
