@@ -6,7 +6,7 @@ folder. Keys are scrambled, so segments are even however frequent a word is. The
 
 - ``words``: sorted 64-bit hashes of the vocabulary, and counts; a word's id is its place over all segments;
 - ``pairs``: sorted scrambled (context id, word id), and counts; with order 3 not of tokens but of the different words seen before the pair;
-- ``triples``: sorted (segment and place of the context pair, word id), and counts, so that a context's triples lie together in its pair's segment;
+- ``triples``: in the context pair's segment, sorted (place of that pair there, word id), and counts, so that a context's triples lie together;
 - ``wide``: the sums of contexts with more than ``NARROW`` triples; those of others are taken from their triples;
 - ``dense``: per id what smoothing needs: the context's total and left-over mass, the word's lower-order probability.
 
@@ -28,7 +28,8 @@ from .words import mix, slices, unmix, word_hashes
 END_HASH = 0x5851F42D4C957F2D  # of the end token; words' hashes are scrambled, so none is equal but by chance
 RUN = 3_000_000  # tokens counted at a time
 SLICE = 3_000_000  # characters looked up at a time: fewer would ask each segment for too few keys
-START = 0xFFFFFFFF  # the context id of a text's first token; with order 3 two of them precede a text
+START = 0xFFFFFFFF  # the context id of a text's first token; with order 3 two of them precede a text, and it is their place too, which no pair of segment 0 has
+LOW = 32  # bits of a word's id and of a pair's place in its segment; the segment stands above them in a pair's place
 NARROW = 8
 #: Characters of training text to a segment of words, and of pairs and triples.
 WORD_CHARS, PAIR_CHARS = 600_000_000, 10_000_000
@@ -55,15 +56,15 @@ def token_rows(texts: list[str]):
     return np.insert(h, at, np.uint64(END_HASH)), np.insert(r, at, np.arange(len(texts)))
 
 
-def previous(ids, rows, start: int = START):
-    """The context of each token: the id before it in the same text, ``start`` at the first."""
+def previous(ids, rows):
+    """The context of each token: the id (or place) before it in the same text, START at the first."""
     import numpy as np
 
     before = np.empty_like(ids)
     before[1:] = ids[:-1]
     first = np.ones(len(rows), dtype=bool)
     first[1:] = rows[1:] != rows[:-1]
-    before[first] = start
+    before[first] = START
     return before
 
 
@@ -141,8 +142,6 @@ class Model:
     unknown: float  # lower-order probability of a word never seen
     start: tuple[float, float]  # total and left-over mass of the context START
     order: int = 2
-    id_bits: int = 0  # of a word's id in the keys of triples
-    start_place: int = 0  # of the context of two STARTs, which is no pair: the place after the last of segment 0
     top: tuple[float, float, float] = (0.0, 0.0, 0.0)  # discounts of triples
 
     def open(self) -> Tables:
@@ -182,16 +181,6 @@ class Tables:
         keys = _map(f"{self.model.folder}/{name}-{s}.key", "<u8")
         return keys, _counts(f"{self.model.folder}/{name}-{s}.n", len(keys))
 
-    def _search(self, hashes, bits: int, found) -> None:
-        """Calls ``found(segment, where, places, hit)`` for the sorted unique ``hashes`` of each segment."""
-        import numpy as np
-
-        edges = np.searchsorted(hashes >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)) if bits else np.array([0, len(hashes)])
-        for s in range(1 << bits):
-            a, b = edges[s], edges[s + 1]
-            if a < b:
-                found(s, slice(a, b), hashes[a:b])
-
     def ids(self, hashes):
         """(id of each word as int64, -1 if unknown; dense rows of the ids if ``dense`` is open)."""
         import numpy as np
@@ -200,36 +189,23 @@ class Tables:
         out = np.full(len(unique), -1, dtype=np.int64)
         rows = np.zeros(len(unique), dtype=DENSE)
         rows["p"] = self.model.unknown
-
-        def found(s, where, part):
-            table = self.words[s]
-            if len(table):
-                at = np.minimum(np.searchsorted(table, part), len(table) - 1)
-                hit = table[at] == part
-                out[where] = np.where(hit, at + self.model.bases[s], -1)
-                if self.dense is not None:
-                    rows[where][hit] = self.dense[s][at[hit]]
-
-        self._search(unique, self.model.word_bits, found)
+        for s, where in _runs(_leading(unique, self.model.word_bits)):
+            at, hit = _places(self.words[s], unique[where])
+            out[where] = np.where(hit, at + self.model.bases[s], -1)
+            if self.dense is not None and hit.any():
+                rows[where][hit] = self.dense[s][at[hit]]
         return out[back], rows[back]
 
     def pair_counts(self, keys):
-        """(count, place of each pair, -1 where it is none or the order 2). A place is the segment, then the place in it, as in the keys of triples."""
+        """(count, place of each pair, -1 where it is none). A place is the segment, then the place in it."""
         import numpy as np
 
         unique, back = np.unique(keys, return_inverse=True)
         out, places = np.zeros(len(unique), dtype=np.int64), np.full(len(unique), -1, dtype=np.int64)
-
-        def found(s, where, part):
+        for s, where in _runs(_leading(unique, self.model.pair_bits)):
             table, n = self.pairs[s]
-            if len(table):
-                at = np.minimum(np.searchsorted(table, part), len(table) - 1)
-                hit = table[at] == part
-                out[where] = np.where(hit, n[at], 0)
-                if self.model.order > 2:
-                    places[where] = np.where(hit, at + (s << (64 - self.model.pair_bits - self.model.id_bits)), -1)
-
-        self._search(unique, self.model.pair_bits, found)
+            at, hit = _places(table, unique[where])
+            out[where][hit], places[where][hit] = n[at[hit]], at[hit] + (s << LOW)
         return out[back], places[back]
 
     def triple_counts(self, context, word):
@@ -238,16 +214,12 @@ class Tables:
 
         out = np.zeros(len(word), dtype=np.int64)
         known = (context >= 0) & (word >= 0)
-        unique, back = np.unique(triple_keys(context[known], word[known], self.model.id_bits), return_inverse=True)
-        n = np.zeros(len(unique), dtype=np.int64)
-
-        def found(s, where, part):
+        segs, keys, back = distinct_triples(context[known], word[known], return_inverse=True)
+        n = np.zeros(len(keys), dtype=np.int64)
+        for s, where in _runs(segs):
             table, counts = self.triples[s]
-            if len(table):
-                at = np.minimum(np.searchsorted(table, part), len(table) - 1)
-                n[where] = np.where(table[at] == part, counts[at], 0)
-
-        self._search(unique, self.model.pair_bits, found)
+            at, hit = _places(table, keys[where])
+            n[where][hit] = counts[at[hit]]
         out[known] = n[back]
         return out
 
@@ -258,23 +230,20 @@ class Tables:
         unique, back = np.unique(places, return_inverse=True)
         sums = np.zeros((len(unique), 4), dtype=np.int64)  # of counts, of counts 1, 2, 3 and more
         first = np.searchsorted(unique, 0)
-        bits = np.uint64(self.model.id_bits)
-
-        def found(s, where, part):
+        real, own = unique[first:], sums[first:]
+        local = real & START
+        for s, where in _runs(real >> LOW):
             table, counts = self.triples[s]
-            low, high = np.searchsorted(table, part), np.searchsorted(table, part + (np.uint64(1) << bits))
-            mine, size = np.zeros((len(part), 4), dtype=np.int64), high - low
+            keys = local[where].astype(np.uint64) << np.uint64(LOW)
+            low, high = np.searchsorted(table, keys), np.searchsorted(table, keys | np.uint64(START), side="right")
+            mine, size = own[where], high - low
             for k in range(min(NARROW, int(size.max()))):
                 pick = (size > k) & (size <= NARROW)
                 n = counts[low[pick] + k].astype(np.int64)
                 mine[pick] += np.stack([n, n == 1, n == 2, n >= 3], axis=1)
             many = np.flatnonzero(size > NARROW)
             if len(many):
-                local = (part[many] >> bits) & np.uint64((1 << (64 - self.model.pair_bits - self.model.id_bits)) - 1)
-                mine[many] = self.wide[s][np.searchsorted(self.wide[s][:, 0], local.astype(np.int64)), 1:]
-            sums[first:][where] = mine
-
-        self._search(unique[first:].astype(np.uint64) << bits, self.model.pair_bits, found)
+                mine[many] = self.wide[s][np.searchsorted(self.wide[s][:, 0], local[where][many]), 1:]
         total = sums[:, 0]
         mass = np.where(total > 0, sums[:, 1:] @ np.array(self.model.top) / np.maximum(1, total), 1.0)
         return total[back], mass[back]
@@ -290,23 +259,64 @@ def pair_keys(context, word):
     return mix((context.astype(np.uint64) << np.uint64(32)) | word.astype(np.uint64))
 
 
-def triple_keys(place, word, id_bits: int):
+def distinct_triples(place, word, **more):
+    """(segments, keys in them, what ``np.unique`` gives besides) of the distinct triples, in order. A key is the context's place in its segment, then the word.
+
+    Contexts are numbered first, so that number and word fit one integer to sort by, however many segments there are."""
     import numpy as np
 
-    return (place.astype(np.uint64) << np.uint64(id_bits)) | word.astype(np.uint64)
+    low, mask = np.uint64(LOW), np.uint64(START)
+    places, number = np.unique(place, return_inverse=True)
+    keys, *rest = np.unique((number.astype(np.uint64) << low) | word.astype(np.uint64), **more)
+    places = places[(keys >> low).astype(np.int64)]
+    return places >> LOW, ((places & START).astype(np.uint64) << low) | (keys & mask), *rest
+
+
+def distinct_keys(bits: int):
+    """The same of keys whose segment is their ``bits`` leading bits."""
+
+    def distinct(keys, **more):
+        import numpy as np
+
+        keys, *rest = np.unique(keys, **more)
+        return _leading(keys, bits), keys, *rest
+
+    return distinct
 
 
-def _blocks(keys, counts, bits: int):
-    """Rows (seg, keys, counts) of sorted unique keys, cut by their leading bits."""
+def _leading(keys, bits: int):
     import numpy as np
 
-    edges = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)) if bits else np.array([0, len(keys)])
-    full = [s for s in range(1 << bits) if edges[s] < edges[s + 1]]
-    return full, [_pack(keys[edges[s] : edges[s + 1]], True) for s in full], [_pack(counts[edges[s] : edges[s + 1]]) for s in full]
+    return (keys >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _runs(segments):
+    """(segment, slice) of each that occurs in the sorted ``segments``."""
+    import numpy as np
 
+    first = np.flatnonzero(np.diff(segments, prepend=-1))
+    ends = np.append(first[1:], len(segments))
+    return [(s, slice(a, b)) for s, a, b in zip(segments[first].tolist(), first.tolist(), ends.tolist())]
 
-def _counted(texts: DataFrame, bits: int, keys_of) -> DataFrame:
-    """(seg, keys, counts) blocks of what ``keys_of(list of texts)`` gives, over all rows of ``text``."""
+
+def _places(table, keys):
+    """(place, found) of sorted keys in a sorted table; places of keys not found mean nothing."""
+    import numpy as np
+
+    if not len(table):
+        return np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=bool)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return at, table[at] == keys
+
+
+def _blocks(segments, keys, counts):
+    """Rows (seg, keys, counts) of sorted unique keys, cut where the segment changes."""
+    runs = _runs(segments)
+    return [s for s, _ in runs], [_pack(keys[w], True) for _, w in runs], [_pack(counts[w]) for _, w in runs]
+
+
+def _counted(texts: DataFrame, keys_of, distinct) -> DataFrame:
+    """(seg, keys, counts) blocks of what ``keys_of(list of texts)`` gives (arrays of one length, which ``distinct`` makes keys of), over all rows of ``text``."""
 
     def run(batches):
         import numpy as np
@@ -314,14 +324,14 @@ def _counted(texts: DataFrame, bits: int, keys_of) -> DataFrame:
 
         def flush(held):
             # Runs of one task may repeat a key; the segments' merge adds them up.
-            full, keys, counts = _blocks(*np.unique(np.concatenate(held), return_counts=True), bits)
+            full, keys, counts = _blocks(*distinct(*map(np.concatenate, zip(*held)), return_counts=True))
             return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], names=["seg", "keys", "counts"])
 
         held, n = [], 0
         for batch in batches:
             for at, k in slices(batch.column(0), SLICE):
                 held.append(keys_of(batch.column(0).slice(at, k).to_pylist()))
-                n += len(held[-1])
+                n += len(held[-1][0])
                 if n >= RUN:
                     yield flush(held)
                     held, n = [], 0
@@ -331,8 +341,13 @@ def _counted(texts: DataFrame, bits: int, keys_of) -> DataFrame:
     return texts.select("text").mapInArrow(run, "seg int, keys binary, counts binary")
 
 
-def _merged(blocks: DataFrame, folder: str, name: str, bits: int) -> dict[int, tuple[int, int]]:
-    """Writes each segment's sorted array; segment -> (keys, sum of counts). The summary is one small row per segment."""
+def _segments(spark, bits: int) -> DataFrame:
+    """One row ``s`` a segment, in at most 20,000 tasks."""
+    return spark.range(0, 1 << bits, 1, min(1 << bits, 20_000)).select(F.col("id").cast("int").alias("s"))
+
+
+def _merged(blocks: DataFrame, folder: str, name: str, bits: int) -> DataFrame:
+    """Writes each segment's sorted array, also of those without keys, when it is run; ``seg, n`` (keys), ``c`` (sum of counts)."""
 
     def merge(table):
         import numpy as np
@@ -346,14 +361,15 @@ def _merged(blocks: DataFrame, folder: str, name: str, bits: int) -> dict[int, t
         return pa.table({"seg": pa.array([seg], pa.int32()), "n": pa.array([len(keys)]), "c": pa.array([int(counts.sum())])})
 
     os.makedirs(folder, exist_ok=True)
-    with shuffles_freed(blocks.sparkSession):
-        done = {r.seg: (r.n, r.c) for r in blocks.groupBy("seg").applyInArrow(merge, "seg int, n long, c long").collect()}
-    for s in range(1 << bits):  # segments without keys are empty files
-        if s not in done:
-            for end in ("key", "n"):
-                open(f"{folder}/{name}-{s}.{end}", "wb").close()
-            done[s] = (0, 0)
-    return done
+    none = F.unhex(F.lit(_nothing().hex()))
+    every = blocks.unionByName(_segments(blocks.sparkSession, bits).select(F.col("s").alias("seg"), none.alias("keys"), none.alias("counts")))
+    return every.groupBy("seg").applyInArrow(merge, "seg int, n long, c long")
+
+
+def _nothing() -> bytes:
+    import numpy as np
+
+    return _pack(np.zeros(0, np.uint64))
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -367,28 +383,29 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
 
 def _triples(texts: DataFrame, model: Model) -> tuple[float, float, float]:
     """Writes triples and wide, and puts into the counts of pairs how many different words come before each. Their discounts."""
-    spark, folder, bits, id_bits = texts.sparkSession, model.folder, model.pair_bits, model.id_bits
-    local_bits = 64 - bits - id_bits
+    spark, folder, bits = texts.sparkSession, model.folder, model.pair_bits
 
     def keys_of(batch: list[str]):
         h, rows = token_rows(batch)
         tables = model.open()
         ids, _ = tables.ids(h)
         _, places = tables.pair_counts(pair_keys(previous(ids, rows), ids))
-        return triple_keys(previous(places, rows, model.start_place), ids, id_bits)
+        return previous(places, rows), ids
 
-    _merged(_counted(texts, bits, keys_of), folder, "triples", bits)
+    with shuffles_freed(spark):
+        _merged(_counted(texts, keys_of, distinct_triples), folder, "triples", bits).agg(F.sum("n")).collect()
 
     def summed(batches):
         import numpy as np
         import pyarrow as pa
 
+        whole, names = np.zeros(6, dtype=np.int64), ["seg", "keys", "counts"]
         for batch in batches:
             for s in batch.column(0).to_pylist():
                 key = np.array(_map(f"{folder}/triples-{s}.key", "<u8"))
                 n = np.array(_counts(f"{folder}/triples-{s}.n", len(key))).astype(np.int64)
                 pairs = _map(f"{folder}/pairs-{s}.key", "<u8")
-                place = ((key >> np.uint64(id_bits)) & np.uint64((1 << local_bits) - 1)).astype(np.int64)
+                place = (key >> np.uint64(LOW)).astype(np.int64)
                 kinds = np.stack([n, n == 1, n == 2, n >= 3, n == 3, n == 4], axis=1).astype(np.int64)
                 at, sums = _sum_by(place, kinds[:, :4])
                 many = sums[:, 1:].sum(1) > NARROW
@@ -396,10 +413,10 @@ def _triples(texts: DataFrame, model: Model) -> tuple[float, float, float]:
                 middle = np.full(len(key), START, dtype=np.uint64)  # the one context that is no pair
                 real = place < len(pairs)
                 middle[real] = unmix(pairs[place[real]]) & np.uint64(0xFFFFFFFF)
-                suffix = np.unique(pair_keys(middle, key & np.uint64((1 << id_bits) - 1)), return_counts=True)
-                full, keys, counts = _blocks(*suffix, bits)
-                whole = [-1], [b""], [_pack(kinds.sum(0))]
-                yield pa.RecordBatch.from_arrays([pa.array(x + y, t) for x, y, t in zip(whole, (full, keys, counts), (pa.int32(), pa.binary(), pa.binary()))], names=["seg", "keys", "counts"])
+                full, keys, counts = _blocks(*distinct_keys(bits)(pair_keys(middle, key & np.uint64(START)), return_counts=True))
+                whole += kinds.sum(0)
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([b""], pa.binary()), pa.array([_pack(whole)], pa.binary())], names=names)
 
     def gathered(table):
         import numpy as np
@@ -416,11 +433,10 @@ def _triples(texts: DataFrame, model: Model) -> tuple[float, float, float]:
             _save(f"{folder}/pairs-{seg}.n", _narrow(before))
         return pa.table({"seg": pa.array([seg], pa.int32()), "total": pa.array([total], pa.list_(pa.int64()))})
 
-    segments = spark.range(0, 1 << bits, 1, min(1 << bits, 256)).select(F.col("id").cast("int").alias("s"))
-    blocks = segments.mapInArrow(summed, "seg int, keys binary, counts binary")
+    blocks = _segments(spark, bits).mapInArrow(summed, "seg int, keys binary, counts binary")
     with shuffles_freed(spark):
-        found = {r.seg: list(r.total) for r in blocks.groupBy("seg").applyInArrow(gathered, "seg int, total array<long>").collect()}
-    kinds = found[-1]
+        (done,) = blocks.groupBy("seg").applyInArrow(gathered, "seg int, total array<long>").filter("seg = -1").collect()  # every segment is run
+    kinds = done.total
     return discounts(kinds[1], kinds[2], kinds[4], kinds[5])
 
 
@@ -435,7 +451,9 @@ def train(texts: DataFrame, chars: int, order: int = 2) -> Model:
     # A segment's blocks meet in one task: their number follows the text's size, for words (few are new after a while) and for pairs and triples.
     word_bits = max(2, (chars // WORD_CHARS + 1).bit_length())
     pair_bits = max(3, (chars // PAIR_CHARS + 1).bit_length())
-    words = _merged(_counted(texts, word_bits, lambda t: token_rows(t)[0]), folder, "words", word_bits)
+    with shuffles_freed(spark):
+        merged = _merged(_counted(texts, lambda t: token_rows(t)[:1], distinct_keys(word_bits)), folder, "words", word_bits)
+        words = {r.seg: (r.n, r.c) for r in merged.collect()}
     bases, n_words = [], 0
     for s in range(1 << word_bits):
         bases.append(n_words)
@@ -448,43 +466,46 @@ def train(texts: DataFrame, chars: int, order: int = 2) -> Model:
     def keys_of(batch: list[str]):
         h, rows = token_rows(batch)
         ids, _ = model.open().ids(h)
-        return pair_keys(previous(ids, rows), ids)
+        return (pair_keys(previous(ids, rows), ids),)
 
-    pairs = _merged(_counted(texts, pair_bits, keys_of), folder, "pairs", pair_bits)
+    with shuffles_freed(spark):
+        _merged(_counted(texts, keys_of, distinct_keys(pair_bits)), folder, "pairs", pair_bits).agg(F.sum("n")).collect()
     longer: dict = {}
     if order == 3:
-        id_bits = max(1, n_words.bit_length())
-        if max(n for n, _ in pairs.values()) + 1 >= 1 << max(0, 64 - pair_bits - id_bits):
-            raise ValueError("a segment of pairs is too large for 64-bit keys of triples")
-        longer = {"order": 3, "id_bits": id_bits, "start_place": pairs[0][0]}
-        longer["top"] = _triples(texts, Model(folder, word_bits, pair_bits, tuple(bases), n_tokens, n_words, (0.0, 0.0, 0.0), -1.0, (0.0, 1.0), **longer))
+        longer = {"order": 3, "top": _triples(texts, Model(folder, word_bits, pair_bits, tuple(bases), n_tokens, n_words, (0.0, 0.0, 0.0), -1.0, (0.0, 1.0), 3))}
 
     # Counts of counts of pairs, and per segment of word ids: contexts' totals and numbers of continuations, words' numbers of contexts.
     def summed(batches):
         import numpy as np
         import pyarrow as pa
 
+        def rows(out):
+            types = {"seg": pa.int32(), "ids": pa.binary(), "stats": pa.binary(), "what": pa.int32()}
+            return pa.RecordBatch.from_pydict({name: pa.array(out[name], t) for name, t in types.items()})
+
+        whole, start = np.zeros(6, dtype=np.int64), np.zeros(4, dtype=np.int64)
         for batch in batches:
-            for (s,) in zip(batch.column(0).to_pylist()):
+            for s in batch.column(0).to_pylist():
                 key = unmix(np.array(_map(f"{folder}/pairs-{s}.key", "<u8")))
                 n = np.array(_counts(f"{folder}/pairs-{s}.n", len(key))).astype(np.int64)
                 context, word = (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
                 kinds = np.stack([n, n == 1, n == 2, n >= 3, n == 3, n == 4], axis=1).astype(np.int64)
-                whole = kinds.sum(0)
+                whole += kinds.sum(0)
                 v, stats = _sum_by(context, kinds[:, :4])
                 w, left = _sum_by(word, np.ones(len(word), np.int64))
-                out = {"seg": [-1], "ids": [b""], "stats": [_pack(whole)], "what": [0]}
+                if len(v) and v[-1] == START:
+                    start += stats[-1]
+                    v, stats = v[:-1], stats[:-1]
+                out = {"seg": [], "ids": [], "stats": [], "what": []}
                 for what, ids, values in ((1, v, stats), (2, w, left)):
-                    where = np.where(ids == START, -2, np.searchsorted(np.array(bases), ids, side="right") - 1)
                     # Segments without words share their base with the next; the search gives the last of them, which has the words.
-                    for t in np.unique(where):
-                        pick = where == t
-                        for name, x in (("seg", int(t)), ("ids", _pack(ids[pick], True)), ("stats", _pack(values[pick].reshape(-1))), ("what", what)):
+                    for t, part in _runs(np.searchsorted(np.array(bases), ids, side="right") - 1):
+                        for name, x in (("seg", t), ("ids", _pack(ids[part], True)), ("stats", _pack(values[part].reshape(-1))), ("what", what)):
                             out[name].append(x)
-                yield pa.RecordBatch.from_pydict({"seg": pa.array(out["seg"], pa.int32()), "ids": pa.array(out["ids"], pa.binary()), "stats": pa.array(out["stats"], pa.binary()), "what": pa.array(out["what"], pa.int32())})
+                yield rows(out)
+        yield rows({"seg": [-1, -2], "ids": [b"", b""], "stats": [_pack(whole), _pack(start)], "what": [0, 0]})
 
-    segments = spark.range(0, 1 << pair_bits, 1, min(1 << pair_bits, 256)).select(F.col("id").cast("int").alias("s"))
-    blocks = segments.mapInArrow(summed, "seg int, ids binary, stats binary, what int")
+    blocks = _segments(spark, pair_bits).mapInArrow(summed, "seg int, ids binary, stats binary, what int")
 
     def gathered(table):
         """One segment of ids: dense sums to a file, and the counts of counts of what the words have seen."""
@@ -557,7 +578,7 @@ def probabilities(model: Model, hashes, rows):
     higher = np.where(n > 0, (n - np.array([0.0, *model.discounts])[np.minimum(n, 3)]) / np.maximum(1.0, total), 0.0)
     p = higher + mass * dense["p"]
     if model.order == 3:
-        context = previous(places, rows, model.start_place)
+        context = previous(places, rows)
         n = tables.triple_counts(context, ids)
         total, mass = tables.contexts(context)
         p = np.where(n > 0, (n - np.array([0.0, *model.top])[np.minimum(n, 3)]) / np.maximum(1, total), 0.0) + mass * p

@@ -157,3 +157,27 @@ def test_trigram_scores(spark, docs):
     assert kneser_ney.score_documents(docs.filter("doc_id = 4"), order=3).count() == 2
     with pytest.raises(ValueError):
         kneser_ney.score_documents(docs, order=4)
+
+
+def test_scores_do_not_depend_on_the_number_of_segments(spark, docs, monkeypatch):
+    def scores():
+        return sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 7), round(r.score, 7)) for r in kneser_ney.score_documents(docs, order=3).collect())
+
+    few = scores()
+    monkeypatch.setattr(kneser_ney, "WORD_CHARS", 20_000)
+    monkeypatch.setattr(kneser_ney, "PAIR_CHARS", 3_000)
+    monkeypatch.setattr(kneser_ney, "SLICE", 5_000)
+    monkeypatch.setattr(kneser_ney, "RUN", 2_000)
+    monkeypatch.setattr(kneser_ney, "MAPPED", 50)
+    assert scores() == few
+
+
+def test_triples_of_any_segment_place_and_word():
+    """Segment, place and word together take up to 94 bits."""
+    r = np.random.default_rng(1)
+    segments, local, word = (r.choice(np.concatenate([r.integers(0, top, 30), [0, top - 1]]), 20_000) for top in (1 << 30, 1 << 32, (1 << 32) - 1))
+    segs, keys, back, n = kneser_ney.distinct_triples((segments << 32) | local, word, return_inverse=True, return_counts=True)
+    triples = list(zip(segments.tolist(), local.tolist(), word.tolist()))
+    found = list(zip(segs.tolist(), (keys >> np.uint64(32)).tolist(), (keys & np.uint64(0xFFFFFFFF)).tolist()))
+    assert found == sorted(set(triples)) and dict(zip(found, n.tolist())) == Counter(triples)
+    assert [found[k] for k in back] == triples
