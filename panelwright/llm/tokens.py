@@ -9,13 +9,16 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Callable, Iterator
+from operator import attrgetter
 
 #: Letters for which normalisation is the identity, lower-casing is one to one, and every pattern of both tokenizers sees one run of letters.
 LETTERS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|#*$%&<>]*)")
+MARKS = b".,;:!?|#*$%&<>"
 #: Bytes that a generation of a table of pieces may hold, by estimate.
 TABLE_BYTES = 40_000_000
 #: Each of these makes a text irregular: white space other than single spaces and single newlines between words.
 _ODD_SPACE = ("  ", " \n", "\n ", "\n\n", *map(chr, (9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+_ID = attrgetter("id")
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?= \S)")
 
 
@@ -74,7 +77,7 @@ class Encoder:
 
     def _run(self, run: str) -> bytes:
         """One unit of the pattern, given in the byte-level alphabet."""
-        return array("I", [t.id for t in self.model.tokenize(run)]).tobytes()
+        return array("I", map(_ID, self.model.tokenize(run))).tobytes()
 
     def _piece(self, piece: str, space: str) -> bytes:
         m = LETTERS.fullmatch(piece)
@@ -86,7 +89,11 @@ class Encoder:
         return own + self.runs[m[2]] if m[2] else own
 
     def _word(self, word: bytes) -> bytes:
-        return self._piece(word.decode(), "")
+        plain = word.rstrip(MARKS)
+        if not plain.isalpha():  # of bytes: A-Z and a-z alone
+            return self._piece(word.decode(), "")
+        own = self._run(plain.lower().decode())
+        return own if len(plain) == len(word) else own + self.runs[word[len(plain) :].decode()]
 
     def encode(self, text: str) -> bytes:
         if self.cut is None or not any(x in text for x in self.special):
