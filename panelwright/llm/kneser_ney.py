@@ -83,7 +83,7 @@ def _save(path: str, array) -> None:
 def _map(path: str, dtype: str):
     import numpy as np
 
-    return np.memmap(path, dtype=dtype, mode="r") if os.path.getsize(path) else np.zeros(0, dtype)
+    return np.memmap(path, dtype=dtype, mode="r").view(np.ndarray) if os.path.getsize(path) else np.zeros(0, dtype)
 
 
 def _narrow(counts):
@@ -208,45 +208,54 @@ class Tables:
             out[where][hit], places[where][hit] = n[at[hit]], at[hit] + (s << LOW)
         return out[back], places[back]
 
-    def triple_counts(self, context, word):
-        """Counts of triples (place of the context, word id or -1)."""
+    def triple_stats(self, places, words):
+        """Of triples (place of the context, -1 if it is no pair; word id or -1): count, the context's total and left-over mass, 0 and 1 if no triple has it."""
         import numpy as np
 
-        out = np.zeros(len(word), dtype=np.int64)
-        known = (context >= 0) & (word >= 0)
-        segs, keys, back = distinct_triples(context[known], word[known], return_inverse=True)
+        unique, number = np.unique(places, return_inverse=True)
+        out = np.zeros(len(words), dtype=np.int64)
+        known = (places >= 0) & (words >= 0)
+        segs, keys, back = _numbered_triples(unique, number[known], words[known], return_inverse=True)
         n = np.zeros(len(keys), dtype=np.int64)
         for s, where in _runs(segs):
             table, counts = self.triples[s]
             at, hit = _places(table, keys[where])
             n[where][hit] = counts[at[hit]]
         out[known] = n[back]
-        return out
+        total, mass = self._contexts(unique)
+        return out, total[number], mass[number]
 
-    def contexts(self, places):
-        """(total, left-over mass) of context pairs; 0 and 1 of those that no triple has."""
+    def _contexts(self, places):
+        """(total, left-over mass) of sorted distinct context pairs."""
         import numpy as np
 
-        unique, back = np.unique(places, return_inverse=True)
-        sums = np.zeros((len(unique), 4), dtype=np.int64)  # of counts, of counts 1, 2, 3 and more
-        first = np.searchsorted(unique, 0)
-        real, own = unique[first:], sums[first:]
+        sums = np.zeros((len(places), 4), dtype=np.int64)  # of counts, of counts 1, 2, 3 and more
+        first = np.searchsorted(places, 0)
+        real, own = places[first:], sums[first:]
         local = real & START
         for s, where in _runs(real >> LOW):
             table, counts = self.triples[s]
             keys = local[where].astype(np.uint64) << np.uint64(LOW)
             low, high = np.searchsorted(table, keys), np.searchsorted(table, keys | np.uint64(START), side="right")
             mine, size = own[where], high - low
-            for k in range(min(NARROW, int(size.max()))):
-                pick = (size > k) & (size <= NARROW)
-                n = counts[low[pick] + k].astype(np.int64)
-                mine[pick] += np.stack([n, n == 1, n == 2, n >= 3], axis=1)
+            few = np.where(size <= NARROW, size, 0)
+            ends = np.cumsum(few)
+            owner = np.repeat(np.arange(len(few)), few)
+            n = counts[np.arange(ends[-1]) + np.repeat(low - ends + few, few)].astype(np.int64)
+            mine[:, 0] = np.bincount(owner, n, len(few))
+            for k, kind in enumerate((n == 1, n == 2, n >= 3), 1):
+                mine[:, k] = np.bincount(owner[kind], minlength=len(few))
             many = np.flatnonzero(size > NARROW)
             if len(many):
                 mine[many] = self.wide[s][np.searchsorted(self.wide[s][:, 0], local[where][many]), 1:]
-        total = sums[:, 0]
-        mass = np.where(total > 0, sums[:, 1:] @ np.array(self.model.top) / np.maximum(1, total), 1.0)
-        return total[back], mass[back]
+        return sums[:, 0], _mass(sums, self.model.top)
+
+
+def _mass(sums, d):
+    """Left-over mass of contexts from their (total, numbers of counts 1, 2, 3 and more); a matrix product would start threads of its own."""
+    import numpy as np
+
+    return np.where(sums[:, 0] > 0, (sums[:, 1] * d[0] + sums[:, 2] * d[1] + sums[:, 3] * d[2]) / np.maximum(1, sums[:, 0]), 1.0)
 
 
 DENSE = [("c", "<i8"), ("total", "<i8"), ("mass", "<f8"), ("p", "<f8")]
@@ -265,8 +274,13 @@ def distinct_triples(place, word, **more):
     Contexts are numbered first, so that number and word fit one integer to sort by, however many segments there are."""
     import numpy as np
 
+    return _numbered_triples(*np.unique(place, return_inverse=True), word, **more)
+
+
+def _numbered_triples(places, number, word, **more):
+    import numpy as np
+
     low, mask = np.uint64(LOW), np.uint64(START)
-    places, number = np.unique(place, return_inverse=True)
     keys, *rest = np.unique((number.astype(np.uint64) << low) | word.astype(np.uint64), **more)
     places = places[(keys >> low).astype(np.int64)]
     return places >> LOW, ((places & START).astype(np.uint64) << low) | (keys & mask), *rest
@@ -549,7 +563,7 @@ def train(texts: DataFrame, chars: int, order: int = 2) -> Model:
                 if n:
                     sums = np.array(_map(f"{folder}/sums-{s}", "<i8")).reshape(-1, 5)
                     out["c"], out["total"] = _counts(f"{folder}/words-{s}.n", n), sums[:, 0]
-                    out["mass"] = np.where(sums[:, 0] > 0, sums[:, 1:4] @ np.array(d2) / np.maximum(1, sums[:, 0]), 1.0)
+                    out["mass"] = _mass(sums, d2)
                     left = sums[:, 4]
                     out["p"] = (left - np.array([0.0, *d1])[np.minimum(left, 3)]) / seen + spread / (n_words + 1)
                 _save(f"{folder}/dense-{s}", out)
@@ -579,8 +593,7 @@ def probabilities(model: Model, hashes, rows):
     p = higher + mass * dense["p"]
     if model.order == 3:
         context = previous(places, rows)
-        n = tables.triple_counts(context, ids)
-        total, mass = tables.contexts(context)
+        n, total, mass = tables.triple_stats(context, ids)
         p = np.where(n > 0, (n - np.array([0.0, *model.top])[np.minimum(n, 3)]) / np.maximum(1, total), 0.0) + mass * p
     return p, dense["c"]
 
