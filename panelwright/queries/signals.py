@@ -11,7 +11,8 @@ from ..operators import performance as P
 from ..operators import regime as R
 from ..operators import windows as W
 from ..sources.panels import table, weekly_panel
-from .factors import HELD, SCORES, VOL, configs, week_factors, week_held, week_portfolio, week_weights
+from ..sources.shared import staged
+from .factors import EVERY, HELD, K, SCORES, VOL, configs, week_factors, week_held, week_portfolio, week_weights
 from .inference import DRAWS, NULL, NULLED, ROTATED, SHARPE, SUMMARY, by_name, null_sharpe, sharpe
 from .ledger import CONTROL, week_control
 from .panel import COUNTS, EARNED, LABELS, MIN_TRAIN, QUERIES, SIGNALS, WEEK, WIN, YEAR, r, register, rounded, week_earned, week_labels, week_matrix, week_returns
@@ -251,6 +252,49 @@ def _(spark, d):
     return rounded(p.groupBy("config").agg(F.count("net").alias("n"), F.sum("net").alias("total"), (F.stddev_samp("net") * YEAR**0.5).alias("vol"), (F.avg("net") / F.stddev_samp("net") * YEAR**0.5).alias("sharpe")))
 
 
+#: name: momentum, value, carry, hysteresis of ranks, inverse-volatility weights. All are set every EVERY bars and held between.
+SWITCHES = {"baseline": (1, 1, 1, 1, 1), "no_momentum": (0, 1, 1, 1, 1), "no_value": (1, 0, 1, 1, 1), "no_carry": (1, 1, 0, 1, 1), "no_hysteresis": (1, 1, 1, 0, 1), "equal_weight": (1, 1, 1, 1, 0), "momentum": (1, 0, 0, 1, 1), "value": (0, 1, 0, 1, 1), "carry": (0, 0, 1, 1, 1)}
+
+
+@register("fa14_hysteresis", f"""WITH RECURSIVE {WEEK}, {SCORES}, {CARRY}, ac AS (SELECT * FROM (VALUES {', '.join(f"('{k}', {', '.join(map(str, v))})" for k, v in SWITCHES.items())}) AS v(config, um, uv, uc, hy, rp)),
+acal AS (SELECT bar_ts, row_number() OVER (ORDER BY bar_ts) - 1 AS t FROM (SELECT DISTINCT bar_ts FROM panel)),
+az AS (SELECT config, hy, rp, fs.symbol, fs.bar_ts, vol, (CASE WHEN um = 1 THEN coalesce(zm, 0) ELSE 0 END + CASE WHEN uv = 1 THEN coalesce(zv, 0) ELSE 0 END + CASE WHEN uc = 1 THEN zc ELSE 0 END) / nullif(CAST(um = 1 AND zm IS NOT NULL AS INT) + CAST(uv = 1 AND zv IS NOT NULL AS INT) + uc, 0) AS score FROM fs JOIN cz USING (symbol, bar_ts) JOIN acal USING (bar_ts), ac WHERE t % {EVERY} = 0),
+ak AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY config, bar_ts ORDER BY score DESC, symbol) AS up, count(*) OVER (PARTITION BY config, bar_ts) AS n FROM az WHERE score IS NOT NULL AND vol IS NOT NULL),
+hl AS MATERIALIZED (SELECT config, hy, bar_ts, list(symbol ORDER BY up) AS names, row_number() OVER (PARTITION BY config ORDER BY bar_ts) AS k FROM ak WHERE n >= {2 * K} GROUP BY 1, 2, 3),
+h0 AS (SELECT DISTINCT config, 0::BIGINT AS k, NULL::DATE AS bar_ts, []::VARCHAR[] AS longs, []::VARCHAR[] AS shorts FROM hl
+  UNION ALL SELECT q.config, q.k, q.bar_ts, q.longs, list_concat(q.ks, list_filter(list_reverse(q.names), lambda s: NOT list_contains(q.ks, s) AND NOT list_contains(q.longs, s)))[1:{K}] FROM (
+    SELECT p.*, list_filter(list_reverse(p.names), lambda s: p.hy = 1 AND list_contains(p.ps, s) AND list_position(p.names, s) >= {K + 2} AND NOT list_contains(p.longs, s)) AS ks FROM (
+      SELECT o.*, list_concat(o.kl, list_filter(o.names, lambda s: NOT list_contains(o.kl, s)))[1:{K}] AS longs FROM (
+        SELECT hl.config, hl.hy, hl.k, hl.bar_ts, hl.names, h0.shorts AS ps, list_filter(hl.names, lambda s: hl.hy = 1 AND list_contains(h0.longs, s) AND list_position(hl.names, s) <= {K + 2}) AS kl FROM h0 JOIN hl ON hl.config = h0.config AND hl.k = h0.k + 1) o) p) q),
+hn AS (SELECT config, bar_ts, unnest(longs) AS symbol, 1 AS side FROM h0 UNION ALL SELECT config, bar_ts, unnest(shorts), -1 FROM h0),
+hs AS (SELECT config, bar_ts, symbol, side, CASE WHEN rp = 1 THEN 1 / (vol + 1e-8) ELSE 1 END AS inv FROM hn JOIN ak USING (config, bar_ts, symbol)),
+aw AS (SELECT config, symbol, bar_ts, side * 0.5 * inv / sum(inv) OVER (PARTITION BY config, bar_ts, side) AS weight FROM hs),
+ag AS (SELECT config, symbol, bar_ts, ret, CASE WHEN t % {EVERY} = 0 THEN coalesce(weight, 0) END AS s FROM (SELECT config, symbol, bar_ts, ret FROM rets, ac) JOIN acal USING (bar_ts) LEFT JOIN aw USING (config, symbol, bar_ts)),
+ah AS (SELECT config, symbol, bar_ts, ret, coalesce(last_value(s IGNORE NULLS) OVER (PARTITION BY config, symbol ORDER BY bar_ts ROWS UNBOUNDED PRECEDING), 0) AS weight FROM ag),
+al AS (SELECT *, coalesce(lag(weight) OVER (PARTITION BY config, symbol ORDER BY bar_ts), 0) AS was FROM ah),
+ap AS (SELECT config, bar_ts, sum(abs(weight - was)) AS turnover, sum(was * coalesce(ret, 0)) - sum(abs(weight - was)) * 10 / 1e4 AS net FROM al GROUP BY 1, 2)
+SELECT config, count(*) AS n, {r('sum(turnover) AS turnover', 'sum(net) AS total', 'stddev_samp(net) * sqrt(52) AS vol', 'avg(net) / stddev_samp(net) * sqrt(52) AS sharpe')} FROM ap GROUP BY 1""")
+def _(spark, d):
+    # The three scores are written once; the configurations widen them.
+    x = week_factors(spark, d).select("symbol", "bar_ts", "ret", "vol", "zm", "zv")
+    z = week_carry(spark, d).select("symbol", "bar_ts", A.guarded_zscore("carry").alias("zc"))
+    scores = staged(x.join(z, ["symbol", "bar_ts"], "left"), "ablation")
+    days = W.split_of(scores).select("bar_ts", (F.row_number().over(Window.orderBy("bar_ts")) - 1).alias("t"))  # one row per date
+    rows = [F.struct(F.lit(name).alias("config"), F.lit(hy).alias("hy"), F.lit(rp).alias("rp"), A.composite(*[s for s, on in zip(("zm", "zv", "zc"), used) if on]).alias("score")) for name, (*used, hy, rp) in SWITCHES.items()]
+    wide = scores.join(days.hint("merge"), "bar_ts").select("symbol", "bar_ts", "t", "ret", "vol", F.inline(F.array(*rows)))
+    due = wide.filter((F.col("t") % EVERY == 0) & F.col("score").isNotNull() & F.col("vol").isNotNull())
+    day = Window.partitionBy("config", "bar_ts")
+    ranks = due.filter("hy = 1").withColumn("rnk", F.row_number().over(day.orderBy(F.desc("score"), "symbol"))).withColumn("n", F.count(F.lit(1)).over(day)).filter(F.col("n") >= 2 * K)
+    kept = A.hysteresis(ranks.select("config", "bar_ts", "symbol", "rnk"), K, K + 2, K + 2, ["config"])
+    side = lambda names, s: F.transform(names, lambda x: F.struct(x.alias("symbol"), F.lit(s).alias("side")))
+    kept = kept.select("config", "bar_ts", F.inline(F.concat(side("longs", 1), side("shorts", -1))))
+    plain = A.both_ends(due.filter("hy = 0"), "score", K, ["config"]).select("config", "bar_ts", "symbol", "side")
+    chosen = due.hint("merge").join(kept.unionByName(plain).hint("merge"), ["config", "bar_ts", "symbol"]).withColumn("share", F.when(F.col("rp") == 1, F.col("vol")).otherwise(F.lit(1.0) - 1e-8))
+    held = A.held_between(wide.select("config", "symbol", "bar_ts", "t", "ret"), A.inverse_vol(chosen, "share", ["config"]), EVERY, ["config"])
+    p = A.portfolio(held, 10.0, ["config"])
+    return rounded(p.groupBy("config").agg(F.count("net").alias("n"), F.sum("turnover").alias("turnover"), F.sum("net").alias("total"), (F.stddev_samp("net") * YEAR**0.5).alias("vol"), (F.avg("net") / F.stddev_samp("net") * YEAR**0.5).alias("sharpe")))
+
+
 BLENDS = """
 bz0 AS (SELECT bar_ts, x, y, CASE WHEN count(x) OVER v = 12 THEN stddev_samp(x) OVER v END AS sx, CASE WHEN count(x) OVER v = 12 THEN stddev_samp(y) OVER v END AS sy, CASE WHEN count(x) OVER c = 26 THEN covar_samp(x, y) OVER c END AS c, product(1 + x) OVER (ORDER BY bar_ts ROWS UNBOUNDED PRECEDING) AS eq FROM pv WINDOW v AS (ORDER BY bar_ts ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING), c AS (ORDER BY bar_ts ROWS BETWEEN 26 PRECEDING AND 1 PRECEDING)),
 bz1 AS (SELECT *, eq / max(eq) OVER (ORDER BY bar_ts ROWS UNBOUNDED PRECEDING) - 1 AS dd, CASE WHEN sx = 0 THEN 0.01 ELSE sx END AS a, CASE WHEN sy = 0 THEN 0.01 ELSE sy END AS b FROM bz0),
