@@ -42,7 +42,7 @@ def test_scan(spark):
             series[r.sector][r.symbol][r.bar_ts] = r.close
     # The query's screen leaves few pairs of these tables; without it all pairs of a sector are held against the loop.
     every = C.scan_pairs(weekly_panel(spark, SF).select("sector", "bar_ts", "symbol", "close"), ["sector"])
-    for rows, kappa, least in ((QUERIES["ci5_scan"](spark, SF), 2.0, 1), (every, 0.0, 30)):
+    for rows, kappa, least in ((QUERIES["ci5_scan"](spark, SF), 2.0, 1), (every, 0.0, 8)):
         want = {(sector, *k): v for sector in series for k, v in plain_scan(series[sector], kappa, 5).items()}
         got = {(r.sector, r.i, r.j): r.asDict() for r in rows.collect()}
         assert got.keys() == want.keys() and len(got) >= least
