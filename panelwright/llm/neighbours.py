@@ -103,10 +103,12 @@ def _flat(lists):
     return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
 
 
-def _hashed(tables: int, axes: int, most: int):
-    """Adds ``bs``, the buckets of each row: ``most`` of each table, one table after the other (table * 2^48 + bucket)."""
+def _hashed(tables: int, axes: int, most: int, digest: bool = False):
+    """Adds ``bs``, the buckets of each row: ``most`` of each table, one table after the other (table * 2^48 + bucket); with ``digest`` also ``h``, 256 bits that stand for the vector."""
 
     def run(batches):
+        from hashlib import blake2b
+
         import numpy as np
         import pyarrow as pa
 
@@ -116,9 +118,10 @@ def _hashed(tables: int, axes: int, most: int):
             for d in np.unique(size):
                 part = batch.filter(pa.array(size == d))
                 x = _flat(part.column(part.schema.get_field_index("v")))
+                own = [pa.array([blake2b(row.data, digest_size=32).digest() for row in x], pa.binary())] if digest else []
                 x = x / np.sqrt((x * x).sum(1, keepdims=True))
                 b = np.concatenate([buckets(x, t, axes, most) + (t << 48) for t in range(tables)], axis=1)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(list(b), pa.list_(pa.int64()))], names=[*part.schema.names, "bs"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(list(b), pa.list_(pa.int64())), *own], names=[*part.schema.names, "bs", *["h"] * digest])
 
     return run
 
@@ -176,13 +179,12 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, tables: int = TABLE
     kept = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
     ok = F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kept).alias("v")).filter("vec_id is not null").filter(ok)
-    rows = rows.mapInArrow(_hashed(tables, axes, 1), f"vec_id long, v {kept}, bs array<long>")
-    rows = stage(rows.withColumn("rid", F.monotonically_increasing_id()).withColumn("h", F.xxhash64("v")).withColumn("d", F.size("v")), "vectors")
-    # Vectors that more than k + 1 rows share, and the last of these rows to keep.
-    often = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > k + 1).select("h")
+    rows = rows.mapInArrow(_hashed(tables, axes, 1, True), f"vec_id long, v {kept}, bs array<long>, h binary")
+    rows = stage(rows.withColumn("rid", F.monotonically_increasing_id()).withColumn("d", F.size("v")), "vectors")
+    # Of vectors that k + 1 rows or more share, the last row to keep. Every map task passes on at most k + 1 rows of a vector (a limit of the window's groups), so many copies meet nowhere.
     place = F.row_number().over(Window.partitionBy("h").orderBy("vec_id", "rid"))
-    last = rows.select("h", "vec_id", "rid").join(often.hint("merge"), "h").withColumn("n", place).filter(F.col("n") <= k + 1)
-    last = stage(last.groupBy("h").agg(F.max(F.struct("vec_id", "rid")).alias("last")), "repeated")
+    first = rows.select("h", "vec_id", "rid").withColumn("n", place).filter(F.col("n") <= k + 1)
+    last = stage(first.groupBy("h").agg(F.max("n").alias("n"), F.max(F.struct("vec_id", "rid")).alias("last")).filter(F.col("n") == k + 1).drop("n"), "repeated")
     last = F.broadcast(last) if last.count() <= SMALL else last.hint("merge")
     data = rows.join(last, "h", "left").filter(F.col("last").isNull() | (F.struct("vec_id", "rid") <= F.col("last")))
     queries = rows.filter(F.col("vec_id") % every == 0).select("rid", "vec_id", "d", "v")
