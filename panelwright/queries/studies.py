@@ -329,9 +329,10 @@ def _(spark, d):
 
 @register("src2_wide_csv", f"WITH {WEEK} SELECT symbol, bar_ts, close FROM panel")
 def _(spark, d):
-    names = [f"NATION_{i}" for i in range(25)]  # the matrix' columns
+    panel = weekly_panel(spark, d)
+    names = [r.symbol for r in panel.select("symbol").distinct().orderBy("symbol").collect()]  # the matrix' columns; a header holds them all anyway
     path = shared_folder(spark, "wide")
-    weekly_panel(spark, d).groupBy("bar_ts").pivot("symbol", names).agg(F.first("close")).write.csv(path, header=True)
+    panel.groupBy("bar_ts").pivot("symbol", names).agg(F.first("close")).write.csv(path, header=True)
     return read_wide_csv(spark, path)
 
 
