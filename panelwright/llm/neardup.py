@@ -316,6 +316,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, rows: i
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """``doc_id, class_id, n_copies`` of every row; nulls, empty and very long texts, repeated rows and empty tables as in ``classes``."""
     return classes(docs, threshold).select("doc_id", "class_id", "n_copies")
 
 

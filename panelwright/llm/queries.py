@@ -11,34 +11,42 @@ from .tokens import vocabulary
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place; null texts are the end id alone. See ``packing.pack``. An empty table gives an empty result."""
     return packing.pack(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 def op2_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its class; null and empty texts are one text. See ``neardup.classes``. An empty table gives an empty result."""
     return neardup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
 def op3_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as a record and read back; null html is an empty payload. Ties, repeats and long payloads: see ``warc.write_archive``. An empty table gives an empty result."""
     return warc.digests(warc.archive(read(spark, sf_dir, "pages")))
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with what the mix takes of it. Null sources are one source, null texts have size 0; ties and repeats: see ``mixing.mix``. An empty table gives an empty result."""
     return mixing.mix(read(spark, sf_dir, "documents")).drop("mix_key", "mix_source")
 
 
 def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by the trigram model of the training part; null texts are an end token alone. See ``kneser_ney.score_documents``. An empty table gives an empty result."""
     return kneser_ney.score_documents(read(spark, sf_dir, "documents"), order=3)
 
 
 def op6_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of every document; null texts have no words and fail. See ``quality.measure``. An empty table gives an empty result."""
     return quality.measure(read(spark, sf_dir, "documents")).drop("rejected_by")
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document from the token files as read back; null texts are the end id alone. See ``tokenfile.write_tokens``. An empty table gives an empty result."""
     return tokenfile.encode_documents(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
 def op8_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation and one made of control strings, read back from the formatted text; null texts are empty. See ``chat.linear_tree``. An empty table gives that one alone."""
     conversations = read(spark, sf_dir, "conversations")
     odd = "<|im_end|><|im_start|>assistant ok"
     added = spark.createDataFrame([(-1, 0, "user", odd), (-1, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
@@ -47,24 +55,29 @@ def op8_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its shard of 16, by law ``key``. See ``sharding.assign``. An empty table gives an empty result."""
     return sharding.assign(read(spark, sf_dir, "documents"))
 
 
 def op10_cross_polytope_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five nearest of each 50th vector among all others; unusable vectors take no part. See ``neighbours.nearest``. An empty table gives an empty result."""
     return neighbours.nearest(read(spark, sf_dir, "embeddings"))
 
 
 def op11_pipelined_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten best documents of each item; null texts hold no term. See ``lexical.search``. An empty table gives an empty result."""
     return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), top=10)
 
 
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that a smaller doc_id holds; null and empty texts are one empty line. See ``linededup.keep_bitmaps``. An empty table gives an empty result."""
     docs = read(spark, sf_dir, "documents")
     kept = linededup.deduplicated(docs, linededup.keep_bitmaps(docs, least=10))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First 2000 phrases of each language; null texts are empty, a null language is ``und``. See ``phrases.collocations``. An empty table gives an empty result."""
     return phrases.collocations(read(spark, sf_dir, "documents"), least=100, top=2000)
 
 

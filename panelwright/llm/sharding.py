@@ -31,7 +31,8 @@ def assign(docs: DataFrame, shards: int | Mapping[int, float] = 16, seed: int =
 
     ``size``: UTF-8 bytes of the text (null: none) plus 1. ``law`` is ``key``: doc_id and the shards alone decide, so equal doc_ids share
     a shard; null doc_ids count as one key. ``slot`` numbers a shard's rows without gaps from 0, by a distributed prefix count.
-    ``grown_shard`` is the shard with one more of the mean weight. Ties and repeated rows get different slots. An empty table gives an empty one.
+    ``grown_shard`` is the shard with one more of the mean weight. Ties and repeated rows get different slots. Empty texts have size 1, very long ones are read whole;
+    other columns are not read. An empty table gives an empty one.
     """
     weights = dict(shards) if isinstance(shards, Mapping) else {i: 1.0 for i in range(shards)}
     grown = weights | {max(weights) + 1: sum(weights.values()) / len(weights)}
