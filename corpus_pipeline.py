@@ -44,6 +44,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces of what the stages keep of ``documents``, each stage written and read again. Nulls, empty and very long texts, ties and repeated rows as in the stages; an empty table gives an empty result."""
     docs = read(spark, sf_dir, "documents")
     for name, step in STAGES:
         docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
