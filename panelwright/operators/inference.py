@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.maths import sharpe_ratio
+
 
 def numbered(df: DataFrame) -> DataFrame:
     """Adds ``k`` (from 0 in time) and ``n`` (bars) per symbol."""
@@ -91,7 +93,7 @@ def panel_rolls(returns: DataFrame, count: int, guard: int, lookback: int, side:
     x = x.withColumn("up", F.row_number().over(w.orderBy(F.desc("mom"), "symbol"))).withColumn("m", F.count(F.lit(1)).over(w)).filter(F.col("m") >= 2 * side)
     leg = F.when(F.col("up") <= side, F.col("ret") / side).when(F.col("up") > F.col("m") - side, -F.col("ret") / side)
     day = x.groupBy("draw", "t").agg(F.sum(leg).alias("r"))
-    return day.groupBy("draw").agg((F.avg("r") / F.stddev_samp("r") * bars_per_year**0.5).alias("sharpe"))
+    return day.groupBy("draw").agg(sharpe_ratio("r", bars_per_year).alias("sharpe"))
 
 
 def label_shuffles(market: DataFrame, count: int, bars_per_year: int) -> DataFrame:
@@ -103,7 +105,7 @@ def label_shuffles(market: DataFrame, count: int, bars_per_year: int) -> DataFra
     order = F.when(F.col("draw") == 0, F.lpad(F.col("k").cast("string"), 12, "0")).otherwise(F.md5(F.concat_ws("|", F.col("draw").cast("string"), F.col("k").cast("string"))))
     moved = d.withColumn("k", F.row_number().over(Window.partitionBy("draw").orderBy(order, "k")) - 1)
     both = moved.hint("merge").join(x.select("k", "ret").hint("merge"), "k").withColumn("r", F.col("mult") * F.col("ret"))
-    return both.groupBy("draw").agg((F.avg("r") / F.stddev_samp("r") * bars_per_year**0.5).alias("sharpe"))
+    return both.groupBy("draw").agg(sharpe_ratio("r", bars_per_year).alias("sharpe"))
 
 
 def against_draws(values: DataFrame, value: str, keys: list[str] = []) -> DataFrame:  # noqa: B006

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.maths import sharpe_ratio
 from ..operators import backoffice as B
 from ..operators import performance as P
 from ..operators import quality as Q
@@ -183,7 +184,7 @@ def _(spark, d):
 
 @register("rg7_value_added", f"WITH {WEEK}, {LABELS}, {SIGNALS}, {EARNED}, {CONTROL}, a AS (SELECT symbol, avg(net) / stddev_samp(net) * sqrt({YEAR}) AS s FROM ern GROUP BY 1), b AS (SELECT symbol, avg(net) / stddev_samp(net) * sqrt({YEAR}) AS s FROM cern GROUP BY 1) SELECT symbol, {r('a.s AS regime', 'b.s AS control', 'a.s - b.s AS delta')}, a.s - b.s > 0.1 AS beats FROM a JOIN b USING (symbol)")
 def _(spark, d):
-    sharpe = lambda df, name: df.groupBy("symbol").agg((F.avg("net") / F.stddev_samp("net") * YEAR**0.5).alias(name))
+    sharpe = lambda df, name: df.groupBy("symbol").agg(sharpe_ratio("net", YEAR).alias(name))
     both = sharpe(week_earned(spark, d), "regime").join(sharpe(week_control(spark, d), "control"), "symbol").withColumn("delta", F.col("regime") - F.col("control"))
     return rounded(both.withColumn("beats", F.col("delta") > 0.1))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.maths import sharpe_ratio
 from ..operators import pairs as C
 from ..operators import performance as P
 from ..operators import regime as R
@@ -90,7 +91,7 @@ def _(spark, d):
 @register("pr9_performance", f"{PAIRED_TRADES}, {COHORT_RETURNS}, x AS (SELECT *, product(1 + net) OVER (ORDER BY bar_ts ROWS UNBOUNDED PRECEDING) AS eq FROM sr), y AS (SELECT *, eq / greatest(1.0, max(eq) OVER (ORDER BY bar_ts ROWS UNBOUNDED PRECEDING)) - 1 AS dd FROM x), g AS (SELECT count(net) AS n, avg(net) AS m, stddev_samp(net) AS s, stddev_samp(net) FILTER (net < 0) AS sd, product(1 + net) AS growth, min(dd) AS dd, stddev_samp(gross) AS gs, avg(gross) AS gm FROM y), h AS (SELECT *, CASE WHEN growth > 0 THEN growth ** (52.0 / n) - 1 ELSE -1.0 END AS cagr FROM g) SELECT n AS n_bars, {r('CASE WHEN s > 0 THEN m / s * sqrt(52) ELSE 0 END AS sharpe', 's * sqrt(52) AS volatility', 'cagr', 'dd AS max_drawdown', 'CASE WHEN sd > 0 THEN cagr / (sd * sqrt(52)) END AS sortino', 'CASE WHEN dd < 0 THEN cagr / -dd END AS calmar', 'gm / gs * sqrt(52) AS gross_sharpe')} FROM h")
 def _(spark, d):
     s = C.strategy_returns(week_trades(spark, d)).withColumn("all", F.lit("all"))
-    gross = s.agg((F.avg("gross") / F.stddev_samp("gross") * 52**0.5).alias("gross_sharpe"))
+    gross = s.agg(sharpe_ratio("gross", 52).alias("gross_sharpe"))
     m = P.metrics(s, ["all"], "net", 52).select("n_bars", "sharpe", "volatility", "cagr", "max_drawdown", "sortino", "calmar")
     return rounded(m.crossJoin(F.broadcast(gross)))  # one row each
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.maths import sharpe_ratio
 from ..operators import factors as A
 from ..operators import inference as I
 from ..operators import performance as P
@@ -51,7 +52,7 @@ def _(spark, d):
     signal = R.signal_vector(week_matrix(spark, d)).groupBy("symbol").agg(F.max(F.abs("signal")).alias("strongest"))
     own = sharpe(week_earned(spark, d))
     null = I.empirical(own.filter("sharpe is not null"), by_name(null_sharpe(spark, d)), "sharpe").select("symbol", "percentile")
-    plain = lambda df, name: df.groupBy("symbol").agg((F.avg("net") / F.stddev_samp("net") * YEAR**0.5).alias(name))
+    plain = lambda df, name: df.groupBy("symbol").agg(sharpe_ratio("net", YEAR).alias(name))
     beats = plain(week_earned(spark, d), "a").join(plain(week_control(spark, d), "b"), "symbol").select("symbol", (F.col("a") - F.col("b") > 0.1).alias("beats"))
     return R.tradeability(rets.select("symbol").distinct(), data, signal, null, beats, 0.3, 60.0)
 
@@ -249,7 +250,7 @@ def _(spark, d):
     grid = wide.select("config", "every", "symbol", "bar_ts", "t", "ret")
     held = A.held_between(grid, weights, F.col("every"), ["config"])
     p = A.portfolio(held, 10.0, ["config"])
-    return rounded(p.groupBy("config").agg(F.count("net").alias("n"), F.sum("net").alias("total"), (F.stddev_samp("net") * YEAR**0.5).alias("vol"), (F.avg("net") / F.stddev_samp("net") * YEAR**0.5).alias("sharpe")))
+    return rounded(p.groupBy("config").agg(F.count("net").alias("n"), F.sum("net").alias("total"), (F.stddev_samp("net") * YEAR**0.5).alias("vol"), sharpe_ratio("net", YEAR).alias("sharpe")))
 
 
 #: name: momentum, value, carry, hysteresis of ranks, inverse-volatility weights. All are set every EVERY bars and held between.
@@ -292,7 +293,7 @@ def _(spark, d):
     chosen = due.hint("merge").join(kept.unionByName(plain).hint("merge"), ["config", "bar_ts", "symbol"]).withColumn("share", F.when(F.col("rp") == 1, F.col("vol")).otherwise(F.lit(1.0) - 1e-8))
     held = A.held_between(wide.select("config", "symbol", "bar_ts", "t", "ret"), A.inverse_vol(chosen, "share", ["config"]), EVERY, ["config"])
     p = A.portfolio(held, 10.0, ["config"])
-    return rounded(p.groupBy("config").agg(F.count("net").alias("n"), F.sum("turnover").alias("turnover"), F.sum("net").alias("total"), (F.stddev_samp("net") * YEAR**0.5).alias("vol"), (F.avg("net") / F.stddev_samp("net") * YEAR**0.5).alias("sharpe")))
+    return rounded(p.groupBy("config").agg(F.count("net").alias("n"), F.sum("turnover").alias("turnover"), F.sum("net").alias("total"), (F.stddev_samp("net") * YEAR**0.5).alias("vol"), sharpe_ratio("net", YEAR).alias("sharpe")))
 
 
 BLENDS = """
