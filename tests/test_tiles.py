@@ -120,3 +120,21 @@ def test_all_pairs_in_blocks(spark):
     got = pairs.all_pairs(spark.createDataFrame([(n,) for n in names], "symbol string"))
     assert sorted(map(tuple, got.collect())) == sorted((a, b) for a in names for b in names if a < b)
     assert every_pair_joins(got) == 0
+
+
+@pytest.mark.parametrize("form", ["pairs", "windows"])
+def test_rows_of_pairs_are_not_shuffled(spark, form):
+    """What a pair's task makes goes out as it is: nothing above it but projections and filters."""
+    names, x = made(60, 40, 0.1)
+    rows = frame(spark, names, x)
+    out = tiles.pair_statistics(tiles.pair_sums(rows) if form == "pairs" else tiles.window_sums(rows, 12, 4))
+    above = out._jdf.queryExecution().optimizedPlan().toString().partition("FlatMapGroupsInArrow")
+    assert above[1] and not any(word in above[0] for word in ("Join", "Aggregate", "Window", "Sort"))
+
+
+def test_long_calendars_are_cut(spark):
+    """Windows that reach over the cuts of a long calendar are the same ones."""
+    names, x = made(5, 60, 0.2)
+    rows = frame(spark, names, x)
+    get = lambda length: {(r.c, r.i, r.j): (r.n, round(r.sxy, 9)) for r in tiles.window_sums(rows, 6, 2, length=length).collect()}
+    assert get(24) == get(4096) != {}
