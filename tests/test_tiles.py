@@ -138,3 +138,15 @@ def test_long_calendars_are_cut(spark):
     rows = frame(spark, names, x)
     get = lambda length: {(r.c, r.i, r.j): (r.n, round(r.sxy, 9)) for r in tiles.window_sums(rows, 6, 2, length=length).collect()}
     assert get(24) == get(4096) != {}
+
+
+def test_closest_pairs_of_noise(spark, monkeypatch):
+    """Series of independent noise, whose means tell nothing: only the pairs that may be among the closest become rows."""
+    x = np.random.default_rng(3).normal(0, 1, (200, 24))
+    names = [f"S{i:03d}" for i in range(200)]
+    touched = []
+    monkeypatch.setattr(tiles, "_met", lambda *a, f=tiles._met: touched.append(f(*a)) or touched[-1])
+    got = [(r.i, r.j) for r in tiles.closest_pairs(frame(spark, names, x), 10).orderBy("place").collect()]
+    d = {(names[a], names[b]): np.mean((x[a] - x[b]) ** 2) for a in range(200) for b in range(a + 1, 200)}
+    assert got == sorted(d, key=lambda k: (d[k], k))[:10]
+    assert touched[0].count() < 0.1 * len(d)
