@@ -36,3 +36,13 @@ def test_prices_that_never_move(spark, tmp_path, name):
     changed(tmp_path, "lineitem", "SELECT * REPLACE (l_quantity * 1000 AS l_extendedprice) FROM {table}")
     rows = twin(spark, name, tmp_path)
     assert len(rows) == 10 and all(r.get("regime", "nan") == "nan" for r in rows)
+
+
+def test_average_of_a_series_of_two_million():
+    """The SQL of the long average stays a number where a power of all bars so far would not, and is the plain fold."""
+    con, n = duckdb.connect(), 2_000_000
+    con.execute(f"CREATE VIEW events AS SELECT 2 * i AS event_id, TIMESTAMP '2024-01-01' + INTERVAL (i) SECOND AS ts, 'view' AS event_type, CAST(hash(i) % 10000 AS DOUBLE) / 100 AS value FROM range({n}) t(i)")
+    got = dict(con.execute(f"SELECT event_id, vol FROM ({queries.ORACLES['wn27_long_ewma']}) WHERE event_id % 20000 = 0 OR event_id < 100").fetchall())
+    squares = con.execute("SELECT ((value - 50) / 5000) * ((value - 50) / 5000) AS sq FROM events ORDER BY ts").df()["sq"]
+    want = (squares.ewm(alpha=2.0 / 5001, adjust=False).mean() * 252) ** 0.5
+    assert len(got) == n // 10000 + 49 and all(abs(v - want[i // 2]) < 2e-6 for i, v in got.items())
