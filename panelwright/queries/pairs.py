@@ -286,7 +286,7 @@ def _(spark, d):
     return live.settled(live.lifecycle_violations(live.source(spark, f"{d}/events.parquet"), FOLLOWS, LATE), "lifecycle")
 
 
-@register("sm6_live_breaker", f"WITH n AS (SELECT user_id, event_id, ts, 1000 + sum(value - 50) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS nav FROM events WHERE value IS NOT NULL AND user_id IS NOT NULL), p AS (SELECT *, greatest(1000, max(nav) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)) AS peak FROM n) SELECT user_id, event_id, round(nav, 6) AS nav, round(peak, 6) AS peak, nav / peak - 1 < -0.2 AS tripped FROM p WHERE {PASSED}")
+@register("sm6_live_breaker", f"WITH n AS (SELECT user_id, event_id, ts, 1000 + sum(value - 50) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS nav FROM events WHERE value IS NOT NULL AND user_id IS NOT NULL), p AS (SELECT *, greatest(1000, max(nav) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)) AS peak FROM n) SELECT user_id, event_id, round(nav, 6) AS nav, round(peak, 6) AS peak, CAST(round(nav * 1000000) AS BIGINT) * 5 < CAST(round(peak * 1000000) AS BIGINT) * 4 AS tripped FROM p WHERE {PASSED}")
 def _(spark, d):
     return rounded(live.settled(live.drawdown_breaker(live.source(spark, f"{d}/events.parquet"), 1000.0, 50.0, 0.2, LATE), "breaker"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from fractions import Fraction
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -129,14 +130,20 @@ def lifecycle_violations(events: DataFrame, allowed: dict[str, tuple[str, ...]],
 
 
 def drawdown_breaker(events: DataFrame, start: float, cost: float, limit: float, late: str) -> DataFrame:
-    """``user_id, event_id, nav, peak, tripped``: net asset value from ``start``, moved by value minus ``cost`` at every event, against its peak. State per user: value and peak."""
+    """``user_id, event_id, nav, peak, tripped``: net asset value from ``start``, moved by value minus ``cost`` at every event, against its peak. State per user: value and peak.
+
+    Tripped is told in whole numbers, from value and peak in millionths: a value at exactly the limit has not passed it, whatever the last digits of sums in doubles are."""
+    kept = 1 - Fraction(limit).limit_denominator(10_000)
+
+    def millionths(x):
+        return (x * 1e6).round().astype("int64")
 
     def fold(key, own, rows):
         nav, peak = own or (start, start)
         # Added one by one from the state, so that batches don't change the last digit.
         path = pd.Series([nav, *(rows["value"].astype(float) - cost)]).cumsum().iloc[1:].reset_index(drop=True)
         peaks = path.cummax().clip(lower=peak)
-        return (float(path.iloc[-1]), float(peaks.iloc[-1])), pd.DataFrame({"user_id": key, "event_id": rows["event_id"], "nav": path, "peak": peaks, "tripped": path / peaks - 1 < -limit})
+        return (float(path.iloc[-1]), float(peaks.iloc[-1])), pd.DataFrame({"user_id": key, "event_id": rows["event_id"], "nav": path, "peak": peaks, "tripped": millionths(path) * kept.denominator < millionths(peaks) * kept.numerator})
 
     return in_order(events.filter("value is not null"), "user_id", ["event_id", "value"], late, fold, "user_id long, event_id long, nav double, peak double, tripped boolean")
 

@@ -46,3 +46,22 @@ def test_average_of_a_series_of_two_million():
     squares = con.execute("SELECT ((value - 50) / 5000) * ((value - 50) / 5000) AS sq FROM events ORDER BY ts").df()["sq"]
     want = (squares.ewm(alpha=2.0 / 5001, adjust=False).mean() * 252) ** 0.5
     assert len(got) == n // 10000 + 49 and all(abs(v - want[i // 2]) < 2e-6 for i, v in got.items())
+
+
+def test_value_at_the_limit_has_not_tripped(spark, tmp_path):
+    """Users who end at exactly 80 % of their peak, by moves whose sums in doubles do not; and users a cent below."""
+    import random
+    from datetime import datetime, timedelta
+
+    rng, rows = random.Random(4), []
+    for user in range(60):
+        cents, moves = -(20000 + user % 2), []
+        while cents:
+            moves.append(max(cents, -rng.randrange(1, 3000)))
+            cents -= moves[-1]
+        rows += [(len(rows) + k, datetime(2024, 1, 1) + timedelta(minutes=k), user, "view", (5000 + m) / 100, "{}") for k, m in enumerate(moves)]
+    rows.append((len(rows), datetime(2024, 3, 1), 0, "view", 50.0, "{}"))
+    changed(tmp_path, "events", "SELECT * FROM {table} LIMIT 0")
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").toPandas().to_parquet(f"{tmp_path}/events.parquet", coerce_timestamps="us")
+    got = twin(spark, "sm6_live_breaker", tmp_path)
+    assert {r["user_id"] for r in got if r["tripped"]} == set(range(1, 60, 2))
