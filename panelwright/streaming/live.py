@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Callable
 from fractions import Fraction
 
@@ -12,6 +13,9 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import shared_folder
 
+#: Groups of keys whose state is one: enough for every core, few enough that a call handles many keys.
+BUCKETS = 1024
+
 
 def source(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
     """The events at ``path`` as a stream, ``files`` of them in a micro-batch (all, if not given); ``ts`` becomes a timestamp, which watermarks need."""
@@ -35,64 +39,81 @@ def once(events: DataFrame, key: str, late: str) -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-def in_order(events: DataFrame, key: str, columns: list[str], late: str, fold: Callable, out: str, idle: int | None = None) -> DataFrame:
-    """``fold(key, own, rows) -> (own, result)`` over each key's events in order of (``ts``, ``event_id``), whatever batches they came in; ``out`` is the schema of the results.
+def in_order(events: DataFrame, key: str, columns: list[str], late: str, fold: Callable, out: str, idle: int | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """``fold(key, own, rows) -> (own, results)`` over each key's events in order of (``ts``, ``event_id``), whatever batches they came in; ``rows`` are tuples of ``columns``, ``results`` tuples of the schema ``out``.
 
-    State of a key: its events at or after the watermark, which runs ``late`` behind the newest event, and ``own``, anything that JSON holds (None at first). An event is folded once the watermark has
-    passed it: by then nothing earlier can come, since events behind the watermark are dropped. A timer at the key's first waiting event releases it without new data. Results are thus a function of the events alone, but for dropped ones.
-    With ``idle`` (milliseconds), a key that is silent for longer starts anew, and its state goes when the watermark shows it. Rows without key or time take no part. A task holds a key's events of one
+    Keys are dealt to ``buckets``, whose state is kept and called for as one, since a call costs more than most keys' events. State of a bucket: its keys' events at or after the watermark, which runs ``late`` behind the
+    newest event, and each key's ``own``, anything that JSON holds (None at first). An event is folded once the watermark has
+    passed it: by then nothing earlier can come, since events behind the watermark are dropped. A timer at the bucket's first waiting event releases it without new data. Results are thus a function of the events alone, but for dropped ones.
+    With ``idle`` (milliseconds), a key that is silent for longer starts anew, and its state goes when the watermark shows it. Rows without key or time take no part. A task holds a bucket's events of one
     micro-batch and of the last ``late``; the source's files a batch bound that.
     """
+    names = [c.split()[0] for c in out.split(", ")]
+    place = columns.index("event_id") + 2
 
-    def step(k, chunks, state):
-        watermark, waiting, own, last = state.getCurrentWatermarkMs(), [], None, None
+    def step(_, chunks, state):
+        watermark, waiting, owns = state.getCurrentWatermarkMs(), [], {}
         if state.exists:
-            buffer, text, last = state.get
-            own = json.loads(text)
-            waiting.append(pd.DataFrame(json.loads(buffer), columns=["__at", *columns]))
+            buffer, text = state.get
+            waiting = json.loads(buffer)
+            owns = {k: (own, last) for k, own, last in json.loads(text)}
         if not state.hasTimedOut:
-            waiting.extend(chunk[["__at", *columns]] for chunk in chunks)
-        rows = pd.concat([w for w in waiting if len(w)]) if any(len(w) for w in waiting) else pd.DataFrame(columns=["__at", *columns])
-        ready = rows["__at"].astype("int64") // 1000 < watermark
-        done, rest = rows[ready].sort_values(["__at", "event_id"], ignore_index=True), rows[~ready]
-        if idle is None:
-            parts = [done] if len(done) else []
-        else:
-            gaps = done["__at"].astype("int64").diff() > idle * 1000
-            parts = [part for _, part in done.groupby(gaps.cumsum())]
-            if parts and last is not None and int(done["__at"].iloc[0]) - last > idle * 1000:
-                own = None
-        for i, part in enumerate(parts):
-            own, result = fold(k[0], own if i == 0 else None, part.drop(columns="__at").reset_index(drop=True))
-            if len(result):
-                yield result
-        last = int(done["__at"].iloc[-1]) if len(done) else last
-        if idle is not None and not len(rest) and (last is None or last // 1000 + idle < watermark):
+            for chunk in chunks:
+                waiting.extend(zip(*[chunk[c].tolist() for c in ("__key", "__at", *columns)]))
+        ready, rest = {}, []
+        for e in waiting:
+            if e[1] // 1000 < watermark:
+                ready.setdefault(e[0], []).append(e)
+            else:
+                rest.append(e)
+        results = []
+        for k, mine in ready.items():
+            mine.sort(key=lambda e: (e[1], e[place]))
+            own, last = owns.get(k, (None, None))
+            part = []
+            for e in mine:
+                if idle is not None and last is not None and e[1] - last > idle * 1000:
+                    if part:
+                        results.extend(fold(k, own, part)[1])
+                    own, part = None, []
+                part.append(e[2:])
+                last = e[1]
+            own, found = fold(k, own, part)
+            results.extend(found)
+            owns[k] = (own, last)
+            if len(results) > 50_000:
+                yield pd.DataFrame(results, columns=names)
+                results = []
+        if results:
+            yield pd.DataFrame(results, columns=names)
+        if idle is not None:
+            held = {e[0] for e in rest}
+            owns = {k: v for k, v in owns.items() if k in held or v[1] // 1000 + idle >= watermark}
+        if not rest and not owns:
             state.remove()
             return
-        state.update((json.dumps(rest.to_numpy(dtype=object).tolist(), default=_plain), json.dumps(own, default=_plain), last))
-        timers = [int(rest["__at"].min()) // 1000] if len(rest) else [last // 1000 + idle + 1] if idle is not None else []
+        state.update((json.dumps(rest), json.dumps([(k, *v) for k, v in owns.items()])))
+        timers = [min(e[1] for e in rest) // 1000] if rest else []
+        if idle is not None:
+            timers += [last // 1000 + idle + 1 for _, last in owns.values()]
         if timers:
-            state.setTimeoutTimestamp(max(timers[0], watermark, 1))
+            state.setTimeoutTimestamp(max(min(timers), watermark, 1))
 
     known = events.filter(f"{key} is not null and ts is not null").withWatermark("ts", late)
-    narrow = known.select(key, "ts", F.unix_micros("ts").alias("__at"), *[c for c in columns if c != key])
-    return narrow.groupBy(key).applyInPandasWithState(step, out, "buffer string, own string, last long", "append", "EventTimeTimeout")
-
-
-def _plain(x):
-    """NumPy's numbers as Python's."""
-    return x.item()
+    narrow = known.select(F.pmod(F.xxhash64(key), F.lit(buckets)).alias("__bucket"), F.col(key).alias("__key"), "ts", F.unix_micros("ts").alias("__at"), *columns)
+    return narrow.groupBy("__bucket").applyInPandasWithState(step, out, "buffer string, owns string", "append", "EventTimeTimeout")
 
 
 def jumps(events: DataFrame, share: float, late: str, idle: int | None = None) -> DataFrame:
     """Values that differ from their user's last one by at least ``share`` of it. State per user: that last value."""
 
     def fold(key, own, rows):
-        was = rows["value"].astype(float).shift()
-        was.iloc[0] = float("nan") if own is None else own
-        hit = was.notna() & ((rows["value"] - was).abs() >= share * was.abs())
-        return float(rows["value"].iloc[-1]), pd.DataFrame({"user_id": key, "event_id": rows["event_id"], "value": rows["value"].astype(float), "was": was})[hit]
+        out = []
+        for event, value in rows:
+            if own is not None and abs(value - own) >= share * abs(own):
+                out.append((key, event, value, own))
+            own = value
+        return own, out
 
     return in_order(events.filter("value is not null"), "user_id", ["event_id", "value"], late, fold, "user_id long, event_id long, value double, was double", idle)
 
@@ -104,15 +125,15 @@ def transition_signals(events: DataFrame, low: float, high: float, stride: int,
 
     def fold(symbol, own, rows):
         ring, counts = own or ([], [0] * 9)
-        labels = [0 if v < low else 2 if v >= high else 1 for v in rows["value"]]
-        signals = []
-        for s in labels:
+        out = []
+        for event, v in rows:
+            s = 0 if v < low else 2 if v >= high else 1
             if len(ring) == stride:
                 counts[3 * ring.pop(0) + s] += 1
             ring.append(s)
             row = counts[3 * s : 3 * s + 3]
-            signals.append((row[2] - row[0]) / sum(row) if sum(row) else 0.0)
-        return (ring, counts), pd.DataFrame({"symbol": symbol, "event_id": rows["event_id"], "state": labels, "signal": signals})
+            out.append((symbol, event, s, (row[2] - row[0]) / sum(row) if sum(row) else 0.0))
+        return (ring, counts), out
 
     kind = events.schema[key].dataType.simpleString()
     return in_order(events.filter("value is not null"), key, ["event_id", "value"], late, fold, f"symbol {kind}, event_id long, state int, signal double")
@@ -122,9 +143,12 @@ def lifecycle_violations(events: DataFrame, allowed: dict[str, tuple[str, ...]],
     """``user_id, event_id, was, event_type`` of events that may not follow their user's last one. State per user: that last status."""
 
     def fold(key, own, rows):
-        was = [own, *rows["event_type"].iloc[:-1]]
-        bad = [w is not None and e not in allowed.get(w, ()) for w, e in zip(was, rows["event_type"])]
-        return rows["event_type"].iloc[-1], pd.DataFrame({"user_id": key, "event_id": rows["event_id"], "was": was, "event_type": rows["event_type"]})[bad]
+        out = []
+        for event, kind in rows:
+            if own is not None and kind not in allowed.get(own, ()):
+                out.append((key, event, own, kind))
+            own = kind
+        return own, out
 
     return in_order(events.filter("event_type is not null"), "user_id", ["event_id", "event_type"], late, fold, "user_id long, event_id long, was string, event_type string", idle)
 
@@ -134,16 +158,18 @@ def drawdown_breaker(events: DataFrame, start: float, cost: float, limit: float,
 
     Tripped is told in whole numbers, from value and peak in millionths: a value at exactly the limit has not passed it, whatever the last digits of sums in doubles are."""
     kept = 1 - Fraction(limit).limit_denominator(10_000)
-
-    def millionths(x):
-        return (x * 1e6).round().astype("int64")
+    up, down = kept.numerator, kept.denominator
 
     def fold(key, own, rows):
         nav, peak = own or (start, start)
+        out = []
         # Added one by one from the state, so that batches don't change the last digit.
-        path = pd.Series([nav, *(rows["value"].astype(float) - cost)]).cumsum().iloc[1:].reset_index(drop=True)
-        peaks = path.cummax().clip(lower=peak)
-        return (float(path.iloc[-1]), float(peaks.iloc[-1])), pd.DataFrame({"user_id": key, "event_id": rows["event_id"], "nav": path, "peak": peaks, "tripped": millionths(path) * kept.denominator < millionths(peaks) * kept.numerator})
+        for event, value in rows:
+            nav += value - cost
+            peak = max(peak, nav)
+            whole = math.isfinite(nav) and math.isfinite(peak)
+            out.append((key, event, nav, peak, round(nav * 1e6) * down < round(peak * 1e6) * up if whole else nav < peak))
+        return (nav, peak), out
 
     return in_order(events.filter("value is not null"), "user_id", ["event_id", "value"], late, fold, "user_id long, event_id long, nav double, peak double, tripped boolean")
 
@@ -156,7 +182,7 @@ def pair_signals(events: DataFrame, i: str, j: str, mean: float, sd: float, ente
     def fold(key, own, rows):
         x, y, pos = own or (None, None, 0)
         out = []
-        for event, kind, value in zip(rows["event_id"], rows["event_type"], rows["value"]):
+        for event, kind, value in rows:
             x, y = (value, y) if kind == i else (x, value)
             if x is None or y is None:
                 continue
@@ -168,8 +194,8 @@ def pair_signals(events: DataFrame, i: str, j: str, mean: float, sd: float, ente
             else:
                 pos = 0 if side != pos or abs(z) <= leave else pos
                 action = "HOLD" if pos else "EXIT"
-            out.append((key, int(event), float(z), int(was), action))
-        return (x, y, int(pos)), pd.DataFrame(out, columns=["user_id", "event_id", "z", "held", "action"])
+            out.append((key, event, z, was, action))
+        return (x, y, pos), out
 
     known = events.filter("value is not null").filter(F.col("event_type").isin(i, j))
     return in_order(known, "user_id", ["event_id", "event_type", "value"], late, fold, "user_id long, event_id long, z double, held int, action string")

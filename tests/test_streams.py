@@ -130,3 +130,13 @@ def test_a_closed_account_leaves_the_snapshot(spark):
     assert sorted(map(tuple, t.read().collect())) == [(2, "B", 1.0), (3, "C", 2.0)]
     versioned.sync_snapshot(t, df([]), df([(3, None, None)]))
     assert sorted(map(tuple, t.read().collect())) == [(2, "B", 1.0)]
+
+
+def test_calls_don_t_grow_with_keys(spark, tmp_path):
+    """Twenty thousand users in one stream: state is kept for buckets of them, and each user's events are folded on their own."""
+    rows = [(2 * u + k, START + timedelta(minutes=2 * u % 977 + k), u, "view", float(10 + 90 * k), "{}") for u in range(20_000) for k in (0, 1)] + [(50_000, START + timedelta(days=9), 0, "view", 1.0, "{}")]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/in/00")
+    out = f"{tmp_path}/one"
+    assert run(spark, "jumps", f"{tmp_path}/in/*", out, 1, spark.createDataFrame([], SCHEMA).schema) == sorted(((u, 2 * u + 1, 100.0, 10.0) for u in range(20_000)), key=str)
+    kept = spark.read.format("statestore").load(f"{out}/state")
+    assert kept.count() <= live.BUCKETS
