@@ -1,10 +1,13 @@
 """Products of tiles and closest pairs against numpy over all pairs."""
 
+import math
 import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from panelwright.functions.maths import half_up
 from panelwright.operators import pairs, quantiles, tiles
 
 
@@ -150,3 +153,52 @@ def test_closest_pairs_of_noise(spark, monkeypatch):
     d = {(names[a], names[b]): np.mean((x[a] - x[b]) ** 2) for a in range(200) for b in range(a + 1, 200)}
     assert got == sorted(d, key=lambda k: (d[k], k))[:10]
     assert touched[0].count() < 0.1 * len(d)
+
+
+@pytest.mark.parametrize("q", [2, 3, 7])
+def test_blocks_meet_once_on_few_lines(spark, q):
+    """Any two blocks are on one line, a line is a task, and a series is shuffled q + 1 times, for q (q + 1) tasks."""
+    names = [f"S{i:04d}" for i in range(40 * q * q)]
+    rows = spark.createDataFrame([(n, 0, 0, 1.0) for n in names], "symbol string, tile long, t int, x double")
+    met = tiles._lines(rows, q, 1)._df
+    assert met.count() == (q + 1) * len(names)
+    lines = met.withColumn("task", F.spark_partition_id()).groupBy("part").agg(F.collect_set("block").alias("blocks"), F.collect_set("task").alias("tasks")).collect()
+    assert len(lines) == q * q + q and all(len(r.blocks) == q and r.tasks == [r.part] for r in lines)
+    pairs = [(a, b) for r in lines for a in r.blocks for b in r.blocks if a < b]
+    assert len(pairs) == len(set(pairs)) == q * q * (q * q - 1) // 2
+
+
+def test_bars_are_copied_by_tasks_not_by_symbols(spark):
+    """More symbols make no more copies until a task's bars are too many; few rows make few tasks."""
+    get = lambda symbols, width=83, tiles_=1, windows=1: tiles._plane(spark.range(1), symbols, None, width, tiles_, windows)
+    cores = spark.sparkContext.defaultParallelism
+    assert get(10) == 2 and get(0, 1) == 2
+    assert get(6_000) == get(360_000) and get(60_000) ** 2 + get(60_000) >= max(48, 4 * cores)
+    q = get(10_000_000)
+    assert q > get(360_000) and q * tiles.HELD >= 10_000_000 * 83
+
+
+@pytest.mark.parametrize("form", ["jn13_window_products"])
+def test_rows_of_pairs_are_rounded_by_whole_numbers(spark, form):
+    """What is rounded by decimals is only what whole numbers can't hold."""
+    import re
+
+    from panelwright.queries import QUERIES
+
+    plan = QUERIES[form](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().partition("FlatMapGroupsInArrow")[0]
+    assert re.search(r"\bround\(", plan)
+    assert all(part.rstrip().endswith("ELSE") for part in re.split(r"\bround\(", plan)[:-1])
+
+
+def test_half_up(spark):
+    """As SQL's round: halves away from zero, what is just below a half not; numbers too large for it, infinite and NaN as they are."""
+    import duckdb
+
+    rng = random.Random(5)
+    xs = [0.0, -0.0, 5e-7, -5e-7, 0.5e-6 - 1e-22, 1.5e-6, 2.5e-6, -2.5e-6, 1.0000005, 123456.7890125, -0.2e-6, 1e8 - 1e-7, 1e8, -3.3e15, 1.7e308, float("inf"), float("-inf"), float("nan"), None]
+    xs += [rng.gauss(0, 10.0**k) for k in range(-7, 7) for _ in range(200)]
+    got = [r.y for r in spark.createDataFrame(list(enumerate(xs)), "k int, x double").select("k", half_up(F.col("x"), 6).alias("y")).orderBy("k").collect()]
+    want = [r[0] for r in duckdb.execute("SELECT round(x, 6) FROM (SELECT unnest(?::DOUBLE[]) AS x)", [xs]).fetchall()]
+    same = lambda a, b: a is b is None or a is not None and b is not None and (a == b or a != a and b != b)
+    assert [(x, a, b) for x, a, b in zip(xs, got, want) if not same(a, b)] == []
+    assert all(math.copysign(1, y) == 1 for y in got if y == 0)
