@@ -178,7 +178,7 @@ def test_bars_are_copied_by_tasks_not_by_symbols(spark):
     assert q > get(360_000) and q * tiles.HELD >= 10_000_000 * 83
 
 
-@pytest.mark.parametrize("form", ["jn13_window_products"])
+@pytest.mark.parametrize("form", ["pr1_tile_products", "jn13_window_products"])
 def test_rows_of_pairs_are_rounded_by_whole_numbers(spark, form):
     """What is rounded by decimals is only what whole numbers can't hold."""
     import re
